@@ -1,24 +1,52 @@
-"""The corpus pipeline: toxicity, quality, near-duplicates, decontamination, packing."""
+"""The corpus pipeline: toxicity, quality, near-duplicates, decontamination, packing.
+
+Every stage works on all that the one before kept and reads its own labels or benchmark from ``sf_dir``. All but the last return the
+columns of ``documents`` (and whatever else their input has), so that rows can be dropped but not changed.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from geojobs.llm import packing, queries, simhash
+from geojobs.llm import decontam, packing, quality, queries, simhash, toxicity
 from geojobs.llm.common import shared_dir, table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.7 or more for toxicity go."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return docs.where(toxicity.score(F.col("text"), model) < toxicity.THRESHOLD)
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under 0.5 for quality go."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return docs.where(quality.score(F.col("text"), model) >= quality.THRESHOLD)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays."""
     return simhash.keep_one(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose tiles cover half of a benchmark item or more go."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all that was kept, packed into sequences."""
     return packing.pack(docs, queries.tokenizer_path())
 
 
-STAGES = [("near_duplicates", near_duplicates), ("pack", pack)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality", drop_poor),
+    ("simhash", near_duplicates),
+    ("decontamination", decontaminate),
+    ("packing", pack),
+]
 #: No stage can be told in SQL: fitted models, XXH64 fingerprints, tilings and a tokenizer.
 ORACLE_SQL = None
 

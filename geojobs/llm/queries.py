@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geojobs.llm import packing, simhash
-from geojobs.llm.common import table
+from geojobs.llm import chat, decontam, embeddings, htmltext, packing, quality, simhash, toxicity, urlfilter, warc
+from geojobs.llm.common import held_out, table
 
-#: Public tokenizer of the packing query.
-TOKENIZER = "word_bpe_49k.json"
+#: Public tokenizers of the packing and the chat query.
+TOKENIZER, CHAT_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
+RULES = urlfilter.Rules(allow=("com/", "www.example.com/en/"), block=("example.com/en/", "net/es/", "net/fr/"))
+#: A conversation whose texts are control strings of other templates.
+EXTRA_CHAT = [(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -18,16 +21,99 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame(EXTRA_CHAT, "conv_id long, turn long, role string, text string")
+    return chat.read_back(*chat.build(turns.unionByName(extra), tokenizer_path(CHAT_TOKENIZER)))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), RULES)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = quality.quality(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_chat": op2_chat,
     "op3_simhash": op3_simhash,
+    "op4_warc": op4_warc,
+    "op5_url_filter": op5_url_filter,
     "op6_packing": op6_packing,
+    "op7_quality": op7_quality,
+    "op8_html_text": op8_html_text,
+    "op9_embeddings": op9_embeddings,
+    "op10_decontamination": op10_decontamination,
+}
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: 160 bits as 32 signs: the SHA-1's hex digits, five at a time as 20 bits, four signs each.
+_SIGNS = " || ".join(
+    f"substr('{_BASE32}', CAST((CAST(('0x' || substr(sha, {5 * g + 1}, 5)) AS BIGINT) >> {shift}) & 31 AS INTEGER) + 1, 1)" for g in range(8) for shift in (15, 10, 5, 0)
+)
+
+ORACLES: dict[str, str] = {
+    "op2_chat": """
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, CAST(length(text) + len(regexp_extract_all(text, '<\\\\*\\|(im_start|im_end|endoftext|startoftext|user|assistant|system|eot_id|start_header_id|end_header_id)\\|>|<\\\\*/?s>|\\[\\\\*/?INST\\]|<\\\\*</?SYS>>')) AS BIGINT) AS body FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(12 + length(role) + 1 + body + 11) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+""",
+    "op4_warc": f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, upper(sha1(coalesce(html, ''))) AS sha FROM pages),
+f AS (SELECT sha, min(page_id) AS first FROM p GROUP BY sha)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_SIGNS} AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN f USING (sha)
+""",
+    "op5_url_filter": """
+WITH r(kind, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+s AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+m AS (SELECT page_id, host, path, max_by(h || r.p, length(h || r.p)) AS rule, max_by(kind, length(h || r.p)) AS kind
+  FROM s LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, r.p) GROUP BY ALL)
+SELECT page_id, host, path, rule, coalesce(kind, 'allow') AS verdict FROM m
+""",
 }
-ORACLES: dict[str, str] = {}
