@@ -26,8 +26,9 @@ WORDS = re.compile(r"[^\W\d_]+")
 #: Fitted on at most so many labelled documents: a bound on the model's cost, not on what is scored.
 FIT_ROWS = 20_000
 #: A term counts as toxic from this z-score and log-odds on, if fewer than CHANCE terms as frequent as it are expected to be as
-#: one-sided by chance; the strongest MAX_TERMS make up the model.
-MIN_Z, MIN_ODDS, CHANCE, MAX_TERMS = 2.0, 2.0, 0.3, 20_000
+#: one-sided by chance, even where toxic documents are UNEVEN times as common as on the whole (in one language, say); the strongest
+#: MAX_TERMS make up the model.
+MIN_Z, MIN_ODDS, CHANCE, UNEVEN, MAX_TERMS = 2.0, 2.0, 0.3, 2.0, 20_000
 PRIOR = 0.5
 #: How many first letters stand for a stem.
 GRAMS = (4, 5, 6)
@@ -152,12 +153,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = FIT_ROWS) -> Toxicit
     error = F.sqrt(1 / (F.col("y") + PRIOR) + 1 / (F.col("x") + PRIOR))
     counts = stash(counts.where("y + x > 2").withColumn("n", F.col("y") + F.col("x")))
     alike = counts.groupBy("n").agg(F.count(F.lit(1)).alias("alike"))  # a row for each frequency, max_rows at most
-    share, base = F.col("y") / F.col("n"), n[True] / (n[True] + n[False])
+    base = min(0.5, UNEVEN * n[True] / (n[True] + n[False]))
+    share = F.col("y") / F.col("n")
     tail = F.col("n") * (share * F.log(share / base) + F.when(F.col("x") > 0, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0))
     strong = counts.where((F.col("y") > 0) & (share > base)).join(F.broadcast(alike), "n").where(F.log("alike") - tail <= math.log(CHANCE))
     strong = strong.withColumn("odds", odds).where((F.col("odds") >= MIN_ODDS) & (F.col("odds") / error >= MIN_Z))
-    rows = strong.orderBy((F.col("odds") / error).desc(), "term").limit(MAX_TERMS).collect()
-    terms = {r["term"]: float(r["odds"]) for r in rows}
+    likely = {r["term"] for r in strong.orderBy((F.col("odds") / error).desc(), "term").limit(MAX_TERMS).collect()}
+    terms = _in_many_contexts(sample, likely, {r["n"]: r["alike"] for r in alike.collect()}, n, base)
     if not terms:
         return ToxicityModel()
     first = ToxicityModel(terms=terms, cost=float(np.median(list(terms.values()))) / 50)
@@ -173,6 +175,43 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = FIT_ROWS) -> Toxicit
     return ToxicityModel(terms=terms, cost=first.cost, scale=scale, size=size, weight=weight, bias=bias)
 
 
+def _in_many_contexts(sample: DataFrame, likely: set[str], alike: dict[int, int], n: dict[bool, int], base: float) -> dict[str, float]:
+    """Log-odds of those likely terms that stay significant when a term between the same two words counts once.
+
+    All words of a toxic document that has many copies look toxic; its copies are one context to each of them.
+    """
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[str]] = {}
+        for batch in batches:
+            seen = set()
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = ["", *WORDS.findall((text or "").lower()), ""]
+                for i in range(1, len(words) - 1):
+                    found = known.get(words[i])
+                    if found is None:
+                        found = known[words[i]] = [t for t in word_terms(words[i]) if t in likely]
+                    for term in found:
+                        seen.add((term, y > 0, f"{words[i - 1]} {words[i]} {words[i + 1]}"))
+            rows = list(seen)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.bool_(), pa.string()))], names=["term", "toxic", "context"])
+
+    found = sample.mapInArrow(contexts, "term string, toxic boolean, context string").distinct().groupBy("term")
+    counts = found.agg(F.count_if("toxic").alias("y"), F.count_if(~F.col("toxic")).alias("x")).collect()  # a row for each likely term
+    terms = {}
+    for r in counts:
+        y, x = min(r["y"], n[True]), min(r["x"], n[False])
+        share = y / (y + x)
+        if share <= base:
+            continue
+        tail = (y + x) * (share * math.log(share / base) + ((1 - share) * math.log((1 - share) / (1 - base)) if x else 0))
+        odds = math.log((y + PRIOR) / (n[True] - y + PRIOR)) - math.log((x + PRIOR) / (n[False] - x + PRIOR))
+        error = math.sqrt(1 / (y + PRIOR) + 1 / (x + PRIOR))
+        if odds >= MIN_ODDS and odds / error >= MIN_Z and math.log(alike.get(y + x, 1)) - tail <= math.log(CHANCE):
+            terms[r["term"]] = odds
+    return terms
+
+
 def _evidence(sample: DataFrame, model: ToxicityModel, best: bool) -> pd.DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(model)
