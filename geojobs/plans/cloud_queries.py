@@ -115,23 +115,19 @@ def elm_noise(spark, d):
     return cloud.elm(points(spark, d)).select("pid", "classification")
 
 
-_SMALL = "(SELECT * FROM cloud_points WHERE x < 40 AND y < 40)"
-_KNN = f"SELECT pid, avg(d) AS m FROM (SELECT pid, d, row_number() OVER (PARTITION BY pid ORDER BY d) AS n FROM (SELECT a.pid, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d FROM {_SMALL} a JOIN {_SMALL} b ON a.pid <> b.pid) p) q WHERE n <= 8 GROUP BY pid"
-
-
-def corner(spark, d):
-    """The cloud's part about its origin: the oracle compares all its pairs."""
-    return points(spark, d).where("x < 40 and y < 40")
+#: Every point's eighth neighbour is nearer than 30, so that cells of 30 and those about them hold all that count.
+_CELLS = "SELECT *, CAST(floor(x / 30) AS BIGINT) AS i, CAST(floor(y / 30) AS BIGINT) AS j FROM cloud_points"
+_KNN = f"SELECT pid, avg(d) AS m FROM (SELECT pid, d, row_number() OVER (PARTITION BY pid ORDER BY d) AS n FROM (SELECT a.pid, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d FROM (SELECT c.*, o.range - 1 AS oi, q.range - 1 AS oj FROM ({_CELLS}) c CROSS JOIN range(3) o CROSS JOIN range(3) q) a JOIN ({_CELLS}) b ON b.i = a.i + a.oi AND b.j = a.j + a.oj AND a.pid <> b.pid) p WHERE d < 30) q WHERE n <= 8 GROUP BY pid"
 
 
 @query("knn_mean", over(f"SELECT pid, round(m, 6) AS mean_distance FROM ({_KNN}) k", "cloud_points"))
 def knn_mean(spark, d):
-    return cloud.knn_mean(corner(spark, d), 8, block_points=100).select("pid", F.round("mean_distance", 6).alias("mean_distance"))
+    return cloud.knn_mean(points(spark, d), 8).select("pid", F.round("mean_distance", 6).alias("mean_distance"))
 
 
 @query("outlier_stat", over(f"SELECT pid, CASE WHEN m > (SELECT avg(m) + 2.0 * stddev_samp(m) FROM ({_KNN}) k) THEN 7 ELSE 0 END AS classification FROM ({_KNN}) k", "cloud_points"))
 def outlier_stat(spark, d):
-    return cloud.outlier(corner(spark, d), 8, 2.0).select("pid", "classification")
+    return cloud.outlier(points(spark, d), 8, 2.0).select("pid", "classification")
 
 
 @query("poisson_sample", over("SELECT 0 AS too_near, 0 AS uncovered, count(*) > 0 AS some FROM cloud_points", "cloud_points"))

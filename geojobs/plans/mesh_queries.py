@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from geojobs.operators import mesh, survey, tiling
+from geojobs.operators import cloud, mesh, survey, tiling
 from geojobs.plans import jobs
 from geojobs.plans.fixtures import fixture, over
 from geojobs.plans.registry import query
@@ -144,12 +144,12 @@ def quantile_trim(spark, d):
     return mesh.quantile_trim(*both(spark, d), "z", 0.02)[1]
 
 
-_IN = "(SELECT vid FROM mesh_vertices, (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM cloud_points WHERE x < 100 AND y < 80) b WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND z BETWEEN z0 AND z1)"
+_IN = "(SELECT vid FROM mesh_vertices, (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM cloud_points WHERE x BETWEEN 0 AND 100 AND y BETWEEN 0 AND 80) b WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND z BETWEEN z0 AND z1)"
 
 
 @query("crop_to_bbox", over(f"SELECT fid, a, b, c FROM mesh_faces WHERE a IN {_IN} AND b IN {_IN} AND c IN {_IN}", "mesh_vertices", "mesh_faces", "cloud_points"))
 def crop_to_bbox(spark, d):
-    return mesh.crop_to_bbox(*both(spark, d), fixture(spark, d, "cloud_points").where("x < 100 and y < 80"))[1]
+    return mesh.crop_to_bbox(*both(spark, d), cloud.crop_xy(fixture(spark, d, "cloud_points"), [0, 0, 100, 80]))[1]
 
 
 _AREA = f"SELECT fid, sqrt(nx * nx + ny * ny + nz * nz) / 2 AS area FROM (SELECT fid, {_CROSS} FROM ({_FLAT}) w) n"
