@@ -12,14 +12,18 @@ is followed by a backslash, which reading back takes out again.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from geojobs.llm.common import small_batches, stash
+
 #: Control strings of chat templates in use, so that no text can end a turn or open another.
 CONTROL = ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|startoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|user|>", "<|assistant|>", "<|system|>", "<|eot_id|>", "<|start_header_id|>", "<|end_header_id|>")
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -71,21 +75,27 @@ def _paths(conversations: DataFrame) -> DataFrame:
     return grouped.withColumn("path", path)
 
 
-def _format(batches: Iterator[pd.DataFrame], tokenizer_path: str | None) -> Iterator[pd.DataFrame]:
-    encode = None
+FORMATTED = "node string, path array<string>, role string, formatted string, loss_begin long, loss_end long, ids array<int>, n long"
+
+
+def _format(batches: Iterator[pa.RecordBatch], tokenizer_path: str | None) -> Iterator[pa.RecordBatch]:
+    """(node, path, role, text) -> FORMATTED, about a megabyte of text at a time: token lists take many times its room."""
+    encode = lambda texts: [np.array(list(map(ord, t)), np.int32) for t in texts]
     if tokenizer_path:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
         tokenizer.encode_special_tokens = True
-        encode = lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    for pdf in batches:
-        made = [format_turn(r, t) for r, t in zip(pdf["role"], pdf["text"])]
+        encode = lambda texts: [np.array(tokenizer.encode(t, add_special_tokens=False).ids, np.int32) for t in texts]
+    for batch in small_batches(batches, "text", 1 << 20):
+        roles = batch.column(2).to_pylist()
+        made = [format_turn(r, t) for r, t in zip(roles, batch.column(3).to_pylist())]
         texts = [m[0] for m in made]
-        ids = encode(texts) if encode else [list(map(ord, t)) for t in texts]
-        mask = pdf["role"] == LOSS_ROLE
-        yield pd.DataFrame({"node": pdf["node"], "path": pdf["path"], "role": pdf["role"], "formatted": texts, "loss_begin": [m[1] if k else 0 for m, k in zip(made, mask)],
-                            "loss_end": [m[2] if k else 0 for m, k in zip(made, mask)], "ids": ids, "n": [len(i) for i in ids]})
+        ids = encode(texts)
+        spans = [m[1:] if r == LOSS_ROLE else (0, 0) for m, r in zip(made, roles)]
+        columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(texts, pa.string()), *(pa.array([s[i] for s in spans], pa.int64()) for i in (0, 1)), pa.array(ids, pa.list_(pa.int32())), pa.array([i.size for i in ids], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in FORMATTED.split(", ")])
 
 
 def build(conversations: DataFrame, tokenizer_path: str | None = None, salts: int = 64) -> tuple[DataFrame, DataFrame]:
@@ -99,16 +109,13 @@ def build(conversations: DataFrame, tokenizer_path: str | None = None, salts: in
     A null text or role is empty; turns with equal numbers come in order of role and text, null numbers first; repeated rows are
     turns of their own; rows of a null conv_id form one conversation. An empty table gives empty tables.
     """
-    from geojobs.llm.common import stash
-
     paths = stash(_paths(conversations))
     members = paths.select("conv_id", F.element_at("path", -1).alias("leaf"), F.size("path").alias("n_turns"))
     steps = paths.select(F.posexplode("turns").alias("at", "turn"), "path").select(
         F.element_at("path", F.col("at") + 1).alias("node"), F.slice("path", 1, F.col("at") + 1).alias("path"), F.col("turn.role").alias("role"), F.col("turn.text").alias("text")
     )
     alike = steps.groupBy("node").agg(F.first("path").alias("path"), F.first("role").alias("role"), F.first("text").alias("text"))
-    run = lambda batches: _format(batches, tokenizer_path)
-    nodes = stash(alike.mapInPandas(run, "node string, path array<string>, role string, formatted string, loss_begin long, loss_end long, ids array<int>, n long"))
+    nodes = stash(alike.mapInArrow(lambda batches: _format(batches, tokenizer_path), FORMATTED))
     nodes = nodes.withColumn("parent", F.when(F.size("path") > 1, F.element_at("path", -2)))
 
     # Tokens below and in each node, from what every node adds to its ancestors.
@@ -138,7 +145,7 @@ def build(conversations: DataFrame, tokenizer_path: str | None = None, salts: in
         F.aggregate(F.slice("spans", 1, F.size("spans") - 1), F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["begin"]).alias("position"),
         _merged(F.slice("spans", 1, F.size("spans") - 1)).alias("attend"), F.col("spans").alias("path_spans"),
     )
-    return out, members
+    return stash(out), members
 
 
 def _merged(spans: Column) -> Column:
@@ -153,33 +160,31 @@ def _merged(spans: Column) -> Column:
     return F.aggregate(spans, start, add)
 
 
-def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for conv, nodes in zip(pdf["conv_id"], pdf["nodes"]):
-            line = "".join(n["formatted"] for n in nodes)
-            turns, loss, at = hashlib.sha256(), "", 0
-            for n in nodes:
-                loss += unescape(n["formatted"][n["loss_begin"] : n["loss_end"]])
-                at += len(n["formatted"])
-            parsed = parse_turns(line)
-            for role, text, _, _ in parsed:
-                turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-            rows.append((conv, len(parsed), turns.hexdigest(), len(loss), hashlib.sha256(loss.encode("utf-8", "surrogatepass")).hexdigest(), len(line), len(pdf)))
-        yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "_"]).drop(columns="_")
+DIGEST = "leaf string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(leaf, its path's nodes in order) -> DIGEST, from the formatted texts alone."""
+    names = [c.split()[0] for c in DIGEST.split(", ")]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part, rows = batch.slice(at, 256), []
+            for leaf, nodes in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                line = "".join(n["formatted"] for n in nodes)
+                loss = "".join(unescape(n["formatted"][n["loss_begin"] : n["loss_end"]]) for n in nodes)
+                turns, parsed = hashlib.sha256(), parse_turns(line)
+                for role, text, _, _ in parsed:
+                    turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                rows.append((leaf, len(parsed), turns.hexdigest(), len(loss), hashlib.sha256(loss.encode("utf-8", "surrogatepass")).hexdigest(), len(line)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
 def read_back(nodes: DataFrame, members: DataFrame) -> DataFrame:
-    """Each conversation read from the trees: the nodes at its leaf's attended intervals, then its own; parsed and digested."""
+    """Each conversation read from the trees: the nodes at its leaf's path of intervals; parsed and digested."""
     leaves = nodes.select(F.col("node").alias("leaf"), F.col("tree").alias("leaf_tree"), "path_spans")
     wanted = leaves.join(members.select("leaf").distinct(), "leaf").select("leaf", "leaf_tree", F.posexplode("path_spans").alias("depth_at", "span"))
-    found = wanted.join(nodes.select("tree", "begin", "formatted", "loss_begin", "loss_end", "ids"), (F.col("leaf_tree") == F.col("tree")) & (F.col("span.begin") == F.col("begin")) & (F.size("ids") == F.col("span.end") - F.col("begin")))
+    wanted = wanted.select("leaf", F.col("leaf_tree").alias("tree"), "depth_at", F.col("span.begin").alias("begin"), F.col("span.end").alias("end"))
+    found = wanted.join(nodes.select("tree", "begin", "end", "formatted", "loss_begin", "loss_end"), ["tree", "begin", "end"])
     lines = found.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("depth_at", "formatted", "loss_begin", "loss_end"))).alias("nodes"))
-    schema = "leaf string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for out in _digest(pdf.rename(columns={"leaf": "conv_id"}) for pdf in batches):
-            yield out.rename(columns={"conv_id": "leaf"})
-
-    texts = lines.mapInPandas(run, schema)
-    return members.select("conv_id", "leaf").join(texts, "leaf").drop("leaf")
+    return members.select("conv_id", "leaf").join(lines.mapInArrow(_digest, DIGEST), "leaf").drop("leaf")
