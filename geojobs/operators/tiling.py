@@ -18,7 +18,7 @@ def _cell(value: Column, low: Column, span: Column, level: int) -> Column:
     """Cell number along one axis at the finest level; the upper edge belongs to the last cell."""
     n = 1 << level
     at = F.floor(F.coalesce(F.try_divide(value - low, span), F.lit(0.0)) * n).cast("long")
-    return F.least(F.greatest(at, F.lit(0).cast("long")), F.lit(n - 1).cast("long"))
+    return F.when(value.isNotNull(), F.least(F.greatest(at, F.lit(0).cast("long")), F.lit(n - 1).cast("long")))
 
 
 def tile_budget(df: DataFrame, axes: list[str], max_features: int, max_level: int = 20, extent: DataFrame | None = None) -> DataFrame:
