@@ -36,7 +36,7 @@ class Level:
     seed: int
 
     def passes(self, key: Column) -> Column:
-        words = F.array(*map(F.lit, self.words)) if len(self.words) < 100 else F.lit(list(self.words))
+        words = F.lit(list(self.words)).cast("array<bigint>")
         tests = []
         for place in _places(key, self.bits, self.hashes, self.seed):
             word = F.element_at(words, (F.shiftright(place, 6) + 1).cast("int"))
