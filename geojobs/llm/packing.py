@@ -28,7 +28,7 @@ END_ID = 0
 #: Pieces that one task packs: its lengths and open bins are all that it holds.
 TASK_PIECES = 100_000
 #: Words whose ids a worker remembers; beyond it starts anew.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 400_000
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Characters that the tokenizer's normalizer leaves alone but for case and white space, and an added token.
@@ -111,7 +111,7 @@ def _word_ids(path: str) -> WordIds:
 def _piece_maker(tokenizer_path: str, capacity: int, end_id: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end, size = _word_ids(tokenizer_path), np.array([end_id], "<u4").tobytes(), 4 * capacity
-        for batch in small_batches(batches, "text", 16 << 20):
+        for batch in small_batches(batches, "text", 6 << 20):
             rows: list[list] = [[], [], [], [], []]
             ids, ends = encode([t or "" for t in batch.column(1).to_pylist()])
             begin = 0
