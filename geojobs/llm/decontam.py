@@ -32,7 +32,7 @@ INVERSE = pow(BASE, -1, 1 << 64)
 class Tokens:
     """Lower-cased words as 64-bit numbers; remembers them."""
 
-    def __init__(self, cache: int = 500_000):
+    def __init__(self, cache: int = 150_000):
         self.cache, self.known = cache, {}
 
     def __call__(self, text: str | None) -> np.ndarray:

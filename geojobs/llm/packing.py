@@ -28,7 +28,7 @@ END_ID = 0
 #: Pieces that one task packs: its lengths and open bins are all that it holds.
 TASK_PIECES = 100_000
 #: Words whose ids a worker remembers; beyond it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Characters that the tokenizer's normalizer leaves alone but for case and white space, and an added token.

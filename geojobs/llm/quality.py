@@ -66,7 +66,7 @@ def statistics(text: str, words: list[str]) -> list[float]:
 class Featurizer:
     """Texts -> hashed words with weights (unit length) and statistics. Remembers the buckets of words."""
 
-    def __init__(self, cache: int = 500_000):
+    def __init__(self, cache: int = 150_000):
         self.cache, self.bucket = cache, {}
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[float]]:

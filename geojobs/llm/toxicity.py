@@ -79,7 +79,7 @@ def segments(scores: list[tuple[int, float]], cost: float) -> list[tuple[int, in
 class Scorer:
     """Segments and evidence of texts under a model; remembers the scores of words."""
 
-    def __init__(self, model: ToxicityModel, cache: int = 500_000):
+    def __init__(self, model: ToxicityModel, cache: int = 150_000):
         self.model, self.cache, self.known = model, cache, {}
 
     def _score(self, word: str) -> float:
