@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -75,11 +75,11 @@ def _paths(conversations: DataFrame) -> DataFrame:
     return grouped.withColumn("path", path)
 
 
-FORMATTED = "node string, path array<string>, role string, formatted string, loss_begin long, loss_end long, ids array<int>, n long"
+FORMATTED = "node string, parent string, tree string, depth int, owner string, role string, formatted string, loss_begin long, loss_end long, ids array<int>, n long"
 
 
 def _format(batches: Iterator[pa.RecordBatch], tokenizer_path: str | None) -> Iterator[pa.RecordBatch]:
-    """(node, path, role, text) -> FORMATTED, about a megabyte of text at a time: token lists take many times its room."""
+    """(node, parent, tree, depth, owner, role, text) -> FORMATTED, about a megabyte of text at a time: token lists take many times its room."""
     encode = lambda texts: [np.array(list(map(ord, t)), np.int32) for t in texts]
     if tokenizer_path:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
@@ -89,75 +89,85 @@ def _format(batches: Iterator[pa.RecordBatch], tokenizer_path: str | None) -> It
         tokenizer.encode_special_tokens = True
         encode = lambda texts: [np.array(tokenizer.encode(t, add_special_tokens=False).ids, np.int32) for t in texts]
     for batch in small_batches(batches, "text", 1 << 20):
-        roles = batch.column(2).to_pylist()
-        made = [format_turn(r, t) for r, t in zip(roles, batch.column(3).to_pylist())]
+        roles = batch.column(5).to_pylist()
+        made = [format_turn(r, t) for r, t in zip(roles, batch.column(6).to_pylist())]
         texts = [m[0] for m in made]
         ids = encode(texts)
         spans = [m[1:] if r == LOSS_ROLE else (0, 0) for m, r in zip(made, roles)]
-        columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(texts, pa.string()), *(pa.array([s[i] for s in spans], pa.int64()) for i in (0, 1)), pa.array(ids, pa.list_(pa.int32())), pa.array([i.size for i in ids], pa.int64())]
+        columns = [*(batch.column(i) for i in range(6)), pa.array(texts, pa.string()), *(pa.array([s[i] for s in spans], pa.int64()) for i in (0, 1)), pa.array(ids, pa.list_(pa.int32())), pa.array([i.size for i in ids], pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in FORMATTED.split(", ")])
 
 
+ATTEND = "node string, begin long, end long, position long, attend array<struct<begin:bigint,end:bigint>>"
+
+
+def _attend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(leaf, its path as at, node, n, begin, owned) -> ATTEND of the nodes that the leaf owns; adjacent intervals are one."""
+    span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), span]
+    for batch in batches:
+        rows = []
+        for path in batch.column(1).to_pylist():
+            merged: list[tuple[int, int]] = []
+            position = 0
+            for step in path:
+                begin, end = step["begin"], step["begin"] + step["n"]
+                if step["owned"]:
+                    rows.append((step["node"], begin, end, position, [{"begin": x, "end": y} for x, y in merged]))
+                if merged and merged[-1][1] == begin:
+                    merged[-1] = (merged[-1][0], end)
+                else:
+                    merged.append((begin, end))
+                position += step["n"]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in ATTEND.split(", ")])
+
+
 def build(conversations: DataFrame, tokenizer_path: str | None = None, salts: int = 64) -> tuple[DataFrame, DataFrame]:
     """``conversations(conv_id, turn, role, text)`` -> (nodes, members).
 
-    nodes: node, tree, depth, parent, role, formatted, loss_begin, loss_end (code points of the formatted text under the loss mask), ids (token
-    ids, or code points without a tokenizer), begin and end (place of its tokens in its tree's depth-first sequence),
-    position (position id of its first token; they count up from there), attend (intervals of the sequence that its tokens see
-    besides their own node's earlier ones: its ancestors, adjacent ones merged). members: conv_id, leaf, n_turns.
+    nodes: node, tree, depth, parent, role, formatted, loss_begin, loss_end (code points of the formatted text under the loss mask), ids
+    (token ids, or code points without a tokenizer), begin and end (place of its tokens in its tree's depth-first sequence), position
+    (position id of its first token; they count up from there), attend (intervals of the sequence that its tokens see besides their
+    own node's earlier ones: its ancestors, adjacent ones merged). members: conv_id, leaf, n_turns, tree, begins (its nodes' places).
 
     A null text or role is empty; turns with equal numbers come in order of role and text, null numbers first; repeated rows are
-    turns of their own; rows of a null conv_id form one conversation. An empty table gives empty tables.
+    turns of their own; rows of a null conv_id form one conversation. An empty table gives empty tables. Work and rows are linear in
+    the turns, however long a conversation.
     """
     paths = stash(_paths(conversations))
     members = paths.select("conv_id", F.element_at("path", -1).alias("leaf"), F.size("path").alias("n_turns"))
-    steps = paths.select(F.posexplode("turns").alias("at", "turn"), "path").select(
-        F.element_at("path", F.col("at") + 1).alias("node"), F.slice("path", 1, F.col("at") + 1).alias("path"), F.col("turn.role").alias("role"), F.col("turn.text").alias("text")
+    # Conversations that are alike throughout are one from here on.
+    leaves = stash(paths.groupBy(F.element_at("path", -1).alias("leaf")).agg(F.first(F.struct("turns", "path")).alias("c")).select("leaf", "c.turns", "c.path"))
+    steps = leaves.select("leaf", "path", F.posexplode("turns").alias("at", "turn")).select(
+        "leaf", "at", F.get("path", F.col("at")).alias("node"), F.get("path", F.col("at") - 1).alias("parent"), F.get("path", F.lit(0)).alias("tree"), "turn"
     )
-    alike = steps.groupBy("node").agg(F.first("path").alias("path"), F.first("role").alias("role"), F.first("text").alias("text"))
+    # Each node belongs to one of the leaves below it.
+    one = F.struct("parent", "tree", F.col("at").alias("depth"), F.col("turn.role").alias("role"), F.col("turn.text").alias("text"))
+    alike = steps.groupBy("node").agg(F.min("leaf").alias("owner"), F.first(one).alias("s"))
+    alike = alike.select("node", "s.parent", "s.tree", "s.depth", "owner", "s.role", "s.text")
     nodes = stash(alike.mapInArrow(lambda batches: _format(batches, tokenizer_path), FORMATTED))
-    nodes = nodes.withColumn("parent", F.when(F.size("path") > 1, F.element_at("path", -2)))
 
-    # Tokens below and in each node, from what every node adds to its ancestors.
-    up = nodes.select(F.explode("path").alias("above"), "n")
-    below = up.groupBy("above").agg(F.sum("n").alias("below"))
-    sized = stash(nodes.select("node", "path", "parent", "n").join(below, F.col("node") == F.col("above")).drop("above"))
+    # Tokens in and below each node: every leaf tells the nodes on its path what it owns from there on.
+    along = leaves.select("leaf", F.posexplode("path").alias("at", "node")).join(nodes.select("node", "n", "owner"), "node")
+    along = stash(along.select("leaf", "at", "node", "n", (F.col("owner") == F.col("leaf")).alias("owned")))
+    onward = Window.partitionBy("leaf").orderBy(F.col("at").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    below = along.select("node", F.sum(F.when(F.col("owned"), F.col("n")).otherwise(0)).over(onward).alias("n")).groupBy("node").agg(F.sum("n").alias("below"))
     # Siblings in order of (salt, node): sums of earlier salts, then of earlier siblings of the same salt.
-    salted = sized.where("parent is not null").select("node", "parent", "below", (F.conv(F.substring("node", 1, 4), 16, 10).cast("long") * salts / 65536).cast("int").alias("salt"))
+    salt = (F.conv(F.substring("node", 1, 4), 16, 10).cast("long") * salts / 65536).cast("int")
+    salted = stash(nodes.where("parent is not null").select("node", "parent", salt.alias("salt")).join(below, "node"))
     earlier = Window.partitionBy("parent").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     by_salt = salted.groupBy("parent", "salt").agg(F.sum("below").alias("all")).withColumn("salts_before", F.coalesce(F.sum("all").over(earlier), F.lit(0)))
     inside = Window.partitionBy("parent", "salt").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
     shift = salted.withColumn("before", F.coalesce(F.sum("below").over(inside), F.lit(0))).join(by_salt.drop("all"), ["parent", "salt"])
     shift = shift.select("node", (F.col("before") + F.col("salts_before")).alias("before"))
-    step = stash(sized.join(shift, "node", "left").select(F.col("node").alias("above"), F.col("n").alias("above_n"), F.coalesce("before", F.lit(0)).alias("before")))
-    # A node begins after its ancestors and what stands before each of them among its siblings.
-    along = sized.select("node", F.posexplode("path").alias("depth", "above")).join(step, "above")
-    placed = along.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("depth", "above_n", "before"))).alias("along"))
-    spans = F.aggregate(
-        "along", F.struct(F.array().cast("array<struct<begin:bigint,end:bigint>>").alias("spans"), F.lit(0).cast("long").alias("at")),
-        lambda acc, x: F.struct(F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["before"]).alias("begin"), (acc["at"] + x["before"] + x["above_n"]).alias("end")))).alias("spans"), (acc["at"] + x["before"] + x["above_n"]).alias("at")),
-    )["spans"]
-    placed = placed.select("node", spans.alias("spans"))
-    own = F.element_at("spans", -1)
-    out = nodes.join(placed, "node").select(
-        "node", F.element_at("path", 1).alias("tree"), (F.size("path") - 1).alias("depth"), "parent", "role", "formatted", "loss_begin", "loss_end", "ids",
-        own["begin"].alias("begin"), own["end"].alias("end"),
-        F.aggregate(F.slice("spans", 1, F.size("spans") - 1), F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["begin"]).alias("position"),
-        _merged(F.slice("spans", 1, F.size("spans") - 1)).alias("attend"), F.col("spans").alias("path_spans"),
-    )
-    return stash(out), members
-
-
-def _merged(spans: Column) -> Column:
-    """Adjacent intervals as one."""
-    start = F.array().cast("array<struct<begin:bigint,end:bigint>>")
-
-    def add(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["begin"].alias("begin"), x["end"].alias("end"))))
-        return F.when((F.size(acc) > 0) & (last["end"] == x["begin"]), joined).otherwise(F.concat(acc, F.array(x)))
-
-    return F.aggregate(spans, start, add)
+    # A node begins after its ancestors and what stands before each of them, and it, among its siblings.
+    upto = Window.partitionBy("leaf").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    moved = along.join(shift, "node", "left").withColumn("before", F.coalesce("before", F.lit(0)))
+    placed = moved.withColumn("begin", F.sum(F.col("before") + F.col("n")).over(upto) - F.col("n"))
+    lines = stash(placed.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", "node", "n", "begin", "owned"))).alias("path")))
+    out = nodes.drop("owner", "n").join(lines.select("leaf", "path").mapInArrow(_attend, ATTEND), "node")
+    where = lines.select("leaf", F.col("path")[0]["node"].alias("tree"), F.col("path.begin").alias("begins"))
+    return stash(out), members.join(where, "leaf")
 
 
 DIGEST = "leaf string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -181,10 +191,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_back(nodes: DataFrame, members: DataFrame) -> DataFrame:
-    """Each conversation read from the trees: the nodes at its leaf's path of intervals; parsed and digested."""
-    leaves = nodes.select(F.col("node").alias("leaf"), F.col("tree").alias("leaf_tree"), "path_spans")
-    wanted = leaves.join(members.select("leaf").distinct(), "leaf").select("leaf", "leaf_tree", F.posexplode("path_spans").alias("depth_at", "span"))
-    wanted = wanted.select("leaf", F.col("leaf_tree").alias("tree"), "depth_at", F.col("span.begin").alias("begin"), F.col("span.end").alias("end"))
-    found = wanted.join(nodes.select("tree", "begin", "end", "formatted", "loss_begin", "loss_end"), ["tree", "begin", "end"])
-    lines = found.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("depth_at", "formatted", "loss_begin", "loss_end"))).alias("nodes"))
+    """Each conversation read from the trees: the nodes at its places in their order; parsed and digested."""
+    wanted = members.groupBy("leaf").agg(F.first(F.struct("tree", "begins")).alias("m")).select("leaf", "m.tree", F.posexplode("m.begins").alias("at", "begin"))
+    found = wanted.join(nodes.select("tree", "begin", "formatted", "loss_begin", "loss_end"), ["tree", "begin"])
+    lines = found.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", "formatted", "loss_begin", "loss_end"))).alias("nodes"))
     return members.select("conv_id", "leaf").join(lines.mapInArrow(_digest, DIGEST), "leaf").drop("leaf")
