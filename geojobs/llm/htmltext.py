@@ -235,7 +235,7 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit(row(before[3], before[2], None))
 
 
-def extract(pages: DataFrame, buckets: int | None = None, sample: int = 100) -> DataFrame:
+def extract(pages: DataFrame, buckets: int | None = None, sample: int = 25) -> DataFrame:
     """``pages(page_id, url, html)`` -> page_id, url, text, n_chars, lines_deleted; one row per row.
 
     Null and empty pages have an empty text; null urls form a host of their own; repeated rows pair with each other; null ids sort
@@ -243,7 +243,8 @@ def extract(pages: DataFrame, buckets: int | None = None, sample: int = 100) ->
     bounds set the dealing, never the result).
     """
     spark = pages.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or 8 * tasks  # several to a task even out how they fall
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     host, path = host_and_path(F.col("url"))
     rows = rows.select("page_id", "url", host.alias("host"), path.alias("path"), "html")
@@ -269,5 +270,5 @@ def extract(pages: DataFrame, buckets: int | None = None, sample: int = 100) ->
     ends = ends.agg(F.min(F.struct("host", "path", "id")).alias("low"), F.max(F.struct("host", "path", "id")).alias("high")).collect()  # one row per bucket
     edges = {r["bucket"]: (tuple(r["low"]), tuple(r["high"])) for r in ends}
     parsed = rows.mapInArrow(_parser(bounds, edges), PARSED)
-    dealt = parsed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "host", "path", F.col("page_id").asc_nulls_first())
+    dealt = parsed.repartition(tasks, "bucket").sortWithinPartitions("bucket", "host", "path", F.col("page_id").asc_nulls_first())
     return dealt.mapInArrow(_difference, TEXTS)
