@@ -213,7 +213,7 @@ def image_max_res(spark, d):
     return survey.image_max_res(fixture(spark, d, "survey_images"))
 
 
-@query("shot_camera", over("SELECT shot_id, camera_id, focal_x, coalesce(k1, 0.0) AS k1, k2, 0.0 AS c_x FROM shots JOIN cameras USING (camera_id)", "shots", "cameras"))
+@query("shot_camera", over("SELECT shot_id, camera_id, focal_x, coalesce(k1, 0.0) AS k1, k2, 0.0::DOUBLE AS c_x FROM shots JOIN cameras USING (camera_id)", "shots", "cameras"))
 def shot_camera(spark, d):
     return survey.shot_camera(fixture(spark, d, "shots"), fixture(spark, d, "cameras")).select("shot_id", "camera_id", "focal_x", "k1", "k2", "c_x")
 

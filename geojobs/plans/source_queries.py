@@ -23,7 +23,7 @@ def folder(spark) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-@query("src_geojson", over(POSITIONS + "SELECT p.gid, p.p_name, p.p_size, count(*) AS positions, round(sum(q.z), 6) AS z FROM poly_params p JOIN positions q USING (gid) GROUP BY ALL", "poly_params"))
+@query("src_geojson", over(POSITIONS + "SELECT p.gid, p.p_name, CAST(p.p_size AS BIGINT) AS p_size, count(*) AS positions, round(sum(q.z), 6) AS z FROM poly_params p JOIN positions q USING (gid) GROUP BY ALL", "poly_params"))
 def src_geojson(spark, d):
     df = polygons(spark, d)
     path = folder(spark)
@@ -41,7 +41,7 @@ def snk_geojson(spark, d):
     return lines.select(read("$.properties.gid").cast("long").alias("gid"), read("$.type").alias("kind"), read("$.properties.c_name").alias("c_name"), read("$.geometry.type").alias("type"), read("$.geometry.coordinates[0]").cast("double").alias("x"))
 
 
-@query("src_xyz", over("SELECT x, y, z, 0.0 AS nx, 1.0 AS nz FROM cloud_points", "cloud_points"))
+@query("src_xyz", over("SELECT x, y, z, 0.0::DOUBLE AS nx, 1.0::DOUBLE AS nz FROM cloud_points", "cloud_points"))
 def src_xyz(spark, d):
     path = folder(spark)
     rows = fixture(spark, d, "cloud_points").select("x", "y", "z", F.lit(0.0).alias("NormalX"), F.lit(0.0).alias("NormalY"), F.lit(1.0).alias("NormalZ"))
@@ -90,7 +90,7 @@ def src_survey_json(spark, d):
     return shots.join(cameras, ["file", "camera_id"]).groupBy("camera_id", "focal_x", "k2").agg(F.count(F.lit(1)).alias("shots"), F.round(F.sum(F.col("rotation")[0]), 9).alias("rx"))
 
 
-@query("src_las", over("SELECT count(*) AS points, round(sum(round(x, 3)), 1) AS x, sum(red) AS red, sum(intensity) AS intensity FROM cloud_points", "cloud_points"))
+@query("src_las", over("SELECT count(*) AS points, round(sum(round(x, 3)), 1) AS x, CAST(sum(red) AS BIGINT) AS red, CAST(sum(intensity) AS BIGINT) AS intensity FROM cloud_points", "cloud_points"))
 def src_las(spark, d):
     """Each task writes its points as a LAS file; they are read back by ranges of records."""
     path = folder(spark)

@@ -33,7 +33,7 @@ leafs AS (SELECT c.*, min(n.level) AS level FROM cells c JOIN nodes n ON (n.n <=
 """
 
 
-@query("expr_eval", over("SELECT gid, p_size * 1.5 AS upper, CASE WHEN p_size - 10 = 0 THEN 7.0 ELSE p_retailprice / (p_size - 10) END AS ratio, lower(p_brand) || '.glb' AS model, 'None-' || p_type AS label, 3.0 AS missing, NULL::VARCHAR AS nothing FROM poly_params", "poly_params"))
+@query("expr_eval", over("SELECT gid, p_size * 1.5::DOUBLE AS upper, CASE WHEN p_size - 10 = 0 THEN 7.0 ELSE p_retailprice / (p_size - 10) END AS ratio, lower(p_brand) || '.glb' AS model, 'None-' || p_type AS label, 3.0::DOUBLE AS missing, NULL::VARCHAR AS nothing FROM poly_params", "poly_params"))
 def expr_eval(spark, d):
     df = fixture(spark, d, "poly_params")
     make = lambda kind, value, default=None: expr.compile_expression(kind, value, df.schema, None, default)
@@ -74,7 +74,7 @@ def walls(spark, d):
     return rows.select("gid", F.size("t").alias("n"), F.round(area, 9).alias("area"))
 
 
-_SOLID = f"SELECT gid, {ROOFS} + {WALLS} + {ROOFS} AS n, round(p_size * 1.5 + 0.5, 6) AS top, 1.5 AS bottom FROM poly_params WHERE kind <> 3"
+_SOLID = f"SELECT gid, {ROOFS} + {WALLS} + {ROOFS} AS n, round(p_size * 1.5::DOUBLE + 0.5, 6) AS top, 1.5::DOUBLE AS bottom FROM poly_params WHERE kind <> 3"
 
 
 @query("extrude", over(_SOLID, "poly_params"))
@@ -132,7 +132,7 @@ POINT_CONFIG = {"translate_z": ["/", ["property", "c_acctbal"], 1000], "scale":
 
 @query(
     "point_instances",
-    over("SELECT gid, x, y, round(z + c_acctbal / 1000, 9) AS z, round(z + c_acctbal / 1000 + 1, 9) AS scale, 45.0 AS rotation, lower(c_mktsegment) || '.glb' AS model, '[{\"c_mktsegment\":\"' || c_mktsegment || '\"}]' AS tags FROM feat_point", "feat_point"),
+    over("SELECT gid, x, y, round(z + c_acctbal / 1000, 9) AS z, round(z + c_acctbal / 1000 + 1, 9) AS scale, 45.0::DOUBLE AS rotation, lower(c_mktsegment) || '.glb' AS model, '[{\"c_mktsegment\":\"' || c_mktsegment || '\"}]' AS tags FROM feat_point", "feat_point"),
 )
 def point_instances(spark, d):
     points = fixture(spark, d, "feat_point")
@@ -168,7 +168,7 @@ _CENTROIDS = "SELECT gid, lod, (min(x) + max(x)) / 2 AS x, (min(y) + max(y)) / 2
     "job_polygon_tiles",
     over(
         POSITIONS
-        + f", solids AS (SELECT c.gid, c.x, c.y, {ROOFS} + {WALLS} AS triangles, p.p_size * 1.5 AS top FROM ({_CENTROIDS}) c JOIN poly_params p USING (gid) WHERE p.kind <> 3)"
+        + f", solids AS (SELECT c.gid, c.x, c.y, {ROOFS} + {WALLS} AS triangles, p.p_size * 1.5::DOUBLE AS top FROM ({_CENTROIDS}) c JOIN poly_params p USING (gid) WHERE p.kind <> 3)"
         + budget_sql("SELECT * FROM solids", "x y", 100, 12)
         + "SELECT CAST(level AS INTEGER) AS level, c_x >> (12 - level) AS tx, c_y >> (12 - level) AS ty, count(*) AS features, CAST(sum(triangles) AS BIGINT) AS triangles, max(top) AS top FROM leafs GROUP BY ALL",
         "poly_params",
@@ -261,7 +261,7 @@ def gps_distance(spark, d):
 @query(
     "enu_transform16",
     over(
-        "SELECT gid, round(-sin(lo) * 2, 9) AS m0, round(cos(lo) * 2, 9) AS m1, round(-sin(la) * cos(lo) * 2, 9) AS m4, round(cos(la) * 2, 9) AS m6, round(sin(la) * 2, 9) AS m10, round((40680631590769.0::DOUBLE / sqrt(40680631590769.0::DOUBLE * cos(la) * cos(la) + 40408299984087.055::DOUBLE * sin(la) * sin(la)) + alt) * cos(la) * cos(lo), 3) AS m12, 1.0 AS m15 FROM " + _LLA + " q",
+        "SELECT gid, round(-sin(lo) * 2, 9) AS m0, round(cos(lo) * 2, 9) AS m1, round(-sin(la) * cos(lo) * 2, 9) AS m4, round(cos(la) * 2, 9) AS m6, round(sin(la) * 2, 9) AS m10, round((40680631590769.0::DOUBLE / sqrt(40680631590769.0::DOUBLE * cos(la) * cos(la) + 40408299984087.055::DOUBLE * sin(la) * sin(la)) + alt) * cos(la) * cos(lo), 3) AS m12, 1.0::DOUBLE AS m15 FROM " + _LLA + " q",
         "feat_point",
     ),
 )
@@ -271,7 +271,7 @@ def enu_transform16(spark, d):
     return rows.select("gid", *[F.round(F.col("m")[i], 3 if i == 12 else 9).alias(f"m{i}") for i in (0, 1, 4, 6, 10, 12)], F.col("m")[15].alias("m15"))
 
 
-@query("box_transform", over("SELECT gid, x * 2 + 10 AS b0, y * 3 + 20 AS b1, z * 4 + 30 AS b2, x / 2 * 2 AS b3, y / 2 * 3 AS b7, 2.0 AS b11 FROM feat_point", "feat_point"))
+@query("box_transform", over("SELECT gid, x * 2 + 10 AS b0, y * 3 + 20 AS b1, z * 4 + 30 AS b2, x / 2 * 2 AS b3, y / 2 * 3 AS b7, 2.0::DOUBLE AS b11 FROM feat_point", "feat_point"))
 def box_transform(spark, d):
     m = F.array(*[F.lit(float(v)) for v in (2, 0, 0, 0, 0, 3, 0, 0, 0, 0, 4, 0, 10, 20, 30, 1)])
     box = geodesy.box_from_size(F.array("x", "y", "z"), F.array(F.col("x"), F.col("y"), F.lit(1.0)))
