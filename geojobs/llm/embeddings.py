@@ -227,7 +227,7 @@ def _refit(routed: DataFrame, nodes: list[tuple[int, int]]) -> dict:
 
     projected = routed.select("vector", "leaves").mapInArrow(project, "leaf long, value double")
     cuts = projected.groupBy("leaf").agg(F.percentile_approx("value", [0.5 - SPILL / 2, 0.5, 0.5 + SPILL / 2], 1000).alias("q"), F.count(F.lit(1)).alias("n"))
-    cuts = stash(projected.join(F.broadcast(cuts), "leaf").groupBy("leaf").agg(F.first("q").alias("q"), F.first("n").alias("n"), F.sum((F.col("value") <= F.col("q")[2]).cast("long")).alias("left"), F.sum((F.col("value") >= F.col("q")[0]).cast("long")).alias("right")))
+    cuts = stash(projected.join(cuts, "leaf").groupBy("leaf").agg(F.first("q").alias("q"), F.first("n").alias("n"), F.sum((F.col("value") <= F.col("q")[2]).cast("long")).alias("left"), F.sum((F.col("value") >= F.col("q")[0]).cast("long")).alias("right")))
     return {(r["leaf"] >> 48, r["leaf"] & ((1 << 48) - 1)): (r["q"][1], r["q"][0], r["q"][2]) if max(r["left"], r["right"]) <= 0.8 * r["n"] else None for r in cuts.collect()}
 
 
