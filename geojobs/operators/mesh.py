@@ -143,7 +143,7 @@ def face_tiles(vertices: DataFrame, faces: DataFrame, depth: int, margin: float
     return placed.drop(*box).withColumnRenamed("tile_y", "y").withColumnRenamed("tile_x", "x")
 
 
-def tile_stats(placed: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
+def tile_stats(placed: DataFrame) -> DataFrame:
     """Per tile: faces, different vertices, box, centre and size; partial sums only, no tile is gathered."""
     low, high = ({c: f(*[F.col(n + c) for n in "abc"]) for c in "xyz"} for f in (F.least, F.greatest))
     box = placed.groupBy("level", "y", "x").agg(F.count(F.lit(1)).alias("faces"), *[F.min(low[c]).alias("min_" + c) for c in "xyz"], *[F.max(high[c]).alias("max_" + c) for c in "xyz"])

@@ -21,6 +21,8 @@ def extrude(df: DataFrame, lower: Column, upper: Column, translate: Column, remo
     """
     if multi:
         df = df.withColumn("geom", F.explode("geom.parts"))
+    df = df.withColumns({"_l": lower, "_u": upper, "_t": translate})  # evaluated once, used several times
+    lower, upper, translate = F.col("_l"), F.col("_u"), F.col("_t")
     rings = F.when(F.col("geom.type") == "Polygon", F.col("geom.rings"))
     df = df.withColumns({"_low": geometry.set_z(rings, lower, translate), "_high": geometry.set_z(rings, upper, translate)})
     mean = lambda r: F.aggregate(F.get(r, F.lit(0)), F.lit(0.0), lambda s, p: s + p[2], lambda s: F.try_divide(s, F.size(F.get(r, F.lit(0)))))
@@ -35,7 +37,7 @@ def extrude(df: DataFrame, lower: Column, upper: Column, translate: Column, remo
         df = df.withColumn("_bottom", triangulate(F.col("_lower"), reverse=True))
         solid.append(F.when(F.col("_flat"), none).otherwise(F.col("_bottom")))
     out = df.withColumn("triangles", F.coalesce(F.concat(*solid), none))
-    return out.drop("_low", "_high", "_flat", "_swap", "_lower", "_upper", "_roof", "_bottom")
+    return out.drop("_l", "_u", "_t", "_low", "_high", "_flat", "_swap", "_lower", "_upper", "_roof", "_bottom")
 
 
 def drop_empty(df: DataFrame) -> tuple[DataFrame, DataFrame]:

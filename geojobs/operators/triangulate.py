@@ -59,24 +59,16 @@ def triangles(rings, reverse: bool = False) -> list[list[list[float]]]:
     holes = [h if _area(h) < 0 else h[::-1] for h in map(_open, rings[1:]) if len(h) >= 3 and abs(_area(h)) > 0]
     for hole in sorted(holes, key=lambda h: -h[:, 0].max()):
         outer = _bridge(outer, hole)
-    index, out = list(range(len(outer))), []
+    points, out = outer[:, :2].tolist(), []
+    index = list(range(len(points)))
     while len(index) > 3:
         n, best = len(index), None
         for k in range(n):
             i, j, m = index[k - 1], index[k], index[(k + 1) % n]
-            a, b, c = outer[i], outer[j], outer[m]
-            turn = _cross(a, b, c)
-            if turn <= 0:
-                if turn == 0 and best is None:
-                    best = (k, False)
-                continue
-            others = outer[[x for x in index if x not in (i, j, m)]][:, :2]
-            same = (others == a[:2]).all(1) | (others == b[:2]).all(1) | (others == c[:2]).all(1)
-            x, y = others[:, 0], others[:, 1]
-            inside = ~same
-            for u, v in ((a, b), (b, c), (c, a)):
-                inside &= (v[0] - u[0]) * (y - u[1]) - (v[1] - u[1]) * (x - u[0]) >= 0
-            if not inside.any():
+            turn = _cross(points[i], points[j], points[m])
+            if turn == 0 and best is None:
+                best = (k, False)
+            if turn > 0 and not _holds_any(points, index, i, j, m):
                 best = (k, True)
                 break
         if best is None:
@@ -85,10 +77,24 @@ def triangles(rings, reverse: bool = False) -> list[list[list[float]]]:
         if solid:
             out.append((index[k - 1], index[k], index[(k + 1) % n]))
         index.pop(k)
-    if _cross(*[outer[i] for i in index]) > 0:
+    if _cross(*[points[i] for i in index]) > 0:
         out.append(tuple(index))
     order = (0, 2, 1, 0) if reverse else (0, 1, 2, 0)
-    return [[outer[t[i]].tolist() for i in order] for t in out]
+    full = outer.tolist()
+    return [[full[t[i]] for i in order] for t in out]
+
+
+def _holds_any(points: list[list[float]], index: list[int], i: int, j: int, m: int) -> bool:
+    """Whether another corner lies in a triangle, its sides included; places of the triangle's own corners don't count."""
+    (ax, ay), (bx, by), (cx, cy) = a, b, c = points[i], points[j], points[m]
+    for k in index:
+        if k == i or k == j or k == m:
+            continue
+        p = points[k]
+        x, y = p
+        if (bx - ax) * (y - ay) - (by - ay) * (x - ax) >= 0 and (cx - bx) * (y - by) - (cy - by) * (x - bx) >= 0 and (ax - cx) * (y - cy) - (ay - cy) * (x - cx) >= 0 and p != a and p != b and p != c:
+            return True
+    return False
 
 
 def triangulate(rings: Column, reverse: bool = False) -> Column:

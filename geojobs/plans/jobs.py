@@ -31,12 +31,18 @@ def truth(value) -> bool:
     return value is True or str(value).lower() == "true"
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` on all cores where its source has fewer splits than there are: geometry costs more than its bytes tell."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def polygon_tiles(features: DataFrame, config: dict, max_level: int = 20) -> dict[str, DataFrame]:
     """Footprints ``(gid, properties.., geom)`` -> features with triangles and tiles, rejected ones, attributes, tile counts."""
     conf = settings("Polygon", config)
     schema = T.StructType([f for f in features.schema.fields if f.name not in ("gid", "geom")])
     value = lambda key, default=None: expr.to_number(expr.compile_expression("number", conf[key], schema, F.col("geom"), default))
-    levels = surfaces.lod_explode(features, truth(conf["add_lod"]), number(conf, "lod_max_simplify_tolerance", "Polygon"))
+    levels = surfaces.lod_explode(spread(features, "gid"), truth(conf["add_lod"]), number(conf, "lod_max_simplify_tolerance", "Polygon"))
     solids = surfaces.extrude(levels, value("lower_limit_height"), value("upper_limit_height"), value("translate_z", 0), truth(conf["remove_bottom_surface"]))
     kept, rejected = surfaces.drop_empty(settle(solids))  # triangulated once, read by the budget, its extent and the result
     axis = lambda i: F.transform(F.flatten("geom.rings"), lambda p: p[i])
@@ -92,9 +98,8 @@ def mesh_tiles(vertices: DataFrame, faces: DataFrame, config: dict, margin: floa
     depth = int(number(conf, "depth", "Mesh"))
     info = mesh.mesh_info(vertices).first()
     size = [info["size_x"], info["size_y"], info["size_z"]]
-    cut_v, cut_f = vertices, faces
-    placed = mesh.face_tiles(cut_v, cut_f, depth, margin)
-    stats = mesh.tile_stats(placed, cut_v)
+    placed = settle(mesh.face_tiles(vertices, faces, depth, margin))
+    stats = settle(mesh.tile_stats(placed))  # a row for each tile, read once per level
     top = number(conf, "max_geometric_error", "Mesh")
     flat = tiling.tileset_flat(stats, size, depth, top)
     return {"faces": placed, "tiles": stats, "flat": flat, "tileset": tiling.tileset_json(flat, depth, top)}
