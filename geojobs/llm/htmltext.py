@@ -1,9 +1,10 @@
-"""Main text of web pages: nearest-URL page differencing beside what the markup itself says.
+"""Main text of web pages: what the markup itself says, and nearest-URL page differencing wherever it is silent.
 
-Pages of a host are ordered by URL path; each is paired with the page before it (a host's first with the one after). The lines of the
-two are aligned by longest common subsequence and shared lines are deleted: menus, notices and footers that a site repeats. Lines
-inside an article or main element are the exception: what two articles share is text, not template. Elements whose name, role or
-class say that they are no text are dropped before.
+Elements whose name, role or class say that they are no text (menus, headers, footers, forms, adverts, notices, comments) are dropped.
+Lines inside an article or main element are text: what two articles share is no template. Every other line is kept unless a neighbour
+has it as well: pages of a host are ordered by URL path, each is paired with the page before it (a host's first with the one after),
+the lines of the two are aligned by longest common subsequence, and those that both have are deleted. A page whose lines are all its
+partner's is a copy, which says nothing about the site's template; it keeps them.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import html as entities
 import re
 import struct
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,83 +25,166 @@ from pyspark.sql import functions as F
 
 from geojobs.llm.urlfilter import host_and_path
 
+#: Comments, elements whose content is no markup, tags (quotes count only after an equals sign), other declarations.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(?P<raw>script|style|textarea|title|noscript|template|iframe|svg|math|object|canvas|select|audio|video)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?:.*?</(?P=raw)\s*+>|.*\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[/!?][^>]*+>",
+    r"<!--(?:-?>|.*?(?:--!?>|(?P<comment>\Z)))"
+    r"|<(?P<raw>script|style|textarea|title|iframe)(?=[\s/>])(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|))*+>(?:.*?</(?P=raw)(?=[\s/>])[^>]*+>|.*(?P<rest>\Z))"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|))*+)>|<[/!?][^>]*+>",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend "
     "li main menu nav ol option p pre search section summary table tbody tfoot thead tr ul caption".split()
 )
-CHROME = frozenset("nav footer aside form button menu dialog head fieldset search".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CHROME = frozenset("nav footer aside form button menu dialog fieldset search noscript template svg object canvas select audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words in classes and ids of elements that are no text.
+#: Words for elements that are no text, as a class or id, alone or together with words that say nothing (AROUND).
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
     "signup nav navbar navigation menu breadcrumb breadcrumbs sidebar widget footer header masthead topbar toolbar share sharing social related recommended comment comments "
     "discussion disqus replies pagination pager skip login search".split()
 )
+AROUND = frozenset("area bar block bottom box button buttons container global group icon icons inner item items left link links list main outer page panel primary right row secondary section site slot top unit wrap wrapper".split())
+#: A header inside a text is part of it, and so is a heading that is called one.
+HEADER = frozenset("header masthead banner".split())
+#: With these words after any other (post-comments), unless the first tells a state (has-comments).
+REPLIES, STATES = frozenset("comments discussion disqus replies".split()), frozenset("has have is no not open show with without".split())
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SPACE = re.compile(r"\s+")
 
+#: Fixed values of HTML: elements that an end tag doesn't reach beyond, what a start tag closes (its names, within its bounds), and the
+#: parts of a table to which one goes back.
+SCOPE = frozenset("table td th caption template object".split())
+CELLS = frozenset("table caption thead tbody tfoot tr td th".split())
+LISTS = SCOPE | {"ul", "ol", "menu", "dir"}
+CLOSES = {t: (frozenset({"p"}), SCOPE | {"button"}) for t in "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form header hgroup hr main menu nav ol p pre search section summary table ul".split()}
+CLOSES |= {t: (frozenset({"p"}), SCOPE | {"button"}) for t in HEADINGS}
+CLOSES |= {"li": (frozenset({"li"}), LISTS), "option": (frozenset({"option"}), SCOPE | {"select", "datalist"})} | {t: (frozenset({"dt", "dd"}), SCOPE | {"dl"}) for t in ("dt", "dd")}
+_ROWS = frozenset("table thead tbody tfoot".split())
+BACK_TO = {"td": _ROWS | {"tr"}, "th": _ROWS | {"tr"}, "tr": _ROWS} | {t: frozenset({"table"}) for t in ("thead", "tbody", "tfoot", "caption")}
+
+
+def _named(tag: str, value: str, inside_main: bool) -> bool:
+    """Whether a class or id says that an element is no text: a whole name does, a name that only mentions one (article-header) doesn't."""
+    names = NAMES - HEADER if inside_main or tag in HEADINGS else NAMES
+    for token in value.split():
+        words = [w.lower() for w in WORD.findall(token)]
+        if any(w in names for w in words) and all(w in names or w in AROUND for w in words):
+            return True
+        if len(words) > 1 and words[-1] in REPLIES and words[0] not in STATES:
+            return True
+    return False
+
 
 def _is_chrome(tag: str, attrs: str, inside_main: bool) -> bool:
     if tag in CHROME or tag == "header" and not inside_main:
         return True
-    if not attrs or tag in ("html", "body", "article", "main"):
+    if not attrs or tag == "main":
         return False
     for name, *values in ATTRIBUTE.findall(attrs):
-        name, value = name.lower(), next((v for v in values if v), "").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
+        name, value = name.lower(), next((v for v in values if v), "")
+        if name == "hidden" or name == "style" and "display:none" in value.lower().replace(" ", ""):
             return True
-        if name == "role" and value in ROLES or name in ("class", "id") and not NAMES.isdisjoint(re.split(r"[^a-z]+", value)):
+        if name == "role" and value.lower() in ROLES or name in ("class", "id") and _named(tag, value, inside_main):
             return True
     return False
 
 
+def _is_main(tag: str, attrs: str) -> bool:
+    if tag in ("article", "main"):
+        return True
+    return bool(attrs) and any(n.lower() == "role" and "main" in v or n.lower() == "itemprop" and "articleBody" in v for n, *v in ATTRIBUTE.findall(attrs))
+
+
 def blocks(page: str | None) -> list[tuple[bool, str]]:
-    """The text blocks of a page in order, without chrome: (inside an article or main element, text)."""
+    """The text blocks of a page in order, without chrome: (inside an article or main element, text).
+
+    Elements that authors may leave unclosed (paragraphs, list items, cells) end where HTML lets them end, and a chrome element ends at
+    the latest with its parent. A form around an article hides nothing from there on.
+    """
     out: list[tuple[bool, str]] = []
     parts: list[str] = []
-    page, at, skip, depth, mains = page or "", 0, "", 0, []
+    stack: list[tuple[str, bool]] = []  # open elements: name, article or main
+    opened: Counter = Counter()
+    page, at, mains = page or "", 0, 0
+    skip: int | None = None  # place in the stack of the chrome element that hides the text
 
     def close() -> None:
         if parts:
-            text = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
+            text = SPACE.sub(" ", "".join(parts)).strip()
             parts.clear()
             if text:
-                out.append((bool(mains), text))
-
-    for m in TOKEN.finditer(page):
-        if not depth and m.start() > at:
-            parts.append(page[at : m.start()])
+                out.append((mains > 0, text))
+
+    def take(text: str) -> None:
+        parts.append(entities.unescape(text) if "&" in text else text)
+
+    def innermost(names: frozenset, bounds: frozenset) -> int | None:
+        if any(opened[n] for n in names):
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] in names:
+                    return i
+                if stack[i][0] in bounds:
+                    break
+        return None
+
+    def end_from(place: int) -> None:
+        nonlocal skip, mains
+        if any(main for _, main in stack[place:]) and skip is None:
+            close()
+        while len(stack) > place:
+            name, main = stack.pop()
+            opened[name] -= 1
+            mains -= main
+        if skip is not None and len(stack) <= skip:
+            skip = None
+
+    last = page.rfind(">") + 1  # no tag ends after it
+    for m in TOKEN.finditer(page, 0, last):
+        if skip is None and m.start() > at:
+            take(page[at : m.start()])
         at, tag = m.end(), m["tag"]
         if tag is None:
+            if m["comment"] is not None or m["rest"] is not None:
+                at = len(page)
             continue
         tag = tag.lower()
-        if depth:
-            if tag == skip and tag not in VOID and not m["attrs"].endswith("/"):
-                depth += -1 if m["end"] else 1
-            continue
-        if tag in BLOCKS:
-            close()
-        elif tag in ("br", "td", "th"):
-            parts.append(" ")
+        if skip is None:
+            if tag in BLOCKS:
+                close()
+            elif tag in ("br", "td", "th"):
+                parts.append(" ")
         if m["end"]:
-            if mains and tag == mains[-1]:
-                mains.pop()
+            names = HEADINGS if tag in HEADINGS else frozenset({tag})
+            bounds = frozenset({"table"}) if tag in CELLS else CLOSES[tag][1] if tag in ("p", "li", "dt", "dd") else SCOPE if tag in BLOCKS or tag in CHROME else BLOCKS | SCOPE
+            place = innermost(names, bounds)
+            if place is not None:
+                end_from(place)
             continue
-        if _is_chrome(tag, m["attrs"], bool(mains)) and tag not in VOID:
-            close()
-            skip, depth = tag, 1
-        elif tag in ("article", "main") or "role=\"main\"" in m["attrs"] or "articlebody" in m["attrs"].lower():
-            close()
-            mains.append(tag)
-    if not depth and at < len(page):
-        parts.append(page[at:])
+        if tag in CLOSES and (place := innermost(*CLOSES[tag])) is not None:
+            end_from(place)
+        if tag in BACK_TO and (place := innermost(BACK_TO[tag], frozenset())) is not None:
+            end_from(place + 1)
+        if tag in VOID or tag in ("html", "head", "body"):
+            continue
+        attrs = m["attrs"]
+        main = _is_main(tag, attrs)
+        if skip is not None and main and stack[skip][0] == "form":
+            skip = None
+        if skip is None and _is_chrome(tag, attrs, mains > 0):
+            if attrs.endswith("/"):
+                continue
+            skip = len(stack)
+        elif tag in ("svg", "math") and attrs.endswith("/"):
+            continue
+        stack.append((tag, main))
+        opened[tag] += 1
+        mains += main
+    if skip is None and at < len(page):
+        take(page[at:])
     close()
     return out
 
@@ -146,10 +231,13 @@ def _hashes(lines: list[tuple[bool, str]]) -> list[int]:
 def main_text(lines: list[tuple[bool, str]], other: list[int] | None) -> tuple[str, int]:
     """Text of a page and how many lines differencing took from it; ``other`` are its partner's line hashes, None without a partner."""
     own = _hashes(lines)
-    shared = common_lines(own, other) if other else set()
-    if any(inside for inside, _ in lines):
-        return "\n".join(t for inside, t in lines if inside), len(shared)
-    return "\n".join(t for i, (_, t) in enumerate(lines) if i not in shared), len(shared)
+    shared = common_lines(own, other) if other and own != other else set()
+    kept, outside = [], 0
+    for inside, text in lines:
+        if inside or outside not in shared:
+            kept.append(text)
+        outside += not inside
+    return "\n".join(kept), len(shared)
 
 
 def _pack(lines: list[tuple[bool, str]]) -> bytes:

@@ -110,3 +110,75 @@ def test_common_lines_are_longest():
         assert len(found) == table[-1][-1]
         it = iter(b)
         assert all(a[i] in it for i in found)
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<article><p class="notice">Cookies<p>Body text one<p>Body two</article>', ["Body text one", "Body two"]),
+        ('<article><ul><li class="promo">Buy<li>Real item</ul><p>Rest</article>', ["Real item", "Rest"]),
+        ("<table><tr><td class=ad>buy<td>cell<tr><td>two</table>after", ["cell", "two", "after"]),
+        ("<dl><dt class=ad>a<dd>b</dl>c", ["b", "c"]),
+        ('<p class="ad">buy<div>text</div>', ["text"]),
+        ('<div><span class="ad">buy <span>now</span> more</span> text</div>', ["text"]),
+        ("<div><aside>side</div>text", ["text"]),
+        ('<div class="article-header"><h1>Title</h1></div>', ["Title"]),
+        ('<div class="layout has-sidebar"><p>one</div><body class="has-comments">two', ["one", "two"]),
+        ('<div class="siteHeader">x</div><div class="ad-box">x</div><div id="post-comments">x</div><div class="menu__item">x</div>text', ["text"]),
+        ('<article class="comment">x</article><p>text', ["text"]),
+        ("<article><header><h1>T</h1></header><h2 class=header>U</h2>v<footer>x</footer></article>", ["T", "U", "v"]),
+        ("<article>A</article><p>Outside article text</p>", ["A", "Outside article text"]),
+        ("<p>let <math><mi>x</mi></math> be", ["let x be"]),
+        ('<svg class=a/><p>a <svg viewBox="0"><title>x</title><text>x</text></svg>b</p>', ["a b"]),
+        ("<head><title>x</title><p>body", ["body"]),
+        ("<form>x<article><p>in a form</article></form><form>x<input></form>after", ["in a form", "after"]),
+        ("<p title=it's>one</p><p>it's", ["one", "it's"]),
+        ("<!--><p>one</p><!-- x --!><p>two</p><!-- <p>x</p>", ["one", "two"]),
+        ('<div data-hidden="x" data-class="ad" title="class=ad hidden">a < b <4 <', ["a < b <4 <"]),
+        ("one<script>x</script", ["one"]),
+        ("a &amp;lt; &#x41;&nbsp;\n b", ["a &lt; A b"]),
+    ],
+)
+def test_blocks_drop_chrome_alone(page, want):
+    assert [t for _, t in htmltext.blocks(page)] == want
+
+
+def _longest(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
+    return table[-1][-1]
+
+
+@pytest.mark.parametrize("article", [False, True])
+def test_differencing_against_plain_alignment(spark, article):
+    """On pages without an article, and beside one: neighbours in the order of urls, aligned by the plain table."""
+    rng = random.Random(5)
+    rows, lines = [], {}
+    for i in range(90):
+        beside = [f"own {i}"] * rng.randint(0, 2) + [f"line {rng.randint(0, 8)}" for _ in range(rng.randint(0, 7))]
+        rng.shuffle(beside)
+        lines[i] = beside
+        inside = [f"line {rng.randint(0, 8)}" for _ in range(3)] if article else []
+        at = rng.randint(0, len(beside))
+        parts = [f"<p>{x}</p>" for x in beside]
+        parts[at:at] = [f"<article>{''.join(f'<p>{x}</p>' for x in inside)}</article>"] if article else []
+        rows.append((i, f"http://{rng.choice('abc')}.com/{rng.randint(0, 30)}", "".join(parts)))
+        lines[i] = (beside, at, inside)
+    out = {r.page_id: r for r in htmltext.extract(pages(spark, rows), buckets=5, sample=3).collect()}
+    order = sorted(rows, key=lambda r: (r[1].split("/")[2], "/" + r[1].rsplit("/", 1)[1], r[0]))
+    deleted = 0
+    for k, (i, url, _) in enumerate(order):
+        host = url.split("/")[2]
+        same = [j for j in (k - 1, k + 1) if 0 <= j < len(order) and order[j][1].split("/")[2] == host]
+        beside, at, inside = lines[i]
+        other = lines[order[same[0]][0]][0] if same else []
+        n = _longest(beside, other) if beside != other else 0
+        got = out[i].text.split("\n") if out[i].text else []
+        assert out[i].lines_deleted == n and len(got) == len(beside) - n + len(inside)
+        it = iter(beside[:at] + inside + beside[at:])
+        assert all(x in it for x in got)
+        assert all(x in got for x in inside) and all(x in got for x in beside if x not in other)
+        deleted += n
+    assert deleted > 50
