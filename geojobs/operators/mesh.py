@@ -90,7 +90,10 @@ def taubin(vertices: DataFrame, faces: DataFrame, iterations: int = 10, lam: flo
 
 
 def weld(vertices: DataFrame, faces: DataFrame, t: float = 0.0001, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Vertices of one cell of side ``t`` become that of the smallest vid; faces that collapse are dropped."""
+    """Vertices of one cell of side ``t`` become that of the smallest vid; faces that collapse are dropped.
+
+    Cells decide, not distances: two vertices on both sides of a cell's border stay apart however near they are.
+    """
     cell = [F.floor(F.col(c) / t).alias("_" + c) for c in "xyz"]
     keyed = vertices.select(*vertices.columns, *cell)
     first = keyed.groupBy(*by, "_x", "_y", "_z").agg(F.min("vid").alias("_to"))
@@ -117,9 +120,13 @@ def _candidates(low: Column, high: Column, start: float, unit: Column, count: Co
 
 
 def _in_tiles(rows: DataFrame, depth: int, grid: tuple[float, float, float, float], margin: float, box: tuple[str, str, str, str]) -> DataFrame:
-    """Rows with every (level, y, x) whose tile, widened by the margin, holds their box (min x, max x, min y, max y)."""
+    """Rows with every (level, y, x) whose tile, widened by the margin, holds their box (min x, max x, min y, max y).
+
+    Rows that have a level are dealt within it, others at each level up to ``depth``.
+    """
     left, top, width, height = grid
-    levels = rows.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth)))).withColumn("_n", F.call_function("shiftleft", F.lit(1), F.col("level")))
+    levels = rows if "level" in rows.columns else rows.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth))))
+    levels = levels.withColumn("_n", F.call_function("shiftleft", F.lit(1), F.col("level")))
     levels = levels.withColumns({"_w": F.lit(width) / F.col("_n"), "_h": F.lit(height) / F.col("_n")})
     x0, x1, y0, y1 = (F.col(c) for c in box)
     dealt = levels.withColumn("x_", F.explode(_candidates(x0, x1, left, F.col("_w"), F.col("_n"), margin, False))).withColumn("y_", F.explode(_candidates(y0, y1, top, F.col("_h"), F.col("_n"), margin, True)))
@@ -138,16 +145,22 @@ def tile_points_range(vertices: DataFrame, depth: int, margin: float = 4.0) -> D
 def face_tiles(vertices: DataFrame, faces: DataFrame, depth: int, margin: float = 4.0) -> DataFrame:
     """(fid, a, b, c, corners, level, y, x): the tiles that hold all three corners of a face."""
     w = wide_faces(vertices, faces)
+    return _deal(w, depth, _grid(vertices), margin)
+
+
+def _deal(wide: DataFrame, depth: int, grid: tuple[float, float, float, float], margin: float) -> DataFrame:
+    """Faces with their corners -> the tiles (level, y, x) that hold all three of them."""
     box = {f"_{n}{c}": f(*[F.col(k + c) for k in "abc"]) for c in "xy" for n, f in (("min", F.least), ("max", F.greatest))}
-    placed = _in_tiles(w.withColumns(box), depth, _grid(vertices), margin, ("_minx", "_maxx", "_miny", "_maxy"))
+    placed = _in_tiles(wide.withColumns(box), depth, grid, margin, ("_minx", "_maxx", "_miny", "_maxy"))
     return placed.drop(*box).withColumnRenamed("tile_y", "y").withColumnRenamed("tile_x", "x")
 
 
 def tile_stats(placed: DataFrame) -> DataFrame:
-    """Per tile: faces, different vertices, box, centre and size; partial sums only, no tile is gathered."""
+    """Per tile: faces, different vertices (by id, or by place where faces have none), box, centre and size; no tile is gathered."""
     low, high = ({c: f(*[F.col(n + c) for n in "abc"]) for c in "xyz"} for f in (F.least, F.greatest))
     box = placed.groupBy("level", "y", "x").agg(F.count(F.lit(1)).alias("faces"), *[F.min(low[c]).alias("min_" + c) for c in "xyz"], *[F.max(high[c]).alias("max_" + c) for c in "xyz"])
-    used = placed.select("level", "y", "x", F.explode(F.array("a", "b", "c")).alias("vid")).distinct().groupBy("level", "y", "x").agg(F.count(F.lit(1)).alias("vertices"))
+    spots = [F.col(n) if "a" in placed.columns else F.struct(*[F.col(n + c).alias(c) for c in "xyz"]) for n in "abc"]
+    used = placed.select("level", "y", "x", F.explode(F.array(*spots)).alias("vid")).distinct().groupBy("level", "y", "x").agg(F.count(F.lit(1)).alias("vertices"))
     out = box.join(used, ["level", "y", "x"])
     return out.withColumns({"center": F.array(*[(F.col("min_" + c) + F.col("max_" + c)) / 2 for c in "xyz"]), "size": F.array(*[F.col("max_" + c) - F.col("min_" + c) for c in "xyz"])})
 
@@ -187,44 +200,99 @@ def _clip(poly: list[np.ndarray], axis: int, at: float, keep_low: bool) -> list[
     return out
 
 
-def _split(left: float, top: float, w: float, h: float, n: int):
+SPLIT = "fid long, part int, x int, y int, " + ", ".join(f"{k}{c} double" for k in "abc" for c in "xyz")
+_CORNERS = [k + c for k in "abc" for c in "xyz"]
+
+
+def _cut(fids: np.ndarray, xyz: np.ndarray, left: float, top: float, w: float, h: float, n: int) -> pd.DataFrame:
+    """Triangles (k, 3, 3) cut along the lines of a grid. Those within one tile go on as they are, only the rest is clipped."""
+    tile = lambda v: np.clip(v, 0, n - 1).astype(np.int32)
+    across, down = (xyz[:, :, 0] - left) / w, (top - xyz[:, :, 1]) / h
+    i0, j0 = tile(np.floor(across.min(axis=1))), tile(np.floor(down.min(axis=1)))
+    i1, j1 = np.maximum(i0, tile(np.ceil(across.max(axis=1)) - 1)), np.maximum(j0, tile(np.ceil(down.max(axis=1)) - 1))
+    flat = np.linalg.norm(np.cross(xyz[:, 1] - xyz[:, 0], xyz[:, 2] - xyz[:, 0]), axis=1) == 0
+    whole = (i0 == i1) & (j0 == j1)
+    ids, parts, spots, pieces = [], [], [], []
+    for f in np.flatnonzero(~whole & ~flat).tolist():
+        part = 0
+        for i in range(i0[f], i1[f] + 1):
+            strip = list(xyz[f])
+            if i > 0:
+                strip = _clip(strip, 0, left + i * w, False)
+            if i < n - 1:
+                strip = _clip(strip, 0, left + (i + 1) * w, True)
+            for j in range(j0[f], j1[f] + 1):
+                poly = strip
+                if j > 0 and poly:
+                    poly = _clip(poly, 1, top - j * h, True)
+                if j < n - 1 and poly:
+                    poly = _clip(poly, 1, top - (j + 1) * h, False)
+                for k in range(1, len(poly) - 1):
+                    piece = np.stack((poly[0], poly[k], poly[k + 1]))
+                    if np.linalg.norm(np.cross(piece[1] - piece[0], piece[2] - piece[0])) > 0:
+                        ids.append(fids[f])
+                        parts.append(part)
+                        spots.append((i, j))
+                        pieces.append(piece)
+                        part += 1
+    uncut = whole & ~flat
+    corners = np.concatenate([xyz[uncut], np.array(pieces).reshape(-1, 3, 3)]).reshape(-1, 9)
+    out = pd.DataFrame(corners, columns=_CORNERS)
+    spots = np.array(spots, np.int32).reshape(-1, 2)
+    out.insert(0, "fid", np.concatenate([fids[uncut], np.array(ids, np.int64)]))
+    out.insert(1, "part", np.concatenate([np.zeros(int(uncut.sum()), np.int32), np.array(parts, np.int32)]))
+    out.insert(2, "x", np.concatenate([i0[uncut], spots[:, 0]]))
+    out.insert(3, "y", np.concatenate([j0[uncut], spots[:, 1]]))
+    return out
+
+
+def split_grid(vertices: DataFrame, faces: DataFrame, left: float, top: float, w: float, h: float, n: int) -> DataFrame:
+    """Triangles cut along x = left + i w and y = top - j h (i, j from 1 to n - 1), each piece with its tile (x, y); areas add up."""
+
+    def run(batches):
+        for pdf in batches:
+            yield _cut(pdf["fid"].to_numpy(np.int64), pdf[_CORNERS].to_numpy(float).reshape(-1, 3, 3), left, top, w or 1.0, h or 1.0, n)
+
+    return wide_faces(vertices, faces).drop("a", "b", "c").mapInPandas(run, SPLIT)
+
+
+def cut_tiles(vertices: DataFrame, faces: DataFrame, depth: int, margin: float = 4.0) -> DataFrame:
+    """Faces cut along the tile lines of each level, with every tile that holds a piece, margins included.
+
+    -> level, y, x, fid, part, home (the tile in which the piece lies), ax .. cz. A face reaches no tile as a whole: however large it is,
+    the pieces at home add up to the mesh at every level. Faces without area or with an unknown vertex are left out.
+    """
+    left, top, width, height = grid = _grid(vertices)
+
     def run(batches):
         for pdf in batches:
-            rows = []
-            xyz = pdf[[k + c for k in "abc" for c in "xyz"]].to_numpy(float).reshape(-1, 3, 3)
-            for fid, tri in zip(pdf["fid"].tolist(), xyz):
-                i0, i1 = (int(np.clip(np.floor((v - left) / w), 0, n - 1)) for v in (tri[:, 0].min(), tri[:, 0].max()))
-                j0, j1 = (int(np.clip(np.floor((top - v) / h), 0, n - 1)) for v in (tri[:, 1].max(), tri[:, 1].min()))
-                part = 0
-                for i in range(i0, i1 + 1):
-                    strip = list(tri)
-                    if i > 0:
-                        strip = _clip(strip, 0, left + i * w, False)
-                    if i < n - 1:
-                        strip = _clip(strip, 0, left + (i + 1) * w, True)
-                    for j in range(j0, j1 + 1):
-                        poly = strip
-                        if j > 0 and poly:
-                            poly = _clip(poly, 1, top - j * h, True)
-                        if j < n - 1 and poly:
-                            poly = _clip(poly, 1, top - (j + 1) * h, False)
-                        for k in range(1, len(poly) - 1):
-                            piece = np.stack((poly[0], poly[k], poly[k + 1]))
-                            if np.linalg.norm(np.cross(piece[1] - piece[0], piece[2] - piece[0])) > 0:
-                                rows.append((fid, part, i, j, *piece.ravel().tolist()))
-                                part += 1
-            yield pd.DataFrame(rows, columns=["fid", "part", "x", "y", *[k + c for k in "abc" for c in "xyz"]])
-
-    return run
+            fids, xyz = pdf["fid"].to_numpy(np.int64), pdf[_CORNERS].to_numpy(float).reshape(-1, 3, 3)
+            for level in range(depth + 1):
+                n = 1 << level
+                made = _cut(fids, xyz, left, top, width / n or 1.0, height / n or 1.0, n)
+                made.insert(0, "level", np.int32(level))
+                yield made
 
+    pieces = wide_faces(vertices, faces).drop("a", "b", "c").mapInPandas(run, "level int, " + SPLIT)
+    placed = _deal(pieces.withColumnsRenamed({"x": "_hx", "y": "_hy"}), depth, grid, margin)
+    return placed.select("level", "y", "x", "fid", "part", ((F.col("x") == F.col("_hx")) & (F.col("y") == F.col("_hy"))).alias("home"), *_CORNERS)
 
-SPLIT = "fid long, part int, x int, y int, " + ", ".join(f"{k}{c} double" for k in "abc" for c in "xyz")
 
+def coarsen(pieces: DataFrame, depth: int, target: int = 10_000, size: float = 5.0, last: bool = False) -> DataFrame:
+    """Tiles with over ``target`` pieces coarsened by clusters of side size / 2^level; the deepest level only if ``last``.
 
-def split_grid(vertices: DataFrame, faces: DataFrame, left: float, top: float, w: float, h: float, n: int) -> DataFrame:
-    """Triangles cut along x = left + i w and y = top - j h (i, j from 1 to n - 1), each piece with its tile (x, y); areas add up."""
-    rows = wide_faces(vertices, faces).drop("a", "b", "c")
-    return rows.mapInPandas(_split(left, top, w, h, n), SPLIT)
+    A cluster becomes its corner that comes first by x, y, z within the tile; pieces that collapse are dropped.
+    """
+    tile = ["level", "y", "x"]
+    heavy = pieces.groupBy(*tile).agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") > target) & (F.lit(last) | (F.col("level") < depth))).select(*tile)
+    light = pieces.join(heavy, tile, "left_anti")
+    t = F.lit(size) / F.pow(F.lit(2.0), "level")
+    spot = lambda k, n: F.struct(F.lit(k).alias("k"), F.struct(*[F.col(n + c).alias(c) for c in "xyz"]).alias("p"), *[F.floor(F.col(n + c) / t).alias("c" + c) for c in "xyz"])
+    corners = settle(pieces.join(heavy, tile, "left_semi").select(*tile, "fid", "part", "home", F.explode(F.array(*[spot(k, n) for k, n in enumerate("abc")])).alias("s")).select(*tile, "fid", "part", "home", "s.*"))
+    cell = [*tile, "cx", "cy", "cz"]
+    moved = corners.join(corners.groupBy(*cell).agg(F.min("p").alias("to")), cell)
+    whole = moved.groupBy(*tile, "fid", "part", "home").agg(*[F.max(F.when(F.col("k") == k, F.col("to"))).alias(n) for k, n in enumerate("abc")]).where("a != b and b != c and a != c")
+    return light.unionByName(whole.select(*tile, "fid", "part", "home", *[F.col(f"{n}.{c}").alias(n + c) for n in "abc" for c in "xyz"]))
 
 
 def crop(vertices: DataFrame, faces: DataFrame, box: list[float] | None) -> DataFrame:

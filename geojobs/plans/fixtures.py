@@ -6,6 +6,11 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Columns and rows of the mesh's grid of vertices, as square as the orders allow; both are one more than a multiple of eight, so that
+#: tile lines of three levels run along its sides. Orders beyond the last full row stand over the first rows and belong to no face.
+GRID = """(select w, 8 * cast(floor((floor(cast(n as double) / w) - 1) / 8) as bigint) + 1 as r
+  from (select n, 8 * cast(floor(sqrt(cast(n as double)) / 8) as bigint) + 1 as w from (select count(*) as n from orders) g0) g1) g"""
+
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 FIXTURES: dict[str, str] = {
@@ -37,16 +42,16 @@ select c_custkey as gid, c_name, c_mktsegment, c_acctbal,
   case when c_custkey % 10 = 0 then 0.0 else cast(c_custkey % 90 as double) / 10 end as z
 from customer
 """,
-    "mesh_vertices": r"""
-select o_orderkey as vid, cast(o_orderkey % 100 * 3 as double) / 2 as x,
-  cast(cast(floor(o_orderkey / 100) as bigint) * 3 as double) / 2 as y,
+    "mesh_vertices": rf"""
+select o_orderkey as vid, cast(o_orderkey % w * 3 as double) / 2 as x,
+  cast(cast(floor(o_orderkey / w) as bigint) % r * 3 as double) / 2 as y,
   cast(o_orderkey * 29 % 83 as double) / 20 as z
-from orders where o_orderkey < 10000
+from orders cross join {GRID}
 """,
-    "mesh_faces": r"""
-select v * 2 + t as fid, v as a, case when t = 0 then v + 1 else v + 101 end as b, case when t = 0 then v + 101 else v + 100 end as c
-from (select o_orderkey as v from orders where o_orderkey < 9900 and o_orderkey % 100 < 99
-  and o_orderkey + 101 in (select o_orderkey from orders)) q
+    "mesh_faces": rf"""
+select v * 2 + t as fid, v as a, case when t = 0 then v + 1 else v + w + 1 end as b, case when t = 0 then v + w + 1 else v + w end as c
+from (select o_orderkey as v, w from orders cross join {GRID} where o_orderkey % w < w - 1 and o_orderkey + w + 1 < w * r
+  and o_orderkey + w + 1 in (select o_orderkey from orders)) q
 cross join (select 0 as t union all select 1 as t) s
 """,
     "obj_lines": r"""
@@ -57,16 +62,16 @@ select o_orderkey as line_no,
        when o_orderkey % 40 = 3 then 'vn 0 0 1'
        else concat('v ', cast(o_orderkey % 211 as varchar(20)), '.', cast(o_orderkey % 9 + 1 as varchar(20)), ' -',
                    cast(o_orderkey % 173 as varchar(20)), '.25 ', cast(o_orderkey % 31 as varchar(20))) end as value
-from orders where o_orderkey < 5000
+from orders
 """,
     "raster": r"""
 select cast(floor(o_orderkey / 100) as bigint) as r_row, o_orderkey % 100 as r_col,
   o_orderkey * 3 % 256 as r, o_orderkey * 5 % 256 as g, o_orderkey * 9 % 256 as b
-from orders where o_orderkey < 10000
+from orders
 """,
     "geoid": r"""
 select cast(floor(o_orderkey / 51) as bigint) as gi, o_orderkey % 51 as gj, cast(4500 + o_orderkey * 7 % 100 as double) / 100 as n
-from orders where o_orderkey < 2601
+from orders
 """,
     "assets": r"""
 select p_partkey as id, p_partkey % 10 as owner_id,

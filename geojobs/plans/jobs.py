@@ -93,12 +93,14 @@ def denoise(points: DataFrame, radius: float = 0.1, k: int = 32, multiplier: flo
 
 
 def mesh_tiles(vertices: DataFrame, faces: DataFrame, config: dict, margin: float = 4.0) -> dict[str, DataFrame]:
-    """A mesh -> its tiles at every level with boxes, the flat tileset and its document."""
+    """A mesh -> its faces by tile, cut along the tile lines of every level and coarsened above ``tile_faces_target`` (the deepest level
+    only with ``decimate_last_depth_level``), the tiles with boxes, the flat tileset and its document."""
     conf = settings("Mesh", config)
     depth = int(number(conf, "depth", "Mesh"))
     info = mesh.mesh_info(vertices).first()
     size = [info["size_x"], info["size_y"], info["size_z"]]
-    placed = settle(mesh.face_tiles(vertices, faces, depth, margin))
+    pieces = settle(mesh.cut_tiles(vertices, faces, depth, margin))
+    placed = settle(mesh.coarsen(pieces, depth, int(number(conf, "tile_faces_target", "Mesh")), last=truth(conf["decimate_last_depth_level"])))
     stats = settle(mesh.tile_stats(placed))  # a row for each tile, read once per level
     top = number(conf, "max_geometric_error", "Mesh")
     flat = tiling.tileset_flat(stats, size, depth, top)

@@ -87,9 +87,25 @@ def geom_error_ladder(spark, d):
     return rows.select("level", "y", "x", F.round(tiling.geometric_error(F.col("level"), DEPTH, tiling.default_max_error(F.col("s"))), 9).alias("geometric_error"))
 
 
-@query("job_mesh_tiles", over(f"SELECT level, y, x, faces, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, z1 - z0 AS sz FROM ({_STATS}) s", "mesh_vertices", "mesh_faces"))
+#: Tile lines run along the grid's sides, so that no face is cut here (tests/test_operators.py cuts); a heavy tile's clusters become
+#: their first corner.
+TARGET = 300
+_CORNER = lambda n: f"[{n}.x, {n}.y, {n}.z]"
+_MADE = f"""
+, wide AS MATERIALIZED (SELECT w.*, {_CORNER('p')} AS pa, {_CORNER('q')} AS pb, {_CORNER('r')} AS pc FROM ({_WIDE}) w JOIN mesh_vertices p ON p.vid = w.a JOIN mesh_vertices q ON q.vid = w.b JOIN mesh_vertices r ON r.vid = w.c),
+placed AS MATERIALIZED (SELECT w.fid, w.pa, w.pb, w.pc, t.level, t.ty AS y, t.tx AS x FROM wide w JOIN ({_TILES}) t ON w.lo_x >= t.x0 AND w.hi_x <= t.x1 AND w.lo_y >= t.y0 AND w.hi_y <= t.y1),
+heavy AS MATERIALIZED (SELECT level, y, x FROM placed WHERE level < {DEPTH} GROUP BY ALL HAVING count(*) > {TARGET}),
+spots AS (SELECT level, y, x, fid, k, p, [floor(p[i] / (5.0 / pow(2, level))) for i in [1, 2, 3]] AS cell FROM (SELECT level, y, x, fid, unnest([0, 1, 2]) AS k, unnest([pa, pb, pc]) AS p FROM placed JOIN heavy USING (level, y, x)) e),
+firsts AS MATERIALIZED (SELECT level, y, x, cell, min(p) AS first FROM spots GROUP BY ALL),
+coarse AS (SELECT level, y, x, fid, max(first) FILTER (k = 0) AS pa, max(first) FILTER (k = 1) AS pb, max(first) FILTER (k = 2) AS pc FROM spots JOIN firsts USING (level, y, x, cell) GROUP BY ALL),
+made AS (SELECT level, y, x, pa, pb, pc FROM coarse WHERE pa <> pb AND pb <> pc AND pa <> pc UNION ALL SELECT level, y, x, pa, pb, pc FROM placed ANTI JOIN heavy USING (level, y, x))
+SELECT level, y, x, count(*) AS faces, (min(least(pa[1], pb[1], pc[1])) + max(greatest(pa[1], pb[1], pc[1]))) / 2 AS cx, (min(least(pa[2], pb[2], pc[2])) + max(greatest(pa[2], pb[2], pc[2]))) / 2 AS cy, max(greatest(pa[3], pb[3], pc[3])) - min(least(pa[3], pb[3], pc[3])) AS sz FROM made GROUP BY ALL
+"""
+
+
+@query("job_mesh_tiles", over(_MADE, "mesh_vertices", "mesh_faces"))
 def job_mesh_tiles(spark, d):
-    out = jobs.mesh_tiles(*both(spark, d), {"depth": DEPTH}, MARGIN)["tiles"]
+    out = jobs.mesh_tiles(*both(spark, d), {"depth": DEPTH, "tile_faces_target": str(TARGET)}, MARGIN)["tiles"]
     return out.select("level", "y", "x", "faces", F.col("center")[0].alias("cx"), F.col("center")[1].alias("cy"), F.col("size")[2].alias("sz"))
 
 
@@ -102,18 +118,17 @@ def weld(spark, d):
 
 
 _CLUSTER = f"""
-, placed AS ({_PLACED}), heavy AS (SELECT level, y, x FROM placed WHERE level < {DEPTH} GROUP BY ALL HAVING count(*) > 300),
-used AS (SELECT DISTINCT p.level, p.y, p.x, u.vid FROM (SELECT level, y, x, unnest([a, b, c]) AS vid FROM placed) u JOIN heavy p USING (level, y, x)),
-to_ AS (SELECT u.level, u.y, u.x, u.vid, min(u.vid) OVER (PARTITION BY u.level, u.y, u.x, floor(v.x / (5.0 / pow(2, u.level))), floor(v.y / (5.0 / pow(2, u.level))), floor(v.z / (5.0 / pow(2, u.level)))) AS t FROM used u JOIN mesh_vertices v USING (vid))
-SELECT p.level, p.y, p.x, count(*) AS faces FROM placed p JOIN to_ i ON (i.level, i.y, i.x, i.vid) = (p.level, p.y, p.x, p.a) JOIN to_ j ON (j.level, j.y, j.x, j.vid) = (p.level, p.y, p.x, p.b) JOIN to_ k ON (k.level, k.y, k.x, k.vid) = (p.level, p.y, p.x, p.c) WHERE i.t <> j.t AND j.t <> k.t AND i.t <> k.t GROUP BY ALL
-UNION ALL SELECT level, y, x, count(*) FROM placed WHERE NOT EXISTS (SELECT 1 FROM heavy h WHERE h.level = placed.level AND h.y = placed.y AND h.x = placed.x) GROUP BY ALL
+, placed AS MATERIALIZED ({_PLACED}), heavy AS MATERIALIZED (SELECT level, y, x FROM placed WHERE level < {DEPTH} GROUP BY ALL HAVING count(*) > {TARGET}),
+spots AS MATERIALIZED (SELECT s.*, [floor(v.x / (5.0 / pow(2, level))), floor(v.y / (5.0 / pow(2, level))), floor(v.z / (5.0 / pow(2, level)))] AS cell FROM (SELECT level, y, x, fid, unnest([0, 1, 2]) AS k, unnest([a, b, c]) AS vid FROM placed JOIN heavy USING (level, y, x)) s JOIN mesh_vertices v USING (vid)),
+firsts AS MATERIALIZED (SELECT level, y, x, cell, min(vid) AS first FROM spots GROUP BY ALL),
+coarse AS (SELECT level, y, x, fid, max(first) FILTER (k = 0) AS a, max(first) FILTER (k = 1) AS b, max(first) FILTER (k = 2) AS c FROM spots JOIN firsts USING (level, y, x, cell) GROUP BY ALL)
+SELECT level, y, x, fid, a, b, c FROM coarse WHERE a <> b AND b <> c AND a <> c UNION ALL SELECT level, y, x, fid, a, b, c FROM placed ANTI JOIN heavy USING (level, y, x)
 """
 
 
 @query("cluster_decimate", over(_CLUSTER, "mesh_vertices", "mesh_faces"))
 def cluster_decimate(spark, d):
-    out = mesh.cluster_decimate(*both(spark, d), DEPTH, MARGIN, target=300)
-    return out.groupBy("level", "y", "x").agg(F.count(F.lit(1)).alias("faces"))
+    return mesh.cluster_decimate(*both(spark, d), DEPTH, MARGIN, target=TARGET).select("level", "y", "x", "fid", "a", "b", "c")
 
 
 _CROSS = "((by_ - ay) * (cz - az) - (bz - az) * (cy - ay)) AS nx, ((bz - az) * (cx - ax) - (bx - ax) * (cz - az)) AS ny, ((bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax)) AS nz"
@@ -136,7 +151,7 @@ def taubin_smooth(spark, d):
 
 @query("taubin_smooth_full")
 def taubin_smooth_full(spark, d):
-    return mesh.taubin(*both(spark, d), iterations=2)
+    return mesh.taubin(*both(spark, d))
 
 
 @query("quantile_trim", over("SELECT fid, a, b, c FROM mesh_faces WHERE a IN (SELECT vid FROM k) AND b IN (SELECT vid FROM k) AND c IN (SELECT vid FROM k)".replace("FROM k", "FROM (SELECT vid FROM mesh_vertices WHERE z >= (SELECT quantile_cont(z, 0.02) FROM mesh_vertices)) k"), "mesh_vertices", "mesh_faces"))
@@ -169,11 +184,20 @@ def split_grid(spark, d):
     return pieces.groupBy("fid").agg(F.round(F.sum(_areas(pieces)), 6).alias("area"))
 
 
-@query("crop_mesh", over(f"SELECT round(sum(area), 4) AS area, count(*) AS faces FROM ({_AREA}) a JOIN ({_WIDE}) w USING (fid) WHERE lo_x >= 15 AND hi_x <= 60 AND lo_y >= 3 AND hi_y <= 21", "mesh_vertices", "mesh_faces"))
+#: The box cuts faces. Its part of a face under, or over, the diagonal of a grid cell is an integral over x of what two ramps leave.
+CROP = (15.4, 3.7, 60.2, 21.9)
+_RAMPS = "((greatest(s1 - b, 0) * greatest(s1 - b, 0) - greatest(s1 - t, 0) * greatest(s1 - t, 0)) - (greatest(s0 - b, 0) * greatest(s0 - b, 0) - greatest(s0 - t, 0) * greatest(s0 - t, 0))) / 2"
+_CROPPED = f"""
+SELECT fid, round(area * flat / (1.5 * 1.5 / 2), 6) AS area FROM (SELECT fid, area, CASE WHEN fid % 2 = 0 THEN {_RAMPS} ELSE (t - b) * (s1 - s0) - {_RAMPS} END AS flat
+  FROM (SELECT w.fid, a.area, greatest({CROP[0]}, lo_x) - lo_x AS s0, least({CROP[2]}, hi_x) - lo_x AS s1, greatest({CROP[1]}, lo_y) - lo_y AS b, least({CROP[3]}, hi_y) - lo_y AS t FROM ({_WIDE}) w JOIN ({_AREA}) a USING (fid)) q
+  WHERE s1 > s0 AND t > b) r WHERE flat > 0.000001
+"""
+
+
+@query("crop_mesh", over(_CROPPED, "mesh_vertices", "mesh_faces"))
 def crop_mesh(spark, d):
-    """The box runs along grid lines, so that no face is cut and the oracle can pick whole ones."""
-    pieces = mesh.crop(*both(spark, d), [15.0, 3.0, 60.0, 21.0])
-    return pieces.agg(F.round(F.sum(_areas(pieces)), 4).alias("area"), F.countDistinct("fid").alias("faces"))
+    pieces = mesh.crop(*both(spark, d), list(CROP))
+    return pieces.groupBy("fid").agg(F.sum(_areas(pieces)).alias("area")).where("area > 0.000002").select("fid", F.round("area", 6).alias("area"))
 
 
 AXES = ["X", "-X", "Y", "-Y", "Z", "-Z"]
