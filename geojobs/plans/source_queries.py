@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import functions as F
 
 from geojobs.operators import mesh
-from geojobs.operators.storage import settle
+from geojobs.operators.storage import settle, shared_dir as folder
 from geojobs.plans.fixtures import fixture, over
 from geojobs.plans.registry import query
 from geojobs.plans.shapes import POSITIONS, polygons
@@ -16,13 +14,6 @@ from geojobs.sources import files, las, shapefile, sinks
 from geojobs.streaming import jobs as streams
 
 
-def folder(spark) -> str:
-    """A new folder beside the settled tables."""
-    settle(spark.range(1))  # sees to the shared folder
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 @query("src_geojson", over(POSITIONS + "SELECT p.gid, p.p_name, CAST(p.p_size AS BIGINT) AS p_size, count(*) AS positions, round(sum(q.z), 6) AS z FROM poly_params p JOIN positions q USING (gid) GROUP BY ALL", "poly_params"))
 def src_geojson(spark, d):
     df = polygons(spark, d)
@@ -90,26 +81,24 @@ def src_survey_json(spark, d):
     return shots.join(cameras, ["file", "camera_id"]).groupBy("camera_id", "focal_x", "k2").agg(F.count(F.lit(1)).alias("shots"), F.round(F.sum(F.col("rotation")[0]), 9).alias("rx"))
 
 
-@query("src_las", over("SELECT count(*) AS points, round(sum(round(x, 3)), 1) AS x, CAST(sum(red) AS BIGINT) AS red, CAST(sum(intensity) AS BIGINT) AS intensity FROM cloud_points", "cloud_points"))
+@query("src_las", over("SELECT pid, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z, red, green, blue, intensity FROM cloud_points", "cloud_points"))
 def src_las(spark, d):
-    """Each task writes its points as a LAS file; they are read back by ranges of records."""
+    """Each task writes its points as LAS files; the folder is read back by ranges of records, in the order of pid."""
     path = folder(spark)
 
     def write(batches):
         from pyspark import TaskContext
 
-        pdf = pd.concat(list(batches))
-        if len(pdf):
-            name = f"{path}/{TaskContext.get().partitionId()}-{TaskContext.get().taskAttemptId()}.las"
-            las.write(name, pdf)
-            yield pd.DataFrame({"name": [name], "n": [len(pdf)]})
+        for k, pdf in enumerate(batches):
+            if len(pdf):
+                # Names sort as the partitions do; a task that runs again replaces its files.
+                las.write(f"{path}/{TaskContext.get().partitionId():06d}-{k:06d}.las", pdf)
+                yield pd.DataFrame({"n": [len(pdf)]})
 
-    written = settle(fixture(spark, d, "cloud_points").repartitionByRange(4, "pid").mapInPandas(write, "name string, n long"))
-    parts = [files.read_las(spark, r["name"], 1000) for r in written.collect()]  # a row for each file
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return rows.agg(F.count(F.lit(1)).alias("points"), F.round(F.sum(F.round("x", 3)), 1).alias("x"), F.sum("red").alias("red"), F.sum("intensity").alias("intensity"))
+    rows = fixture(spark, d, "cloud_points")
+    settle(rows.repartitionByRange("pid").sortWithinPartitions("pid").mapInPandas(write, "n long"))
+    out = files.read_las(spark, path, 1000)
+    return out.select("pid", *[F.round(c, 3).alias(c) for c in "xyz"], *[F.col(c).cast("long").alias(c) for c in ("red", "green", "blue", "intensity")])
 
 
 @query("snk_tiles", over("SELECT CAST(pid % 4 AS INTEGER) AS level, count(*) AS points FROM cloud_points GROUP BY 1", "cloud_points"))

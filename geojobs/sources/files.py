@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from geojobs.functions.geometry import GEOMETRY
-from geojobs.operators.storage import settle
+from geojobs.operators.storage import open_store, qualified, settle
 
 XYZ = "x double, y double, z double, nx double, ny double, nz double"
 
@@ -149,37 +149,58 @@ def las_points(data: bytes, head: dict, first: int) -> pd.DataFrame:
 
 
 class LasRange(InputPartition):
-    def __init__(self, path: str, head: dict, first: int, count: int):
-        self.path, self.head, self.first, self.count = path, head, first, count
+    def __init__(self, path: str, head: dict, first: int, pid: int, count: int):
+        self.path, self.head, self.first, self.pid, self.count = path, head, first, pid, count
+
+
+def _headers(path: str) -> list[tuple[str, dict]]:
+    """(file, header) of a LAS file, or of all in a folder by name."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyarrow import fs
+
+    system, place = open_store(path)
+    found = [place]
+    if system.get_file_info(place).type == fs.FileType.Directory:
+        files = system.get_file_info(fs.FileSelector(place, recursive=True))
+        found = sorted(f.path for f in files if f.is_file and f.path.lower().endswith(".las"))
+
+    def head(name: str) -> tuple[str, dict]:
+        with system.open_input_file(name) as f:
+            return path.removesuffix(place) + name if path.endswith(place) else path.partition(":")[0] + "://" + name, las_header(f.read_at(375, 0))
+
+    with ThreadPoolExecutor(32) as pool:  # some hundred bytes of each file
+        return list(pool.map(head, found))
 
 
 class LasReader(DataSourceReader):
-    """One partition per range of records; executors seek."""
+    """One partition per range of records; executors seek. ``pid`` counts on over the files of a folder."""
 
     def __init__(self, options: dict):
         self.path, self.records = options["path"], int(options.get("records", 1_000_000))
 
     def partitions(self) -> list[LasRange]:
-        system, path = _open(self.path)
-        with system.open_input_file(path) as f:
-            head = las_header(f.read_at(375, 0))
-        return [LasRange(self.path, head, at, min(self.records, head["count"] - at)) for at in range(0, head["count"], self.records)]
+        out, before = [], 0
+        for name, head in _headers(self.path):
+            out += [LasRange(name, head, at, before + at, min(self.records, head["count"] - at)) for at in range(0, head["count"], self.records)]
+            before += head["count"]
+        return out
 
     def read(self, part: LasRange) -> Iterator:
         import pyarrow as pa
 
-        system, path = _open(part.path)
+        system, path = open_store(part.path)
         with system.open_input_file(path) as f:
             for at in range(0, part.count, 100_000):
                 n = min(100_000, part.count - at)
                 data = f.read_at(n * part.head["size"], part.head["offset"] + (part.first + at) * part.head["size"])
                 kinds = {"bigint": pa.int64(), "double": pa.float64(), "int": pa.int32()}
                 schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in LAS_SCHEMA.split(", ")])
-                yield pa.RecordBatch.from_pandas(las_points(data, part.head, part.first + at), schema, preserve_index=False)
+                yield pa.RecordBatch.from_pandas(las_points(data, part.head, part.pid + at), schema, preserve_index=False)
 
 
 class LasSource(DataSource):
-    """``spark.read.format("las_points").load(path)``: uncompressed LAS, any file system that Arrow opens."""
+    """``spark.read.format("las_points").load(path)``: uncompressed LAS, a file or a folder, on any file system that Arrow opens."""
 
     @classmethod
     def name(cls) -> str:
@@ -192,15 +213,10 @@ class LasSource(DataSource):
         return LasReader(self.options)
 
 
-def _open(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri) if ":" in uri.split("/")[0] else (fs.LocalFileSystem(), uri)
-
-
 def read_las(spark: SparkSession, path: str, records: int = 1_000_000) -> DataFrame:
+    """The points of a LAS file, or of all .las files in a folder, which follow each other by name."""
     spark.dataSource.register(LasSource)
-    return spark.read.format("las_points").option("records", records).load(path)
+    return spark.read.format("las_points").option("records", records).load(qualified(spark, path))
 
 
 SHAPES = {1: "Point", 5: "Polygon", 11: "Point", 15: "Polygon", 21: "Point", 25: "Polygon"}

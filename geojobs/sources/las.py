@@ -7,7 +7,7 @@ import struct
 import numpy as np
 import pandas as pd
 
-from geojobs.sources.files import _open
+from geojobs.operators.storage import open_store
 
 POINT = np.dtype([("X", "<i4"), ("Y", "<i4"), ("Z", "<i4"), ("intensity", "<u2"), ("flags", "u1"), ("classification", "u1"), ("angle", "i1"), ("user", "u1"), ("source", "<u2"), ("red", "<u2"), ("green", "<u2"), ("blue", "<u2")])
 
@@ -30,8 +30,8 @@ def encode(points: pd.DataFrame, scale: float = 0.001) -> bytes:
 
 
 def write(uri: str, points: pd.DataFrame) -> None:
-    """To any file system that Arrow opens."""
-    system, path = _open(uri)
+    """To any file system that Arrow opens; ``uri`` has its scheme."""
+    system, path = open_store(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
     with system.open_output_stream(path) as out:
         out.write(encode(points))

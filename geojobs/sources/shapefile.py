@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 
-from geojobs.sources.files import _open
+from geojobs.operators.storage import open_store
 
 
 def encode(rows: list[tuple[dict[str, str], str, list]], fields: list[str], width: int = 60) -> tuple[bytes, bytes]:
@@ -33,7 +33,7 @@ def encode(rows: list[tuple[dict[str, str], str, list]], fields: list[str], widt
 
 def write(uri: str, rows: list[tuple[dict[str, str], str, list]], fields: list[str]) -> None:
     """``uri``.shp and ``uri``.dbf, on any file system that Arrow opens."""
-    system, path = _open(uri)
+    system, path = open_store(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
     for suffix, data in zip((".shp", ".dbf"), encode(rows, fields)):
         with system.open_output_stream(path + suffix) as out:

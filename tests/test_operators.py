@@ -132,7 +132,7 @@ def test_las_and_shapefile(spark, tmp_path):
     import struct
 
     pdf = points(spark, 50)[0].toPandas().assign(intensity=5, red=1, green=2, blue=3)
-    las.write(f"{tmp_path}/a.las", pdf)
+    las.write(f"file://{tmp_path}/a.las", pdf)
     back = files.read_las(spark, f"{tmp_path}/a.las", 7).toPandas().sort_values("pid")
     assert len(back) == 50 and np.allclose(back[["x", "y", "z"]], pdf[["x", "y", "z"]], atol=1e-3) and set(back.blue) == {3}
     ring = [(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (0.0, 0.0)]
