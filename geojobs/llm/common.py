@@ -2,36 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geojobs.operators.storage import settle as stash, shared_dir  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh path in the shared folder of ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = tempfile.mkdtemp(prefix="geojobs-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back. Survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def held_out(doc_id: Column) -> Column:
     """True where crc32(doc_id as text) mod 3 is 1: rows that no fit may see. A null id counts as held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))
@@ -61,3 +44,23 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int
         rows = max(1, int(batch.num_rows * max_bytes / max(1, col.nbytes)))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def at_most(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows. It is counted, so pass what is written down."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
+    """Inner join on ``key``, which is unique in ``right`` but may stand in a share of all rows of ``left``, which is written down.
+
+    A key with more than a quarter of a partition's share is spread over as many salts as it has shares, dealt by ``by``. There are at
+    most four times as many such keys as shuffle partitions, and as many copies of their rows of ``right`` again.
+    """
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max(1, left.count() // (4 * tasks))
+    hot = stash(left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > share).select(key, F.ceil(F.col("_n") / share).cast("long").alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1).cast("long"))
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), salts)).drop("_salts")
+    copies = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("_salts")
+    return dealt.join(copies, [key, "_salt"]).drop("_salt")

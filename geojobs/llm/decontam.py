@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geojobs.llm.common import small_batches, stash
+from geojobs.llm.common import at_most, small_batches, stash
 
 WORDS = re.compile(r"\w+")
 MIN_MATCH = 5
@@ -117,20 +117,25 @@ def tiles(pattern: np.ndarray, runs: list[np.ndarray], min_match: int = MIN_MATC
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item_id, text) -> item_id, item (tokens), key (their hash with the id)."""
     for batch in batches:
         make = Tokens()
         tokens = [make(t) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.view(np.int64) for t in tokens], pa.list_(pa.int64()))], names=["item_id", "item"])
+        keys = [xxhash.xxh3_64_intdigest(f"{i}:".encode() + t.tobytes()) for i, t in zip(batch.column(0).to_pylist(), tokens)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([t.view(np.int64) for t in tokens], pa.list_(pa.int64())), pa.array(np.array(keys, np.uint64).view(np.int64))], names=["item_id", "item", "key"]
+        )
 
 
 def _seeds(min_match: int, keys: tuple[str, str, str]) -> Callable:
-    """(id, tokens) -> one row per distinct window of a sequence: its id, the hash, how often it occurs."""
+    """(id, tokens) -> one row per distinct window of a sequence: its id, the hash, how often it occurs. A shorter one is its own window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, seeds, counts = [], [], []
             for i, tokens in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found, n = np.unique(window_hashes(np.asarray(tokens.values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64), min_match), return_counts=True)
+                line = np.asarray(tokens.values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
+                found, n = np.unique(window_hashes(line, min(min_match, max(1, line.size))), return_counts=True)
                 ids += [i] * found.size
                 seeds.append(found.view(np.int64))
                 counts.append(n)
@@ -146,7 +151,7 @@ def _runs(bitmap, bits: int, min_match: int) -> Callable:
             docs, marks, starts, tokens = [], [], [], []
             for doc, text, mark in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 line = make(text)
-                hashes = window_hashes(line, min_match)
+                hashes = window_hashes(line, min(min_match, max(1, line.size)))
                 one, two = _probes(hashes, bits)
                 hit = np.flatnonzero((words[one >> np.uint64(6)] >> (one & np.uint64(63))) & (words[two >> np.uint64(6)] >> (two & np.uint64(63))) & np.uint64(1))
                 if hit.size:
@@ -167,24 +172,30 @@ def _tile(min_match: int) -> Callable:
             rows = []
             for item, runs in zip(pdf["item"], pdf["runs"]):
                 pattern = np.asarray(item, np.int64).view(np.uint64)
-                made = tiles(pattern, [np.asarray(r["run"], np.int64).view(np.uint64) for r in sorted(runs, key=lambda r: r["start"])], min_match)
+                lines = [np.asarray(r["run"], np.int64).view(np.uint64) for r in sorted(runs, key=lambda r: r["start"])]
+                made = tiles(pattern, lines, min_match)
+                if pattern.size < min_match and any(np.array_equal(pattern, x) for x in lines):
+                    made = [(pattern.size, 0, 0, 0)]
                 rows.append((sum(m[0] for m in made) / max(1, pattern.size), len(made), max((m[0] for m in made), default=0)))
             out = pd.DataFrame(rows, columns=["coverage", "n_tiles", "longest_tile"])
-            yield pd.concat([pdf[["doc_id", "mark", "item_id"]].reset_index(drop=True), out], axis=1)
+            yield pd.concat([pdf[["doc_id", "mark", "key", "item_id"]].reset_index(drop=True), out], axis=1)
 
     return run
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
-    """``(doc_id, mark, item_id, coverage, n_tiles, longest_tile)`` of documents whose tiles cover ``coverage`` of an item or more.
+    """``(doc_id, mark, key, item_id, coverage, n_tiles, longest_tile)`` of documents whose tiles cover ``coverage`` of an item or more.
 
-    ``mark`` is the text's XXH64, so that repeated or null ids don't mix; repeated rows give one result. Null and empty texts have no
-    tiles, items of fewer than ``min_match`` tokens none either. Other columns are left out.
+    ``mark`` is the text's XXH64, so that repeated or null ids don't mix; repeated rows give one result. An item is its id (null is
+    one) and its tokens, ``key`` tells items of one id apart; repeated items count once. Null and empty texts have no tiles and
+    cover nothing; an item of fewer than ``min_match`` tokens is met only by a text of just these tokens. Ties between tiles go by
+    their places. Other columns are left out.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null").mapInArrow(_items, "item_id long, item array<bigint>")
-    items = stash(items.groupBy("item_id").agg(F.max("item").alias("item")))
-    seeds = stash(items.mapInArrow(_seeds(min_match, ("item_id", "seed", "n")), "item_id long, seed long, n long"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(_items, "item_id long, item array<bigint>, key long")
+    items = stash(items.where(F.size("item") > 0).dropDuplicates(["key"]))
+    seeds = stash(items.select("key", "item").mapInArrow(_seeds(min_match, ("key", "seed", "n")), "key long, seed long, n long"))
     bits = min(MAX_BITS, max(MIN_BITS, int(512 * seeds.count()).bit_length()))
     words = np.zeros(1 << (bits - 6), np.uint64)
     for row in _bitmap_words(seeds.select("seed"), bits).toLocalIterator():  # one long per word that isn't zero: 2^21 at most
@@ -197,11 +208,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, cov
     # A passage that many documents share is one run: its seeds are joined once.
     alike = runs.groupBy("run_id").agg(F.first("run").alias("run"))
     shared = alike.mapInArrow(_seeds(min_match, ("run_id", "seed", "times")), "run_id long, seed long, times long").join(seeds, "seed")
-    shared = shared.groupBy("run_id", "item_id").agg(F.sum("n").alias("hits"))
-    sizes = items.select("item_id", F.size("item").alias("size"))
-    pairs = runs.join(shared, "run_id").groupBy("doc_id", "mark", "item_id").agg(F.sum("hits").alias("hits"), F.collect_set(F.struct("start", "run")).alias("runs"))
-    pairs = pairs.join(sizes, "item_id").where(F.col("hits") * min_match >= F.lit(coverage) * F.col("size")).join(items, "item_id")
-    tiled = pairs.select("doc_id", "mark", "item_id", "item", "runs").mapInPandas(_tile(min_match), "doc_id long, mark long, item_id long, coverage double, n_tiles long, longest_tile long")
+    shared = shared.groupBy("run_id", "key").agg(F.sum("n").alias("hits"))
+    sizes = items.select("key", F.size("item").alias("size"))
+    pairs = runs.join(shared, "run_id").groupBy("doc_id", "mark", "key").agg(F.sum("hits").alias("hits"), F.collect_set(F.struct("start", "run")).alias("runs"))
+    pairs = pairs.join(sizes, "key").where(F.col("hits") * min_match >= F.lit(coverage) * F.col("size")).drop("size")
+    # Few bytes and much work each: as many tasks as there are partitions, however small.
+    pairs = pairs.join(items, "key").repartition(tasks, "doc_id", "mark", "key")
+    tiled = pairs.select("doc_id", "mark", "key", "item_id", "item", "runs").mapInPandas(_tile(min_match), "doc_id long, mark long, key long, item_id long, coverage double, n_tiles long, longest_tile long")
     return tiled.where(F.col("coverage") >= coverage)
 
 
@@ -216,11 +229,15 @@ def _bitmap_words(seeds: DataFrame, bits: int) -> DataFrame:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, item_id, coverage, n_tiles, longest_tile)`` of contaminated documents, see ``leaks``."""
-    return leaks(docs, benchmark).drop("mark")
+    return leaks(docs, benchmark).drop("mark", "key")
+
+
+#: Contaminated documents of which every task may hold the marks (16 MB); of more, the documents are shuffled to them.
+FEW = 1_000_000
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without contaminated ones, in all their columns."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark")).distinct()
+    """The rows of ``docs`` without contaminated ones, in all their columns. Repeated rows go or stay together, null ids by their text."""
+    bad = at_most(stash(leaks(docs, benchmark).select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark")).distinct()), FEW)
     same = docs["doc_id"].cast("long").eqNullSafe(bad["_doc"]) & (F.xxhash64(docs["text"].cast("string")) == bad["_mark"])
     return docs.join(bad, same, "left_anti")

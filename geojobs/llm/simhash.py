@@ -1,9 +1,10 @@
-"""SimHash near-duplicates: positional byte index, count filter, verification, components.
+"""SimHash near-duplicates: byte-position inverted index, count filter, verification, components.
 
 A fingerprint has 64 bits in 8 bytes. Three differing bits touch at most three bytes, so linked fingerprints share at least five
-positional bytes. The index posts every distinct fingerprint under 14 sets of four byte positions, the blocks of the Steiner
-system S(3, 4, 8): whichever five positions two fingerprints share, one block lies within them. Pairs that meet are tallied
-(shared positional bytes), kept at five or more, and verified by their differing bits.
+positional bytes. Single bytes are too common to be posted alone at scale: the index posts every distinct fingerprint under 14 sets of
+four byte positions, the blocks of the Steiner system S(3, 4, 8). Whichever five positions two fingerprints share, one block lies
+within them. Inside a posting the other positions are indexed byte by byte; each pair that meets there has its shared positional bytes
+tallied, pairs with fewer than five are dropped, and only the rest is verified by its differing bits.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geojobs.llm.common import small_batches, stash
+from geojobs.llm.common import at_most, small_batches, spread_join, stash
 from geojobs.llm.components import connected_components
 
 MAX_BITS = 3
@@ -25,6 +26,10 @@ MAX_BITS = 3
 MIN_BYTES = 5
 #: Larger postings are posted again under finer keys, so that no task holds an unbounded one.
 MAX_POSTING = 32_768
+#: Postings of which all pairs are tallied at once.
+SMALL = 64
+#: Rows that go of which every task may hold the numbers (8 MB); of more, the rows are shuffled to them.
+FEW = 1_000_000
 
 
 def _blocks() -> list[tuple[int, ...]]:
@@ -64,24 +69,52 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
-def _forest(fps: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Edges that connect all linked members of one posting, a spanning forest, in bounded memory."""
-    left, a, b = fps, [], []
-    while left.size > 1:
-        front, left = left[:1], left[1:]
-        while front.size and left.size:
-            head, rest = front[:64], front[64:]
-            diff = head[:, None] ^ left[None, :]
-            touched = diff | diff >> np.uint64(4)
-            touched |= touched >> np.uint64(2)
-            touched |= touched >> np.uint64(1)
-            shared = 8 - np.bitwise_count(touched & np.uint64(0x0101010101010101))
-            linked = (shared >= MIN_BYTES) & (np.bitwise_count(diff) <= MAX_BITS)
-            hit = linked.any(axis=0)
-            a.append(left[hit])
-            b.append(head[linked[:, hit].argmax(axis=0)])
-            front, left = np.concatenate((rest, left[hit])), left[~hit]
-    return a, b
+def _verified(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b) <= MAX_BITS
+
+
+def _small(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links of one small posting: all tallies at once."""
+    rows = fps.view(np.uint8).reshape(-1, 8)
+    shared = (rows[:, None] == rows[None]).sum(axis=2, dtype=np.uint8)
+    a, b = np.nonzero(np.triu(shared >= MIN_BYTES, 1))
+    linked = _verified(fps[a], fps[b])
+    return fps[b[linked]], fps[a[linked]]
+
+
+def _forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect all linked members of one posting, a spanning forest, in memory linear in its members.
+
+    Positions at which all members agree count for each pair; the others are an inverted index, whose postings a member looks up.
+    """
+    rows, todo = fps.view(np.uint8).reshape(-1, 8).astype(np.int32), np.ones(fps.size, bool)
+    index = []
+    for p in range(8):
+        order = np.argsort(rows[:, p], kind="stable")
+        starts = np.searchsorted(rows[order, p], np.arange(257))
+        if starts[rows[0, p] + 1] - starts[rows[0, p]] < fps.size:
+            index.append((p, order, starts.tolist()))
+    alike, a, b = 8 - len(index), [], []
+    for seed in range(fps.size):
+        if not todo[seed]:
+            continue
+        todo[seed], front = False, [seed]
+        while front:
+            at = front.pop()
+            if alike >= MIN_BYTES:
+                kept = np.flatnonzero(todo)
+            else:
+                met = np.concatenate([order[starts[rows[at, p]] : starts[rows[at, p] + 1]] for p, order, starts in index])
+                ids, tally = np.unique(met[todo[met]], return_counts=True)
+                kept = ids[alike + tally >= MIN_BYTES]
+            linked = kept[_verified(fps[kept], fps[at])]
+            if linked.size:
+                todo[linked] = False
+                a.append(fps[linked])
+                b.append(np.full(linked.size, fps[at]))
+                front += linked.tolist()
+    none = np.empty(0, np.uint64)
+    return np.concatenate(a) if a else none, np.concatenate(b) if b else none
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,16 +124,16 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def edges(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         sizes = np.diff(np.concatenate((starts, [keys.size])))
-        a: list = [np.empty(0, np.uint64)]
-        b: list = [np.empty(0, np.uint64)]
         two = starts[sizes == 2]
-        near = np.bitwise_count(fps[two] ^ fps[two + 1]) <= MAX_BITS
-        a.append(fps[two][near])
-        b.append(fps[two + 1][near])
+        x, y = fps[two], fps[two + 1]
+        kept = (x.view(np.uint8).reshape(-1, 8) == y.view(np.uint8).reshape(-1, 8)).sum(axis=1) >= MIN_BYTES
+        x, y = x[kept], y[kept]
+        near = _verified(x, y)
+        a, b = [x[near]], [y[near]]
         for at, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            x, y = _forest(fps[at : at + size])
-            a += x
-            b += y
+            x, y = (_small if size <= SMALL else _forest)(fps[at : at + size])
+            a.append(x)
+            b.append(y)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).view(np.int64)) for v in (a, b)], names=["a", "b"])
 
     for batch in batches:
@@ -123,7 +156,8 @@ def _post(fps: DataFrame) -> DataFrame:
 def _finer(rows: DataFrame) -> DataFrame:
     """Post the members of a large posting under 20 keys each: its own and three of six runs of the other 32 bits.
 
-    Three differing bits leave three of six runs as they are; one finer posting has under 2 ** 18 different fingerprints.
+    Three differing bits leave three of six runs as they are. A finer posting has at most 18 free bits, which bounds its members (2 ** 18)
+    whatever the corpus; each looks up about a 64th of them.
     """
     blocks = _blocks()
     others = [[p for p in range(8) if p not in c] for c in blocks]
@@ -169,20 +203,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     doc_id takes part and is the component's id only if it has no other. Other columns of ``docs`` are left out.
     """
     hashed = stash(fingerprints(docs))
-    return hashed.join(components(hashed), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = spread_join(hashed, components(hashed), "fp", "doc_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with one row of each component: that of the smallest doc_id (null last), then row hash.
+    """The rows of ``docs`` with one row of each component: that of the smallest doc_id (null last), ties by the order of the rows.
 
-    Keeps all columns (their names are free but for ``_row``). Of rows that are alike in every column one stays.
+    Keeps all columns, whatever their names. Of rows that are alike in every column one stays. The rows are written down once with
+    numbers; only numbers and fingerprints are shuffled, unless more than FEW rows go.
     """
-    mark = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), mark.alias("row"))
-    hashed = stash(rows.mapInArrow(_fingerprints, "doc_id long, row long, fp long"))
+    number = "row"
+    while number in docs.columns:
+        number += "_"
+    rows = stash(docs.withColumn(number, F.monotonically_increasing_id()))
+    small = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(number).alias("row"))
+    hashed = stash(small.mapInArrow(_fingerprints, "doc_id long, row long, fp long"))
     first = hashed.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
     kept = first.join(components(hashed), "fp").groupBy("root").agg(F.min("first").alias("first"))
-    kept = kept.select(F.col("first.row").alias("_row"), F.col("first.doc_id").alias("_doc"))
-    marked = docs.withColumn("_row", mark)
-    same = (marked["_row"] == kept["_row"]) & marked["doc_id"].cast("long").eqNullSafe(kept["_doc"])
-    return marked.join(kept, same, "left_semi").dropDuplicates(["_row", "doc_id"]).drop("_row")
+    gone = stash(hashed.select("row").join(kept.select(F.col("first.row").alias("row")), "row", "left_anti"))
+    return rows.join(at_most(gone, FEW).withColumnRenamed("row", number), number, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

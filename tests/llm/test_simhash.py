@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 import xxhash
 
 from geojobs.llm import simhash
@@ -78,6 +80,56 @@ def test_blocks_cover_every_five_positions():
     assert len(blocks) == 14 and all(any(set(b) <= set(c) for b in blocks) for c in combinations(range(8), 5))
 
 
+def shared(a, b):
+    return sum(int(x) >> 8 * p & 255 == int(y) >> 8 * p & 255 for p in range(8) for x, y in [(a, b)])
+
+
+@pytest.mark.parametrize("size", [3, 60, 400])
+def test_only_pairs_with_enough_shared_bytes_are_verified(monkeypatch, size):
+    """The tally gates the verification: pairs below five shared positional bytes never reach it, and no link is lost."""
+    rng = np.random.default_rng(size)
+    fps = rng.integers(0, 4, (size, 8), dtype=np.uint8) * 17  # few values, so that tallies of all sizes occur
+    fps = np.unique(fps.view("<u8").ravel())
+    near = fps[: size // 3] ^ np.uint64(1 << 13)
+    fps = np.unique(np.concatenate((fps, near)))
+    seen = []
+    plain = simhash._verified
+
+    def record(a, b):
+        a, b = np.broadcast_arrays(a, b)
+        seen.extend(zip(a.tolist(), b.tolist()))
+        return plain(a, b)
+
+    monkeypatch.setattr(simhash, "_verified", record)
+    linked = [(int(x), int(y)) for i, x in enumerate(fps) for y in fps[:i] if (int(x) ^ int(y)).bit_count() <= 3]
+    for find in (simhash._small, simhash._forest):
+        seen.clear()
+        a, b = find(fps)
+        assert seen and all(shared(x, y) >= simhash.MIN_BYTES for x, y in seen)
+        assert any((x ^ y).bit_count() > 3 for x, y in seen) or size < 60
+        groups = lambda pairs: {frozenset(g) for g in _groups(fps.tolist(), pairs)}
+        assert groups(zip(a.tolist(), b.tolist())) == groups(linked)
+    keys = pa.array(np.zeros(fps.size, np.int64))
+    (batch,) = simhash._pairs(iter([pa.RecordBatch.from_arrays([keys, pa.array(fps.view(np.int64))], names=["key", "fp"])]))
+    assert groups(zip(batch.column(0).to_numpy().view(np.uint64).tolist(), batch.column(1).to_numpy().view(np.uint64).tolist())) == groups(linked)
+
+
+def _groups(nodes, pairs):
+    top = {n: n for n in nodes}
+
+    def root(n):
+        while top[n] != n:
+            n = top[n]
+        return n
+
+    for x, y in pairs:
+        top[root(x)] = root(y)
+    found = {}
+    for n in nodes:
+        found.setdefault(root(n), set()).add(n)
+    return found.values()
+
+
 def test_keep_one(make, odd):
     kept = simhash.keep_one(make(odd)).collect()
     ids = sorted(-1 if r.doc_id is None else r.doc_id for r in kept)
