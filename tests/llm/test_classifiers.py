@@ -78,16 +78,36 @@ def all_maximal(s):
 def test_segments_against_the_definition():
     rng = random.Random(1)
     for _ in range(300):
-        n, cost = rng.randint(0, 25), 1.0
-        scores = [(i, rng.choice([1.5, 2.25, 4.125])) for i in range(n) if rng.random() < 0.35]
-        line = [-cost] * n
-        for i, v in scores:
-            line[i] = v
-        got = toxicity.segments(scores, cost)
+        line = [rng.choice([1.5, 2.25, 4.125]) if rng.random() < 0.35 else -rng.choice([0.53125, 1.0, 2.03125]) for _ in range(rng.randint(0, 25))]
+        got = toxicity.segments(np.array(line))
         assert [(a, b) for a, b, _ in got] == all_maximal(line)
         assert all(abs(x - sum(line[a:b])) < 1e-9 for a, b, x in got)
 
 
+def test_gumbel_parameters_are_found_again():
+    rng = np.random.default_rng(6)
+    for rate, size in ((0.7, 0.02), (1.6, 0.5)):
+        n = rng.integers(20, 400, 4000).astype(float)
+        best = np.maximum(0.0, (np.log(size * n) - np.log(-np.log(rng.uniform(size=n.size)))) / rate)
+        got = toxicity.gumbel(best, n)
+        assert abs(got[0] / rate - 1) < 0.1 and abs(got[1] / size - 1) < 0.25
+    assert all(np.isfinite(toxicity.gumbel(np.zeros(50), np.full(50, 30.0)))) and all(np.isfinite(toxicity.gumbel(np.empty(0), np.empty(0))))
+
+
+def test_tokens_score_for_and_against(data):
+    """Signed log-odds under corpus-proportional pseudo-counts, those of words of clean documents among them."""
+    docs, labels = data
+    model = toxicity.fit(docs, labels)
+    assert any(v > 0 for v in model.terms.values()) and model.cost > 0 and model.rate > 0
+    odds, error = toxicity._odds(F.lit(30), F.lit(10), {True: 100, False: 900})
+    row = docs.limit(1).select(odds.alias("o"), error.alias("e")).first()
+    own, all_ = toxicity.PRIOR * 40, toxicity.PRIOR * 1000
+    assert abs(row.o - (np.log((30 + own) / (100 + all_ - 30 - own)) - np.log((10 + own) / (900 + all_ - 10 - own)))) < 1e-9
+    assert abs(row.e - np.sqrt(1 / (30 + own) + 1 / (10 + own))) < 1e-9
+    scorer = toxicity.Scorer(toxicity.ToxicityModel({"bad": 5.0, "fine": -2.0}, cost=0.5))
+    assert [scorer._score(w) for w in ("bad", "fine", "other")] == [4.5, -2.5, -0.5]
+
+
 def test_interactions_by_the_identity():
     rng = np.random.default_rng(0)
     k = quality.BUCKETS + len(quality.STATS)
