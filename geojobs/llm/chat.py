@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from geojobs.llm.common import small_batches, stash
+from geojobs.llm.common import small_batches, spread_join, stash
 
 #: Control strings of chat templates in use, so that no text can end a turn or open another.
 CONTROL = ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|startoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|user|>", "<|assistant|>", "<|system|>", "<|eot_id|>", "<|start_header_id|>", "<|end_header_id|>")
@@ -64,15 +64,29 @@ def parse_turns(formatted: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
+TURNS = "array<struct<turn:bigint,role:string,text:string>>"
+
+
+def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(conv_id, turns) -> the same and path: a node id for each turn, the hash of its parent's, its role's length, role and text."""
+    for batch in small_batches(batches, "turns"):
+        paths = []
+        for turns in batch.column(1).to_pylist():
+            node, path = "", []
+            for t in turns:
+                node = hashlib.md5(f"{node}{len(t['role'])}:{t['role']}{t['text']}".encode("utf-8", "surrogatepass")).hexdigest()
+                path.append(node)
+            paths.append(path)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(paths, pa.list_(pa.string()))], names=["conv_id", "turns", "path"])
+
+
 def _paths(conversations: DataFrame) -> DataFrame:
-    """One row per conversation: conv, its turns in order, and the node ids along its path (MD5 of parent id, role and text)."""
+    """One row per conversation: conv_id, its turns in order, and the node ids along its path."""
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("turn"))
-    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
-    node = lambda parent, t: F.md5(F.concat_ws("\u0000", parent, t["role"], F.length(t["role"]).cast("string"), t["text"]))
-    start = F.array().cast("array<string>")
-    path = F.aggregate("turns", start, lambda acc, t: F.concat(acc, F.array(node(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")), t))))
-    return grouped.withColumn("path", path)
+    grouped = rows.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+    single = rows.where("conv_id is null").select("conv_id", F.array("turn").alias("turns"))
+    return grouped.unionByName(single).mapInArrow(_chain, f"conv_id long, turns {TURNS}, path array<string>")
 
 
 FORMATTED = "node string, parent string, tree string, depth int, owner string, role string, formatted string, loss_begin long, loss_end long, ids array<int>, n long"
@@ -131,8 +145,9 @@ def build(conversations: DataFrame, tokenizer_path: str | None = None, salts: in
     own node's earlier ones: its ancestors, adjacent ones merged). members: conv_id, leaf, n_turns, tree, begins (its nodes' places).
 
     A null text or role is empty; turns with equal numbers come in order of role and text, null numbers first; repeated rows are
-    turns of their own; rows of a null conv_id form one conversation. An empty table gives empty tables. Work and rows are linear in
-    the turns, however long a conversation.
+    turns of their own; a row of a null conv_id is a conversation of its own. An empty table gives empty tables. Work and rows are
+    linear in the turns, however long a conversation; one conversation's turns are one row. Conversations that are alike throughout
+    share a leaf; however many they are, no task has to hold them.
     """
     paths = stash(_paths(conversations))
     members = paths.select("conv_id", F.element_at("path", -1).alias("leaf"), F.size("path").alias("n_turns"))
@@ -167,7 +182,7 @@ def build(conversations: DataFrame, tokenizer_path: str | None = None, salts: in
     lines = stash(placed.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", "node", "n", "begin", "owned"))).alias("path")))
     out = nodes.drop("owner", "n").join(lines.select("leaf", "path").mapInArrow(_attend, ATTEND), "node")
     where = lines.select("leaf", F.col("path")[0]["node"].alias("tree"), F.col("path.begin").alias("begins"))
-    return stash(out), members.join(where, "leaf")
+    return stash(out), stash(spread_join(members, where, "leaf", "conv_id"))
 
 
 DIGEST = "leaf string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -195,4 +210,4 @@ def read_back(nodes: DataFrame, members: DataFrame) -> DataFrame:
     wanted = members.groupBy("leaf").agg(F.first(F.struct("tree", "begins")).alias("m")).select("leaf", "m.tree", F.posexplode("m.begins").alias("at", "begin"))
     found = wanted.join(nodes.select("tree", "begin", "formatted", "loss_begin", "loss_end"), ["tree", "begin"])
     lines = found.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", "formatted", "loss_begin", "loss_end"))).alias("nodes"))
-    return members.select("conv_id", "leaf").join(lines.mapInArrow(_digest, DIGEST), "leaf").drop("leaf")
+    return spread_join(members.select("conv_id", "leaf"), lines.mapInArrow(_digest, DIGEST), "leaf", "conv_id").drop("leaf")

@@ -67,3 +67,14 @@ def test_escape_is_reversible_and_safe():
 def test_empty(spark):
     nodes, members = chat.build(spark.createDataFrame([], SCHEMA))
     assert nodes.count() == members.count() == 0
+
+
+def test_rows_without_a_conversation_and_ambiguous_roles(spark):
+    """Rows of a null conv_id stand alone; a role's length keeps role and text apart; alike conversations share a leaf."""
+    data = [(None, 0, "user", "a", "e"), (None, 0, "user", "a", "e"), (None, 1, "user", "b", "e")]
+    data += [(1, 0, "a", "x\x005\x00T", "e"), (2, 0, "a\x001\x00x", "T", "e")]
+    data += [(c, t, "user", f"t{t}", "e") for c in range(10, 200) for t in range(3)]
+    nodes, members = chat.build(spark.createDataFrame(data, SCHEMA).repartition(5))
+    rows = chat.read_back(nodes, members).collect()
+    assert sorted(r.n_turns for r in rows if r.conv_id is None) == [1, 1, 1] and len(rows) == 5 + 190
+    assert nodes.count() == 2 + 2 + 3 and members.select("leaf").distinct().count() == 2 + 2 + 1
