@@ -1,28 +1,36 @@
 """Embedding near-duplicates by a forest of random-projection trees.
 
 A tree splits its rows by a random direction at a middle value, again and again; rows near a split go down both sides (spill). The
-top of every tree is fitted on a bounded sample of vectors; a leaf that all rows together overfill is split further, by middle values
-counted over all its rows. Within leaves all pairs are compared in double precision. A pair that meets in several leaves counts in
-the first of them alone, so that link counts add up. What can't be split, such as a group of near copies, is compared in square
-blocks by many tasks.
+top of every tree is fitted on a bounded sample of vectors and has a bounded number of splits, whatever the corpus; that alone is held by
+the driver. A leaf that all rows together overfill is split further: by a task that holds its rows, or, where it has too many for one,
+by middle values counted over all its rows and a join. Within leaves all pairs are compared in double precision. A pair that meets in
+several leaves counts in the first of them alone, so that link counts add up. What can't be split, such as a group of near copies, is
+compared in square blocks by many tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geojobs.llm.common import stash
+from geojobs.llm.common import at_most, spread_join, stash
 from geojobs.llm.components import connected_components
 
 COSINE = 0.9
 TREES, LEAF, SPILL, SEED = 10, 1200, 0.1, 7
 #: Vectors that the trees' tops are fitted on: those of the smallest id hashes.
 SAMPLE = 20_000
+#: Sample vectors of a top's leaf at least: some 4,000 splits a tree at most.
+SAMPLE_LEAF = 16
+#: Rows of a leaf that one task splits to the end (25 MB at 64 dimensions); larger ones are split by all tasks together first.
+TASK_ROWS = 50_000
+#: Leaves of which every task may hold the sizes or splits; of more, the rows are shuffled to them.
+FEW = 500_000
 #: Rows of a leaf that one task holds; larger ones are compared in blocks.
 BLOCK = 4096
 MAX_DEPTH = 40
@@ -177,7 +185,6 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
     and are components of their own. Repeated ids count as vectors of their own; a null vec_id takes part, its component_id is the
     smallest id it reaches or null. Other columns are left out.
     """
-    spark = vectors.sparkSession
     raw = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
     raw = stash(raw.withColumn("row", F.monotonically_increasing_id()))
     finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vector", lambda v: v != 0)
@@ -188,70 +195,112 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
     unit = stash(raw.where(finite & (F.size("vector") == usual["dims"])).select("row", "vector").mapInArrow(_unit, "row long, vector array<double>"))
     n = unit.count()
     some = np.array([r["vector"] for r in unit.orderBy(F.xxhash64("row"), "row").limit(sample).collect()])
-    splits = {(t, node): s for t in range(trees) for node, s in fit_tree(some, t, leaf * len(some) / max(n, len(some))).items()}
-    while True:
-        routed = stash(unit.mapInArrow(_router(splits, trees), "row long, vector array<double>, leaves array<bigint>"))
-        sizes = routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("size"))
-        large = {(r["leaf"] >> 48, r["leaf"] & ((1 << 48) - 1)): r["size"] for r in sizes.where(F.col("size") > 2 * leaf).collect()}
-        open_ = [k for k in large if k not in splits and k[1] < 1 << MAX_DEPTH]
-        if not open_:
-            break
-        splits |= _refit(routed, open_)
-    blocks = {t << 48 | node: -(-size // BLOCK) for (t, node), size in large.items() if size > BLOCK}
-    work = _units(routed, spark, blocks)
+    top = max(min(SAMPLE_LEAF, leaf), leaf * len(some) / max(n, len(some)))
+    splits = {(t, node): s for t in range(trees) for node, s in fit_tree(some, t, top).items()}
+    routed = stash(unit.mapInArrow(_router(splits, trees), "row long, vector array<double>, leaves array<bigint>"))
+    routed = refine(routed, leaf)
+    work = _units(routed)
     found = stash(work.repartition("leaf", "part").sortWithinPartitions("leaf", "part", "row").mapInArrow(_compare(cosine), "row long, links long, top long"))
     joined = connected_components(found.select(F.col("row").alias("a"), F.col("top").alias("b")))
     links = found.groupBy("row").agg(F.sum("links").alias("links"))
     placed = stash(raw.select("row", "vec_id").join(links, "row", "left").join(joined.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row")))
     lowest = placed.groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    out = placed.join(lowest, "component").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "component_id")
+    out = spread_join(placed, lowest, "component", "row").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "component_id")
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _refit(routed: DataFrame, nodes: list[tuple[int, int]]) -> dict:
-    """Splits of overfull leaves by quantiles of all their rows; None for those that can't be split."""
-    wanted = set(nodes)
+NODE = (1 << 48) - 1
+
+
+def _project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, vector, leaf) -> the same and the vector's value along the direction of its leaf."""
+    for batch in batches:
+        x, leaves = _matrix(batch.column(1)), batch.column(2).to_numpy()
+        values = np.zeros(len(x))
+        for leaf in np.unique(leaves).tolist():
+            values[leaves == leaf] = x[leaves == leaf] @ _direction(leaf >> 48, leaf & NODE, x.shape[1])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], names=["row", "vector", "leaf", "value"])
+
+
+def _split_here(leaf_rows: int) -> Callable:
+    """(row, vector, leaf), a leaf's rows together -> row, leaf: split until no leaf has over ``leaf_rows`` rows or can be split."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, own = [], None
+
+        def flush() -> pa.RecordBatch:
+            ids, x = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            nodes, rows, leaves = [(own & NODE, np.arange(ids.size))], [], []
+            while nodes:
+                node, some = nodes.pop()
+                split = None
+                if some.size > leaf_rows and node < 1 << MAX_DEPTH:
+                    values = x[some] @ _direction(own >> 48, node, x.shape[1])
+                    split = _split(values)
+                if split is None:
+                    rows.append(ids[some])
+                    leaves.append(np.full(some.size, own >> 48 << 48 | node))
+                else:
+                    nodes += [(2 * node + side, some[mask]) for side, mask in enumerate(_children(values, split))]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(leaves))], names=["row", "leaf"])
 
-    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, leaves, values = _matrix(batch.column(0)), [], []
-            owners: dict[int, list[int]] = {}
-            for i, own in enumerate(batch.column(1).to_pylist()):
-                for leaf in own:
-                    if (leaf >> 48, leaf & ((1 << 48) - 1)) in wanted:
-                        owners.setdefault(leaf, []).append(i)
-            for leaf, rows in owners.items():
-                leaves += [leaf] * len(rows)
-                values += (x[rows] @ _direction(leaf >> 48, leaf & ((1 << 48) - 1), x.shape[1])).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), pa.array(values, pa.float64())], names=["leaf", "value"])
-
-    projected = routed.select("vector", "leaves").mapInArrow(project, "leaf long, value double")
-    cuts = projected.groupBy("leaf").agg(F.percentile_approx("value", [0.5 - SPILL / 2, 0.5, 0.5 + SPILL / 2], 1000).alias("q"), F.count(F.lit(1)).alias("n"))
-    cuts = stash(projected.join(cuts, "leaf").groupBy("leaf").agg(F.first("q").alias("q"), F.first("n").alias("n"), F.sum((F.col("value") <= F.col("q")[2]).cast("long")).alias("left"), F.sum((F.col("value") >= F.col("q")[0]).cast("long")).alias("right")))
-    return {(r["leaf"] >> 48, r["leaf"] & ((1 << 48) - 1)): (r["q"][1], r["q"][0], r["q"][2]) if max(r["left"], r["right"]) <= 0.8 * r["n"] else None for r in cuts.collect()}
-
-
-def _units(routed: DataFrame, spark, blocks: dict[int, int]) -> DataFrame:
+            ids, x, leaves = batch.column(0).to_numpy(), _matrix(batch.column(1)), batch.column(2).to_numpy()
+            cuts = [0, *(np.flatnonzero(leaves[1:] != leaves[:-1]) + 1).tolist(), leaves.size] if leaves.size else []
+            for a, b in zip(cuts, cuts[1:]):
+                if held and own != leaves[a]:
+                    yield flush()
+                    held = []
+                own = int(leaves[a])
+                held.append((ids[a:b], x[a:b]))
+        if held:
+            yield flush()
+
+    return run
+
+
+def refine(routed: DataFrame, leaf: int, task_rows: int = TASK_ROWS) -> DataFrame:
+    """``routed(row, vector, leaves)`` with leaves of over 2 ``leaf`` rows split further; only rows of such leaves are moved."""
+    full = routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 2 * leaf)
+    full = stash(full)
+    if full.isEmpty():
+        return routed
+    sizes = at_most(full, FEW)
+    rows = routed.select("row", "vector", F.explode("leaves").alias("leaf")).join(sizes, "leaf")
+    done = [routed.select("row", F.explode("leaves").alias("leaf")).join(sizes, "leaf", "left_anti").select("row", "leaf")]
+    node = F.col("leaf").bitwiseAND(F.lit(NODE))
+    while True:
+        here = rows.where(F.col("size") <= task_rows).select("row", "vector", "leaf")
+        done.append(here.repartition("leaf").sortWithinPartitions("leaf", "row").mapInArrow(_split_here(2 * leaf), "row long, leaf long"))
+        large = rows.where(F.col("size") > task_rows).select("row", "vector", "leaf")
+        valued = stash(large.mapInArrow(_project, "row long, vector array<double>, leaf long, value double"))
+        if valued.isEmpty():
+            break
+        cuts = at_most(stash(valued.groupBy("leaf").agg(F.percentile_approx("value", [0.5 - SPILL / 2, 0.5, 0.5 + SPILL / 2], 1000).alias("q"))), FEW)
+        left, right = F.col("value") <= F.col("q")[2], F.col("value") >= F.col("q")[0]
+        counted = valued.select("leaf", "value").join(cuts, "leaf").groupBy("leaf").agg(F.first("q").alias("q"), F.count(F.lit(1)).alias("n"), F.count_if(left).alias("left"), F.count_if(right).alias("right"))
+        splits = stash(counted.withColumn("ok", (F.greatest("left", "right") <= 0.8 * F.col("n")) & (node < 1 << MAX_DEPTH)))
+        placed = valued.join(at_most(splits, FEW), "leaf")
+        done.append(placed.where("not ok").select("row", "leaf"))
+        sides = F.array_compact(F.array(F.when(left, F.lit(0)), F.when(right, F.lit(1))))
+        below = placed.where("ok").select("row", "vector", "leaf", "left", "right", F.explode(sides).alias("side"))
+        below = below.select("row", "vector", (F.col("leaf") + node + F.col("side")).alias("leaf"), F.when(F.col("side") == 0, F.col("left")).otherwise(F.col("right")).alias("size"))
+        done.append(below.where(F.col("size") <= 2 * leaf).select("row", "leaf"))
+        rows = below.where(F.col("size") > 2 * leaf)
+    leaves = reduce(DataFrame.unionByName, done).groupBy("row").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))
+    return stash(routed.select("row", "vector").join(leaves, "row"))
+
+
+def _units(routed: DataFrame) -> DataFrame:
     """A row for each leaf of a vector; in a leaf of b blocks, one for each of the b block pairs that hold the vector's block.
 
     ``side``: 0 for a whole leaf or a block with itself, 1 and 2 for the blocks of a pair.
     """
-    deal = spark.sparkContext.broadcast(blocks)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        many = deal.value
-        for batch in batches:
-            at, leaf, part, side = [], [], [], []
-            for i, (row, leaves) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
-                for own in leaves:
-                    b = many.get(own, 1)
-                    mine = hash(row) % b
-                    for other in range(b):
-                        at.append(i)
-                        leaf.append(own)
-                        part.append(min(mine, other) * b + max(mine, other))
-                        side.append(0 if other == mine else 1 if mine < other else 2)
-            index = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(part, pa.int64()), batch.column(0).take(index), batch.column(1).take(index), batch.column(2).take(index), pa.array(side, pa.int32())], names=["leaf", "part", "row", "vector", "leaves", "side"])
-
-    return routed.mapInArrow(run, "leaf long, part long, row long, vector array<double>, leaves array<bigint>, side int")
+    sizes = routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("size"))
+    large = stash(sizes.where(F.col("size") > BLOCK).select("leaf", F.ceil(F.col("size") / BLOCK).cast("long").alias("b")))
+    rows = routed.select("row", "vector", "leaves", F.explode("leaves").alias("leaf")).join(at_most(large, FEW), "leaf", "left")
+    rows = rows.withColumn("b", F.coalesce("b", F.lit(1).cast("long"))).withColumn("mine", F.pmod(F.xxhash64("row"), F.col("b")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1)))
+    part = F.least("mine", "other") * F.col("b") + F.greatest("mine", "other")
+    side = F.when(F.col("other") == F.col("mine"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    return rows.select("leaf", part.alias("part"), "row", "vector", "leaves", side.cast("int").alias("side"))

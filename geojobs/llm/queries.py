@@ -89,8 +89,8 @@ _SIGNS = " || ".join(
 ORACLES: dict[str, str] = {
     "op2_chat": """
 WITH c AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS nameless, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, NULL, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, NULL, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), e AS (
   SELECT *, CAST(length(text) + len(regexp_extract_all(text, '<\\\\*\\|(im_start|im_end|endoftext|startoftext|user|assistant|system|eot_id|start_header_id|end_header_id)\\|>|<\\\\*/?s>|\\[\\\\*/?INST\\]|<\\\\*</?SYS>>')) AS BIGINT) AS body FROM c
 )
@@ -98,7 +98,7 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(12 + length(role) + 1 + body + 11) AS BIGINT) AS formatted_chars
-FROM e GROUP BY conv_id
+FROM e GROUP BY conv_id, nameless
 """,
     "op4_warc": f"""
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, upper(sha1(coalesce(html, ''))) AS sha FROM pages),
@@ -115,5 +115,15 @@ s AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1),
 m AS (SELECT page_id, host, path, max_by(h || r.p, length(h || r.p)) AS rule, max_by(kind, length(h || r.p)) AS kind
   FROM s LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, r.p) GROUP BY ALL)
 SELECT page_id, host, path, rule, coalesce(kind, 'allow') AS verdict FROM m
+""",
+    "op9_embeddings": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS MATERIALIZED (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id <> q.vec_id WHERE list_cosine_similarity(p.e, q.e) >= 0.9),
+r(vec_id, other) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.other),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, CAST(coalesce(any_value(n_links), 0) AS BIGINT) AS n_links, min(other) AS component_id, vec_id = min(other) AS kept
+FROM r LEFT JOIN n USING (vec_id) GROUP BY vec_id
 """,
 }

@@ -56,3 +56,34 @@ def test_empty_and_all_odd(spark):
     schema = "vec_id long, embedding array<float>"
     assert embeddings.near_duplicates(spark.createDataFrame([], schema)).count() == 0
     assert embeddings.near_duplicates(spark.createDataFrame([(1, None), (2, [0.0])], schema)).where("kept and n_links = 0").count() == 2
+
+
+def forest(x, leaf, task_rows, spark, sample):
+    """Leaves of each row after the top on a sample and all refinement."""
+    splits = {(t, n): s for t in range(embeddings.TREES) for n, s in embeddings.fit_tree(x[:sample], t, max(1, leaf * sample / len(x))).items()}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row long, vector array<double>").repartition(4)
+    routed = df.mapInArrow(embeddings._router(splits, embeddings.TREES), "row long, vector array<double>, leaves array<bigint>")
+    return embeddings.refine(embeddings.stash(routed), leaf, task_rows)
+
+
+@pytest.mark.parametrize("task_rows", [100_000, 150])
+def test_recall_of_deep_trees(spark, task_rows):
+    """Pairs of cosine 0.90 to 0.93 in trees of many levels, split by tasks alone or by all tasks together first."""
+    rng = np.random.default_rng(7)
+    n, dims, leaf = 2000, 64, 12
+    a = rng.normal(size=(n, dims))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=(n, dims))
+    b -= (b * a).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = rng.uniform(0.9, 0.93, (n, 1))
+    x = np.concatenate((a, c * a + np.sqrt(1 - c * c) * b))
+    rows = forest(x, leaf, task_rows, spark, 300).collect()
+    leaves = {r.row: set(r.leaves) for r in rows}
+    assert len(rows) == len(x) and {v >> 48 for v in leaves[0]} == set(range(embeddings.TREES))
+    sizes: dict = {}
+    for own in leaves.values():
+        for v in own:
+            sizes[v] = sizes.get(v, 0) + 1
+    assert max(sizes.values()) <= 2 * leaf and max(v & embeddings.NODE for v in sizes) >= 1 << 8
+    assert sum(bool(leaves[i] & leaves[n + i]) for i in range(n)) >= 0.97 * n
