@@ -7,15 +7,19 @@ a join. The first level's error rate is the list's share of the universe, which
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geojobs.llm.common import stash
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A level's bits travel in the plan; a list that would need more is refused (about 20 million keys).
-MAX_BITS = 1 << 29
+#: A level's bits travel in the plan as one literal; a list that would need more is refused. That is 8 MB, or some 5 million keys of
+#: which a twentieth of the universe is listed.
+MAX_BITS = 1 << 26
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -36,7 +40,8 @@ class Level:
     seed: int
 
     def passes(self, key: Column) -> Column:
-        words = F.lit(list(self.words)).cast("array<bigint>")
+        # One literal, not one for each word: a constant that the optimizer turns into an array once.
+        words = F.split(F.lit(" ".join(map(str, self.words))), " ").cast("array<bigint>")
         tests = []
         for place in _places(key, self.bits, self.hashes, self.seed):
             word = F.element_at(words, (F.shiftright(place, 6) + 1).cast("int"))
@@ -80,14 +85,14 @@ class Cascade:
 
 def build(listed: DataFrame, universe: DataFrame, salt: int = 0, max_levels: int = 64) -> Cascade:
     """Cascade of ``listed(key)`` over ``universe(key)``; null keys are none, repeated keys count once, either may be empty."""
-    listed = listed.where("key is not null").select("key").distinct()
+    listed = stash(listed.where("key is not null").select("key").distinct())
     universe = universe.where("key is not null").select("key")
     n = listed.count()
     if not n:
         return Cascade(())
     size = universe.agg(F.approx_count_distinct("key")).first()[0]
     levels = [_level(listed, n, min(0.5, max(2.0**-40, 0.7 * n / max(size, n))), salt)]
-    wrong = universe.where(levels[0].passes(F.col("key"))).distinct().join(listed, "key", "left_anti")
+    wrong = stash(universe.where(levels[0].passes(F.col("key"))).distinct().join(listed, "key", "left_anti"))  # the universe is read once for it
     right = listed
     while len(levels) < max_levels:
         n = wrong.count()
@@ -96,7 +101,7 @@ def build(listed: DataFrame, universe: DataFrame, salt: int = 0, max_levels: int
         level = _level(wrong, n, 0.5, salt + len(levels))
         levels.append(level)
         # What this level should not hold but lets pass is what the next one encodes.
-        wrong, right = right.where(level.passes(F.col("key"))), wrong
+        wrong, right = stash(right.where(level.passes(F.col("key")))), wrong
     raise RuntimeError(f"{max_levels} levels don't tell the keys apart")
 
 
@@ -132,7 +137,7 @@ def judge(pages: DataFrame, rules: Rules, default: str = "allow") -> DataFrame:
         return split.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     keyed = split.withColumn("keys", rules.keys(F.col("host"), F.col("path")))
     universe = keyed.select(F.explode("keys").alias("key"))
-    listed = lambda keys: spark.createDataFrame([(k,) for k in keys], "key string")
+    listed = lambda keys: spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(keys)), "array<string>")).alias("key"))
     blocked, allowed = build(listed(rules.block), universe), build(listed(rules.allow), universe, salt=1000)
     hits = F.filter("keys", lambda k: blocked.holds(k) | allowed.holds(k))
     best = F.array_max(F.transform(hits, lambda k: F.struct(F.length(k).alias("n"), k.alias("key"))))["key"]
