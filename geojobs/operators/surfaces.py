@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from geojobs.functions import expr, geometry
 from geojobs.operators.tiling import lod_tolerance
-from geojobs.operators.triangulate import simplify, triangulate
+from geojobs.operators.triangulate import simplify, triangulate, triangulate_sides
 
 EMPTY = f"cast(array() as {geometry.RINGS})"
 
@@ -30,14 +30,16 @@ def extrude(df: DataFrame, lower: Column, upper: Column, translate: Column, remo
     df = df.withColumns({"_flat": flat, "_swap": F.coalesce(mean(F.col("_low")) > mean(F.col("_high")), F.lit(False))})
     low, high = F.when(F.col("_swap"), F.col("_high")).otherwise(F.col("_low")), F.when(F.col("_swap"), F.col("_low")).otherwise(F.col("_high"))
     df = df.withColumns({"_lower": low, "_upper": F.when(F.col("_flat"), F.col("_low")).otherwise(high)})
-    df = df.withColumn("_roof", triangulate(F.col("_upper")))
+    if remove_bottom:
+        df = df.withColumn("_roof", triangulate(F.col("_upper")))
+    else:  # the footprint is triangulated once
+        df = df.withColumn("_sides", triangulate_sides(F.col("_upper"), F.col("_lower"))).withColumns({"_roof": F.col("_sides.roof"), "_bottom": F.col("_sides.bottom")})
     none = F.expr(EMPTY)
     solid = [F.col("_roof"), F.when(F.col("_flat") | (F.size("_roof") == 0), none).otherwise(geometry.walls(F.col("_lower"), F.col("_upper")))]
     if not remove_bottom:
-        df = df.withColumn("_bottom", triangulate(F.col("_lower"), reverse=True))
         solid.append(F.when(F.col("_flat"), none).otherwise(F.col("_bottom")))
     out = df.withColumn("triangles", F.coalesce(F.concat(*solid), none))
-    return out.drop("_l", "_u", "_t", "_low", "_high", "_flat", "_swap", "_lower", "_upper", "_roof", "_bottom")
+    return out.drop("_l", "_u", "_t", "_low", "_high", "_flat", "_swap", "_lower", "_upper", "_roof", "_bottom", "_sides")
 
 
 def drop_empty(df: DataFrame) -> tuple[DataFrame, DataFrame]:
