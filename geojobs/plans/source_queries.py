@@ -52,7 +52,10 @@ _OBJ = "SELECT line_no, TRY_CAST(string_split(value, ' ')[2] AS DOUBLE) AS x, TR
 
 @query("src_obj", over(f"SELECT row_number() OVER (ORDER BY line_no) AS vid, x, y, z FROM ({_OBJ}) o WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL", "obj_lines"))
 def src_obj(spark, d):
-    return files.obj_vertices(fixture(spark, d, "obj_lines"))
+    """The lines as the parts of a file, written in their order and read back by path."""
+    path = folder(spark)
+    fixture(spark, d, "obj_lines").repartitionByRange("line_no").sortWithinPartitions("line_no").select("value").write.text(path)
+    return files.read_obj(spark, path)[0]
 
 
 @query("obj_bbox", over(f"SELECT max(x) - min(x) AS size_x, max(y) - min(y) AS size_y, max(z) - min(z) AS size_z, (max(x) + min(x)) / 2 AS offset_x, (max(y) + min(y)) / 2 AS offset_y, (max(z) + min(z)) / 2 AS offset_z FROM ({_OBJ}) o WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL", "obj_lines"))
@@ -60,15 +63,14 @@ def obj_bbox(spark, d):
     return mesh.obj_bbox(files.obj_vertices(fixture(spark, d, "obj_lines")))
 
 
-@query("src_ply", over("SELECT count(*) AS points, round(sum(x), 3) AS x, round(sum(z), 3) AS z FROM cloud_points", "cloud_points"))
+@query("src_ply", over("SELECT pid, x, y, z FROM cloud_points", "cloud_points"))
 def src_ply(spark, d):
     path = folder(spark)
     rows = fixture(spark, d, "cloud_points").select("pid", "x", "y", "z")
     head = ["ply", "format ascii 1.0", f"element vertex {rows.count()}", "property double x", "property double y", "property double z", "end_header"]
     lines = spark.createDataFrame([(-len(head) + i, h) for i, h in enumerate(head)], "n long, value string").unionByName(rows.select(F.col("pid").alias("n"), F.concat_ws(" ", "x", "y", "z").alias("value")))
-    lines.repartitionByRange(1, "n").sortWithinPartitions("n").select("value").write.text(path)  # one file: its lines have an order
-    back = files.read_ply(spark, path)
-    return back.agg(F.count(F.lit(1)).alias("points"), F.round(F.sum("x"), 3).alias("x"), F.round(F.sum("z"), 3).alias("z"))
+    lines.repartitionByRange("n").sortWithinPartitions("n").select("value").write.text(path)  # parts of one file, in order
+    return files.read_ply(spark, path)
 
 
 @query("src_survey_json", over("SELECT 'cam' || camera_id AS camera_id, focal_x, k2, count(*) AS shots, round(sum(rx), 9) AS rx FROM shots JOIN cameras USING (camera_id) GROUP BY ALL", "shots", "cameras"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.window import Window
 
 from geojobs.functions.geometry import GEOMETRY
+from geojobs.operators.cloud import ranked
 from geojobs.operators.storage import open_store, qualified, settle
 
 XYZ = "x double, y double, z double, nx double, ny double, nz double"
@@ -21,16 +24,24 @@ XYZ = "x double, y double, z double, nx double, ny double, nz double"
 def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
     """FeatureCollections or features as JSON lines -> gid, the properties of the given DDL, geom with z (0 where missing).
 
-    ``gid`` is the feature's place in its file from 1; in collections of several files, files follow each other by name.
+    ``gid`` is the feature's place from 1; files follow each other by name. A file whose first line is a feature is read line by line
+    and so by many tasks; only a collection, one JSON document, is read as a whole.
     """
-    geometry = "geometry struct<type:string,coordinates:string>"
-    feature = f"struct<type:string,properties:struct<{','.join(p.strip().replace(' ', ':', 1) for p in properties.split(','))}>,{geometry.replace(' ', ':', 1)}>"
-    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    docs = texts.select("file", F.from_json("value", f"type string, features array<{feature}>").alias("d"), "value")
-    whole = docs.where("d.features is not null").select("file", F.posexplode("d.features").alias("at", "f"))
-    lines = docs.where("d.features is null").select("file", F.posexplode(F.split("value", "\n")).alias("at", "line")).where(F.trim("line") != "")
-    lines = lines.select("file", "at", F.from_json(F.concat(F.lit('{"f":'), "line", F.lit("}")), f"f {feature}")["f"].alias("f"))
-    return _features(whole.unionByName(lines))
+    fields = ",".join(p.strip().replace(" ", ":", 1) for p in properties.split(","))
+    feature = f"struct<type:string,properties:struct<{fields}>,geometry:struct<type:string,coordinates:string>>"
+    file, start = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start")
+    heads = spark.read.text(path).where((start == 0) & (F.trim("value") != "")).select(file, "value", F.monotonically_increasing_id().alias("at"))
+    heads = heads.groupBy("file").agg(F.min_by("value", "at").alias("head"))
+    kinds = heads.select("file", (F.from_json("head", "type string")["type"] == "Feature").alias("lines")).collect()  # a row for each file
+    found = []
+    if by_line := [r["file"] for r in kinds if r["lines"]]:
+        rows = numbered(spark, by_line).where(F.trim("value") != "")
+        found.append(rows.select("file", F.col("line_no").alias("at"), F.from_json(F.concat(F.lit('{"f":'), "value", F.lit("}")), f"f {feature}")["f"].alias("f")))
+    if whole := [r["file"] for r in kinds if not r["lines"]]:
+        docs = spark.read.text(whole, wholetext=True).select(file, F.from_json("value", f"features array<{feature}>")["features"].alias("fs"))
+        found.append(docs.select("file", F.posexplode("fs").alias("at", "f")))
+    none = spark.createDataFrame([], f"file string, at long, f {feature}")
+    return _features(reduce(DataFrame.unionByName, found, none))
 
 
 def _features(rows: DataFrame) -> DataFrame:
@@ -41,7 +52,8 @@ def _features(rows: DataFrame) -> DataFrame:
     out = rows.select((F.col("at") + 1).cast("long").alias("at"), "file", "f.properties.*", F.struct(kind.alias("type"), full.alias("rings")).cast(GEOMETRY).alias("geom"))
     names = [c for c in out.columns if c not in ("at", "file", "geom")]
     sizes = out.groupBy("file").agg(F.max("at").alias("n"))
-    starts = sizes.join(sizes.select(F.col("file").alias("f2"), F.col("n").alias("n2")), F.col("f2") < F.col("file"), "left").groupBy("file").agg(F.coalesce(F.sum("n2"), F.lit(0)).alias("before"))  # files, not features
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    starts = sizes.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     return out.join(starts, "file").select((F.col("at") + F.col("before")).alias("gid"), *names, "geom")
 
 
@@ -50,40 +62,66 @@ def read_xyz(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=XYZ, enforceSchema=True)
 
 
-def numbered(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, value): text lines with their numbers within each file, from 0, without reading a file in one task.
+def numbered(spark: SparkSession, path: str | list[str], through: bool = False) -> DataFrame:
+    """(file, line_no, value): text lines with their numbers from 0 within each file, or ``through`` all files by name.
 
-    Lines of a split come in order, so a line's number is its place in the split and what the splits before hold.
+    No file is read by one task. Lines of a split come in order, so a line's number is its place in the split and what the splits
+    before hold: a running sum over a row for each split.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
     lines = settle(lines)
     splits = lines.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
-    earlier = splits.select(F.col("file").alias("f"), F.col("start").alias("s"), F.col("n").alias("m"))
-    before = splits.join(earlier, (F.col("f") == F.col("file")) & (F.col("s") < F.col("start")), "left").groupBy("file", "start", "first").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("before"))  # splits, not lines
-    return lines.join(before, ["file", "start"]).select("file", (F.col("at") - F.col("first") + F.col("before")).alias("line_no"), "value")
+    order = Window.orderBy("file", "start") if through else Window.partitionBy("file").orderBy("start")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("file", "start", "first", before.alias("before"))
+    return lines.join(splits, ["file", "start"]).select("file", (F.col("at") - F.col("first") + F.col("before")).alias("line_no"), "value")
+
+
+def read_obj(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(vertices, faces) of an OBJ file, or of the parts of one in a folder, which follow each other by name."""
+    lines = settle(numbered(spark, path, through=True).select("line_no", "value"))
+    return obj_vertices(lines), obj_faces(lines)
+
+
+def _words(lines: DataFrame, kind: str) -> DataFrame:
+    """(line_no, p): the words of the lines that begin with ``kind`` and a space."""
+    return lines.where(F.col("value").startswith(kind + " ")).select("line_no", F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ").alias("p"))
+
+
+def _vertices(lines: DataFrame) -> DataFrame:
+    rows = _words(lines, "v").where(F.size("p") >= 4)
+    rows = rows.select("line_no", *[F.try_element_at("p", F.lit(i + 2)).try_cast("double").alias(c) for i, c in enumerate("xyz")])
+    return rows.where("x is not null and y is not null and z is not null")
 
 
 def obj_vertices(lines: DataFrame) -> DataFrame:
     """``lines(line_no, value)`` -> vid (from 1, in file order), x, y, z. Short or unreadable ``v`` lines are skipped."""
-    parts = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
-    rows = lines.where(F.col("value").startswith("v ")).select("line_no", parts.alias("p")).where(F.size("p") >= 4)
-    rows = rows.select("line_no", *[F.try_element_at("p", F.lit(i + 2)).try_cast("double").alias(c) for i, c in enumerate("xyz")]).where("x is not null and y is not null and z is not null")
-    from geojobs.operators.cloud import ranked
-
-    return ranked(rows, "line_no").select((F.col("rank") + 1).alias("vid"), "x", "y", "z")
+    return ranked(_vertices(lines), "line_no").select((F.col("rank") + 1).alias("vid"), "x", "y", "z")
 
 
 def obj_faces(lines: DataFrame) -> DataFrame:
-    """``lines(line_no, value)`` -> fid, a, b, c: faces as fans of triangles about their first corner."""
-    parts = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
-    rows = lines.where(F.col("value").startswith("f ")).select("line_no", F.transform(F.slice(parts, 2, 1_000_000), lambda t: F.split(t, "/")[0].try_cast("long")).alias("v"))
-    fans = rows.where(F.size("v") >= 3).select("line_no", "v", F.explode(F.sequence(F.lit(1), F.size("v") - 2)).alias("k"))
-    made = fans.select((F.col("line_no") * 1_000 + F.col("k")).alias("fid"), F.col("v")[0].alias("a"), F.element_at("v", F.col("k") + 1).alias("b"), F.element_at("v", F.col("k") + 2).alias("c"))
+    """``lines(line_no, value)`` -> fid, a, b, c: faces as fans of triangles about their first corner.
+
+    Numbers count vertices from 1, or from the face's line backwards where they are negative. ``fid`` has the line in its upper bits
+    and the triangle in its lower 24, so that faces of millions of corners don't collide.
+    """
+    corners = F.transform(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))), lambda t: F.split(t, "/")[0].try_cast("long"))
+    rows = _words(lines, "f").select("line_no", corners.alias("v")).where(F.size("v") >= 3)
+    back = rows.where(F.exists("v", lambda i: i < 0))
+    plain = rows.where(~F.coalesce(F.exists("v", lambda i: i < 0), F.lit(False)))
+    # How many vertices stand before a face: its place among vertices and such faces, less such faces before it.
+    both = _vertices(lines).select("line_no", F.lit(None).cast("array<bigint>").alias("v")).unionByName(back)
+    placed = ranked(both, "line_no").where("v is not null").withColumnRenamed("rank", "_all")
+    placed = ranked(placed, "line_no").select("line_no", (F.col("_all") - F.col("rank")).alias("n"), "v")
+    turned = placed.select("line_no", F.transform("v", lambda i: F.when(i < 0, F.col("n") + 1 + i).otherwise(i)).alias("v"))
+    fans = plain.unionByName(turned).select("line_no", "v", F.explode(F.sequence(F.lit(1), F.size("v") - 2)).alias("k"))
+    fid = F.shiftleft(F.col("line_no").cast("long"), 24) + F.col("k")
+    made = fans.select(fid.alias("fid"), F.col("v")[0].alias("a"), F.element_at("v", F.col("k") + 1).alias("b"), F.element_at("v", F.col("k") + 2).alias("c"))
     return made.where("a is not null and b is not null and c is not null")
 
 
 def read_ply(spark: SparkSession, path: str) -> DataFrame:
-    """ASCII PLY -> pid and the vertices' properties as doubles. The header is read by the driver."""
+    """ASCII PLY, a file or the parts of one in a folder -> pid and the vertices' properties as doubles. The driver reads the header."""
     head, kinds, count, inside = [r["value"] for r in spark.read.text(path).limit(200).collect()], [], 0, False
     if not head or head[0].strip() != "ply" or "format ascii 1.0" not in [h.strip() for h in head]:
         raise ValueError(f"{path} is no ASCII PLY file")
@@ -99,7 +137,7 @@ def read_ply(spark: SparkSession, path: str) -> DataFrame:
             break
     else:
         raise ValueError(f"the header of {path} has no end")
-    rows = numbered(spark, path).where(F.col("line_no").between(begin, begin + count - 1))
+    rows = numbered(spark, path, through=True).where(F.col("line_no").between(begin, begin + count - 1))
     parts = F.split(F.trim("value"), r"\s+")
     return rows.select((F.col("line_no") - begin).alias("pid"), *[parts[i].cast("double").alias(n) for i, n in enumerate(kinds)])
 

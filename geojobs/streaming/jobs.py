@@ -19,38 +19,54 @@ def inspect(files: DataFrame) -> DataFrame:
 
 
 def ingest(spark: SparkSession, path: str, checkpoint: str, sink: str) -> StreamingQuery:
-    """Every file that arrives in ``path`` adds one row to the table at ``sink``, once per path."""
+    """Every file that arrives in ``path`` adds one row to the table at ``sink``, once per path. No file's content is read."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").load(path)
 
     def write(batch: DataFrame, number: int) -> None:
         # A batch that runs again after a failure replaces its own folder.
-        inspect(batch.select("path", "length")).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        inspect(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
-    return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return files.select("path", "length").writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+STATE = "task_id bigint, status string, ts timestamp, event_id bigint, result string, result_ts timestamp, result_id bigint"
+#: A batch of such a number writes down all tasks; the others only those that they touch.
+EVERY = 32
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """One row of STATE per task: the latest event and the latest success."""
+    order, success = F.struct("ts", "event_id"), F.when(F.col("result_ts").isNotNull(), F.struct("result_ts", "result_id"))
+    found = rows.groupBy("task_id").agg(F.max_by("status", order).alias("status"), F.max(order).alias("o"), F.max_by("result", success).alias("result"), F.max(success).alias("s"))
+    return found.select("task_id", "status", "o.ts", "o.event_id", "result", "s.result_ts", "s.result_id")
+
+
+def _since(spark: SparkSession, target: str, last: int) -> DataFrame:
+    """State up to batch ``last``: what the last full batch wrote and all after it. Batches without events have written nothing."""
+    first = last - last % EVERY
+    rows = spark.read.schema(STATE).option("basePath", target).parquet(target)
+    return rows.where(F.col("batch").between(first, last)).drop("batch")  # prunes the folders of other batches
 
 
 def status(spark: SparkSession, source: str, checkpoint: str, target: str) -> StreamingQuery:
-    """Status events (Parquet files of STATUS) -> the current row of each task at ``target``/version=n, the last n holding.
+    """Status events (Parquet files of STATUS) -> the state of the tasks that a batch touches at ``target``/batch=n.
 
-    Late and repeated events change nothing: rows compare by event time and id, and a result is that of the last success.
+    Late and repeated events change nothing: rows compare by event time and id, and a result is that of the last success. Every
+    EVERY-th batch writes all tasks, so that ``current`` reads EVERY folders at most; older ones may be deleted at any time.
     """
     events = spark.readStream.schema(STATUS).parquet(source)
-    schema = "task_id bigint, status string, ts timestamp, event_id bigint, result string, result_ts timestamp, result_id bigint"
 
     def write(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        now = batch.select("task_id", "status", "ts", "event_id", F.when(F.col("status") == "SUCCESS", F.col("result")).alias("result"), F.when(F.col("status") == "SUCCESS", F.col("ts")).alias("result_ts"), F.when(F.col("status") == "SUCCESS", F.col("event_id")).alias("result_id"))
-        before = session.read.schema(schema).parquet(f"{target}/version={number - 1}") if number else session.createDataFrame([], schema)
-        order, success = F.struct("ts", "event_id"), F.when(F.col("result_ts").isNotNull(), F.struct("result_ts", "result_id"))
-        both = before.unionByName(now).groupBy("task_id")
-        merged = both.agg(F.max_by("status", order).alias("status"), F.max(order).alias("o"), F.max_by("result", success).alias("result"), F.max(success).alias("s"))
-        merged.select("task_id", "status", "o.ts", "o.event_id", "result", "s.result_ts", "s.result_id").write.mode("overwrite").parquet(f"{target}/version={number}")
+        success = lambda c: F.when(F.col("status") == "SUCCESS", F.col(c))
+        rows = batch.select("task_id", "status", "ts", "event_id", success("result").alias("result"), success("ts").alias("result_ts"), success("event_id").alias("result_id"))
+        if number and number % EVERY == 0:
+            rows = rows.unionByName(_since(batch.sparkSession, target, number - 1))
+        _merged(rows).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current(spark: SparkSession, target: str) -> DataFrame:
-    """The rows of the last version."""
-    rows = spark.read.option("basePath", target).parquet(f"{target}/version=*")
-    last = rows.agg(F.max("version")).first()[0]
-    return rows.where(F.col("version") == last).select("task_id", "status", "ts", "result")
+    """The current row of each task."""
+    last = max(int(name.partition("batch=")[2].partition("/")[0]) for name in spark.read.schema(STATE).parquet(target).inputFiles())
+    return _merged(_since(spark, target, last)).select("task_id", "status", "ts", "result")
