@@ -149,60 +149,110 @@ def _blocks(points: DataFrame, side: float, halo: float) -> DataFrame:
     return rows.withColumn("_own", (F.col("_i") == F.col("_oi")) & (F.col("_j") == F.col("_oj"))).drop("_oi", "_oj")
 
 
-class Grid:
-    """Points of a block by cubes of ``side``: what lies in and about a point's cube."""
+def _keyed(points: DataFrame, scope: str) -> DataFrame:
+    """(pid, x, y, z, _p): points with their part where only those of a part see each other. Points without a place are left out."""
+    part = F.col("part").cast("long") if scope == "part" else F.lit(0).cast("long")
+    placed = points.where("x is not null and y is not null and z is not null and not isnan(x) and not isnan(y) and not isnan(z)")
+    return placed.select("pid", *[F.col(c).cast("double").alias(c) for c in "xyz"], F.coalesce(part, F.lit(-1).cast("long")).alias("_p"))
 
-    def __init__(self, xyz: np.ndarray, side: float):
-        self.cells = np.floor(xyz / side).astype(np.int64)
-        self.order = np.lexsort(self.cells.T[::-1])
-        sorted_ = self.cells[self.order]
-        starts = np.flatnonzero(np.concatenate(([True], (sorted_[1:] != sorted_[:-1]).any(axis=1)))) if len(xyz) else np.empty(0, int)
-        self.at = {tuple(sorted_[s]): self.order[s:e] for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(xyz)])}
 
-    def around(self, cell: tuple[int, int, int]) -> np.ndarray:
-        x, y, z = cell
-        found = [self.at[c] for c in ((x + a, y + b, z + d) for a in (-1, 0, 1) for b in (-1, 0, 1) for d in (-1, 0, 1)) if c in self.at]
-        return np.concatenate(found) if found else np.empty(0, int)
+#: Points in a cell that only one of them can stay in, from which on the cell is hot.
+HOT = 64
 
 
-def _sample_round(radius: float):
-    """Of a block's undecided points: keep those with no undecided or kept neighbour of smaller pid, drop those near kept ones."""
+def _thin_hot(points: DataFrame, radius: float) -> DataFrame:
+    """``points`` with ``state``: 1 for the first point of a hot cell if no cell about it has an earlier one, 2 for those near such points.
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pid", kind="stable").reset_index(drop=True)
-        xyz, state, own = pdf[["x", "y", "z"]].to_numpy(float), pdf["state"].to_numpy().copy(), pdf["_own"].to_numpy()
-        grid = Grid(xyz, radius)
-        edge = pdf["_edge"].to_numpy()
-        # In order of pid every neighbour that could drop a point is decided before it, unless it stands at the block's rim.
-        for i in range(len(pdf)):
-            if state[i] != 0:
-                continue
-            near = grid.around(tuple(grid.cells[i]))
-            near = near[near < i]
-            near = near[((xyz[near] - xyz[i]) ** 2).sum(axis=1) < radius * radius]
-            if (state[near] == 1).any():
-                state[i] = 2
-            elif not (state[near] == 0).any() and not edge[i]:
-                state[i] = 1
-        return pd.DataFrame({"pid": pdf["pid"][own], "new": state[own].astype("int32")})
+    Two points of a cell of side radius / 2 are nearer than the radius. Cells are counted before anything is shuffled; of a spot that
+    holds a share of all points, nothing but its first point goes on.
+    """
+    side = radius / 2
+    cell = ["_p", "_a", "_b", "_c"]
+    placed = points.withColumns({n: F.floor(F.col(c) / side) for n, c in zip(("_a", "_b", "_c"), "xyz")})
+    cells = settle(placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("pid", "x", "y", "z")).alias("first")))
+    hot = cells.where(F.col("n") > HOT)
+    if hot.isEmpty():
+        return points.withColumn("state", F.lit(0))
+    steps = F.sequence(F.lit(-2), F.lit(2))
+    about = lambda df: df.withColumn("_da", F.explode(steps)).withColumn("_db", F.explode(steps)).withColumn("_dc", F.explode(steps))
+    to = [F.col("_p"), *[(F.col(n) + F.col("_d" + n[1])).alias(n) for n in ("_a", "_b", "_c")]]
+    asked = about(hot.select(*cell, F.col("first.pid").alias("mine"))).select(*to, "mine").join(cells.select(*cell, F.col("first.pid").alias("pid")), cell)
+    early = asked.where("pid < mine").select(F.col("mine").alias("pid")).distinct()
+    kept = settle(hot.select("_p", "_a", "_b", "_c", "first.*").join(early, "pid", "left_anti"))
+    near = about(kept).select(*to, F.struct("pid", "x", "y", "z").alias("_k")).groupBy(*cell).agg(F.collect_list("_k").alias("_ks"))  # 125 at most
+    apart = lambda k: (k["x"] - F.col("x")) * (k["x"] - F.col("x")) + (k["y"] - F.col("y")) * (k["y"] - F.col("y")) + (k["z"] - F.col("z")) * (k["z"] - F.col("z"))
+    state = F.when(F.exists("_ks", lambda k: k["pid"] == F.col("pid")), 1).when(F.exists("_ks", lambda k: (k["pid"] < F.col("pid")) & (apart(k) < radius * radius)), 2).otherwise(0)
+    return placed.join(near, cell, "left").withColumn("state", F.when(F.col("_ks").isNull(), 0).otherwise(state)).drop("_a", "_b", "_c", "_ks")
+
+
+def _sample_pass(radius: float):
+    """Blocks' points in order of pid -> pid, new: one pass that holds the kept points and the cells with undecided ones, nothing else.
+
+    Of a cell of side radius / 2 one point can stay, so what is held depends on a block's extent, not on its points. A point waits for
+    cells with earlier undecided ones within reach, and at the block's rim.
+    """
+    from itertools import product
+
+    import pyarrow as pa
+
+    half, square = radius / 2, radius * radius
+    reach = [(a, b, c) for a, b, c in product(range(-2, 3), repeat=3) if sum(max(0, abs(d) - 1) ** 2 for d in (a, b, c)) < 4]
+
+    def run(batches):
+        block, kept, waiting = None, {}, set()
+        for batch in batches:
+            p, i, j, pid = (batch.column(n).to_numpy(zero_copy_only=False) for n in range(4))
+            xyz = np.column_stack([batch.column(n).to_numpy(zero_copy_only=False) for n in (4, 5, 6)])
+            state, own, edge = (batch.column(n).to_numpy(zero_copy_only=False) for n in (7, 8, 9))
+            cells, new = np.floor(xyz / half).astype(np.int64).tolist(), state.tolist()
+            places, rim = xyz.tolist(), edge.tolist()
+            for at, key in enumerate(zip(p.tolist(), i.tolist(), j.tolist())):
+                if key != block:
+                    block, kept, waiting = key, {}, set()
+                cell = tuple(cells[at])
+                if new[at] == 1:
+                    kept[cell] = places[at]
+                    continue
+                if cell in kept:
+                    new[at] = 2
+                    continue
+                (x, y, z), (a, b, c) = places[at], cell
+                wait = rim[at] or cell in waiting
+                for da, db, dc in reach:
+                    other = (a + da, b + db, c + dc)
+                    q = kept.get(other)
+                    if q is not None and (q[0] - x) ** 2 + (q[1] - y) ** 2 + (q[2] - z) ** 2 < square:
+                        new[at] = 2
+                        break
+                    if not wait and other in waiting:
+                        wait = True
+                else:
+                    if wait:
+                        waiting.add(cell)
+                    else:
+                        new[at] = 1
+                        kept[cell] = places[at]
+            mine = np.flatnonzero(own & (state == 0))
+            yield pa.RecordBatch.from_arrays([pa.array(pid[mine]), pa.array(np.array(new, np.int32)[mine])], names=["pid", "new"])
 
     return run
 
 
-def poisson_sample(points: DataFrame, radius: float, max_rounds: int = 50, block: float | None = None) -> DataFrame:
+def poisson_sample(points: DataFrame, radius: float, max_rounds: int = 200, block: float | None = None, scope: str = "cloud") -> DataFrame:
     """Points of which no two are nearer than ``radius``: a point stays unless a kept one of smaller pid is nearer.
 
     Blocks with a rim of twice the radius decide what they can; what depends on points beyond the rim waits for the next round. The
-    result is that of one pass by pid, however the cloud is dealt.
+    result is that of one pass by pid, however the cloud is dealt. With ``scope`` part only points of one ``part`` see each other.
+    Points without a place (null or NaN) stay out of the result; pids are unique.
     """
-    side = block or max(32 * radius, 8 * radius)
-    halo = 2 * radius
-    state = settle(points.select("pid", "x", "y", "z").withColumn("state", F.lit(0)))
+    side = block or 32 * radius
+    state = settle(_thin_hot(_keyed(points, scope), radius))
     for _ in range(max_rounds):
-        rows = _blocks(state.where("state != 2"), side, halo)
+        todo = state.where("state = 0").select("_p", F.floor(F.col("x") / side).alias("_i"), F.floor(F.col("y") / side).alias("_j")).distinct()
+        rows = _blocks(state.where("state != 2"), side, 2 * radius).join(todo, ["_p", "_i", "_j"], "left_semi")
         beyond = lambda c, b: (F.col(c) < F.col(b) * side - radius) | (F.col(c) >= (F.col(b) + 1) * side + radius)
-        rows = rows.withColumn("_edge", beyond("x", "_i") | beyond("y", "_j"))
-        made = rows.groupBy("_i", "_j").applyInPandas(_sample_round(radius), "pid long, new int")
+        rows = rows.select("_p", "_i", "_j", "pid", "x", "y", "z", "state", "_own", (beyond("x", "_i") | beyond("y", "_j")).alias("_edge"))
+        made = rows.repartition("_p", "_i", "_j").sortWithinPartitions("_p", "_i", "_j", "pid").mapInArrow(_sample_pass(radius), "pid long, new int")
         state = settle(state.join(made, "pid", "left").withColumn("state", F.coalesce("new", "state")).drop("new"))
         if state.where("state = 0").isEmpty():
             return points.join(state.where("state = 1").select("pid"), "pid", "left_semi")
@@ -210,66 +260,106 @@ def poisson_sample(points: DataFrame, radius: float, max_rounds: int = 50, block
 
 
 def _nearest(k: int):
+    """A block's chunk -> for each asking place its distances to the k nearest others of the chunk, as often as points stand there."""
+
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        xyz, own = pdf[["x", "y", "z"]].to_numpy(float), np.flatnonzero(pdf["_own"].to_numpy())
-        if not own.size:
-            return pd.DataFrame({"pid": [], "mean": [], "kth": [], "safe": []})
-        mean, kth = np.full(own.size, np.nan), np.full(own.size, np.inf)
-        for at in range(0, own.size, max(1, 4_000_000 // len(xyz))):
-            part = own[at : at + max(1, 4_000_000 // len(xyz))]
-            d = np.zeros((part.size, len(xyz)))
+        asks, rest = pdf[pdf["ask"]], pdf[~pdf["ask"]]
+        ask, xyz = asks[["x", "y", "z"]].to_numpy(float), rest[["x", "y", "z"]].to_numpy(float)
+        ids, others, weight = asks["spot"].to_numpy(), rest["spot"].to_numpy(), rest["n"].to_numpy()
+        near: list[np.ndarray] = []
+        step = max(1, 4_000_000 // max(1, len(xyz)))
+        n = min(k + 1, len(xyz))
+        for at in range(0, len(ask), step):
+            part = ask[at : at + step]
+            d = np.zeros((len(part), len(xyz)))
             for c in range(3):
-                d += (xyz[part, c][:, None] - xyz[None, :, c]) ** 2
-            d[np.arange(part.size), part] = np.inf
-            n = min(k, len(xyz) - 1)
-            if n:
-                near = np.sqrt(np.sort(np.partition(d, n - 1, axis=1)[:, :n], axis=1))
-                mean[at : at + part.size] = near.mean(axis=1)
-                if n == k:
-                    kth[at : at + part.size] = near[:, -1]
-        box = pdf.iloc[0]
-        low = np.array([box["_i"], box["_j"]]) * box["_side"] - box["_halo"]
-        high = (np.array([box["_i"], box["_j"]]) + 1) * box["_side"] + box["_halo"]
-        safe = np.minimum(xyz[own, :2] - low, high - xyz[own, :2]).min(axis=1)
-        return pd.DataFrame({"pid": pdf["pid"].to_numpy()[own], "mean": mean, "kth": kth, "safe": safe})
+                d += (part[:, c][:, None] - xyz[None, :, c]) ** 2
+            d[ids[at : at + step, None] == others[None, :]] = np.inf
+            if not n:
+                near += [np.empty(0)] * len(part)
+                continue
+            first = np.argpartition(d, n - 1, axis=1)[:, :n]
+            d = np.take_along_axis(d, first, axis=1)
+            order = np.argsort(d, axis=1)
+            d, w = np.sqrt(np.take_along_axis(d, order, axis=1)), weight[np.take_along_axis(first, order, axis=1)]
+            for row, times in zip(d, w):
+                row, times = row[np.isfinite(row)], times[np.isfinite(row)]
+                near.append((row if (times == 1).all() else np.repeat(row, np.minimum(times, k)))[:k])
+        return pd.DataFrame({"spot": ids, "near": near})
 
     return run
 
 
-def knn_mean(points: DataFrame, k: int, block_points: int = 4_000) -> DataFrame:
+def _search(asks: DataFrame, spots: DataFrame, side: float, halo: float, k: int, limit: int) -> DataFrame:
+    """(asks.., near, safe): distances to the k nearest points within the rim of the asking place's block, and how far that reaches.
+
+    Blocks with over ``limit`` places are searched chunk by chunk, and so are asking places, so that no task holds a dense block.
+    """
+    own = [F.floor(F.col(c) / side).alias(n) for c, n in (("x", "_i"), ("y", "_j"))]
+    block = ["_p", "_i", "_j"]
+    asks = asks.select("*", *own)
+    many = lambda c: F.greatest(F.lit(1).cast("long"), F.ceil(F.col(c) / limit).cast("long"))
+    live = asks.groupBy(*block).agg(F.count(F.lit(1)).alias("asks"))
+    near = _blocks(spots, side, halo).drop("_own").join(live.select(*block), block, "left_semi")
+    counts = near.groupBy(*block).agg(F.count(F.lit(1)).alias("places"))
+    sizes = settle(live.join(counts, block, "left").select(*block, many("asks").alias("_a"), many("places").alias("_c")))
+    deal = lambda c: F.pmod(F.xxhash64("spot"), F.col(c))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    cols = ["spot", "x", "y", "z", "n"]
+    right = near.join(sizes, block).select(*block, deal("_c").alias("_k"), every("_a").alias("_l"), *cols, F.lit(False).alias("ask"))
+    left = asks.join(sizes, block).select(*block, every("_c").alias("_k"), deal("_a").alias("_l"), *cols, F.lit(True).alias("ask"))
+    found = left.unionByName(right).groupBy(*block, "_k", "_l").applyInPandas(_nearest(k), "spot long, near array<double>")
+    found = found.groupBy("spot").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    safe = F.least(*[f for c, n in (("x", "_i"), ("y", "_j")) for f in (F.col(c) - (F.col(n) * side - halo), (F.col(n) + 1) * side + halo - F.col(c))])
+    return asks.join(found, "spot").withColumn("safe", safe).drop("_i", "_j")
+
+
+def knn_mean(points: DataFrame, k: int, block_points: int = 4_000, scope: str = "cloud") -> DataFrame:
     """``(pid, mean_distance)``: mean distance of each point to its k nearest others (to all others, if there are fewer).
 
-    Blocks with a rim answer for the points whose k-th neighbour is nearer than the rim's edge; the others ask again with twice the
-    rim, until the rim takes in the whole cloud.
+    Points at one place are one asking place. A quadtree splits blocks until they hold ``block_points`` places; the smallest blocks ask
+    first, with a rim of a quarter of their side. Places whose k-th neighbour may lie beyond the rim ask again with the blocks of a
+    higher level, and at last with ever wider rims, until these take in the whole cloud. With ``scope`` part only points of one ``part``
+    are neighbours. Points without a place are left out; one alone has a null distance.
     """
-    box = points.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d")).first()
-    if not box["n"]:
-        return points.select("pid", F.lit(None).cast("double").alias("mean_distance"))
-    width, height = max(box["b"] - box["a"], 1e-9), max(box["d"] - box["c"], 1e-9)
-    side = max(width, height) if box["n"] <= block_points else max((width * height * block_points / box["n"]) ** 0.5, max(width, height) / 4096)
-    halo = max(side / 4, (width * height * k / box["n"]) ** 0.5)
-    asked, done = points.select("pid", "x", "y", "z"), []
-    todo = asked
+    from geojobs.operators.tiling import tile_budget
+
+    rows = _keyed(points, scope)
+    spots = rows.groupBy("_p", "x", "y", "z").agg(F.count(F.lit(1)).alias("n"), F.min("pid").alias("spot"))
+    # Every other level will do, the finer of two: half the rounds.
+    spots = settle(tile_budget(spots, ["x", "y"], block_points, 20).drop("tile").withColumn("level", F.col("level") + F.col("level") % 2))
+    box = spots.agg(F.max("level").alias("deepest"), *[f(c).alias(n + c) for c in "xy" for n, f in (("a", F.min), ("b", F.max))]).first()
+    if box["deepest"] is None:
+        return points.select("pid", F.lit(None).cast("double").alias("mean_distance")).limit(0)
+    span = max(box["bx"] - box["ax"], box["by"] - box["ay"]) or 1.0
+    levels = sorted((r["level"] for r in spots.select("level").distinct().collect()), reverse=True)  # 21 at most
+    plain = spots.drop("level")
+    # Points of the place itself come first, at distance 0.
+    zeros = F.array_repeat(F.lit(0.0), F.least(F.col("n") - 1, F.lit(k)).cast("int"))
+    done, todo, level, side = [], [], levels[0], span / 2 ** levels[0]
+    halo = side / 4
     while True:
-        whole = halo >= 2 * max(width, height)
-        blocks = _blocks(asked, side, halo).withColumns({"_side": F.lit(side), "_halo": F.lit(halo)})
-        if done:  # only blocks with open points, and only those points ask
-            own = todo.select("pid", F.lit(True).alias("_ask"))
-            blocks = blocks.join(own, "pid", "left").withColumn("_own", F.col("_own") & F.col("_ask").isNotNull()).drop("_ask")
-            live = blocks.where("_own").select("_i", "_j").distinct()
-            blocks = blocks.join(live, ["_i", "_j"], "left_semi")
-        found = settle(blocks.groupBy("_i", "_j").applyInPandas(_nearest(k), "pid long, mean double, kth double, safe double"))
-        ok = F.lit(True) if whole else F.col("kth") <= F.col("safe")
-        done.append(found.where(ok).select("pid", F.col("mean").alias("mean_distance")))
-        todo = found.where(~ok).select("pid")
-        if whole or todo.isEmpty():
-            return reduce(DataFrame.unionByName, done)
-        halo *= 2
+        asks = todo + ([spots.where(F.col("level") == level).drop("level")] if level in levels else [])
+        if asks:
+            found = _search(reduce(DataFrame.unionByName, asks), plain, side, halo, k, block_points)
+            found = settle(found.withColumn("near", F.slice(F.array_sort(F.concat(zeros, "near")), 1, k)))
+            whole = halo >= 2 * span
+            ok = F.lit(True) if whole else F.coalesce((F.size("near") == k) & (F.try_element_at("near", F.lit(-1)) <= F.col("safe")), F.lit(False))
+            mean = F.aggregate("near", F.lit(0.0), lambda s, v: s + v, lambda s: F.try_divide(s, F.size("near")))
+            done.append(found.where(ok).select("_p", "x", "y", "z", mean.alias("mean_distance")))
+            rest = found.where(~ok).drop("near", "safe")
+            todo = [] if whole or rest.isEmpty() else [rest]
+        if level <= 0 and not todo:
+            break
+        level -= 2
+        side, halo = (4 * side, 4 * halo) if level >= 0 else (side, 2 * halo)
+    return rows.join(reduce(DataFrame.unionByName, done), ["_p", "x", "y", "z"]).select("pid", "mean_distance")
 
 
 def outlier(points: DataFrame, k: int = 8, multiplier: float = 2.0, scope: str = "cloud") -> DataFrame:
-    """Class 7 where the mean distance to k neighbours is over mean + multiplier x stddev (sample) of the cloud, or of the ``part``."""
-    near = settle(knn_mean(points, k))
+    """Class 7 where the mean distance to k neighbours is over mean + multiplier x stddev (sample) of the cloud, or, with ``scope`` part,
+    of the ``part``, whose points then know no neighbours but their own."""
+    near = settle(knn_mean(points, k, scope=scope))
     rows = points.join(near, "pid", "left")
     keys = ["part"] if scope == "part" else []
     limit = rows.groupBy(*keys).agg((F.avg("mean_distance") + multiplier * F.coalesce(F.stddev_samp("mean_distance"), F.lit(0.0))).alias("_limit"))

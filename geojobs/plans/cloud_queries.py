@@ -153,13 +153,23 @@ def smrf_ground(spark, d):
     return cloud.smrf(cloud.elm(points(spark, d)), block=64).groupBy("classification").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    "octree_tiles",
-    over(budget_sql("SELECT pid, x, y, z FROM cloud_points", "x y z", 200, 8) + "SELECT count(*) AS points, count(DISTINCT pid) AS pids, CAST(max(level) AS INTEGER) AS depth FROM leafs", "cloud_points"),
-)
+def octree_sql(budget: int, level: int = 8) -> str:
+    """SQL of the octree over ``cloud_points``: ``nodes3(pid, level, tx, ty, tz)``, a point in the shallowest node that it stands for."""
+    fine = ", ".join(f"c_{a} >> CAST(greatest(0, {level} - q.range - 3) AS BIGINT) AS f_{a}" for a in "xyz")
+    return (
+        budget_sql("SELECT pid, x, y, z FROM cloud_points", "x y z", budget, level)
+        + f", firsts AS (SELECT up_, min(pid) AS pid FROM (SELECT pid, q.range AS up_, {fine} FROM leafs JOIN range({level}) q ON q.range < level) i GROUP BY up_, f_x, f_y, f_z), ups AS (SELECT pid, min(up_) AS up_ FROM firsts GROUP BY pid)"
+        + f", nodes3 AS (SELECT pid, n AS level, c_x >> ({level} - n) AS tx, c_y >> ({level} - n) AS ty, c_z >> ({level} - n) AS tz FROM (SELECT l.*, coalesce(u.up_, l.level) AS n FROM leafs l LEFT JOIN ups u USING (pid)) w)"
+    )
+
+
+def _tile(rows, *more):
+    return rows.select("pid", F.col("level").cast("long").alias("level"), *[F.col("tile")[i].alias(n) for i, n in enumerate(("tx", "ty", "tz"))], *more)
+
+
+@query("octree_tiles", over(octree_sql(200) + " SELECT pid, CAST(level AS BIGINT) AS level, tx, ty, tz FROM nodes3", "cloud_points"))
 def octree_tiles(spark, d):
-    out = tiling.octree_tiles(points(spark, d), 200, 8)
-    return out.agg(F.count(F.lit(1)).alias("points"), F.countDistinct("pid").alias("pids"), F.max("level").alias("depth"))
+    return _tile(tiling.octree_tiles(points(spark, d), 200, 8))
 
 
 @query("job_cloud_inspect", over(f"SELECT pid, x - c.center_x AS x, y - c.center_y AS y, z - c.center_z AS z FROM cloud_points CROSS JOIN (SELECT {_SIZES} FROM cloud_points) c WHERE pid % CAST(ceil((SELECT count(*) FROM cloud_points) / 500.0) AS BIGINT) = 0", "cloud_points"))
@@ -170,15 +180,14 @@ def job_cloud_inspect(spark, d):
 @query(
     "job_cloud_tiles",
     over(
-        budget_sql("SELECT pid, x, y, z FROM cloud_points", "x y z", 400, 8)
-        + "SELECT count(*) AS points, count(DISTINCT red * 65536 + green * 256 + blue) AS colors FROM (SELECT pid, coalesce(r, red) AS red, coalesce(g, green) AS green, coalesce(b, blue) AS blue FROM cloud_points LEFT JOIN raster ON r_col = floor(x / 2) AND r_row = floor((y - 200) / -2)) q",
+        octree_sql(400)
+        + " SELECT pid, CAST(level AS BIGINT) AS level, tx, ty, tz, coalesce(r, red) AS red, coalesce(g, green) AS green, coalesce(b, blue) AS blue FROM nodes3 JOIN cloud_points USING (pid) LEFT JOIN raster ON r_col = floor(x / 2) AND r_row = floor((y - 200) / -2)",
         "cloud_points", "raster",
     ),
 )
 def job_cloud_tiles(spark, d):
     out = jobs.cloud_tiles(points(spark, d), {"colorization_image": "image.tif"}, fixture(spark, d, "raster"), GEOTRANSFORM, budget=400, max_level=8)
-    joined = out["tiles"].select("pid").join(out["points"], "pid")
-    return joined.agg(F.count(F.lit(1)).alias("points"), F.countDistinct(F.col("red") * 65536 + F.col("green") * 256 + F.col("blue")).alias("colors"))
+    return _tile(out["tiles"].join(out["points"].select("pid", "red", "green", "blue"), "pid"), "red", "green", "blue")
 
 
 @query("geom_error_scale", over(budget_sql("SELECT pid, x, y FROM cloud_points", "x y", 300, 8) + "SELECT CAST(level AS INTEGER) AS level, c_x >> (8 - level) AS tx, c_y >> (8 - level) AS ty, 2.5 / pow(2, level) AS geometric_error FROM leafs GROUP BY ALL", "cloud_points"))

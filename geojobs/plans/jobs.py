@@ -85,10 +85,13 @@ def cloud_tiles(points: DataFrame, config: dict, raster: DataFrame | None = None
     return {"points": points, "tiles": tiles, "nodes": tiling.error_scale(errors, float(conf["geometric_error_scale_factor"]))}
 
 
-def denoise(points: DataFrame, radius: float = 0.1, k: int = 32, multiplier: float = 2.2, capacity: int = 5_000_000, scope: str = "cloud") -> DataFrame:
-    """Divide, thin, clear classes, mark outliers as 7, drop them, and merge the parts."""
-    divided = cloud.divide(points, capacity)
-    sampled = cloud.poisson_sample(divided, radius).withColumn("classification", F.lit(0))
+def denoise(points: DataFrame, radius: float = 0.1, k: int = 32, multiplier: float = 2.2, capacity: int = 5_000_000, scope: str = "part") -> DataFrame:
+    """Divide; thin, clear classes, mark outliers as 7 and drop them within each part; the parts are one table.
+
+    With ``scope`` cloud the parts see each other, as if the cloud had not been divided.
+    """
+    divided = settle(cloud.divide(points, capacity))
+    sampled = settle(cloud.poisson_sample(divided, radius, scope=scope).withColumn("classification", F.lit(0)))
     return cloud.class_range(cloud.outlier(sampled, k, multiplier, scope), "classification", 7, 7, keep=False)
 
 

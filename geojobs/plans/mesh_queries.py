@@ -257,6 +257,10 @@ def project_corners(spark, d):
     return _projected(spark, d).select("shot_id", "corner", F.round("u", 5).alias("u"), F.round("v", 5).alias("v"))
 
 
-@query("mask_hull")
+#: A side of the hull has all other corners on its left.
+_HULL = f"WITH pr AS ({_PROJECTED}) SELECT p.shot_id, count(*) AS corners, round(sum(p.u * q.v - q.u * p.v) / 2, 3) AS area FROM pr p JOIN pr q USING (shot_id) WHERE p.corner <> q.corner AND NOT EXISTS (SELECT 1 FROM pr r WHERE r.shot_id = p.shot_id AND r.corner <> p.corner AND r.corner <> q.corner AND (q.u - p.u) * (r.v - p.v) - (q.v - p.v) * (r.u - p.u) < 0) GROUP BY p.shot_id"
+
+
+@query("mask_hull", over(_HULL.replace("WITH pr AS", ", pr AS", 1), "shots", "cameras"))
 def mask_hull(spark, d):
-    return survey.mask_hull(_projected(spark, d)).select("shot_id", F.size("hull").alias("corners"), F.round("area", 3).alias("area"))
+    return survey.mask_hull(_projected(spark, d)).select("shot_id", F.size("hull").cast("long").alias("corners"), F.round("area", 3).alias("area"))

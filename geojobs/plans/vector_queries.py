@@ -292,7 +292,11 @@ def mesh_footprint(spark, d):
     return fixture(spark, d, "feat_point").select("gid", box.alias("b")).select("gid", F.round("b.west", 9).alias("west"), F.round("b.south", 9).alias("south"))
 
 
-@query("local_frame")
+#: The turn from the anchor's up to +Z by angle and axis, then the fixed turn.
+_TURNED = f"SELECT gid, dx * c + ay * dz * s + ax * (ax * dx + ay * dy) * (1 - c) AS tx, dy * c - ax * dz * s + ay * (ax * dx + ay * dy) * (1 - c) AS ty, dz * c + (ax * dy - ay * dx) * s AS tz FROM (SELECT e.gid, e.x - o.x AS dx, e.y - o.y AS dy, e.z - o.z AS dz, o.uz AS c, sqrt(1 - o.uz * o.uz) AS s, o.uy / sqrt(1 - o.uz * o.uz) AS ax, -o.ux / sqrt(1 - o.uz * o.uz) AS ay FROM {_ECEF} e CROSS JOIN (SELECT x, y, z, x / sqrt(x * x + y * y + z * z) AS ux, y / sqrt(x * x + y * y + z * z) AS uy, z / sqrt(x * x + y * y + z * z) AS uz FROM {_REF_ECEF} q) o) w"
+
+
+@query("local_frame", over(f"SELECT gid, round(ty, 3) AS x, round(tz, 3) AS y, round(tx, 3) AS z FROM ({_TURNED}) t", "feat_point"))
 def local_frame(spark, d):
     anchor = geodesy.ecef_from_lla(*map(F.lit, REF))
     p = geodesy.ecef_from_lla(F.col("y"), F.col("x"), F.col("z"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from geojobs.functions import geodesy
 from geojobs.operators import cloud, survey, tiling
-from geojobs.operators.triangulate import simplify_ring, triangles
+from geojobs.operators.triangulate import _self_crosses, both_sides, simplify_ring, triangles
 from geojobs.sources import files, las, sinks
 from geojobs.streaming import jobs as streams
 
@@ -60,6 +60,48 @@ def test_triangulation_of_random_stars():
     assert triangles([]) == [] and triangles(None) == [] and triangles([[[0, 0], [1, 0], [0, 0]]]) == []
 
 
+def test_large_rings_are_clipped_in_time():
+    import time
+
+    seconds = []
+    for n in (4_000, 16_000):
+        t = np.linspace(0, 2 * math.pi, n, endpoint=False)
+        r = 5 + np.where(np.arange(n) % 2, 0.0, 1.0) + 0.3 * np.sin(40 * t)  # teeth: half of the corners are reflex
+        ring = np.column_stack((r * np.cos(t), r * np.sin(t), np.ones(n))).tolist()
+        hole = [[math.cos(t), math.sin(t), 1.0] for t in np.linspace(0, 6, 50)]
+        began = time.perf_counter()
+        found = triangles([ring + ring[:1], hole + hole[:1]])
+        seconds.append(time.perf_counter() - began)
+        x = np.array(ring)
+        shoelace = 0.5 * float((x[:, 0] * np.roll(x[:, 1], -1) - np.roll(x[:, 0], -1) * x[:, 1]).sum())
+        assert len(found) == n + 50 and abs(area(found) - (shoelace - abs(area(triangles([hole]))))) < 1e-6
+    assert seconds[1] < 10 * seconds[0] + 1  # four times the corners
+
+
+def test_both_sides_are_one_footprint():
+    ring = [[0, 0, 5], [4, 0, 5], [4, 3, 6], [1, 1, 5], [0, 3, 5], [0, 0, 5]]
+    low = [[x, y, 1.0] for x, y, _ in ring]
+    roof, bottom = both_sides([ring], [low])
+    assert roof == triangles([ring]) and bottom == triangles([low], reverse=True) and both_sides(None, None) == ([], [])
+
+
+def test_collinear_and_doubled_corners():
+    ring = [[0, 0], [1, 0], [2, 0], [2, 0], [3, 0], [3, 1], [3, 2], [0, 2], [0, 1], [0, 0]]
+    assert abs(area(triangles([ring])) - 6) < 1e-12
+
+
+def test_self_crossing_against_all_pairs():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        r = rng.uniform(size=(int(rng.integers(4, 30)), 2))
+        if rng.random() < 0.5:
+            r = r[np.argsort(np.arctan2(*(r - 0.5).T))]
+        n = len(r)
+        cross = lambda o, p, q: (p[0] - o[0]) * (q[1] - o[1]) - (p[1] - o[1]) * (q[0] - o[0])
+        want = any(cross(r[i], r[(i + 1) % n], r[j]) * cross(r[i], r[(i + 1) % n], r[(j + 1) % n]) < 0 and cross(r[j], r[(j + 1) % n], r[i]) * cross(r[j], r[(j + 1) % n], r[(i + 1) % n]) < 0 for i in range(n) for j in range(i + 2, n))
+        assert _self_crosses(r) == want
+
+
 def test_simplify_keeps_a_ring():
     ring = [[0, 0], [1, 0.001], [2, 0], [2, 2], [1, 2.001], [0, 2], [0, 0]]
     assert len(simplify_ring(ring, 0.01)) == 5
@@ -97,6 +139,69 @@ def test_knn_mean(spark, block):
     assert len(few) == 3 and all(r.mean_distance > 0 for r in few)
 
 
+def clustered(spark, n, share, seed=4):
+    """Points of which a share stands in a hundredth of the side, some of them at one place."""
+    rng = np.random.default_rng(seed)
+    xyz = rng.uniform(0, [100, 100, 2], (n, 3))
+    dense = rng.random(n) < share
+    xyz[dense] = rng.uniform([40, 40, 0], [41, 41, 2], (int(dense.sum()), 3))
+    xyz[: n // 20] = xyz[0] if share else xyz[: n // 20]
+    return spark.createDataFrame([(i, *map(float, p), 0) for i, p in enumerate(xyz)], "pid long, x double, y double, z double, classification int").repartition(8), xyz
+
+
+def test_dense_spots_give_the_same_sample_and_neighbours(spark):
+    df, xyz = clustered(spark, 3000, 0.9)
+    kept: list[int] = []
+    for i, p in enumerate(xyz):
+        if not kept or ((xyz[kept] - p) ** 2).sum(axis=1).min() >= 0.5**2:
+            kept.append(i)
+    assert sorted(r.pid for r in cloud.poisson_sample(df, 0.5).collect()) == kept
+    d = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    want = np.sort(d, axis=1)[:, :6].mean(axis=1)
+    got = {r.pid: r.mean_distance for r in cloud.knn_mean(df, 6, 100).collect()}
+    assert len(got) == 3000 and max(abs(got[i] - w) for i, w in enumerate(want)) < 1e-9
+
+
+@pytest.mark.parametrize("job", [lambda df: cloud.poisson_sample(df, 0.5), lambda df: cloud.knn_mean(df, 8)])
+def test_ninety_percent_in_one_cell_take_no_longer(spark, job):
+    import time
+
+    seconds = {}
+    for share in (0.0, 0.0, 0.9):  # the first to warm up
+        df = clustered(spark, 40_000, share)[0]
+        began = time.perf_counter()
+        job(df).write.format("noop").mode("overwrite").save()
+        seconds[share] = time.perf_counter() - began
+    assert seconds[0.9] < 2 * seconds[0.0] + 8  # rounds cost the same however few points are left for them
+
+
+def test_parts_do_not_see_each_other(spark):
+    df, xyz = points(spark, 400)
+    parts = df.withColumn("part", F.col("pid") % 2)
+    for i in (0, 1):
+        alone = df.where(F.col("pid") % 2 == i)
+        mine = lambda out: sorted(map(tuple, out.where(F.col("pid") % 2 == i).collect()))
+        assert mine(cloud.poisson_sample(parts, 1.5, scope="part").select("pid")) == mine(cloud.poisson_sample(alone, 1.5).select("pid"))
+        assert mine(cloud.knn_mean(parts, 4, 50, scope="part")) == mine(cloud.knn_mean(alone, 4, 50))
+    none = df.limit(0)
+    assert cloud.knn_mean(none, 3).count() == 0 and cloud.poisson_sample(none, 1.0).count() == 0
+    odd = df.limit(1).unionByName(df.limit(1).select((F.col("pid") + 1000).alias("pid"), F.lit(None).cast("double").alias("x"), "y", "z", "classification"))
+    assert [(r.pid, r.mean_distance) for r in cloud.knn_mean(odd, 3).collect()] == [(df.first().pid, None)] and cloud.poisson_sample(odd, 1.0).count() == 1
+
+
+def test_denoise_by_parts(spark):
+    from geojobs.plans import jobs
+
+    df = points(spark, 600)[0]
+    out = jobs.denoise(df, radius=0.8, k=4, multiplier=1.5, capacity=250).select("pid", "part").collect()
+    want = set()
+    for part in range(3):
+        one = jobs.denoise(df.where(F.floor(F.col("pid") / 200) == part), radius=0.8, k=4, multiplier=1.5, capacity=10**6)
+        want |= {(r.pid, part) for r in one.collect()}
+    assert {(r.pid, r.part) for r in out} == want and len(want) < 600
+
+
 def test_smrf_tells_ground_from_blocks(spark):
     rows = [(i, float(i % 40) + 0.5, float(i // 40) + 0.5, 6.0 if 15 <= i % 40 < 22 and 15 <= i // 40 < 22 else 0.02 * (i % 40), 0) for i in range(1600)]
     df = spark.createDataFrame(rows, "pid long, x double, y double, z double, classification int")
@@ -156,6 +261,14 @@ def test_geojson_collection(spark, tmp_path):
     rows = files.read_geojson(spark, str(tmp_path), "k string").orderBy("gid").collect()
     assert [(r.gid, r.k, r.geom.type) for r in rows] == [(1, "x", "Point"), (2, None, "Polygon")]
     assert rows[0].geom.rings == [[[1, 2, 0]]] and rows[1].geom.rings[0][1] == [1, 0, 5]
+    line = '{"type":"Feature","properties":{"k":"%d"},"geometry":{"type":"Point","coordinates":[%d,2]}}'
+    (tmp_path / "b.json").write_text("\n" + "\n".join(line % (i, i) for i in range(50)) + "\n")  # lines, after a collection
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        rows = files.read_geojson(spark, str(tmp_path), "k string").orderBy("gid").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.k for r in rows] == ["x", None, *map(str, range(50))]
 
 
 def test_obj_faces(spark):
@@ -164,6 +277,34 @@ def test_obj_faces(spark):
     assert [tuple(r) for r in files.obj_vertices(lines).orderBy("vid").collect()] == [(1, 0, 0, 0), (2, 5, 6, 7)]
 
 
+def test_obj_by_path_counts_backwards_and_on(spark, tmp_path):
+    (tmp_path / "m.obj").write_text("v 0 0 0\nv 1 0 0\nv bad\nv 1 1 0\nf -3 -2 -1\nv 9 9 9\nv 8 8 8\nv 7 7 7\nf -1/1 2 -3\nf 1 2 3\n" + "f " + " ".join(["1", "2", "3"] * 500) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20")
+    try:
+        v, f = files.read_obj(spark, str(tmp_path / "m.obj"))
+        assert [(r.vid, r.x) for r in v.orderBy("vid").collect()] == [(1, 0), (2, 1), (3, 1), (4, 9), (5, 8), (6, 7)]
+        rows = f.orderBy("fid").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [tuple(r)[1:] for r in rows[:3]] == [(1, 2, 3), (6, 2, 4), (1, 2, 3)] and len({r.fid for r in rows}) == 3 + 1498
+
+
+def test_status_reads_few_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "EVERY", 3)
+    source, checkpoint, target = (str(tmp_path / n) for n in ("in", "cp", "out"))
+    want = {}
+    for n in range(8):
+        rows = [(t, "SUCCESS" if (n + t) % 3 == 0 else "STARTED", 100 * n + t, n * 10 + t, f"r{n}") for t in range(n % 4, 5)]
+        for t, s, at, _, result in rows:
+            want[t] = (s, result if s == "SUCCESS" else want.get(t, (None, None))[1])
+        df = spark.createDataFrame(rows, "task_id long, status string, ts long, event_id long, result string").withColumn("ts", F.timestamp_seconds("ts"))
+        df.write.mode("append").parquet(source)
+        streams.status(spark, source, checkpoint, target).awaitTermination()
+    assert {r.task_id: (r.status, r.result) for r in streams.current(spark, target).collect()} == want
+    assert {r.batch for r in spark.read.parquet(target).select("batch").distinct().collect()} == set(range(8))
+    assert spark.read.parquet(f"{target}/batch=6").count() == 5
+
+
 def test_streams_take_each_file_once(spark, tmp_path):
     source, checkpoint, sink = (str(tmp_path / n) for n in ("in", "cp", "out"))
     spark.range(3).select(F.col("id").cast("string")).coalesce(1).write.text(source)
