@@ -115,28 +115,35 @@ def tileset_flat(tiles: DataFrame, size: list[float] | None, depth: int, max_err
     )
 
 
-def tileset_json(flat: DataFrame, depth: int, max_error: float) -> DataFrame:
-    """One row, ``tileset``: the nested document, made level by level from below. Without tiles, no row.
+def tileset_json(flat: DataFrame, depth: int, max_error: float, split: int = 4) -> DataFrame:
+    """(path, tileset): nested documents of ``split`` levels each, made level by level from below. Without tiles, no row.
 
-    A tileset of depth 0 has its tile as root, others a wrapper with half the greatest error.
+    ``tileset.json`` is the root; a tile whose level is a multiple of ``split`` begins a document of its own, to which the tile above
+    refers, so that no row holds more than 4^split tiles. A tileset of depth 0 has its tile as root, others a wrapper with half the
+    greatest error.
     """
-    content = F.struct(F.col("uri"))
-    volume = F.struct(F.col("box"))
-    below = None
+    start = lambda error: F.concat(F.lit('{"asset":{"version":"1.1"},"geometricError":'), error, F.lit(',"root":'))
+    documents, below = [], None
     for level in range(depth, -1, -1):
         rows = flat.where(F.col("level") == level)
-        head = F.to_json(F.struct(F.col("geometric_error").alias("geometricError"), F.col("refine"), volume.alias("boundingVolume"), content.alias("content")))
+        path = F.concat(F.lit("tileset_"), F.concat_ws("_", "level", "y", "x"), F.lit(".json"))
+        node = lambda uri: F.to_json(F.struct(F.col("geometric_error").alias("geometricError"), F.col("refine"), F.struct("box").alias("boundingVolume"), F.struct(uri.alias("uri")).alias("content")))
+        head, reference = node(F.col("uri")), node(path)
         if below is not None:
             rows = rows.join(below, (rows["y"] == below["_y"]) & (rows["x"] == below["_x"]), "left")
             kids = F.coalesce(F.col("_kids"), F.lit(""))
             head = F.when(kids == "", head).otherwise(F.concat(F.substr(head, F.lit(1), F.length(head) - 1), F.lit(',"children":['), kids, F.lit("]}")))
-        made = rows.select("y", "x", head.alias("_node"))
+        made = rows.select("y", "x", path.alias("path"), F.col("geometric_error").cast("string").alias("error"), head.alias("_node"), reference.alias("_reference"))
+        if level and level % split == 0:
+            documents.append(made.select("path", F.concat(start(F.col("error")), "_node", F.lit("}")).alias("tileset")))
+            made = made.withColumn("_node", F.col("_reference"))
         grouped = made.groupBy(F.shiftright("y", 1).alias("_y"), F.shiftright("x", 1).alias("_x"))
         below = grouped.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "_node"))), lambda s: s["_node"]), ",").alias("_kids"))
     box = flat.where("level = 0").agg(F.to_json(F.struct(F.first("box").alias("box"))).alias("_box"))
     root = below.crossJoin(F.broadcast(box))  # a row each
     wrapped = F.col("_kids") if depth == 0 else F.concat(F.lit(f'{{"geometricError":{max_error / 2},"refine":"REPLACE","boundingVolume":'), "_box", F.lit(',"children":['), "_kids", F.lit("]}"))
-    return root.select(F.concat(F.lit(f'{{"asset":{{"version":"1.1"}},"geometricError":{float(max_error)},"root":'), wrapped, F.lit("}")).alias("tileset"))
+    top = root.select(F.lit("tileset.json").alias("path"), F.concat(start(F.lit(str(float(max_error)))), wrapped, F.lit("}")).alias("tileset"))
+    return reduce(DataFrame.unionByName, documents, top)
 
 
 def error_scale(flat: DataFrame, factor: float) -> DataFrame:

@@ -103,13 +103,13 @@ def src_las(spark, d):
     return out.select("pid", *[F.round(c, 3).alias(c) for c in "xyz"], *[F.col(c).cast("long").alias(c) for c in ("red", "green", "blue", "intensity")])
 
 
-@query("snk_tiles", over("SELECT CAST(pid % 4 AS INTEGER) AS level, count(*) AS points FROM cloud_points GROUP BY 1", "cloud_points"))
+@query("snk_tiles", over("SELECT pid, CAST(pid % 4 AS INTEGER) AS level, CAST(floor(x / 50) AS BIGINT) AS tx FROM cloud_points", "cloud_points"))
 def snk_tiles(spark, d):
     path = folder(spark)
     rows = fixture(spark, d, "cloud_points").select("pid", (F.col("pid") % 4).cast("int").alias("level"), F.array(F.floor(F.col("x") / 50)).alias("tile"))
     for _ in range(2):  # a second run replaces the first
         sinks.write_tiles(rows, spark.createDataFrame([("{}",)], "value string"), path)
-    return spark.read.parquet(f"{path}/tiles").groupBy("level").agg(F.count(F.lit(1)).alias("points"))
+    return spark.read.parquet(f"{path}/tiles").select("pid", "level", F.col("tile")[0].alias("tx"))
 
 
 @query(

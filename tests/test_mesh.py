@@ -1,10 +1,12 @@
 """Meshes: cutting, tiles and coarsening against plain geometry."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geojobs.operators import mesh
+from geojobs.operators import mesh, tiling
 from geojobs.plans import jobs
 
 
@@ -72,3 +74,46 @@ def test_mesh_job_honours_its_settings(spark):
     assert rows["true"]["tileset"].count() == 1
     empty = jobs.mesh_tiles(v.limit(0), f.limit(0), {"depth": "1"})
     assert empty["faces"].count() == empty["tiles"].count() == 0
+
+
+@pytest.mark.parametrize("split", [1, 2, 4])
+def test_tileset_documents_hold_every_tile_once(spark, split):
+    v, f, _, _ = soup(spark, 200, 2.0)
+    flat = tiling.tileset_flat(mesh.tile_stats(mesh.cut_tiles(v, f, 3, 0.0)), [64.0, 64.0, 64.0], 3, 256.0)
+    docs = {r.path: json.loads(r.tileset) for r in tiling.tileset_json(flat, 3, 256.0, split).collect()}
+    rows = {r.uri: r for r in flat.collect()}
+    seen = []
+
+    def walk(node, error):
+        uri = node.get("content", {}).get("uri")
+        assert node["geometricError"] <= error and len(node["boundingVolume"]["box"]) == 12
+        if uri and uri.endswith(".json"):
+            assert "children" not in node
+            return walk(docs[uri]["root"], error)
+        if uri:
+            seen.append(uri)
+            assert node["boundingVolume"]["box"] == pytest.approx(list(rows[uri].box)) and len(node.get("children", [])) == rows[uri].children
+        for child in node.get("children", []):
+            walk(child, node["geometricError"])
+
+    walk(docs["tileset.json"]["root"], docs["tileset.json"]["geometricError"])
+    assert sorted(seen) == sorted(rows) and (len(docs) > 1) == (split < 4)
+
+
+def test_taubin_against_numpy(spark):
+    rng = np.random.default_rng(5)
+    n, xyz = 40, rng.uniform(size=(40, 3))
+    faces = [tuple(map(int, rng.choice(n, 3, replace=False))) for _ in range(60)]
+    near = np.zeros((n, n), bool)
+    for a, b, c in faces:
+        for p, q in ((a, b), (b, c), (c, a)):
+            near[p, q] = near[q, p] = True
+    v = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(xyz)], "vid long, x double, y double, z double")
+    f = spark.createDataFrame([(i, *t) for i, t in enumerate(faces)], "fid long, a long, b long, c long")
+    want = xyz.copy()
+    for _ in range(10):
+        for factor in (0.5, -0.53):
+            mean = np.where(near.any(1)[:, None], near @ want / np.maximum(near.sum(1), 1)[:, None], want)
+            want = want + factor * (mean - want)
+    got = np.array([[r.x, r.y, r.z] for r in mesh.taubin(v, f).orderBy("vid").collect()])
+    assert np.allclose(got, want)
