@@ -197,7 +197,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     """``docs(doc_id, text)`` -> one row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is the end id alone; a null doc_id stays null and repeated rows are packed each; an empty table gives no
-    row. Texts over ``capacity`` ids are cut, no other. Other columns of ``docs`` are left out.
+    row. Texts over ``capacity`` ids are cut, no other. Pieces of one length are packed in the order in which they come; of gaps that
+    are equally good the narrowest is taken, and an open bin before a new one. Other columns of ``docs`` are left out.
     """
     made = stash(pieces(docs, tokenizer_path, capacity, end_id))
     tasks = max(1, -(-made.count() // task_pieces))

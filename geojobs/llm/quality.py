@@ -1,5 +1,8 @@
 """Quality classifier: a factorisation machine over hashed words, structure statistics and metadata.
 
+Of a document's metadata only its sizes (characters, words, lines) are features, told from the text: language, source and ids must not
+tell its quality, so the model takes no other column.
+
 score = sigmoid(w0 + sum w_i x_i + 1/2 sum_f [(sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2]): all pairwise interactions at a cost linear in
 the features that a text has.
 """
@@ -169,6 +172,10 @@ def score(text: Column, model: QualityModel) -> Column:
 
 
 def quality(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """``docs(doc_id, text)`` -> doc_id, score, predicted (score >= 0.5), one row per row; a null doc_id stays null."""
+    """``docs(doc_id, text)`` -> doc_id, score, predicted (score >= 0.5), one row per row.
+
+    A null doc_id stays null; null and empty texts score as empty ones; very long ones are scored whole; repeated rows score alike;
+    other columns of ``docs`` are left out, whatever their names. An empty table gives none.
+    """
     scored = docs.select("doc_id", score(F.col("text"), model).alias("score"))
     return scored.select("doc_id", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

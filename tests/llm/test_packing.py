@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -60,3 +61,20 @@ def test_lengths_of_many_kinds():
     first = np.concatenate(([True], b[1:] != b[:-1]))
     assert (o[first] == 0).all() and (o[1:][~first[1:]] == (o + n)[:-1][~first[1:]]).all() and (o + n).max() <= 2048
     assert bins.max() + 1 <= -(-lengths.sum() // 2048) * 1.01
+
+
+def test_each_place_has_the_least_sum_of_squares():
+    """Every choice against all places tried: the squared counts of open bins by gap are nowhere smaller."""
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        capacity = int(rng.integers(5, 30))
+        lengths = rng.integers(1, capacity + 1, int(rng.integers(1, 40)))
+        bins, offsets = packing.pack_lengths(lengths, capacity)
+        fill: dict[int, int] = {}
+        squares = lambda f: sum(n * n for n in Counter(capacity - v for v in f.values() if v < capacity).values())
+        for i in np.argsort(-lengths, kind="stable").tolist():
+            n, mine = int(lengths[i]), int(bins[i])
+            tried = [squares(fill | {b: v + n}) for b, v in fill.items() if v + n <= capacity] + [squares(fill | {-1: n})]
+            assert offsets[i] == fill.get(mine, 0)
+            fill[mine] = fill.get(mine, 0) + n
+            assert fill[mine] <= capacity and squares(fill) == min(tried)
