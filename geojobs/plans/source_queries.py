@@ -149,20 +149,20 @@ def stream_ingest(spark, d):
 
 @query("src_shapefile", over(POSITIONS + "SELECT p.p_name AS name, 'Polygon' AS type, count(DISTINCT q.ring) AS rings, count(*) AS positions, round(sum(q.z), 6) AS z FROM poly_params p JOIN positions q USING (gid) GROUP BY p.gid, p.p_name", "poly_params"))
 def src_shapefile(spark, d):
-    """Each task writes its features as a layer; the layers are read back, a task each."""
+    """Each task writes its features as layers of an Arrow batch each; the layers are read back by ranges of records."""
     path = folder(spark)
 
     def write(batches):
         from pyspark import TaskContext
 
-        pdf = pd.concat(list(batches))
-        if len(pdf):
-            name = f"{path}/{TaskContext.get().partitionId()}-{TaskContext.get().taskAttemptId()}"
-            shapefile.write(name, [({"name": n}, "Polygon", r) for n, r in zip(pdf["name"], pdf["rings"])], ["name"])
-            yield pd.DataFrame({"name": [name], "n": [len(pdf)]})
+        for k, pdf in enumerate(batches):
+            if len(pdf):
+                name = f"{path}/{TaskContext.get().partitionId():06d}-{k:06d}"
+                shapefile.write(name, [({"name": n}, "Polygon", r) for n, r in zip(pdf["name"], pdf["rings"])], ["name"])
+                yield pd.DataFrame({"n": [len(pdf)]})
 
     rows = polygons(spark, d).select("gid", F.col("p_name").alias("name"), F.col("geom.rings").alias("rings"))
-    settle(rows.repartitionByRange(4, "gid").mapInPandas(write, "name string, n long"))
-    back = files.read_shapefiles(spark, path, ["name"])
+    settle(rows.repartitionByRange("gid").mapInPandas(write, "n long"))
+    back = files.read_shapefiles(spark, path, ["name"], records=100)
     z = F.aggregate(F.flatten("geom.rings"), F.lit(0.0), lambda s, p: s + p[2])
     return back.select("name", "geom.type", F.size("geom.rings").cast("long").alias("rings"), F.size(F.flatten("geom.rings")).cast("long").alias("positions"), F.round(z, 6).alias("z"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -260,53 +262,120 @@ def read_las(spark: SparkSession, path: str, records: int = 1_000_000) -> DataFr
 SHAPES = {1: "Point", 5: "Polygon", 11: "Point", 15: "Polygon", 21: "Point", 25: "Polygon"}
 
 
-def shape_records(shp: bytes, dbf: bytes) -> Iterator[tuple[int, dict[str, str], str | None, list]]:
-    """(gid, attributes, type, rings) of a shapefile and its table. Other types than points and polygons have null geometries."""
-    size, head, width = struct.unpack_from("<IHH", dbf, 4)
-    fields = []
-    for at in range(32, head - 1, 32):
-        name = dbf[at : at + 11].split(b"\0")[0].decode("ascii", "replace")
-        fields.append((name, dbf[at + 16]))
-    at, gid = 100, 0
-    while at + 8 <= len(shp):
-        length = struct.unpack_from(">i", shp, at + 4)[0] * 2
-        body, at, gid = shp[at + 8 : at + 8 + length], at + 8 + length, gid + 1
-        row, place, values = dbf[head + (gid - 1) * width :][:width], 1, {}
-        for name, n in fields:
-            values[name] = row[place : place + n].decode("utf-8", "replace").strip()
-            place += n
-        kind = struct.unpack_from("<i", body)[0]
-        if SHAPES.get(kind) == "Point":
-            xyz = struct.unpack_from("<2d", body, 4) + (struct.unpack_from("<d", body, 20) if kind == 11 else (0.0,))
-            yield gid, values, "Point", [[list(xyz)]]
-        elif SHAPES.get(kind) == "Polygon":
-            parts, n = struct.unpack_from("<2i", body, 36)
-            starts = [*struct.unpack_from(f"<{parts}i", body, 44), n]
-            xy = np.frombuffer(body, "<f8", 2 * n, 44 + 4 * parts).reshape(-1, 2)
-            z = np.frombuffer(body, "<f8", n, 44 + 4 * parts + 16 * n + 16) if kind == 15 else np.zeros(n)
-            line = np.column_stack((xy, z)).tolist()
-            yield gid, values, "Polygon", [line[a:b] for a, b in zip(starts, starts[1:])]
-        else:
-            yield gid, values, None, []
-
-
-def read_shapefiles(spark: SparkSession, path: str, properties: list[str]) -> DataFrame:
-    """A folder of .shp and .dbf pairs -> layer, gid, the properties as strings, geom. One task per layer: its table goes by record number."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{shp,dbf}").load(path)
-    name = F.regexp_replace("path", r"\.(shp|dbf)$", "")
-    pairs = files.groupBy(name.alias("layer")).agg(*[F.max(F.when(F.col("path").endswith(e), F.col("content"))).alias(e) for e in ("shp", "dbf")]).where("shp is not null and dbf is not null")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for layer, shp, dbf in zip(pdf["layer"], pdf["shp"], pdf["dbf"]):
-                rows: list[tuple] = []
-                for gid, values, kind, rings in shape_records(shp, dbf):
-                    rows.append((layer, gid, [values.get(p) for p in properties], kind, rings))
-                    if len(rows) == 10_000:
-                        yield pd.DataFrame(rows, columns=["layer", "gid", "p", "type", "rings"])
-                        rows = []
-                yield pd.DataFrame(rows, columns=["layer", "gid", "p", "type", "rings"])
-
-    made = pairs.mapInPandas(run, "layer string, gid long, p array<string>, type string, rings array<array<array<double>>>")
-    return made.select("layer", "gid", *[F.col("p")[i].alias(p) for i, p in enumerate(properties)], F.struct("type", "rings").alias("geom"))
+def shape_of(body: bytes) -> tuple[str | None, list]:
+    """(type, rings) of a record's content. Other types than points and polygons have null geometries."""
+    kind = struct.unpack_from("<i", body)[0]
+    if SHAPES.get(kind) == "Point":
+        xyz = struct.unpack_from("<2d", body, 4) + (struct.unpack_from("<d", body, 20) if kind == 11 else (0.0,))
+        return "Point", [[list(xyz)]]
+    if SHAPES.get(kind) == "Polygon":
+        parts, n = struct.unpack_from("<2i", body, 36)
+        starts = [*struct.unpack_from(f"<{parts}i", body, 44), n]
+        xy = np.frombuffer(body, "<f8", 2 * n, 44 + 4 * parts).reshape(-1, 2)
+        z = np.frombuffer(body, "<f8", n, 44 + 4 * parts + 16 * n + 16) if kind == 15 else np.zeros(n)
+        line = np.column_stack((xy, z)).tolist()
+        return "Polygon", [line[a:b] for a, b in zip(starts, starts[1:])]
+    return None, []
+
+
+def table_fields(head: bytes) -> list[tuple[str, int, int]]:
+    """(name, begin, end) of the fields in a row, from the header of a layer's table."""
+    fields, place = [], 1
+    for at in range(32, len(head) - 1, 32):
+        if head[at] == 0x0D:
+            break
+        fields.append((head[at : at + 11].split(b"\0")[0].decode("ascii", "replace"), place, place + head[at + 16]))
+        place += head[at + 16]
+    return fields
+
+
+class LayerRange(InputPartition):
+    def __init__(self, layer: str, shp: str, dbf: str, shx: str | None, first: int, count: int):
+        self.layer, self.shp, self.dbf, self.shx, self.first, self.count = layer, shp, dbf, shx, first, count
+
+
+class LayerReader(DataSourceReader):
+    """One partition per range of records where a layer has its index (.shx); executors seek. A layer without is one partition."""
+
+    def __init__(self, options: dict):
+        self.path, self.properties, self.records = options["path"], json.loads(options["properties"]), int(options.get("records", 50_000))
+
+    def partitions(self) -> list[LayerRange]:
+        from pyarrow import fs
+
+        system, place = open_store(self.path)
+        found = {f.path.lower(): f for f in system.get_file_info(fs.FileSelector(place, recursive=True)) if f.is_file}
+        out = []
+        for name in sorted(n for n in found if n.endswith(".shp")):
+            dbf, shx = found.get(name[:-4] + ".dbf"), found.get(name[:-4] + ".shx")
+            if dbf is None:
+                continue
+            shp = found[name].path
+            layer = f"{self.path.rstrip('/')}/{shp[len(place.rstrip('/')) + 1 : -4]}"
+            if shx is None:
+                out.append(LayerRange(layer, shp, dbf.path, None, 0, -1))
+                continue
+            n = (shx.size - 100) // 8
+            out += [LayerRange(layer, shp, dbf.path, shx.path, at, min(self.records, n - at)) for at in range(0, n, self.records)]
+        return out
+
+    def _places(self, shp, part: LayerRange, open_file) -> Iterator[tuple[int, int]]:
+        """(place of the content, its bytes) of each record."""
+        if part.shx is None:
+            at, size = 100, shp.size()
+            while at + 8 <= size:
+                length = struct.unpack(">i", shp.read_at(4, at + 4))[0] * 2
+                yield at + 8, length
+                at += 8 + length
+            return
+        with open_file(part.shx) as f:
+            for at, length in struct.iter_unpack(">2i", f.read_at(8 * part.count, 100 + 8 * part.first)):
+                yield 2 * at + 8, 2 * length
+
+    def read(self, part: LayerRange) -> Iterator:
+        import pyarrow as pa
 
+        system, _ = open_store(self.path)
+        kinds = {"layer": pa.string(), "gid": pa.int64(), "p": pa.list_(pa.string()), "type": pa.string(), "rings": pa.list_(pa.list_(pa.list_(pa.float64())))}
+        with system.open_input_file(part.shp) as shp, system.open_input_file(part.dbf) as dbf:
+            head, width = struct.unpack("<2H", dbf.read_at(4, 8))
+            fields = {n: (a, b) for n, a, b in table_fields(dbf.read_at(head, 0))}
+            places, first = iter(self._places(shp, part, system.open_input_file)), part.first
+            while some := list(islice(places, 1_000)):
+                low, high = min(a for a, _ in some), max(a + n for a, n in some)
+                # Records mostly stand one after another; else each is read alone.
+                whole = shp.read_at(high - low, low) if high - low < 4 * sum(n + 8 for _, n in some) else None
+                table = dbf.read_at(width * len(some), head + width * first)
+                rows: dict[str, list] = {c: [] for c in kinds}
+                for k, (at, n) in enumerate(some):
+                    kind, rings = shape_of(whole[at - low : at - low + n] if whole is not None else shp.read_at(n, at))
+                    row = table[k * width : (k + 1) * width]
+                    texts = [row[slice(*fields[p])].decode("utf-8", "replace").strip() if p in fields else None for p in self.properties]
+                    for c, v in zip(rows, (part.layer, first + k + 1, texts, kind, rings)):
+                        rows[c].append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[c], kind) for c, kind in kinds.items()], names=list(kinds))
+                first += len(some)
+
+
+class LayerSource(DataSource):
+    """``spark.read.format("shapefile_layers").option("properties", '["name"]').load(folder)``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "shapefile_layers"
+
+    def schema(self) -> str:
+        return "layer string, gid bigint, p array<string>, type string, rings array<array<array<double>>>"
+
+    def reader(self, schema: T.StructType) -> LayerReader:
+        return LayerReader(self.options)
+
+
+def read_shapefiles(spark: SparkSession, path: str, properties: list[str], records: int = 50_000) -> DataFrame:
+    """A folder of .shp and .dbf pairs, best with .shx -> layer, gid, the properties as strings, geom.
+
+    A layer with its index is read by ranges of ``records`` records; one without is read by one task, a thousand records at a time.
+    """
+    spark.dataSource.register(LayerSource)
+    rows = spark.read.format("shapefile_layers").options(properties=json.dumps(properties), records=records).load(qualified(spark, path))
+    return rows.select("layer", "gid", *[F.col("p")[i].alias(p) for i, p in enumerate(properties)], F.struct("type", "rings").alias("geom"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from geojobs.functions import geodesy
 from geojobs.operators import cloud, survey, tiling
 from geojobs.operators.triangulate import _self_crosses, both_sides, simplify_ring, triangles
-from geojobs.sources import files, las, sinks
+from geojobs.sources import files, las, shapefile, sinks
 from geojobs.streaming import jobs as streams
 
 
@@ -254,6 +254,11 @@ def test_las_and_shapefile(spark, tmp_path):
     (folder / "l.dbf").write_bytes(bytes(head) + bytes(field) + b"\r" + b" aa   " + b" bb   ")
     rows = files.read_shapefiles(spark, str(folder), ["name"]).orderBy("gid").collect()
     assert [(r.gid, r.name, r.geom.type, len(r.geom.rings[0])) for r in rows] == [(1, "aa", "Polygon", 4), (2, "bb", "Point", 1)]
+    made = [({"name": f"n{i}", "kind": "k"}, "Point" if i % 2 else "Polygon", [[[float(i), 1.0, 0.0]]] if i % 2 else [[[0.0, 0.0, 1.0], [i + 1.0, 0.0, 1.0], [0.0, 0.0, 1.0]]]) for i in range(25)]
+    shapefile.write(f"file://{folder}/sub/m", made, ["name", "kind"])
+    back = files.read_shapefiles(spark, str(folder), ["kind", "name", "none"], records=4).where("layer like '%/sub/m'")
+    assert back.rdd.getNumPartitions() == 1 + 7
+    assert [(r.gid, r.name, r.kind, r.none, r.geom.type, r.geom.rings) for r in back.orderBy("gid").collect()] == [(i + 1, v["name"], "k", None, t, [list(map(list, ring)) for ring in g]) for i, (v, t, g) in enumerate(made)]
 
 
 def test_geojson_collection(spark, tmp_path):
