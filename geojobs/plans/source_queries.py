@@ -75,10 +75,15 @@ def src_ply(spark, d):
 
 @query("src_survey_json", over("SELECT 'cam' || camera_id AS camera_id, focal_x, k2, count(*) AS shots, round(sum(rx), 9) AS rx FROM shots JOIN cameras USING (camera_id) GROUP BY ALL", "shots", "cameras"))
 def src_survey_json(spark, d):
+    """A document for every hundred shots, with the cameras that took them, each a file of its own."""
     path = folder(spark)
-    cam = fixture(spark, d, "cameras").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("cam"), "camera_id"), F.struct("focal_x", "focal_y", "k1", "k2")))).alias("cameras"))
-    shot = fixture(spark, d, "shots").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("s"), "shot_id"), F.struct(F.concat(F.lit("cam"), "camera_id").alias("camera"), F.array("rx", "ry", "rz").alias("rotation"), F.array("tx", "ty", "tz").alias("translation"))))).alias("shots"))
-    cam.join(shot).select(F.to_json(F.array(F.struct("cameras", "shots"))).alias("value")).coalesce(1).write.text(path)  # one document
+    cameras = fixture(spark, d, "cameras")
+    shots = fixture(spark, d, "shots").withColumn("doc", F.floor(F.col("shot_id") / 100)).join(cameras.select("camera_id", F.struct("focal_x", "focal_y", "k1", "k2").alias("c")), "camera_id")
+    name = lambda kind, c: F.concat(F.lit(kind), c)
+    camera = F.map_from_entries(F.collect_set(F.struct(name("cam", F.col("camera_id")), "c"))).alias("cameras")
+    shot = F.struct(name("cam", F.col("camera_id")).alias("camera"), F.array("rx", "ry", "rz").alias("rotation"), F.array("tx", "ty", "tz").alias("translation"))
+    docs = shots.groupBy("doc").agg(camera, F.map_from_entries(F.collect_list(F.struct(name("s", F.col("shot_id")), shot))).alias("shots"))
+    docs.select(F.to_json(F.array(F.struct("cameras", "shots"))).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     cameras, shots = files.read_survey(spark, path)
     return shots.join(cameras, ["file", "camera_id"]).groupBy("camera_id", "focal_x", "k2").agg(F.count(F.lit(1)).alias("shots"), F.round(F.sum(F.col("rotation")[0]), 9).alias("rx"))
 
