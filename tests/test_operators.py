@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geojobs.functions import geodesy
-from geojobs.operators import cloud, survey, tiling
+from geojobs.operators import cloud, storage, survey, tiling
 from geojobs.operators.triangulate import _self_crosses, both_sides, simplify_ring, triangles
 from geojobs.sources import files, las, shapefile, sinks
 from geojobs.streaming import jobs as streams
@@ -318,6 +318,22 @@ def test_streams_take_each_file_once(spark, tmp_path):
     assert spark.read.parquet(sink).count() == 1
 
 
+def test_shared_folder_and_qualified_paths(spark, tmp_path):
+    from types import SimpleNamespace as Some
+
+    unset = Some(get=lambda *a: None)
+    away = Some(conf=unset, sparkContext=Some(master="spark://host:7077", getConf=lambda: unset))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(away)
+    assert storage.shared_dir(spark).startswith("file:/")
+    assert storage.qualified(spark, "/some/place") == "file:/some/place" and storage.qualified(spark, "s3a://b/k") == "s3a://b/k"
+    assert storage.open_store("file:/some/place")[1] == storage.open_store("file:///some/place")[1] == "/some/place"
+    with pytest.raises(ValueError, match="scheme"):
+        storage.open_store("/some/place")
+    store = storage.settle(spark.range(3))
+    assert store.count() == 3 and all(f.startswith("file:/") for f in store.inputFiles())
+
+
 def test_csv_points_order(spark):
     df = spark.createDataFrame([(1.5, 2.5, 3.5, 254.6)], "x double, y double, z double, red double").withColumns({"green": F.lit(1), "blue": F.lit(2)})
     assert sinks.csv_points(df).columns == ["X", "Y", "Z", "Red", "Green", "Blue"]
