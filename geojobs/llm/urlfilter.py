@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from geojobs.llm.common import stash
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A level's bits travel in the plan as one literal; a list that would need more is refused. That is 8 MB, or some 5 million keys of
-#: which a twentieth of the universe is listed.
+#: A level's bits travel in the plan as one literal; a list that would need more is refused. That is 8 MB, or some 9 million listed keys
+#: where they are a twentieth of the universe.
 MAX_BITS = 1 << 26
 
 
