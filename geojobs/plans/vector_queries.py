@@ -305,7 +305,21 @@ def local_frame(spark, d):
     return rows.select("gid", f.alias("f")).select("gid", *[F.round(f"f.{c}", 3).alias(c) for c in "xyz"])
 
 
-@query("extent_to_local")
+#: Forward transverse Mercator (zone 32) of the reference and of a metre east and north of it, and the corners in the frame that these span.
+_FRAME = """
+, k AS (SELECT *, e2 / (1 - e2) AS ep, sqrt(1 - e2 * sin(radians(43.75)) * sin(radians(43.75))) AS w FROM (SELECT 6378137.0::DOUBLE AS a, 1 - (@B@::DOUBLE / 6378137.0::DOUBLE) * (@B@::DOUBLE / 6378137.0::DOUBLE) AS e2) q),
+place AS (SELECT 0 AS i, 43.75::DOUBLE AS lat, 11.25::DOUBLE AS lon UNION ALL SELECT 1, 43.75, 11.25 + degrees(1 / (a / w * cos(radians(43.75)))) FROM k UNION ALL SELECT 2, 43.75 + degrees(1 / (a * (1 - e2) / (w * w * w))), 11.25 FROM k),
+term AS (SELECT i, e2, ep, a AS r, la, a / sqrt(1 - e2 * sin(la) * sin(la)) AS n, tan(la) * tan(la) AS t, ep * cos(la) * cos(la) AS c, cos(la) * radians(lon - 9) AS a FROM (SELECT *, radians(lat) AS la FROM place CROSS JOIN k) q),
+arc AS (SELECT *, r * ((1 - e2 / 4 - 3 * e2 * e2 / 64 - 5 * e2 * e2 * e2 / 256) * la - (3 * e2 / 8 + 3 * e2 * e2 / 32 + 45 * e2 * e2 * e2 / 1024) * sin(2 * la) + (15 * e2 * e2 / 256 + 45 * e2 * e2 * e2 / 1024) * sin(4 * la) - 35 * e2 * e2 * e2 / 3072 * sin(6 * la)) AS m FROM term),
+grid AS (SELECT i, 0.9996 * n * (a + (1 - t + c) * a ** 3 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep) * a ** 5 / 120) + 500000 AS x, 0.9996 * (m + n * tan(la) * (a ** 2 / 2 + (5 - t + 9 * c + 4 * c * c) * a ** 4 / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep) * a ** 6 / 720)) AS y FROM arc),
+axes AS (SELECT o.x AS x0, o.y AS y0, e.x - o.x AS ex, e.y - o.y AS ey, n.x - o.x AS nx, n.y - o.y AS ny FROM grid o, grid e, grid n WHERE o.i = 0 AND e.i = 1 AND n.i = 2),
+corner AS (SELECT s_suppkey, 680000.0 + dx + s_suppkey - x0 AS dx, 4840000.0 + dy - y0 AS dy, ex, ey, nx, ny FROM supplier CROSS JOIN (VALUES (0, 0), (0, 50), (100, 0), (100, 50)) v(dx, dy) CROSS JOIN axes),
+frame AS (SELECT s_suppkey, (dx * ny - dy * nx) / (ex * ny - ey * nx) AS u, (ex * dy - ey * dx) / (ex * ny - ey * nx) AS v FROM corner)
+SELECT s_suppkey, round(min(u), 3) AS b0, round(min(v), 3) AS b1, round(max(u), 3) AS b2, round(max(v), 3) AS b3 FROM frame GROUP BY s_suppkey
+""".replace("@B@", str(geodesy.B))
+
+
+@query("extent_to_local", over(_FRAME, "feat_point"))
 def extent_to_local(spark, d):
     """One extent per supplier, around its place in UTM zone 32."""
 

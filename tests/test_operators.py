@@ -211,6 +211,42 @@ def test_smrf_tells_ground_from_blocks(spark):
         assert (out.classification[block_points] != 2).all() and (out.classification[~block_points] == 2).mean() > 0.95
 
 
+def test_smrf_against_loops(spark):
+    """The filter told cell by cell: lowest heights, openings by disks, terrain without objects, distance from it."""
+    block, rim, slope, scalar, threshold = 16, 7, 0.15, 1.25, 0.5
+    rng = np.random.default_rng(9)
+    cells = [(i, j) for i in range(block) for j in range(block) if rng.random() < 0.93]
+    rows = [(k, i + 0.5, j + 0.5, 0.05 * i + 0.1 * float(rng.random()) + (4.0 if 5 <= i < 8 and 4 <= j < 8 else 0.0), 0) for k, (i, j) in enumerate(cells * 2)]
+    n = block + 2 * rim
+
+    def filled(z):
+        while any(v is None for v in z.values()):
+            known = {}
+            for (i, j), v in z.items():
+                near = [z[i + a, j + b] for a in (-1, 0, 1) for b in (-1, 0, 1) if z.get((i + a, j + b)) is not None]
+                known[i, j] = v if v is not None else sum(near) / len(near) if near else None
+            z = known
+        return z
+
+    def extreme(z, r, fn):
+        return {(i, j): fn(z[i + a, j + b] for a in range(-r, r + 1) for b in range(-r, r + 1) if a * a + b * b <= r * r and (i + a, j + b) in z) for i, j in z}
+
+    low = {(i, j): None for i in range(-rim, n - rim) for j in range(-rim, n - rim)}
+    for _, x, y, z, _ in rows:
+        low[int(x), int(y)] = z if low[int(x), int(y)] is None else min(z, low[int(x), int(y)])
+    last, objects = filled(low), set()
+    for r in (1, 2, 3):
+        opened = extreme(extreme(last, r, min), r, max)
+        objects |= {c for c in low if last[c] - opened[c] > slope * r}
+        last = opened
+    ground = filled({c: None if c in objects else v for c, v in low.items()})
+    steep = {(i, j): math.hypot((ground[i + 1, j] - ground[i - 1, j]) / 2, (ground[i, j + 1] - ground[i, j - 1]) / 2) for i, j in cells}
+    want = {k: abs(z - ground[int(x), int(y)]) <= threshold + scalar * steep[int(x), int(y)] for k, x, y, z, _ in rows}
+    df = spark.createDataFrame(rows, "pid long, x double, y double, z double, classification int")
+    got = {r.pid: r.classification == 2 for r in cloud.smrf(df, window=3.0, block=block).collect()}
+    assert got == want and 0 < sum(want.values()) < len(want)
+
+
 def test_divide_and_rank_with_gaps(spark):
     df = spark.range(1000).select((F.col("id") * 7).alias("pid")).repartition(5)
     parts = cloud.divide(df, 300).groupBy("part").count().orderBy("part").collect()
