@@ -44,12 +44,16 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
     "signup nav navbar navigation menu breadcrumb breadcrumbs sidebar widget footer header masthead topbar toolbar share sharing social related recommended comment comments "
-    "discussion disqus replies pagination pager skip login search".split()
+    "discussion disqus replies pagination pager skip login search widgets banners sponsors popups".split()
 )
 AROUND = frozenset("area bar block bottom box button buttons container global group icon icons inner item items left link links list main outer page panel primary right row secondary section site slot top unit wrap wrapper".split())
 #: A header inside a text is part of it, and so is a heading that is called one.
 HEADER = frozenset("header masthead banner".split())
-#: With these words after any other (post-comments), unless the first tells a state (has-comments).
+#: A header or footer is the site's only with these words (section-header is a part's heading, page-header often a title).
+ENDS, SITE = frozenset("header footer".split()), frozenset("area bar bottom container global inner main outer primary site top wrap wrapper".split())
+#: First words that say enough whatever follows (comment-body), and last words that do after any other (post-comments),
+#: unless the first tells a state (has-comments).
+OPENERS = frozenset("advert advertisement breadcrumb breadcrumbs comment comments disqus newsletter".split())
 REPLIES, STATES = frozenset("comments discussion disqus replies".split()), frozenset("has have is no not open show with without".split())
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -72,9 +76,12 @@ def _named(tag: str, value: str, inside_main: bool) -> bool:
     names = NAMES - HEADER if inside_main or tag in HEADINGS else NAMES
     for token in value.split():
         words = [w.lower() for w in WORD.findall(token)]
-        if any(w in names for w in words) and all(w in names or w in AROUND for w in words):
-            return True
-        if len(words) > 1 and words[-1] in REPLIES and words[0] not in STATES:
+        found = [w for w in words if w in names]
+        if found and len(found) + sum(w in AROUND for w in words if w not in names) == len(words):
+            rest = [w for w in words if w not in names]
+            if not ENDS.issuperset(found) or SITE.issuperset(rest) or found == ["footer"] and rest == ["page"]:
+                return True
+        if len(words) > 1 and (words[0] in OPENERS or words[-1] in REPLIES and words[0] not in STATES):
             return True
     return False
 

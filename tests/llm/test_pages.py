@@ -155,6 +155,8 @@ def test_common_lines_are_longest():
         ('<div class="layout has-sidebar"><p>one</div><body class="has-comments">two', ["one", "two"]),
         ('<div class="siteHeader">x</div><div class="ad-box">x</div><div id="post-comments">x</div><div class="menu__item">x</div>text', ["text"]),
         ('<article class="comment">x</article><p>text', ["text"]),
+        ('<div class="section-header">one</div><div class="page-header">two</div><div class="card-header">three</div><div class="site-header">x</div><div class="page-footer">x</div><div class="header">x</div>', ["one", "two", "three"]),
+        ('<div class="comment-body">x</div><div id="disqus_thread">x</div><div class="newsletter-cta">x</div><div class="footer-widgets">x</div><div class="cookie-recipe">one', ["one"]),
         ("<article><header><h1>T</h1></header><h2 class=header>U</h2>v<footer>x</footer></article>", ["T", "U", "v"]),
         ("<article>A</article><p>Outside article text</p>", ["A", "Outside article text"]),
         ("<p>let <math><mi>x</mi></math> be", ["let x be"]),
