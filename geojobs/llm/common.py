@@ -36,7 +36,10 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> D
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that the strings of ``column`` hold about ``max_bytes`` each; single rows stay whole."""
+    """Cut Arrow batches so that the strings of ``column`` hold about ``max_bytes`` each; single rows stay whole.
+
+    Workers serve one task after another: at the end of one, Arrow gives back what it holds.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -44,6 +47,8 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int
         rows = max(1, int(batch.num_rows * max_bytes / max(1, col.nbytes)))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        del batch, col
+    pa.default_memory_pool().release_unused()
 
 
 def at_most(df: DataFrame, rows: int) -> DataFrame:

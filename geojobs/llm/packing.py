@@ -111,7 +111,7 @@ def _word_ids(path: str) -> WordIds:
 def _piece_maker(tokenizer_path: str, capacity: int, end_id: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end, size = _word_ids(tokenizer_path), np.array([end_id], "<u4").tobytes(), 4 * capacity
-        for batch in small_batches(batches, "text", 6 << 20):
+        for batch in small_batches(batches, "text", 4 << 20):
             rows: list[list] = [[], [], [], [], []]
             ids, ends = encode([t or "" for t in batch.column(1).to_pylist()])
             begin = 0

@@ -123,7 +123,7 @@ class Scorer:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, label) -> word, documents that hold it: toxic and other. Words are expanded to terms after they are counted."""
-    for batch in small_batches(batches, "text", 32 << 20):
+    for batch in small_batches(batches, "text", 6 << 20):
         counts = (Counter(), Counter())
         for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             for term in {t for w in set(WORDS.findall((text or "").lower())) for t in word_terms(w)}:
@@ -235,15 +235,15 @@ def _in_many_contexts(sample: DataFrame, likely: set[str], alike: dict[int, int]
     """
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[str]] = {}
-        for batch in batches:
+        known: dict[str, tuple[str, ...]] = {}
+        for batch in small_batches(batches, "text", 6 << 20):
             seen = set()
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = ["", *WORDS.findall((text or "").lower()), ""]
                 for i in range(1, len(words) - 1):
                     found = known.get(words[i])
                     if found is None:
-                        found = known[words[i]] = [t for t in word_terms(words[i]) if t in likely]
+                        found = known[words[i]] = tuple(t for t in word_terms(words[i]) if t in likely)
                     for term in found:
                         seen.add((term, y > 0, f"{words[i - 1]} {words[i]} {words[i + 1]}"))
             rows = list(seen)
