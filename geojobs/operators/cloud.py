@@ -327,7 +327,7 @@ def knn_mean(points: DataFrame, k: int, block_points: int = 4_000, scope: str =
     rows = _keyed(points, scope)
     spots = rows.groupBy("_p", "x", "y", "z").agg(F.count(F.lit(1)).alias("n"), F.min("pid").alias("spot"))
     # Every other level will do, the finer of two: half the rounds.
-    spots = settle(tile_budget(spots, ["x", "y"], block_points, 20).drop("tile").withColumn("level", F.col("level") + F.col("level") % 2))
+    spots = settle(tile_budget(spots, ["x", "y"], block_points, 20, by=("_p",)).drop("tile").withColumn("level", F.col("level") + F.col("level") % 2))
     box = spots.agg(F.max("level").alias("deepest"), *[f(c).alias(n + c) for c in "xy" for n, f in (("a", F.min), ("b", F.max))]).first()
     if box["deepest"] is None:
         return points.select("pid", F.lit(None).cast("double").alias("mean_distance")).limit(0)

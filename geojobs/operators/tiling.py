@@ -21,11 +21,12 @@ def _cell(value: Column, low: Column, span: Column, level: int) -> Column:
     return F.when(value.isNotNull(), F.least(F.greatest(at, F.lit(0).cast("long")), F.lit(n - 1).cast("long")))
 
 
-def tile_budget(df: DataFrame, axes: list[str], max_features: int, max_level: int = 20, extent: DataFrame | None = None) -> DataFrame:
+def tile_budget(df: DataFrame, axes: list[str], max_features: int, max_level: int = 20, extent: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with ``level`` and ``tile`` (one number per axis): leaves of the adaptive tree of quadrants (or octants).
 
     A node with at most ``max_features`` rows is a leaf, as is one at ``max_level``, however many rows stand at one place. Rows with
-    a null coordinate have null tiles. The extent is that of all rows unless given (one row of low_i and high_i).
+    a null coordinate have null tiles. The extent is that of all rows unless given (one row of low_i and high_i). Rows with different
+    ``by`` (not null) have trees of their own over the same extent.
     """
     if extent is None:
         extent = df.agg(*[f(F.col(a)).alias(f"{n}_{i}") for i, a in enumerate(axes) for n, f in (("low", F.min), ("high", F.max))])
@@ -36,15 +37,15 @@ def tile_budget(df: DataFrame, axes: list[str], max_features: int, max_level: in
     cells = cells.drop(*[f"{n}_{i}" for i in range(len(axes)) for n in ("low", "high")])
     keys = [f"_c{i}" for i in range(len(axes))]
     known = reduce(lambda p, q: p & q, [F.col(k).isNotNull() for k in keys])
-    finest = cells.where(known).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    finest = cells.where(known).groupBy(*by, *keys).agg(F.count(F.lit(1)).alias("_n"))
     # Every finest cell adds to its ancestors; the shallowest ancestor within the budget is its leaf.
     levels = F.explode(F.sequence(F.lit(0), F.lit(max_level))).alias("_level")
-    up = finest.select(*keys, "_n", levels).select("_level", "_n", *[F.expr(f"shiftright({k}, {max_level} - _level)").alias(f"_t{i}") for i, k in enumerate(keys)])
-    nodes = up.groupBy("_level", *[f"_t{i}" for i in range(len(axes))]).agg(F.sum("_n").alias("_n"))
-    small = nodes.where((F.col("_n") <= int(max_features)) | (F.col("_level") == max_level)).select("_level", *[f"_t{i}" for i in range(len(axes))])
-    paths = finest.select(*keys, levels).select(*keys, "_level", *[F.expr(f"shiftright({k}, {max_level} - _level)").alias(f"_t{i}") for i, k in enumerate(keys)])
-    leaf = paths.join(small, ["_level", *[f"_t{i}" for i in range(len(axes))]]).groupBy(*keys).agg(F.min("_level").alias("level"))
-    placed = cells.join(leaf, keys, "left")
+    up = finest.select(*by, *keys, "_n", levels).select(*by, "_level", "_n", *[F.expr(f"shiftright({k}, {max_level} - _level)").alias(f"_t{i}") for i, k in enumerate(keys)])
+    nodes = up.groupBy(*by, "_level", *[f"_t{i}" for i in range(len(axes))]).agg(F.sum("_n").alias("_n"))
+    small = nodes.where((F.col("_n") <= int(max_features)) | (F.col("_level") == max_level)).select(*by, "_level", *[f"_t{i}" for i in range(len(axes))])
+    paths = finest.select(*by, *keys, levels).select(*by, *keys, "_level", *[F.expr(f"shiftright({k}, {max_level} - _level)").alias(f"_t{i}") for i, k in enumerate(keys)])
+    leaf = paths.join(small, [*by, "_level", *[f"_t{i}" for i in range(len(axes))]]).groupBy(*by, *keys).agg(F.min("_level").alias("level"))
+    placed = cells.join(leaf, [*by, *keys], "left")
     tile = F.when(F.col("level").isNotNull(), F.array(*[F.expr(f"shiftright({k}, {max_level} - level)") for k in keys]))
     return placed.withColumn("tile", tile).drop(*keys)
 
