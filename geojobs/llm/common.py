@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Hashable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,3 +71,11 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFra
     dealt = left.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), salts)).drop("_salts")
     copies = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("_salts")
     return dealt.join(copies, [key, "_salt"]).drop("_salt")
+
+
+def worker_kept(name: Hashable, make: Callable):
+    """What ``make`` gives, made once in a worker and kept over its tasks."""
+    kept = sys.modules.setdefault("geojobs_worker_kept", types.ModuleType("geojobs_worker_kept")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
