@@ -1,15 +1,17 @@
 """Main text of web pages: what the markup itself says, and nearest-URL page differencing wherever it is silent.
 
 Elements whose name, role or class say that they are no text (menus, headers, footers, forms, adverts, notices, comments) are dropped.
-Lines inside an article or main element are text: what two articles share is no template. Every other line is kept unless a neighbour
-has it as well: pages of a host are ordered by URL path, each is paired with the page before it (a host's first with the one after),
-the lines of the two are aligned by longest common subsequence, and those that both have are deleted. A page whose lines are all its
-partner's is a copy, which says nothing about the site's template; it keeps them.
+Lines inside an article or main element are text: what two articles share is no template; only parts in it with a name that may or may
+not mean text (share, related, discussion) stay in doubt. Every other line is kept unless the nearest page has it as well: pages of a
+host are ordered by URL path, each is paired with the one of its two neighbours with which its path has more signs in common from the
+start (of equals the one before), the lines of the two are aligned by longest common subsequence, and those that both have are deleted.
+A page whose lines are all its partner's is a copy, which says nothing about the site's template; it keeps them.
 """
 
 from __future__ import annotations
 
 import html as entities
+import os
 import re
 import struct
 from bisect import bisect_right
@@ -55,6 +57,11 @@ ENDS, SITE = frozenset("header footer".split()), frozenset("area bar bottom cont
 #: unless the first tells a state (has-comments).
 OPENERS = frozenset("advert advertisement breadcrumb breadcrumbs comment comments disqus newsletter".split())
 REPLIES, STATES = frozenset("comments discussion disqus replies".split()), frozenset("has have is no not open show with without".split())
+#: Within a text these names alone say that an element is none; the others of NAMES leave it to the nearest page.
+SURE = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion cookie cookies consent gdpr newsletter subscribe signup nav navbar navigation "
+    "breadcrumb breadcrumbs comment comments disqus notice notices pagination pager login".split()
+)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SPACE = re.compile(r"\s+")
@@ -71,33 +78,41 @@ _ROWS = frozenset("table thead tbody tfoot".split())
 BACK_TO = {"td": _ROWS | {"tr"}, "th": _ROWS | {"tr"}, "tr": _ROWS} | {t: frozenset({"table"}) for t in ("thead", "tbody", "tfoot", "caption")}
 
 
-def _named(tag: str, value: str, inside_main: bool) -> bool:
-    """Whether a class or id says that an element is no text: a whole name does, a name that only mentions one (article-header) doesn't."""
+#: What the markup says of an element.
+TEXT, DOUBT, NO_TEXT = range(3)
+
+
+def _named(tag: str, value: str, inside_main: bool) -> int:
+    """What a class or id says: a whole name tells that an element is no text, a name that only mentions one (article-header) doesn't."""
     names = NAMES - HEADER if inside_main or tag in HEADINGS else NAMES
+    says = TEXT
     for token in value.split():
         words = [w.lower() for w in WORD.findall(token)]
         found = [w for w in words if w in names]
+        level = DOUBT if inside_main and not SURE.intersection(found) else NO_TEXT
         if found and len(found) + sum(w in AROUND for w in words if w not in names) == len(words):
             rest = [w for w in words if w not in names]
             if not ENDS.issuperset(found) or SITE.issuperset(rest) or found == ["footer"] and rest == ["page"]:
-                return True
+                says = max(says, level)
         if len(words) > 1 and (words[0] in OPENERS or words[-1] in REPLIES and words[0] not in STATES):
-            return True
-    return False
+            says = max(says, DOUBT if inside_main and words[0] not in OPENERS and words[-1] != "comments" else NO_TEXT)
+    return says
 
 
-def _is_chrome(tag: str, attrs: str, inside_main: bool) -> bool:
+def _is_chrome(tag: str, attrs: str, inside_main: bool) -> int:
+    """Within a text the names of headings and inline elements say nothing: class="menu" may tell what they are about."""
     if tag in CHROME or tag == "header" and not inside_main:
-        return True
+        return NO_TEXT
     if not attrs or tag == "main":
-        return False
+        return TEXT
+    says, heard = TEXT, not inside_main or tag in BLOCKS and tag not in HEADINGS
     for name, *values in ATTRIBUTE.findall(attrs):
         name, value = name.lower(), next((v for v in values if v), "")
-        if name == "hidden" or name == "style" and "display:none" in value.lower().replace(" ", ""):
-            return True
-        if name == "role" and value.lower() in ROLES or name in ("class", "id") and _named(tag, value, inside_main):
-            return True
-    return False
+        if name == "hidden" or name == "style" and "display:none" in value.lower().replace(" ", "") or name == "role" and value.lower() in ROLES:
+            return NO_TEXT
+        if heard and name in ("class", "id"):
+            says = max(says, _named(tag, value, inside_main))
+    return says
 
 
 def _is_main(tag: str, attrs: str) -> bool:
@@ -107,16 +122,16 @@ def _is_main(tag: str, attrs: str) -> bool:
 
 
 def blocks(page: str | None) -> list[tuple[bool, str]]:
-    """The text blocks of a page in order, without chrome: (inside an article or main element, text).
+    """The text blocks of a page in order, without chrome: (inside an article or main element and not in doubt, text).
 
     Elements that authors may leave unclosed (paragraphs, list items, cells) end where HTML lets them end, and a chrome element ends at
     the latest with its parent. A form around an article hides nothing from there on.
     """
     out: list[tuple[bool, str]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool]] = []  # open elements: name, article or main
+    stack: list[tuple[str, bool, bool]] = []  # open elements: name, article or main, in doubt
     opened: Counter = Counter()
-    page, at, mains = page or "", 0, 0
+    page, at, mains, doubts = page or "", 0, 0, 0
     skip: int | None = None  # place in the stack of the chrome element that hides the text
 
     def close() -> None:
@@ -124,7 +139,7 @@ def blocks(page: str | None) -> list[tuple[bool, str]]:
             text = SPACE.sub(" ", "".join(parts)).strip()
             parts.clear()
             if text:
-                out.append((mains > 0, text))
+                out.append((mains > 0 and not doubts, text))
 
     def take(text: str) -> None:
         parts.append(entities.unescape(text) if "&" in text else text)
@@ -139,13 +154,14 @@ def blocks(page: str | None) -> list[tuple[bool, str]]:
         return None
 
     def end_from(place: int) -> None:
-        nonlocal skip, mains
-        if any(main for _, main in stack[place:]) and skip is None:
+        nonlocal skip, mains, doubts
+        if any(main or doubt for _, main, doubt in stack[place:]) and skip is None:
             close()
         while len(stack) > place:
-            name, main = stack.pop()
+            name, main, doubt = stack.pop()
             opened[name] -= 1
             mains -= main
+            doubts -= doubt
         if skip is not None and len(stack) <= skip:
             skip = None
 
@@ -181,15 +197,17 @@ def blocks(page: str | None) -> list[tuple[bool, str]]:
         main = _is_main(tag, attrs)
         if skip is not None and main and stack[skip][0] == "form":
             skip = None
-        if skip is None and _is_chrome(tag, attrs, mains > 0):
+        says = _is_chrome(tag, attrs, mains > 0) if skip is None else TEXT
+        if says == NO_TEXT:
             if attrs.endswith("/"):
                 continue
             skip = len(stack)
         elif tag in ("svg", "math") and attrs.endswith("/"):
             continue
-        stack.append((tag, main))
+        stack.append((tag, main, says == DOUBT))
         opened[tag] += 1
         mains += main
+        doubts += says == DOUBT
     if skip is None and at < len(page):
         take(page[at:])
     close()
@@ -297,37 +315,43 @@ def _parser(bounds: list[tuple], edges: dict[int, tuple[tuple, tuple]]) -> Calla
     return run
 
 
-def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted pages -> texts. Of a host's pages in a bucket only two are held."""
-    names, kinds = ["page_id", "url", "text", "n_chars", "lines_deleted"], (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
-    before = None  # (bucket, host, lines, page that still waits for its partner)
+def nearest(path: str, before: str | None, after: str | None) -> int:
+    """Which neighbour in the order of paths is nearer: -1 the one before, 1 the one after, 0 without any. Of equals the one before."""
+    same = lambda other: len(os.path.commonprefix((path, other)))
+    if before is None or after is None:
+        return -1 if before is not None else 1 if after is not None else 0
+    return 1 if same(after) > same(before) else -1
 
-    def row(page: tuple, lines: list, other: list[int] | None) -> list[tuple]:
-        if page[2]:
-            return []
-        text, taken = main_text(lines, other)
-        return [(page[0], page[1], text, len(text), taken)]
 
-    def emit(rows: list[tuple]) -> pa.RecordBatch:
+def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted pages -> texts. A page waits for the one after it; of a host's pages in a bucket only two are held."""
+    names, kinds = ["page_id", "url", "text", "n_chars", "lines_deleted"], (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
+    rows: list[tuple] = []
+    before = now = None  # before: path and line hashes; now: bucket and host, path, line hashes, lines, page
+
+    def settle(after: tuple | None) -> None:
+        """The waiting page's row; ``after`` is the next page of its host in the bucket."""
+        if now is None or now[4][2]:  # a neighbouring bucket's page
+            return
+        choice = nearest(now[1], before and before[0], after and after[1])
+        text, taken = main_text(now[3], (None, after and after[2], before and before[1])[choice])
+        rows.append((*now[4][:2], text, len(text), taken))
+
+    def emit() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     for batch in batches:
-        rows: list[tuple] = []
-        for bucket, host, _, page_id, url, halo, packed in zip(*(c.to_pylist() for c in batch.columns)):
-            page, lines = (page_id, url, halo), _unpack(packed)
-            if before and before[:2] != (bucket, host):
-                rows += row(before[3], before[2], None) if before[3] else []
-                before = None
-            if before is None:
-                before = (bucket, host, lines, page)
-                continue
-            if before[3]:
-                rows += row(before[3], before[2], _hashes(lines))
-            rows += row(page, lines, _hashes(before[2]))
-            before = (bucket, host, lines, None)
-        yield emit(rows)
-    if before and before[3]:
-        yield emit(row(before[3], before[2], None))
+        for bucket, host, path, page_id, url, halo, packed in zip(*(c.to_pylist() for c in batch.columns)):
+            lines = _unpack(packed)
+            page = ((bucket, host), path, _hashes(lines), lines, (page_id, url, halo))
+            same = now is not None and now[0] == page[0]
+            settle(page if same else None)
+            before, now = (now[1:3] if same else None), page
+        yield emit()
+        rows.clear()
+    settle(None)
+    if rows:
+        yield emit()
 
 
 def extract(pages: DataFrame, buckets: int | None = None, sample: int = 25) -> DataFrame:

@@ -159,6 +159,9 @@ def test_common_lines_are_longest():
         ('<div class="comment-body">x</div><div id="disqus_thread">x</div><div class="newsletter-cta">x</div><div class="footer-widgets">x</div><div class="cookie-recipe">one', ["one"]),
         ("<article><header><h1>T</h1></header><h2 class=header>U</h2>v<footer>x</footer></article>", ["T", "U", "v"]),
         ("<article>A</article><p>Outside article text</p>", ["A", "Outside article text"]),
+        ('<article><section class="discussion">A paper\'s part</section><p class="share">Share of the market rose</p></article>', ["A paper's part", "Share of the market rose"]),
+        ('<article><h2 class="menu">Menu of the day</h2><p>a <span class="alert">watch</span> was out</p></article>', ["Menu of the day", "a watch was out"]),
+        ('<article><div class="comments">x</div><div class="post-comments">x</div><div class="ad">x</div>text<p class="cookie-notice">x</article>', ["text"]),
         ("<p>let <math><mi>x</mi></math> be", ["let x be"]),
         ('<svg class=a/><p>a <svg viewBox="0"><title>x</title><text>x</text></svg>b</p>', ["a b"]),
         ("<head><title>x</title><p>body", ["body"]),
@@ -184,7 +187,7 @@ def _longest(a, b):
 
 @pytest.mark.parametrize("article", [False, True])
 def test_differencing_against_plain_alignment(spark, article):
-    """On pages without an article, and beside one: neighbours in the order of urls, aligned by the plain table."""
+    """On pages without an article, and beside one: the nearest neighbour in the order of urls, aligned by the plain table."""
     rng = random.Random(5)
     rows, lines = [], {}
     for i in range(90):
@@ -199,12 +202,15 @@ def test_differencing_against_plain_alignment(spark, article):
         lines[i] = (beside, at, inside)
     out = {r.page_id: r for r in htmltext.extract(pages(spark, rows), buckets=5, sample=3).collect()}
     order = sorted(rows, key=lambda r: (r[1].split("/")[2], "/" + r[1].rsplit("/", 1)[1], r[0]))
-    deleted = 0
+    deleted = later = 0
     for k, (i, url, _) in enumerate(order):
         host = url.split("/")[2]
         same = [j for j in (k - 1, k + 1) if 0 <= j < len(order) and order[j][1].split("/")[2] == host]
         beside, at, inside = lines[i]
-        other = lines[order[same[0]][0]][0] if same else []
+        path = lambda j: "/" + order[j][1].rsplit("/", 1)[1]
+        near = max(same, key=lambda j: (next((n for n, (x, y) in enumerate(zip(path(k), path(j))) if x != y), min(len(path(k)), len(path(j)))), -j), default=None)
+        later += near == k + 1 and len(same) == 2
+        other = lines[order[near][0]][0] if same else []
         n = _longest(beside, other) if beside != other else 0
         got = out[i].text.split("\n") if out[i].text else []
         assert out[i].lines_deleted == n and len(got) == len(beside) - n + len(inside)
@@ -212,4 +218,19 @@ def test_differencing_against_plain_alignment(spark, article):
         assert all(x in it for x in got)
         assert all(x in got for x in inside) and all(x in got for x in beside if x not in other)
         deleted += n
-    assert deleted > 50
+    assert deleted > 50 and later > 10
+
+
+def test_parts_in_doubt_within_an_article(spark):
+    """A part whose name may mean text stays unless the nearest page has the same lines; what two articles share without such a name stays."""
+    page = "<article><p>Both have this</p><p>Own {0}</p><div class='share'><p>Share this page</p></div><section class='discussion'><p>Result {0}</p></section></article>"
+    rows = [(i, f"http://h.com/{i}", page.format(i)) for i in range(5)]
+    out = {r.page_id: r.text for r in htmltext.extract(pages(spark, rows)).collect()}
+    assert all(out[i] == f"Both have this\nOwn {i}\nResult {i}" for i in range(5))
+
+
+def test_the_nearer_neighbour_counts(spark):
+    rows = [(1, "http://h.com/a/1", "<p>first</p><p>of a</p>"), (2, "http://h.com/b/1", "<p>of a</p><p>of b</p><p>second</p>"), (3, "http://h.com/b/2", "<p>of b</p><p>third</p>")]
+    out = {r.page_id: r.text for r in htmltext.extract(pages(spark, rows), buckets=3, sample=1).collect()}
+    assert out == {1: "first", 2: "of a\nsecond", 3: "third"}
+    assert [htmltext.nearest("/x", *n) for n in ((None, None), ("/a", None), (None, "/a"), ("/a", "/b"), ("/", "/xy"))] == [0, -1, 1, -1, 1]
