@@ -23,9 +23,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """(text, label) of at most ``max_rows`` labelled documents that aren't held out, those of the smallest id hashes.
+    """(text, label) of at most ``max_rows`` rows of labelled documents that aren't held out, those of the smallest id hashes.
 
-    The bound is the only sample in a fit and proves the size of the broadcast. Of repeated labels of a document the larger holds.
+    The bound is the only sample in a fit and proves the size of the broadcast. Of repeated labels of a document the larger holds; of
+    repeated rows of a document one is learned from, that of the smallest text hash, so that the bound holds for rows as well.
     """
     ids = (
         labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y"))
@@ -34,7 +35,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> D
         .orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     )
     texts = docs.select(F.col("doc_id").alias("_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(ids), "_id").select("text", F.col("_y").alias("label"))
+    found = texts.join(F.broadcast(ids), "_id").groupBy("_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("_y").alias("label"))
+    return found.select("text", "label")
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:

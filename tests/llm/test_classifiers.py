@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geojobs.llm import quality, toxicity
-from geojobs.llm.common import held_out
+from geojobs.llm.common import held_out, labelled
 
 
 def corpus(n=900, seed=3):
@@ -116,3 +116,13 @@ def test_interactions_by_the_identity():
     where, value = np.concatenate((ids, np.arange(quality.BUCKETS, k))), np.concatenate((x, z))
     pairs = sum(model.v[where[i]] @ model.v[where[j]] * value[i] * value[j] for i in range(value.size) for j in range(i))
     assert abs(quality._score(model, ids, x, z) - (0.3 + model.w[where] @ value + pairs)) < 1e-9
+
+
+def test_the_bound_of_labels_holds_for_rows(spark):
+    """A thousand rows of one id are one row to learn from, whichever order they come in."""
+    docs = spark.range(20_000).select((F.col("id") % 20).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    labels = spark.range(20).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    free = labels.where(~held_out(F.col("doc_id"))).count()
+    got = sorted(tuple(r) for r in labelled(docs, labels, "toxic", 100).collect())
+    assert len(got) == free and got == sorted(tuple(r) for r in labelled(docs.orderBy(F.desc("text")), labels, "toxic", 100).collect())
+    assert labelled(docs, labels, "toxic", 5).count() == 5
