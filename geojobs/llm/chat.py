@@ -163,7 +163,8 @@ def build(conversations: DataFrame, tokenizer_path: str | None = None, salts: in
     nodes = stash(alike.mapInArrow(lambda batches: _format(batches, tokenizer_path), FORMATTED))
 
     # Tokens in and below each node: every leaf tells the nodes on its path what it owns from there on.
-    along = leaves.select("leaf", F.posexplode("path").alias("at", "node")).join(nodes.select("node", "n", "owner"), "node")
+    # A system prompt that all share is a node on every path: its rows are spread over tasks.
+    along = spread_join(stash(leaves.select("leaf", F.posexplode("path").alias("at", "node"))), nodes.select("node", "n", "owner"), "node", "leaf")
     along = stash(along.select("leaf", "at", "node", "n", (F.col("owner") == F.col("leaf")).alias("owned")))
     onward = Window.partitionBy("leaf").orderBy(F.col("at").desc()).rowsBetween(Window.unboundedPreceding, 0)
     below = along.select("node", F.sum(F.when(F.col("owned"), F.col("n")).otherwise(0)).over(onward).alias("n")).groupBy("node").agg(F.sum("n").alias("below"))
@@ -175,10 +176,10 @@ def build(conversations: DataFrame, tokenizer_path: str | None = None, salts: in
     inside = Window.partitionBy("parent", "salt").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
     shift = salted.withColumn("before", F.coalesce(F.sum("below").over(inside), F.lit(0))).join(by_salt.drop("all"), ["parent", "salt"])
     shift = shift.select("node", (F.col("before") + F.col("salts_before")).alias("before"))
+    shift = shift.unionByName(nodes.where("parent is null").select("node", F.lit(0).cast("long").alias("before")))
     # A node begins after its ancestors and what stands before each of them, and it, among its siblings.
     upto = Window.partitionBy("leaf").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    moved = along.join(shift, "node", "left").withColumn("before", F.coalesce("before", F.lit(0)))
-    placed = moved.withColumn("begin", F.sum(F.col("before") + F.col("n")).over(upto) - F.col("n"))
+    placed = spread_join(along, stash(shift), "node", "leaf").withColumn("begin", F.sum(F.col("before") + F.col("n")).over(upto) - F.col("n"))
     lines = stash(placed.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", "node", "n", "begin", "owned"))).alias("path")))
     out = nodes.drop("owner", "n").join(lines.select("leaf", "path").mapInArrow(_attend, ATTEND), "node")
     where = lines.select("leaf", F.col("path")[0]["node"].alias("tree"), F.col("path.begin").alias("begins"))
@@ -208,6 +209,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_back(nodes: DataFrame, members: DataFrame) -> DataFrame:
     """Each conversation read from the trees: the nodes at its places in their order; parsed and digested."""
     wanted = members.groupBy("leaf").agg(F.first(F.struct("tree", "begins")).alias("m")).select("leaf", "m.tree", F.posexplode("m.begins").alias("at", "begin"))
-    found = wanted.join(nodes.select("tree", "begin", "formatted", "loss_begin", "loss_end"), ["tree", "begin"])
+    place = F.concat_ws(":", "tree", "begin").alias("place")
+    wanted = stash(wanted.select("leaf", "at", place))
+    found = spread_join(wanted, nodes.select(place, "formatted", "loss_begin", "loss_end"), "place", "leaf")
     lines = found.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", "formatted", "loss_begin", "loss_end"))).alias("nodes"))
     return spread_join(members.select("conv_id", "leaf"), lines.mapInArrow(_digest, DIGEST), "leaf", "conv_id").drop("leaf")

@@ -3,6 +3,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from geojobs.llm import chat, queries
 
 SCHEMA = "conv_id long, turn long, role string, text string, extra string"
@@ -78,3 +80,25 @@ def test_rows_without_a_conversation_and_ambiguous_roles(spark):
     rows = chat.read_back(nodes, members).collect()
     assert sorted(r.n_turns for r in rows if r.conv_id is None) == [1, 1, 1] and len(rows) == 5 + 190
     assert nodes.count() == 2 + 2 + 3 and members.select("leaf").distinct().count() == 2 + 2 + 1
+
+
+def test_a_prompt_that_all_share_is_dealt_over_tasks(spark, monkeypatch):
+    """4,000 conversations begin alike: in no join does one key's place get a large share of the rows."""
+    rows = [(i, t, r, x) for i in range(4000) for t, (r, x) in enumerate([("system", "be brief"), ("user", f"q{i}")])]
+    seen = []
+    keep = chat.spread_join
+
+    def watched(left, right, key, by):
+        out = keep(left, right, key, by)
+        salted = [c for c in left.columns if c == key]
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        share = max(1, left.count() // (4 * tasks))
+        largest = left.groupBy(*salted, F.pmod(F.xxhash64(by), F.lit(max(1, -(-left.groupBy(key).count().agg(F.max("count")).first()[0] // share))))).count().agg(F.max("count")).first()[0]
+        seen.append((key, left.count(), largest))
+        return out
+
+    monkeypatch.setattr(chat, "spread_join", watched)
+    nodes, members = chat.build(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert chat.read_back(nodes, members).count() == 4000
+    assert {k for k, _, _ in seen} == {"node", "place", "leaf"}
+    assert all(largest <= n // 8 for _, n, largest in seen)
