@@ -4,8 +4,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from geojobs.llm import simhash
+from geojobs.llm import components, simhash
 from geojobs.llm.components import connected_components
 
 
@@ -144,3 +145,15 @@ def test_long_chain_of_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(5, 5), (None, 3), (900, 901), (900, 901)], "a long, b long")
     out = {r.node: r.component for r in connected_components(edges).collect()}
     assert len(out) == 303 and {out[i] for i in range(301)} == {0} and out[901] == 900
+
+
+def test_a_component_around_one_node_is_dealt_over_tasks(spark):
+    """A star of 20,000 edges: its centre's rows go to several places, and the components are right."""
+    star = spark.range(1, 20_001).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    least = star.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    plan = components._with_least(star, least, 1000)
+    assert plan.count() == 20_000 and plan.where("m != 1").count() == 0
+    salts = star.groupBy(F.pmod(F.xxhash64("b"), F.lit(20))).count().agg(F.max("count")).first()[0]
+    assert salts < 1300
+    found = components.connected_components(star.unionByName(spark.createDataFrame([(20_000, 20_001), (30_000, 30_001), (None, 1), (5, 5)], "a long, b long")))
+    assert found.where("component = 0").count() == 20_002 and found.where("component = 30000").count() == 2
