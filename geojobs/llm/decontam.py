@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geojobs.llm.common import at_most, small_batches, stash
+from geojobs.llm.common import at_most, small_batches, spread_join, stash
 
 WORDS = re.compile(r"\w+")
 MIN_MATCH = 5
@@ -166,6 +166,34 @@ def _runs(bitmap, bits: int, min_match: int) -> Callable:
     return run
 
 
+def _telling(min_match: int, coverage: float) -> Callable:
+    """(key, item, df) -> the seeds that a document must hit one of to cover ``coverage`` of the item: all but the most frequent ones
+    whose places together are fewer tokens than that. ``df`` tells how many documents have a seed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, seeds = [], []
+            for key, tokens, known in zip(*(c.to_pylist() for c in batch.columns)):
+                line, df = np.array(tokens, np.int64).view(np.uint64), {d["seed"]: d["df"] for d in known or ()}
+                size = min(min_match, max(1, line.size))
+                found, which = np.unique(window_hashes(line, size), return_inverse=True)
+                found = found.view(np.int64)
+                places = np.split(np.argsort(which, kind="stable"), np.cumsum(np.bincount(which, minlength=found.size))[:-1])
+                free, kept, left = np.ones(line.size, bool), np.ones(found.size, bool), coverage * line.size
+                for i in sorted(range(found.size), key=lambda i: (-df.get(int(found[i]), 0), int(found[i]))):
+                    for at in places[i].tolist():
+                        left -= int(free[at : at + size].sum())
+                        free[at : at + size] = False
+                    if left <= 0:
+                        break
+                    kept[i] = False
+                keys += [key] * int(kept.sum())
+                seeds.append(found[kept])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.concatenate(seeds) if seeds else [], pa.int64())], names=["key", "seed"])
+
+    return run
+
+
 def _tile(min_match: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -173,6 +201,9 @@ def _tile(min_match: int) -> Callable:
             for item, runs in zip(pdf["item"], pdf["runs"]):
                 pattern = np.asarray(item, np.int64).view(np.uint64)
                 lines = [np.asarray(r["run"], np.int64).view(np.uint64) for r in sorted(runs, key=lambda r: r["start"])]
+                # Runs without a window of the item can't hold a tile of it.
+                own = window_hashes(pattern, min_match)
+                lines = [x for x in lines if x.size < min_match or pattern.size < min_match or np.isin(window_hashes(x, min_match), own).any()]
                 made = tiles(pattern, lines, min_match)
                 if pattern.size < min_match and any(np.array_equal(pattern, x) for x in lines):
                     made = [(pattern.size, 0, 0, 0)]
@@ -205,19 +236,30 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, cov
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("mark"))
     runs = texts.mapInArrow(_runs(bitmap, bits, min_match), "doc_id long, mark long, start long, run array<bigint>")
     runs = stash(runs.withColumn("run_id", F.xxhash64("run")))
-    # A passage that many documents share is one run: its seeds are joined once.
-    alike = runs.groupBy("run_id").agg(F.first("run").alias("run"))
-    shared = alike.mapInArrow(_seeds(min_match, ("run_id", "seed", "times")), "run_id long, seed long, times long").join(seeds, "seed")
-    shared = shared.groupBy("run_id", "key").agg(F.sum("n").alias("hits"))
-    sizes = items.select("key", F.size("item").alias("size"))
-    pairs = runs.join(shared, "run_id").groupBy("doc_id", "mark", "key").agg(F.sum("hits").alias("hits"), F.collect_set(F.struct("start", "run")).alias("runs"))
-    pairs = pairs.join(sizes, "key").where(F.col("hits") * min_match >= F.lit(coverage) * F.col("size")).drop("size")
+    met = _candidates(runs, items, seeds, min_match, coverage)
+    every = runs.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "run")).alias("runs"))
+    same = F.col("r.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("r.mark") == F.col("m.mark"))
+    pairs = every.alias("r").join(met.alias("m"), same).select("r.doc_id", "r.mark", "key", "runs")
     # Few bytes and much work each: as many tasks as there are partitions, however small.
     pairs = pairs.join(items, "key").repartition(tasks, "doc_id", "mark", "key")
     tiled = pairs.select("doc_id", "mark", "key", "item_id", "item", "runs").mapInPandas(_tile(min_match), "doc_id long, mark long, key long, item_id long, coverage double, n_tiles long, longest_tile long")
     return tiled.where(F.col("coverage") >= coverage)
 
 
+def _candidates(runs: DataFrame, items: DataFrame, seeds: DataFrame, min_match: int, coverage: float) -> DataFrame:
+    """(doc_id, mark, key) of documents that may cover enough of an item. A line that many items and documents share makes no pairs: only
+    an item's rarer seeds do, one of which every leak has."""
+    # A passage that many documents share is one run, with the number of its documents: its seeds are joined once.
+    alike = runs.groupBy("run_id").agg(F.first("run").alias("run"), F.count(F.lit(1)).alias("docs"))
+    alike = stash(alike)
+    of_runs = stash(alike.select("run_id", "run").mapInArrow(_seeds(min_match, ("run_id", "seed", "times")), "run_id long, seed long, times long").select("run_id", "seed"))
+    frequent = of_runs.join(alike.select("run_id", "docs"), "run_id").groupBy("seed").agg(F.sum("docs").alias("df"))
+    known = seeds.join(frequent, "seed").groupBy("key").agg(F.collect_list(F.struct("seed", "df")).alias("df"))
+    telling = items.select("key", "item").join(known, "key").mapInArrow(_telling(min_match, coverage), "key long, seed long")
+    wanted = of_runs.join(telling, "seed").groupBy("run_id").agg(F.collect_set("key").alias("keys"))
+    return spread_join(runs, stash(wanted), "run_id", "mark").select("doc_id", "mark", F.explode("keys").alias("key")).distinct()
+
+
 def _bitmap_words(seeds: DataFrame, bits: int) -> DataFrame:
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

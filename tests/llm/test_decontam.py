@@ -76,3 +76,44 @@ def test_windows():
     both = np.concatenate((x, x))
     h = decontam.window_hashes(both, 6)
     assert (h[:15] == h[20:35]).all() and len(set(h[:20].tolist())) == 20 and decontam.window_hashes(x, 21).size == 0
+
+
+def test_a_line_that_many_share_makes_no_pairs(spark, make):
+    """300 documents and 200 items have one line of a dozen words in common: no document meets an item through it."""
+    line = "read the text below and choose the best of the four answers"
+    items = [(i, " ".join([line] + [f"item{i}w{k}" for k in range(30)])) for i in range(200)]
+    rows = [(i, " ".join([f"doc{i}w{k}" for k in range(20)] + [line])) for i in range(300)] + [(1000 + i, items[i][1]) for i in range(5)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    seen = []
+    keep = decontam._candidates
+
+    def watched(*args):
+        seen.append(keep(*args))
+        return seen[-1]
+
+    decontam._candidates = watched
+    try:
+        got = {(r.doc_id, r.item_id) for r in decontam.contaminated(make(rows), bench).collect()}
+    finally:
+        decontam._candidates = keep
+    assert got == {(1000 + i, i) for i in range(5)} and seen[0].count() == 5
+
+
+def test_telling_seeds_miss_no_leak():
+    """Against all windows: texts that avoid an item's telling seeds cover less than the share in demand."""
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    for _ in range(200):
+        item = ids([str(rng.randint(0, 12)) for _ in range(rng.randint(1, 40))])
+        size = min(5, item.size)
+        windows = decontam.window_hashes(item, size).view(np.int64)
+        df = [{"seed": int(s), "df": rng.randint(0, 9)} for s in set(windows.tolist()) if rng.random() < 0.8]
+        share = rng.choice([0.3, 0.5, 1.0])
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([item.view(np.int64).tolist()]), pa.array([df], pa.list_(pa.struct([("seed", pa.int64()), ("df", pa.int64())])))], names=["key", "item", "df"])
+        kept = {s for out in decontam._telling(5, share)(iter([batch])) for s in out.column(1).to_pylist()}
+        covered = np.zeros(item.size, bool)
+        for at, s in enumerate(windows.tolist()):
+            if s not in kept:
+                covered[at : at + size] = True
+        assert kept and covered.sum() < share * item.size
