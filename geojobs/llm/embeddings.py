@@ -25,6 +25,7 @@ COSINE = 0.9
 TREES, LEAF, SPILL, SEED = 10, 1200, 0.1, 7
 #: Vectors that the trees' tops are fitted on: those of the smallest id hashes.
 SAMPLE = 20_000
+SAMPLE_BYTES = 64 << 20
 #: Sample vectors of a top's leaf at least: some 4,000 splits a tree at most.
 SAMPLE_LEAF = 16
 #: Rows of a leaf that one task splits to the end (25 MB at 64 dimensions); larger ones are split by all tasks together first.
@@ -194,7 +195,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
         return alone.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
     unit = stash(raw.where(finite & (F.size("vector") == usual["dims"])).select("row", "vector").mapInArrow(_unit, "row long, vector array<double>"))
     n = unit.count()
-    some = np.array([r["vector"] for r in unit.orderBy(F.xxhash64("row"), "row").limit(sample).collect()])
+    # The driver holds the sample: at most SAMPLE_BYTES, however many dimensions there are.
+    held = unit.orderBy(F.xxhash64("row"), "row").limit(max(1, min(sample, SAMPLE_BYTES // (8 * max(1, usual["dims"]))))).select("vector").toArrow()
+    some = held.column(0).combine_chunks().flatten().to_numpy().reshape(-1, usual["dims"])
     top = max(min(SAMPLE_LEAF, leaf), leaf * len(some) / max(n, len(some)))
     splits = {(t, node): s for t in range(trees) for node, s in fit_tree(some, t, top).items()}
     routed = stash(unit.mapInArrow(_router(splits, trees), "row long, vector array<double>, leaves array<bigint>"))
