@@ -8,8 +8,10 @@ from pyspark.sql import types as T
 
 from geojobs.functions import expr, geometry
 from geojobs.operators.tiling import lod_tolerance
-from geojobs.operators.triangulate import simplify, triangulate, triangulate_sides
+from geojobs.operators.simplify import simplify
+from geojobs.operators.triangulate import triangulate, triangulate_sides
 
+BECAUSE = "rejected_because"
 EMPTY = f"cast(array() as {geometry.RINGS})"
 
 
@@ -17,7 +19,8 @@ def extrude(df: DataFrame, lower: Column, upper: Column, translate: Column, remo
     """``df(.., geom)`` with ``triangles``: roof, walls and, unless removed, the bottom with its faces turned.
 
     Without limits (null or zero) the solid is a flat roof at its own heights. Lower and upper change places where the lower outer
-    ring stands higher on average. Other types than polygons have none; with ``multi``, ``geom.parts`` are exploded first.
+    ring stands higher on average. Other types than polygons have none; with ``multi``, ``geom.parts`` are exploded first. Where there
+    are none, ``rejected_because`` tells why: what is no polygon, one without area, one whose rings cross and can't be triangulated.
     """
     if multi:
         df = df.withColumn("geom", F.explode("geom.parts"))
@@ -38,13 +41,15 @@ def extrude(df: DataFrame, lower: Column, upper: Column, translate: Column, remo
     solid = [F.col("_roof"), F.when(F.col("_flat") | (F.size("_roof") == 0), none).otherwise(geometry.walls(F.col("_lower"), F.col("_upper")))]
     if not remove_bottom:
         solid.append(F.when(F.col("_flat"), none).otherwise(F.col("_bottom")))
-    out = df.withColumn("triangles", F.coalesce(F.concat(*solid), none))
+    why = F.when(F.coalesce(F.col("geom.type") != "Polygon", F.lit(True)), "no polygon").when(F.col("_roof").isNull() & F.col("_upper").isNotNull(), "not triangulated")
+    why = why.when(F.coalesce(F.size("_roof") == 0, F.lit(True)), "no area")
+    out = df.withColumn("triangles", F.coalesce(F.concat(*solid), none)).withColumn(BECAUSE, why)
     return out.drop("_l", "_u", "_t", "_low", "_high", "_flat", "_swap", "_lower", "_upper", "_roof", "_bottom", "_sides")
 
 
 def drop_empty(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows with triangles, rows without)."""
-    return df.where(F.size("triangles") > 0), df.where(F.size("triangles") == 0)
+    """(rows with triangles, rows without, with the reason in ``rejected_because``)."""
+    return df.where(F.size("triangles") > 0).drop(BECAUSE), df.where(F.size("triangles") == 0)
 
 
 def lod_explode(df: DataFrame, add_lod: bool, max_tolerance: float = 5) -> DataFrame:

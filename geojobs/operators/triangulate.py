@@ -1,27 +1,31 @@
 """Triangulation of polygons with holes: ear clipping after bridging every hole to the outer ring. Double precision.
 
 Corners stand in a linked ring; an ear is looked at again only when a neighbour has gone, and only reflex corners near it, found in a
-grid, are tested against it. Rings of 10^5 corners take seconds.
+grid, are tested against it. Rings of 10^5 corners take seconds, and so do 10^4 holes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from geojobs.functions.geometry import RINGS
+from geojobs.operators.sides import Grid, Point, hits, on_side, turn
 
 
 def _area(r: np.ndarray) -> float:
-    return 0.5 * float((r[:, 0] * np.roll(r[:, 1], -1) - np.roll(r[:, 0], -1) * r[:, 1]).sum())
+    """Signed area, about the ring's first corner: far from the origin products of coordinates would drown it."""
+    x, y = r[:, 0] - r[0, 0], r[:, 1] - r[0, 1]
+    return 0.5 * float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum())
 
 
 def _open(ring) -> np.ndarray:
-    r = np.array([[*p, 0.0][: max(3, len(p))] for p in ring], float)
+    r = ring if isinstance(ring, np.ndarray) and ring.ndim == 2 else np.array([[*p, 0.0][: max(3, len(p))] for p in ring], float)
     r = r if r.ndim == 2 else r.reshape(0, 3)
     if len(r) > 1 and (r[0, :2] == r[-1, :2]).all():
         r = r[:-1]
@@ -31,73 +35,151 @@ def _open(ring) -> np.ndarray:
     return r[keep]
 
 
-def _cross(o: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
-    return (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
-
-
-def _bridge(outer: np.ndarray, hole: np.ndarray) -> np.ndarray:
-    """The hole's rightmost vertex joined to the nearest outer vertex that sees it."""
-    h = int(np.lexsort((hole[:, 1], -hole[:, 0]))[0])
-    p = hole[h]
-    order = np.argsort(((outer[:, :2] - p[:2]) ** 2).sum(axis=1), kind="stable")
-
-    def crosses(q: np.ndarray, ring: np.ndarray) -> bool:
-        a, b = ring[:, :2], np.roll(ring[:, :2], -1, axis=0)
-        d1 = (q[0] - p[0]) * (a[:, 1] - p[1]) - (q[1] - p[1]) * (a[:, 0] - p[0])
-        d2 = (q[0] - p[0]) * (b[:, 1] - p[1]) - (q[1] - p[1]) * (b[:, 0] - p[0])
-        d3 = (b[:, 0] - a[:, 0]) * (p[1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (p[0] - a[:, 0])
-        d4 = (b[:, 0] - a[:, 0]) * (q[1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (q[0] - a[:, 0])
-        return bool(((d1 * d2 < 0) & (d3 * d4 < 0)).any())
-
-    at = next((i for i in order.tolist() if not crosses(outer[i], outer) and not crosses(outer[i], hole)), int(order[0]))
-    return np.concatenate((outer[: at + 1], hole[h:], hole[: h + 1], outer[at:]))
-
-
-class Spots:
-    """Corners in the cells of a grid about as many as there are."""
-
-    def __init__(self, points: list[list[float]], members: list[int]):
-        xs, ys = [p[0] for p in points], [p[1] for p in points]
-        self.n = max(1, int(len(members) ** 0.5))
-        self.x, self.y = min(xs), min(ys)
-        self.w, self.h = (max(xs) - self.x) / self.n or 1.0, (max(ys) - self.y) / self.n or 1.0
-        self.points, self.cells = points, {}
-        for i in members:
-            self.cells.setdefault(self._cell(*points[i][:2]), set()).add(i)
-
-    def _cell(self, x: float, y: float) -> tuple[int, int]:
-        return min(self.n - 1, int((x - self.x) / self.w)), min(self.n - 1, int((y - self.y) / self.h))
+def _extent(points: list) -> tuple[Point, Point, int]:
+    """Lowest and highest ordinates, and how many points there are."""
+    xs, ys = [p[0] for p in points], [p[1] for p in points]
+    return (min(xs), min(ys)), (max(xs), max(ys)), len(points)
+
+
+def _meet(rings: list[list[list[float]]]) -> list[list[list[float]]]:
+    """The rings with a corner more wherever another ring's corner lies on a side: rings then touch at corners alone."""
+    grid = Grid(*_extent([p for r in rings for p in r]))
+    for k, r in enumerate(rings):
+        for i, p in enumerate(r):
+            grid.add((k, i), tuple(p[:2]))
+    out = []
+    for k, r in enumerate(rings):
+        made = []
+        for p, q in zip(r, r[1:] + r[:1]):
+            made.append(p)
+            a, b = tuple(p[:2]), tuple(q[:2])
+            there = {c for (other, _), c, _ in grid.near(a, b) if other != k and on_side(c, a, b)}
+            for c in sorted(there, key=lambda c: (c[0] - a[0]) ** 2 + (c[1] - a[1]) ** 2):
+                t = (c[0] - a[0]) / (b[0] - a[0]) if abs(b[0] - a[0]) >= abs(b[1] - a[1]) else (c[1] - a[1]) / (b[1] - a[1])
+                made.append([*c, *((1 - t) * u + t * v for u, v in zip(p[2:], q[2:]))])
+        out.append(made)
+    return out
 
-    def remove(self, i: int) -> None:
-        self.cells.get(self._cell(*self.points[i][:2]), set()).discard(i)
 
-    def within(self, low: tuple[float, float], high: tuple[float, float]) -> Iterator[int]:
-        (i0, j0), (i1, j1) = self._cell(*low), self._cell(*high)
-        if (i1 - i0 + 1) * (j1 - j0 + 1) > len(self.cells):
-            yield from (k for (i, j), found in self.cells.items() if i0 <= i <= i1 and j0 <= j <= j1 for k in found)
-            return
-        for i in range(i0, i1 + 1):
-            for j in range(j0, j1 + 1):
-                yield from self.cells.get((i, j), ())
+def _opens_to(before: Point, p: Point, after: Point, to: Point) -> bool:
+    """Whether the inside at a corner of a ring (on its left) holds the way to ``to``, its own sides left out."""
+    if turn(before, p, after) > 0:
+        return turn(p, after, to) > 0 and turn(p, to, before) > 0
+    return not (turn(p, before, to) >= 0 and turn(p, to, after) >= 0)
+
+
+def _bridged(outer: list[list[float]], holes: list[list[list[float]]]) -> list[list[float]] | None:
+    """One ring of the outer one and all holes, joined by bridges; None if a hole finds none.
+
+    Holes come from the right. A hole's rightmost corner is joined to the nearest corner of the ring so far that it sees: the way stays
+    inside both corners' angles (a corner that carries a bridge stands in the ring twice, with half an angle each), no side of any
+    ring, bridged or not, bars it, and it doesn't lead to the left, where holes are still to come. A hole that touches the ring is joined there.
+    """
+    outer, *holes = _meet([outer, *holes])
+    points = [p for r in (outer, *holes) for p in r]
+    flat = [tuple(p[:2]) for p in points]
+    before, after, at = [], [], 0
+    rings = []
+    for r in (outer, *holes):
+        n = len(r)
+        before += [at + (i - 1) % n for i in range(n)]
+        after += [at + (i + 1) % n for i in range(n)]
+        rings.append(range(at, at + n))
+        at += n
+    sides, corners = Grid(*_extent(flat)), Grid(*_extent(flat))
+    places: dict[Point, list[int]] = {}
+    for i, p in enumerate(flat):
+        sides.add(i, p, flat[after[i]])
+
+    def enter(i: int) -> None:
+        corners.add(i, flat[i])
+        places.setdefault(flat[i], []).append(i)
+
+    def again(i: int) -> int:
+        points.append(points[i])
+        flat.append(flat[i])
+        before.append(before[i])
+        after.append(after[i])
+        return len(flat) - 1
+
+    def join(i: int, h: int, bridge: bool) -> None:
+        """Corner ``i`` of the ring and ``h`` of the hole: i -> h … hole … h' -> i'."""
+        i2, h2 = again(i), again(h)
+        before[after[i]], after[before[h]] = i2, h2
+        after[i], before[h], after[h2], before[i2] = h, i, i2, h2
+        for c in (i2, h2):
+            enter(c)
+        if bridge:
+            sides.add(("bridge", i2), flat[i], flat[h])
+
+    def sees(h: int, i: int) -> bool:
+        p, q = flat[h], flat[i]
+        if not (_opens_to(flat[before[h]], p, flat[after[h]], q) and _opens_to(flat[before[i]], q, flat[after[i]], p)):
+            return False
+        return not any(hits(p, q, a, b) for _, a, b in sides.near(p, q))
+
+    for i in rings[0]:
+        enter(i)
+    for ring in sorted(rings[1:], key=lambda r: -max(flat[i][0] for i in r)):
+        made = False
+        for h in ring:  # a hole that touches what is there
+            p = flat[h]
+            i = next((i for i in places.get(p, ()) if _opens_to(flat[before[i]], p, flat[after[i]], flat[after[h]])), None)
+            if i is not None:
+                join(i, h, False)
+                made = True
+                break
+        if not made:
+            h = max(ring, key=lambda i: (flat[i][0], -flat[i][1]))
+            p, waiting = flat[h], []
+            for safe, found in corners.outward(p):
+                waiting += [((c[0] - p[0]) ** 2 + (c[1] - p[1]) ** 2, i) for i, c, _ in found if c[0] >= p[0]]
+                near = sorted(w for w in waiting if w[0] <= safe**2)
+                waiting = [w for w in waiting if w[0] > safe**2]
+                i = next((i for _, i in near if sees(h, i)), None)
+                if i is not None:
+                    break
+            else:
+                i = next((i for _, i in sorted(waiting) if sees(h, i)), None)
+            if i is None:
+                return None
+            join(i, h, True)
+        for c in ring:
+            enter(c)
+    out, i = [], rings[0][0]
+    while True:
+        out.append(points[i])
+        i = after[i]
+        if i == rings[0][0]:
+            return out
 
 
 def ears(points: list[list[float]]) -> list[tuple[int, int, int]] | None:
     """Index triples of the triangles of a counter-clockwise ring; None if it can't be clipped to the end."""
-    n = len(points)
+    points, n = [tuple(p) for p in points], len(points)
     before, after, out = [*range(-1, n - 1)], [*range(1, n), 0], []
     before[0] = n - 1
-    turn = lambda j: _cross(points[before[j]], points[j], points[after[j]])
-    there, left, reflex = [True] * n, n, {j for j in range(n) if turn(j) <= 0}
-    spots = Spots(points, list(reflex))
+    bend = lambda j: turn(points[before[j]], points[j], points[after[j]])
+    there, left, reflex = [True] * n, n, {j for j in range(n) if bend(j) <= 0}
+    (low, high, _), spots = _extent(points), None
+    if reflex:
+        spots = Grid(low, high, len(reflex))
+        for j in reflex:
+            spots.add(j, points[j])
 
     def clear(i: int, j: int, m: int) -> bool:
-        """No reflex corner in a triangle, its sides included; places of the triangle's own corners don't count."""
+        """No reflex corner in a triangle, its sides included; places of the triangle's own corners don't count, but for a ring that
+        touches the ear's tip from inside."""
+        if not reflex:
+            return True
         (ax, ay), (bx, by), (cx, cy) = a, b, c = points[i], points[j], points[m]
-        for k in spots.within((min(ax, bx, cx), min(ay, by, cy)), (max(ax, bx, cx), max(ay, by, cy))):
-            p = points[k]
+        for k, p, _ in spots.box((min(ax, bx, cx), min(ay, by, cy)), (max(ax, bx, cx), max(ay, by, cy))):
             x, y = p
-            if (bx - ax) * (y - ay) - (by - ay) * (x - ax) >= 0 and (cx - bx) * (y - by) - (cy - by) * (x - bx) >= 0 and (ax - cx) * (y - cy) - (ay - cy) * (x - cx) >= 0 and p != a and p != b and p != c:
-                return False
+            if (bx - ax) * (y - ay) - (by - ay) * (x - ax) >= 0 and (cx - bx) * (y - by) - (cy - by) * (x - bx) >= 0 and (ax - cx) * (y - cy) - (ay - cy) * (x - cx) >= 0:
+                if p != a and p != b and p != c:
+                    return False
+                if p == b and k != j and any(turn(b, c, q) > 0 and turn(b, q, a) > 0 for q in (points[before[k]], points[after[k]])):
+                    return False
         return True
 
     def cut(j: int) -> None:
@@ -105,22 +187,29 @@ def ears(points: list[list[float]]) -> list[tuple[int, int, int]] | None:
         after[i], before[m], there[j] = m, i, False
         if j in reflex:
             reflex.discard(j)
-            spots.remove(j)
+            spots.remove(j, points[j])
         for k in (i, m):
-            if k in reflex and turn(k) > 0:
+            if k in reflex and bend(k) > 0:
                 reflex.discard(k)
-                spots.remove(k)
+                spots.remove(k, points[k])
+
+    def waits(j: int) -> tuple[float, int]:
+        """Ears with short cuts come first: triangles stay small, and few corners are near them."""
+        (ax, ay), (bx, by) = points[before[j]], points[after[j]]
+        return (ax - bx) ** 2 + (ay - by) ** 2, j
 
-    queue, at = list(range(n - 1, -1, -1)), 0
+    queue, at = list(map(waits, range(n))), 0
+    heapify(queue)
     while left > 3:
         clipped = 0
         while queue and left > 3:
-            j = queue.pop()
-            if there[j] and turn(j) > 0 and clear(before[j], j, after[j]):
+            length, j = heappop(queue)
+            if there[j] and length == waits(j)[0] and bend(j) > 0 and clear(before[j], j, after[j]):
                 out.append((before[j], j, after[j]))
                 cut(j)
                 left, clipped, at = left - 1, clipped + 1, before[j]
-                queue += [after[j], before[j]]
+                for k in (after[j], before[j]):
+                    heappush(queue, waits(k))
         if left <= 3:
             break
         at = next(j for j in range(n) if there[j]) if not there[at] else at
@@ -129,134 +218,142 @@ def ears(points: list[list[float]]) -> list[tuple[int, int, int]] | None:
             rest.append(j)
             j = after[j]
         if not clipped:  # no ear: a corner on a line goes without a triangle
-            j = next((j for j in rest if turn(j) == 0), None)
+            j = next((j for j in rest if bend(j) == 0), None)
             if j is None:
                 return None
             at = before[j]
             cut(j)
             left -= 1
-            queue = [after[j], before[j]]
+            queue = [waits(after[j]), waits(before[j])]
         else:
-            queue = rest[::-1]
+            queue = list(map(waits, rest))
+        heapify(queue)
     at = at if there[at] else next(j for j in range(n) if there[j])
-    if turn(at) > 0:
+    if bend(at) > 0:
         out.append((before[at], at, after[at]))
     return out
 
 
-def _mesh(rings) -> tuple[list[list[float]], list[tuple[int, int, int]]]:
-    """Corners of the bridged ring and the triangles between them; none for a polygon without area."""
+def _fan(points: list[list[float]]) -> list[tuple[int, int, int]] | None:
+    """Triangles of a convex ring about its first corner; None if it isn't convex."""
+    n = len(points)
+    if any(turn(points[i - 2], points[i - 1], points[i]) <= 0 for i in range(n)) or any(turn(points[0], points[i], points[i + 1]) <= 0 for i in range(1, n - 1)):
+        return None
+    return [(0, i, i + 1) for i in range(1, n - 1)]
+
+
+def _mesh(rings) -> tuple[np.ndarray, np.ndarray] | None:
+    """Corners (two or more heights behind x and y) of the bridged ring and the triangles between them; none for a polygon without
+    area; None for one that has area and can't be cut into triangles of just this area, as one whose rings cross."""
+    nothing = np.empty((0, 3)), np.empty((0, 3), np.int64)
     if rings is None or not len(rings):
-        return [], []
+        return nothing
     outer = _open(rings[0])
     if len(outer) < 3 or abs(_area(outer)) < 1e-30:
-        return [], []
+        return nothing
     outer = outer if _area(outer) > 0 else outer[::-1]
     holes = [h if _area(h) < 0 else h[::-1] for h in map(_open, rings[1:]) if len(h) >= 3 and abs(_area(h)) > 0]
-    for hole in sorted(holes, key=lambda h: -h[:, 0].max()):
-        outer = _bridge(outer, hole)
-    return outer.tolist(), ears(outer[:, :2].tolist()) or []
-
-
-def triangles(rings, reverse: bool = False) -> list[list[list[float]]]:
-    """Closed triangles, counter-clockwise unless reversed; none for a polygon without area."""
-    corners, made = _mesh(rings)
-    order = (0, 2, 1, 0) if reverse else (0, 1, 2, 0)
-    return [[corners[t[i]] for i in order] for t in made]
+    area = _area(outer) + sum(map(_area, holes))
+    if area <= 1e-12 * _area(outer):
+        return nothing
+    # About the outer ring's first corner, where doubles are finest.
+    origin = np.zeros(outer.shape[1])
+    origin[:2] = outer[0, :2]
+    ring = (outer - origin).tolist()
+    made = None if holes else _fan(ring)
+    if made is None:
+        ring = _bridged(ring, [(h - origin).tolist() for h in holes]) if holes else ring
+        made = ears([p[:2] for p in ring]) if ring else None
+    if made is None:
+        return None
+    corners, triples = np.array(ring), np.array(made, np.int64).reshape(-1, 3)
+    a, b, c = (corners[triples[:, i], :2] for i in range(3))
+    parts = 0.5 * ((b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (c[:, 0] - a[:, 0]))
+    return (corners + origin, triples) if abs(parts.sum() - area) <= 1e-9 * _area(outer) else None
+
+
+def _closed(corners: np.ndarray, triples: np.ndarray, reverse: bool = False, height: int = 2) -> np.ndarray:
+    """Triangles of four positions each."""
+    return corners[triples[:, (0, 2, 1, 0) if reverse else (0, 1, 2, 0)]][:, :, (0, 1, height)]
+
+
+def triangles(rings, reverse: bool = False) -> list[list[list[float]]] | None:
+    """Closed triangles, counter-clockwise unless reversed; none for a polygon without area, None for one that can't be cut into triangles."""
+    made = _mesh(rings)
+    return None if made is None else _closed(*made, reverse).tolist()
+
+
+def both_sides(upper, lower) -> tuple[list, list] | tuple[None, None]:
+    """Triangles of the upper rings and, turned, of the lower ones, which differ in height alone: the footprint is clipped once."""
+    made = _sides(upper, lower)
+    return (None, None) if made is None else tuple(x.tolist() for x in made)
 
 
-def both_sides(upper, lower) -> tuple[list, list]:
-    """Triangles of the upper rings and, turned, of the lower ones, which differ in height alone: the footprint is clipped once."""
+def _sides(upper, lower) -> tuple[np.ndarray, np.ndarray] | None:
     if upper is None or lower is None:
-        return [], []
-    corners, made = _mesh([[[*map(float, p[:3]), float(q[2])] for p, q in zip(a, b)] for a, b in zip(upper, lower)])
-    top, bottom = [p[:3] for p in corners], [[*p[:2], p[3]] for p in corners]
-    return [[top[t[i]] for i in (0, 1, 2, 0)] for t in made], [[bottom[t[i]] for i in (0, 2, 1, 0)] for t in made]
+        return np.empty((0, 4, 3)), np.empty((0, 4, 3))
+    up, low = ([_positions(r) for r in x] for x in (upper, lower))
+    made = _mesh([np.concatenate((a, b[:, 2:]), axis=1) for a, b in zip(up, low)])
+    if made is not None and not made[1].size:
+        return np.empty((0, 4, 3)), np.empty((0, 4, 3))
+    return None if made is None else (_closed(*made), _closed(*made, True, 3))
+
+
+def _positions(ring) -> np.ndarray:
+    return ring if isinstance(ring, np.ndarray) and ring.ndim == 2 else np.array([[*p, 0.0][:3] for p in ring], float).reshape(-1, 3)
+
+
+def ring_arrays(column: pa.Array) -> Iterator[list[np.ndarray] | None]:
+    """The polygons of an Arrow column, each ring an array of (x, y, z): no value passes through Python on its own."""
+    rings, positions, ordinates = column.values, column.values.values, column.values.values.values
+    at = positions.offsets.to_numpy()
+    n, values = np.diff(at), ordinates.to_numpy(zero_copy_only=False)
+    if (n == 3).all():
+        flat = values[at[0] : at[-1]].reshape(-1, 3)  # a row for each position
+    else:
+        flat = np.zeros((n.size, 3))
+        for i in range(3):
+            flat[n > i, i] = values[at[:-1][n > i] + i]
+    of_rows, of_rings = column.offsets.to_numpy(), rings.offsets.to_numpy()
+    known = column.is_valid().to_numpy(zero_copy_only=False)
+    for i in range(len(column)):
+        yield [flat[of_rings[k] : of_rings[k + 1]] for k in range(of_rows[i], of_rows[i + 1])] if known[i] else None
+
+
+def _column(rows: list[np.ndarray | None]) -> pa.Array:
+    """Triangles as an Arrow column; null for None."""
+    flat = np.concatenate([r.reshape(-1) for r in rows if r is not None] or [np.empty(0)])
+    counts = [0 if r is None else len(r) for r in rows]
+    positions = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, 3), pa.int32()), pa.array(flat))
+    closed = pa.ListArray.from_arrays(pa.array(np.arange(0, len(positions) + 1, 4), pa.int32()), positions)
+    mask = pa.array([r is None for r in rows])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), closed, mask=mask)
+
+
+def once(udf):
+    """A function whose results a filter above doesn't ask for anew: filters aren't moved below what isn't told to be deterministic."""
+    return udf.asNondeterministic()
 
 
 def triangulate(rings: Column, reverse: bool = False) -> Column:
-    """Closed triangles of a polygon's rings; an empty array where there are none."""
+    """Closed triangles of a polygon's rings; an empty array where it has no area, null where it has and can't be cut into triangles."""
 
-    @F.pandas_udf(RINGS)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series([triangles(r, reverse) for r in s])
+    @F.arrow_udf(RINGS)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            made = [_mesh(r) for r in ring_arrays(column)]
+            yield _column([None if m is None else _closed(*m, reverse) if len(m[1]) else np.empty((0, 4, 3)) for m in made])
 
-    return run(rings)
+    return once(run)(rings)
 
 
 def triangulate_sides(upper: Column, lower: Column) -> Column:
-    """``roof`` and ``bottom`` of rings that differ in height alone."""
+    """``roof`` and ``bottom`` of rings that differ in height alone; both null where the footprint can't be cut into triangles."""
 
-    @F.pandas_udf(f"roof {RINGS}, bottom {RINGS}")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(f"roof {RINGS}, bottom {RINGS}")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for up, low in batches:
-            yield pd.DataFrame([both_sides(*r) for r in zip(up, low)], columns=["roof", "bottom"])
-
-    return run(upper, lower)
-
-
-def simplify_ring(ring, tolerance: float) -> list[list[float]]:
-    """Douglas-Peucker on a closed ring; at least 4 positions stay, and a step that makes the ring cross itself isn't taken."""
-    r = np.array([[*p, 0.0][:3] for p in ring], float).reshape(-1, 3)
-    if len(r) <= 4 or tolerance <= 0:
-        return r.tolist()
-
-    def keep(tol: float) -> np.ndarray:
-        mask = np.zeros(len(r), bool)
-        far = int(((r[:, :2] - r[0, :2]) ** 2).sum(axis=1).argmax())
-        mask[[0, far, len(r) - 1]] = True
-        stack = [(0, far), (far, len(r) - 1)]
-        while stack:
-            i, j = stack.pop()
-            if j - i < 2:
-                continue
-            a, d = r[i, :2], r[j, :2] - r[i, :2]
-            n, p = float((d * d).sum()), r[i + 1 : j, :2] - a
-            t = np.clip((p @ d) / n, 0, 1) if n else np.zeros(len(p))
-            dist = np.sqrt(((p - t[:, None] * d) ** 2).sum(axis=1))
-            m = int(dist.argmax())
-            if dist[m] > tol:
-                mask[i + 1 + m] = True
-                stack += [(i, i + 1 + m), (i + 1 + m, j)]
-        return mask
-
-    for _ in range(20):
-        out = r[keep(tolerance)]
-        if len(out) >= 4 and not _self_crosses(out[:-1]):
-            return out.tolist()
-        tolerance /= 2
-    return r.tolist()
-
-
-def _self_crosses(r: np.ndarray) -> bool:
-    """Whether two sides of a ring cross: sides meet in the cells of a grid, only those of a cell are tested against each other."""
-    n = len(r)
-    a, b = r[:, :2], np.roll(r[:, :2], -1, axis=0)
-    low, size = a.min(axis=0), np.ptp(a, axis=0)
-    k = max(1, int(n**0.5))
-    unit = np.where(size > 0, size / k, 1.0)
-    first, last = (np.clip(((f(a, b) - low) / unit).astype(int), 0, k - 1) for f in (np.minimum, np.maximum))
-    cells: dict[tuple[int, int], list[int]] = {}
-    for i, ((x0, y0), (x1, y1)) in enumerate(zip(first.tolist(), last.tolist())):
-        for x in range(x0, x1 + 1):
-            for y in range(y0, y1 + 1):
-                cells.setdefault((x, y), []).append(i)
-    cross = lambda o, p, q: (p[:, 0] - o[:, 0]) * (q[:, 1] - o[:, 1]) - (p[:, 1] - o[:, 1]) * (q[:, 0] - o[:, 0])
-    for found in cells.values():
-        sides = np.array(found)
-        for at in range(len(found) - 1):
-            i, j = np.full(len(found) - at - 1, found[at]), sides[at + 1 :]
-            if ((cross(a[i], b[i], a[j]) * cross(a[i], b[i], b[j]) < 0) & (cross(a[j], b[j], a[i]) * cross(a[j], b[j], b[i]) < 0)).any():
-                return True
-    return False
-
-
-def simplify(rings: Column, tolerance: Column) -> Column:
-    """Every ring simplified by its row's tolerance; null leaves it as it is. Rings of a polygon that collapse stay."""
-
-    @F.pandas_udf(RINGS)
-    def run(r: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else [[[*map(float, p)] for p in ring] for ring in x] if pd.isna(tol) else [simplify_ring(ring, tol) for ring in x] for x, tol in zip(r, t)])
-
-    return run(rings, tolerance)
+            made = [_sides(*r) or (None, None) for r in zip(ring_arrays(up), ring_arrays(low))]
+            yield pa.StructArray.from_arrays([_column([m[i] for m in made]) for i in (0, 1)], names=["roof", "bottom"])
+
+    return once(run)(upper, lower)

@@ -27,7 +27,7 @@ from (select o_orderkey as pid,
 """,
     "poly_params": r"""
 select p_partkey as gid, p_name, p_brand, p_type, p_size, p_retailprice,
-  case when p_partkey % 50 = 49 then 3 else p_partkey % 3 end as kind,
+  case when p_partkey % 50 = 49 then 3 when p_partkey % 10 = 5 then 4 else p_partkey % 3 end as kind,
   cast(1120000 + (p_partkey % 100) * 100 as double) / 100000 as lon0,
   cast(4370000 + cast(floor(p_partkey / 100) as bigint) * 100 as double) / 100000 as lat0,
   cast(20 + p_partkey % 7 as double) / 100000 as w,

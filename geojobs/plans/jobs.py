@@ -49,7 +49,7 @@ def polygon_tiles(features: DataFrame, config: dict, max_level: int = 20) -> dic
     placed = kept.withColumns({f"_{c}": (F.array_min(axis(i)) + F.array_max(axis(i))) / 2 for i, c in enumerate("xy")})
     tiled = tiling.tile_budget(placed, ["_x", "_y"], int(number(conf, "max_features_per_tile", "Polygon")), max_level).drop("_x", "_y")
     counts = tiled.groupBy("lod", "level", "tile").agg(F.count(F.lit(1)).alias("features"), F.sum(F.size("triangles")).alias("triangles"))
-    return {"features": tiled, "rejected": rejected.select("gid", "lod"), "attributes": tiling.attr_schema(features), "tiles": counts}
+    return {"features": tiled, "rejected": rejected.select("gid", "lod", surfaces.BECAUSE), "attributes": tiling.attr_schema(features), "tiles": counts}
 
 
 def point_tiles(points: DataFrame, config: dict, assets: DataFrame, properties: list[str], max_level: int = 20) -> dict[str, DataFrame]:

@@ -12,10 +12,14 @@ from geojobs.plans.fixtures import FIXTURES, fixture
 RECTANGLE = [(0, 0), (1, 0), (1, 1), (0, 1)]
 ELL = [(0, 0), (1, 0), (1, 0.5), (0.5, 0.5), (0.5, 1), (0, 1)]
 HOLE = [(0.25, 0.25), (0.25, 0.75), (0.75, 0.75), (0.75, 0.25)]
-KINDS = {0: [RECTANGLE], 1: [ELL], 2: [RECTANGLE, HOLE], 3: [RECTANGLE]}
+#: Five courtyards, one nested in the view of another, and one that touches a side's line of another.
+COURTS = [[(x, y), (x, y + b), (x + a, y + b), (x + a, y)] for x, y, a, b in ((0.125, 0.125, 0.125, 0.125), (0.375, 0.375, 0.25, 0.25), (0.75, 0.125, 0.125, 0.25), (0.75, 0.625, 0.125, 0.25), (0.125, 0.625, 0.125, 0.25))]
+#: A gable a little higher than the eaves, and a light well that reaches into it.
+GABLE, LIGHT_WELL = [(0, 0), (1, 0), (1, 1), (0.5, 1.09), (0, 1)], [(0.5, 1.06), (0.6, 0.5), (0.4, 0.5)]
+KINDS = {0: [RECTANGLE], 1: [ELL], 2: [RECTANGLE, HOLE], 3: [RECTANGLE], 4: [RECTANGLE, *COURTS]}
 
 
-def _ring(shape: list[tuple[float, float]]) -> Column:
+def ring(shape: list[tuple[float, float]]) -> Column:
     at = lambda i: F.array(F.col("lon0") + F.col("w") * F.lit(float(shape[i][0])), F.col("lat0") + F.col("h") * F.lit(float(shape[i][1])), F.col("z0") + F.lit(0.25 * (i % 2)))
     return F.array(*[at(i) for i in range(len(shape))], at(0))
 
@@ -24,7 +28,7 @@ def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``poly_params`` with ``geom``."""
     rings = F.when(F.lit(False), F.expr(f"cast(array() as {RINGS})"))
     for kind, shapes in KINDS.items():
-        rings = rings.when(F.col("kind") == kind, F.array(*map(_ring, shapes)))
+        rings = rings.when(F.col("kind") == kind, F.array(*map(ring, shapes)))
     return fixture(spark, sf_dir, "poly_params").withColumn("geom", F.struct(F.lit("Polygon").alias("type"), rings.alias("rings")))
 
 

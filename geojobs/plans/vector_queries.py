@@ -6,15 +6,16 @@ from pyspark.sql import functions as F
 
 from geojobs.functions import expr, geodesy, geometry
 from geojobs.operators import surfaces, tiling
-from geojobs.operators.triangulate import simplify, triangulate
+from geojobs.operators.simplify import simplify
+from geojobs.operators.triangulate import triangulate
 from geojobs.plans import jobs
 from geojobs.plans.fixtures import fixture, over
 from geojobs.plans.registry import query
-from geojobs.plans.shapes import POSITIONS, polygons
+from geojobs.plans.shapes import GABLE, LIGHT_WELL, POSITIONS, polygons, ring
 
 UPPER = ["*", ["property", "p_size"], 1.5]
-ROOFS = "CASE kind WHEN 0 THEN 2 WHEN 1 THEN 4 WHEN 2 THEN 8 ELSE 0 END"
-WALLS = "CASE kind WHEN 0 THEN 8 WHEN 1 THEN 12 WHEN 2 THEN 16 ELSE 0 END"
+ROOFS = "CASE kind WHEN 0 THEN 2 WHEN 1 THEN 4 WHEN 2 THEN 8 WHEN 4 THEN 32 ELSE 0 END"
+WALLS = "CASE kind WHEN 0 THEN 8 WHEN 1 THEN 12 WHEN 2 THEN 16 WHEN 4 THEN 48 ELSE 0 END"
 
 
 def budget_sql(rows: str, axes: str, budget: int, level: int) -> str:
@@ -57,14 +58,14 @@ def geom_set_z(spark, d):
     return rows.select("gid", "ring", F.posexplode("r").alias("seq", "p")).select("gid", "ring", "seq", F.round(F.col("p")[2], 9).alias("z"))
 
 
-@query("triangulate", over(f"SELECT gid, {ROOFS} AS n, round(w * h * CASE kind WHEN 0 THEN 1.0 WHEN 1 THEN 0.75 WHEN 2 THEN 0.75 ELSE 0.0 END, 12) AS area FROM poly_params", "poly_params"))
+@query("triangulate", over(f"SELECT gid, {ROOFS} AS n, round(w * h * CASE kind WHEN 0 THEN 1.0 WHEN 1 THEN 0.75 WHEN 2 THEN 0.75 WHEN 4 THEN 0.828125 ELSE 0.0 END, 12) AS area FROM poly_params", "poly_params"))
 def triangulate_(spark, d):
     rows = polygons(spark, d).withColumn("t", triangulate(F.col("geom.rings")))
     area = F.aggregate("t", F.lit(0.0), lambda s, t: s + ((t[1][0] - t[0][0]) * (t[2][1] - t[0][1]) - (t[2][0] - t[0][0]) * (t[1][1] - t[0][1])) / 2)
     return rows.select("gid", F.size("t").alias("n"), F.round(area, 12).alias("area"))
 
 
-@query("walls", over("SELECT gid, CASE kind WHEN 0 THEN 8 WHEN 1 THEN 12 WHEN 2 THEN 16 ELSE 8 END AS n, round(3.0 * (2 * w + 2 * h + CASE kind WHEN 2 THEN w + h ELSE 0.0 END), 9) AS area FROM poly_params", "poly_params"))
+@query("walls", over("SELECT gid, CASE kind WHEN 0 THEN 8 WHEN 1 THEN 12 WHEN 2 THEN 16 WHEN 4 THEN 48 ELSE 8 END AS n, round(3.0 * (2 * w + 2 * h + CASE kind WHEN 2 THEN w + h WHEN 4 THEN 1.5 * w + 2.25 * h ELSE 0.0 END), 9) AS area FROM poly_params", "poly_params"))
 def walls(spark, d):
     low, high = (geometry.set_z(F.col("geom.rings"), F.lit(z), F.lit(0.0)) for z in (1.0, 4.0))
     rows = polygons(spark, d).withColumn("t", geometry.walls(low, high))
@@ -98,10 +99,35 @@ def lod_explode(spark, d):
     return surfaces.lod_explode(polygons(spark, d), True, 0.001).select("gid", "lod", F.size(F.col("geom.rings")[0]).alias("positions"))
 
 
-@query("simplify")
+_KEPT = "SELECT gid, 'kinds' AS shape, CASE kind WHEN 1 THEN 4 ELSE 5 END AS positions, CASE kind WHEN 2 THEN 2 WHEN 4 THEN 6 ELSE 1 END AS rings, CASE kind WHEN 2 THEN 4 WHEN 4 THEN 20 ELSE 0 END AS others FROM poly_params"
+_GABLE = "SELECT gid, 'gable', CASE WHEN gid % 2 = 0 THEN 6 ELSE 5 END, CASE WHEN gid % 2 = 0 THEN 2 ELSE 1 END, CASE WHEN gid % 2 = 0 THEN 4 ELSE 0 END FROM poly_params WHERE kind <> 3"
+
+
+@query("simplify", over(f"SELECT *, 0::BIGINT AS crossings, 0::BIGINT AS outside, true AS near FROM ({_KEPT} UNION ALL {_GABLE}) q", "poly_params"))
 def simplify_(spark, d):
-    rows = polygons(spark, d).withColumn("rings", simplify(F.col("geom.rings"), F.col("w") / 2))
-    return rows.select("gid", F.size(F.col("rings")[0]).alias("positions"), F.size("rings").alias("rings"))
+    """Shapes by kind, and gables within the tolerance of their eaves: they go, but where a courtyard reaches into them."""
+    shapes = polygons(spark, d)
+    gables = shapes.where("kind <> 3").withColumn("geom", F.struct(F.lit("Polygon").alias("type"), F.when(F.col("gid") % 2 == 0, F.array(ring(GABLE), ring(LIGHT_WELL))).otherwise(F.array(ring(GABLE))).alias("rings")))
+    rows = shapes.select("gid", F.lit("kinds").alias("shape"), "geom.rings", (F.col("w") / 2).alias("tolerance")).unionByName(gables.select("gid", F.lit("gable").alias("shape"), "geom.rings", (F.col("h") / 10).alias("tolerance")))
+    rows = rows.select("gid", "shape", "tolerance", F.col("rings").alias("old"), simplify(F.col("rings"), F.col("tolerance")).alias("new"))
+    side = lambda r: F.transform(F.sequence(F.lit(1), F.size(r) - 1), lambda i: F.struct(F.element_at(r, i).alias("a"), F.element_at(r, i + 1).alias("b")))
+    bend = lambda o, p, q: (p[0] - o[0]) * (q[1] - o[1]) - (p[1] - o[1]) * (q[0] - o[0])
+    cross = lambda s, t: (bend(s["a"], s["b"], t["a"]) * bend(s["a"], s["b"], t["b"]) < 0) & (bend(t["a"], t["b"], s["a"]) * bend(t["a"], t["b"], s["b"]) < 0)
+    sides = F.flatten(F.transform("new", side))
+    # A corner is inside a ring where a ray to the right meets an odd number of its sides.
+    meets = lambda p, s: ((s["a"][1] > p[1]) != (s["b"][1] > p[1])) & (p[0] < (s["b"][0] - s["a"][0]) * (p[1] - s["a"][1]) / F.nullif(s["b"][1] - s["a"][1], F.lit(0.0)) + s["a"][0])
+    inside = lambda p: F.size(F.filter(side(F.col("new")[0]), lambda s: F.coalesce(meets(p, s), F.lit(False)))) % 2 == 1
+    holes = F.slice("new", 2, 99)
+    # The distance of a corner that went to the nearest side that stayed.
+    along = lambda p, s: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide((p[0] - s["a"][0]) * (s["b"][0] - s["a"][0]) + (p[1] - s["a"][1]) * (s["b"][1] - s["a"][1]), F.pow(s["b"][0] - s["a"][0], 2) + F.pow(s["b"][1] - s["a"][1], 2))))
+    apart = lambda p, s: F.sqrt(F.pow(s["a"][0] + along(p, s) * (s["b"][0] - s["a"][0]) - p[0], 2) + F.pow(s["a"][1] + along(p, s) * (s["b"][1] - s["a"][1]) - p[1], 2))
+    checked = rows.withColumns({"_s": sides, "_p": F.flatten("old")})
+    return checked.select(
+        "gid", "shape", F.size(F.col("new")[0]).alias("positions"), F.size("new").alias("rings"), F.size(F.flatten(holes)).alias("others"),
+        F.size(F.filter("_s", lambda s: F.exists("_s", lambda t: cross(s, t)))).cast("long").alias("crossings"),
+        F.size(F.filter(F.flatten(holes), lambda p: ~inside(p))).cast("long").alias("outside"),
+        F.forall("_p", lambda p: F.exists("_s", lambda s: apart(p, s) <= F.col("tolerance") * 1.000001)).alias("near"),
+    )
 
 
 @query("surface_wkt", over("SELECT gid, 'POLYHEDRALSURFACE Z(((0.0 0.0 ' || zs || ',1.0 0.0 ' || zs || ',0.0 0.0001 ' || zs || ',0.0 0.0 ' || zs || ')))' AS wkt FROM (SELECT gid, printf('%.1f', z0) AS zs FROM poly_params) q", "poly_params"))

@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from geojobs.functions import geodesy
-from geojobs.operators import cloud, storage, survey, tiling
-from geojobs.operators.triangulate import _self_crosses, both_sides, simplify_ring, triangles
+from geojobs.operators import cloud, storage, surfaces, survey, tiling
+from geojobs.operators.sides import within
+from geojobs.operators.simplify import crosses, simplify_ring, simplify_rings
+from geojobs.operators.triangulate import both_sides, triangles
 from geojobs.sources import files, las, shapefile, sinks
 from geojobs.streaming import jobs as streams
 
@@ -99,7 +101,95 @@ def test_self_crossing_against_all_pairs():
         n = len(r)
         cross = lambda o, p, q: (p[0] - o[0]) * (q[1] - o[1]) - (p[1] - o[1]) * (q[0] - o[0])
         want = any(cross(r[i], r[(i + 1) % n], r[j]) * cross(r[i], r[(i + 1) % n], r[(j + 1) % n]) < 0 and cross(r[j], r[(j + 1) % n], r[i]) * cross(r[j], r[(j + 1) % n], r[(i + 1) % n]) < 0 for i in range(n) for j in range(i + 2, n))
-        assert _self_crosses(r) == want
+        assert crosses([[*r.tolist(), r[0].tolist()]]) == want
+
+
+def star(rng, n, cx, cy, low, high, gap=2.5):
+    """A closed ring of random corners about a centre, which it goes round once, with no wider angle between two than ``gap``."""
+    angle = np.sort(rng.uniform(0, 2 * math.pi, n))
+    while max(np.diff(np.append(angle, angle[0] + 2 * math.pi))) >= gap:
+        angle = np.sort(rng.uniform(0, 2 * math.pi, n))
+    ring = [[cx + float(q * math.cos(t)), cy + float(q * math.sin(t)), float(t)] for q, t in zip(rng.uniform(low, high, n), angle)]
+    return ring + ring[:1]
+
+
+def courts(rng, outer, holes):
+    """A random ring with so many random holes, one in a cell each."""
+    k = max(1, math.ceil(math.sqrt(holes)))
+    g = 5.6 / k
+    cells = rng.permutation([(i, j) for i in range(k) for j in range(k)])[:holes]
+    return [star(rng, outer, 0, 0, 6, 10, 1.5), *[star(rng, int(rng.integers(4, 20)), -2.8 + (i + 0.5) * g, -2.8 + (j + 0.5) * g, g * 0.1, g * 0.49) for i, j in cells]]
+
+
+def shoelace(ring):
+    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:]))) / 2
+
+
+@pytest.mark.parametrize("holes", [1, 3, 5, 20, 50])
+def test_polygons_with_many_holes_keep_their_area(holes):
+    rng = np.random.default_rng(holes)
+    for _ in range(60):
+        rings = courts(rng, int(rng.integers(10, 60)), holes)
+        found = triangles(rings)
+        assert len(found) == sum(len(r) - 1 for r in rings) + 2 * holes - 2
+        assert abs(area(found) - shoelace(rings[0]) + sum(map(shoelace, rings[1:]))) < 1e-9
+
+
+def square(x, y, w):
+    return [[x, y], [x + w, y], [x + w, y + w], [x, y + w], [x, y]]
+
+
+def test_holes_that_touch():
+    """A side, a corner, each other, in a row, and on one line."""
+    outer = square(0.0, 0.0, 10.0)
+    for holes in (
+        [[[0, 5], [2, 4], [2, 6], [0, 5]]], [[[10, 5], [8, 4], [8, 6], [10, 5]]], [[[0, 0], [3, 1], [1, 3], [0, 0]]], [[[10, 10], [7, 9], [9, 7], [10, 10]]],
+        [square(2, 2, 2), square(4, 4, 2)], [square(2, 2, 2), [[4, 3], [6, 2], [6, 4], [4, 3]]], [square(1 + i, 1 + i, 1) for i in range(8)], [square(1, 1 + 2 * i, 1) for i in range(4)],
+    ):
+        assert abs(area(triangles([outer, *holes])) - 100 + sum(map(shoelace, holes))) < 1e-9, holes
+
+
+def test_many_holes_take_no_square_of_time():
+    import time
+
+    seconds = []
+    for k in (20, 60):
+        began = time.perf_counter()
+        found = triangles([square(0.0, 0.0, float(k)), *[square(i + 0.25, j + 0.25, 0.5) for i in range(k) for j in range(k)]])
+        seconds.append(time.perf_counter() - began)
+        assert abs(area(found) - 0.75 * k * k) < 1e-6 and len(found) == 6 * k * k + 2
+    assert seconds[1] < 30 * max(seconds[0], 0.1)
+
+
+def test_what_is_no_surface_has_a_reason(spark):
+    """A polygon with area is kept or rejected with a reason, never dropped as empty."""
+    shapes = {1: [square(0.0, 0.0, 4.0), square(1.0, 1.0, 1.0)], 2: [square(0.0, 0.0, 4.0), square(3.0, 3.0, 2.0)], 3: [[[0.0, 0.0], [1.0, 0.0], [0.0, 0.0]]], 4: [[[0.0, 0.0], [4.0, 4.0], [4.0, 0.0], [0.0, 3.0], [0.0, 0.0]]], 5: []}
+    df = spark.createDataFrame([(i, ("Polygon", r)) for i, r in shapes.items()] + [(6, ("Point", [[[1.0, 2.0]]])), (7, None)], "gid long, geom struct<type string, rings array<array<array<double>>>>")
+    for bottom in (True, False):
+        kept, rejected = surfaces.drop_empty(surfaces.extrude(df, F.lit(1.0), F.lit(2.0), F.lit(0.0), remove_bottom=bottom))
+        assert [r.gid for r in kept.collect()] == [1] and "rejected_because" not in kept.columns
+        assert {r.gid: r.rejected_because for r in rejected.collect()} == {2: "not triangulated", 3: "no area", 4: "not triangulated", 5: "no area", 6: "no polygon", 7: "no polygon"}
+
+
+def test_simplified_polygons_stay_valid():
+    rng = np.random.default_rng(1)
+    fewer = 0
+    for holes in (0, 1, 3, 8, 20):
+        for _ in range(40):
+            rings = [np.array(r) for r in courts(rng, int(rng.integers(10, 120)), holes)]
+            out = simplify_rings(rings, float(rng.choice([0.1, 0.5, 1, 3])))
+            flat = [[tuple(p[:2]) for p in r[:-1].tolist()] for r in out]
+            assert not crosses([r.tolist() for r in out]) and all(len(r) >= 4 for r in out) and len(out) == len(rings)
+            assert all(within(h[0], flat[0]) for h in flat[1:]) and not any(within(a[0], b) for a in flat[1:] for b in flat[1:] if a is not b)
+            assert all({tuple(p) for p in n.tolist()} <= {tuple(p) for p in o.tolist()} for o, n in zip(rings, out))
+            fewer += sum(map(len, rings)) - sum(map(len, out))
+    assert fewer > 5000
+
+
+def test_a_corner_stays_where_a_hole_reaches_behind_it():
+    outer, hole = [[0, 0, 0], [10, 0, 0], [10, 10, 0], [5, 10.9, 0], [0, 10, 0], [0, 0, 0.0]], [[5, 10.6, 0], [4, 5, 0], [6, 5, 0], [5, 10.6, 0.0]]
+    assert [len(r) for r in simplify_rings([np.array(outer), np.array(hole)], 1.0)] == [6, 4]
+    assert [len(r) for r in simplify_rings([np.array(outer)], 1.0)] == [5]
 
 
 def test_simplify_keeps_a_ring():
