@@ -38,18 +38,28 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def polygon_tiles(features: DataFrame, config: dict, max_level: int = 20) -> dict[str, DataFrame]:
-    """Footprints ``(gid, properties.., geom)`` -> features with triangles and tiles, rejected ones, attributes, tile counts."""
+    """Footprints ``(gid, properties.., geom)`` -> features with triangles and tiles, rejected ones with the reason, attributes, tiles with
+    counts and regions, the nodes of the tileset and its documents. Every level of detail has a tree of its own by the same budget; the finer
+    ones refine the coarser ones."""
     conf = settings("Polygon", config)
     schema = T.StructType([f for f in features.schema.fields if f.name not in ("gid", "geom")])
     value = lambda key, default=None: expr.to_number(expr.compile_expression("number", conf[key], schema, F.col("geom"), default))
     levels = surfaces.lod_explode(spread(features, "gid"), truth(conf["add_lod"]), number(conf, "lod_max_simplify_tolerance", "Polygon"))
     solids = surfaces.extrude(levels, value("lower_limit_height"), value("upper_limit_height"), value("translate_z", 0), truth(conf["remove_bottom_surface"]))
-    kept, rejected = surfaces.drop_empty(settle(solids))  # triangulated once, read by the budget, its extent and the result
     axis = lambda i: F.transform(F.flatten("geom.rings"), lambda p: p[i])
-    placed = kept.withColumns({f"_{c}": (F.array_min(axis(i)) + F.array_max(axis(i))) / 2 for i, c in enumerate("xy")})
-    tiled = tiling.tile_budget(placed, ["_x", "_y"], int(number(conf, "max_features_per_tile", "Polygon")), max_level).drop("_x", "_y")
-    counts = tiled.groupBy("lod", "level", "tile").agg(F.count(F.lit(1)).alias("features"), F.sum(F.size("triangles")).alias("triangles"))
-    return {"features": tiled, "rejected": rejected.select("gid", "lod", surfaces.BECAUSE), "attributes": tiling.attr_schema(features), "tiles": counts}
+    solids = solids.withColumns({f"_{c}": (F.array_min(axis(i)) + F.array_max(axis(i))) / 2 for i, c in enumerate("xy")})
+    kept, rejected = surfaces.drop_empty(settle(solids))  # triangulated once, read by the budget, its extent and the result
+    tiled = tiling.tile_budget(kept, ["_x", "_y"], int(number(conf, "max_features_per_tile", "Polygon")), max_level, by=("lod",)).drop("_x", "_y")
+    axis = lambda i: F.transform(F.flatten("triangles"), lambda p: p[i])
+    boxed = tiled.select("lod", "level", "tile", F.size("triangles").alias("n"), *[f(axis(i)).alias(f"{n}{i}") for i in range(3) for n, f in (("a", F.array_min), ("b", F.array_max))])
+    region = F.array(F.min("a0"), F.min("a1"), F.max("b0"), F.max("b1"), F.min("a2"), F.max("b2"))
+    counts = settle(boxed.groupBy("lod", "level", "tile").agg(F.count(F.lit(1)).alias("features"), F.sum("n").alias("triangles"), region.alias("region")))
+    top = number(conf, "max_geometric_error", "Polygon")
+    nodes = tiling.adaptive_nodes(counts, top, max(1.0, number(conf, "geometric_error_factor", "Polygon")), "REPLACE" if truth(conf["add_lod"]) else "ADD")
+    return {
+        "features": tiled, "rejected": rejected.select("gid", "lod", surfaces.BECAUSE), "attributes": tiling.attr_schema(features), "tiles": counts,
+        "nodes": nodes, "tileset": tiling.adaptive_documents(nodes, top),
+    }
 
 
 def point_tiles(points: DataFrame, config: dict, assets: DataFrame, properties: list[str], max_level: int = 20) -> dict[str, DataFrame]:

@@ -209,6 +209,31 @@ def job_polygon_tiles(spark, d):
     return tiles.agg(F.count(F.lit(1)).alias("features"), F.sum("n").alias("triangles"), F.max("top").alias("top"))
 
 
+_REGION = "min(x0) AS west, min(y0) AS south, max(x1) AS east, max(y1) AS north, 0.5::DOUBLE AS low, max(top) AS high"
+
+
+@query(
+    "job_polygon_tileset",
+    over(
+        POSITIONS
+        + f", solids AS (SELECT gid, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, (min(x) + max(x)) / 2 AS x, (min(y) + max(y)) / 2 AS y, any_value(p_size) * 1.5::DOUBLE AS top FROM positions JOIN (SELECT gid, p_size FROM poly_params WHERE kind <> 3) k USING (gid) GROUP BY gid)"
+        + budget_sql("SELECT * FROM solids", "x y", 60, 12)
+        + f", inner_ AS (SELECT q.range AS level, c_y >> (12 - q.range) AS ty, c_x >> (12 - q.range) AS tx, {_REGION}, CASE WHEN any_value(leafs.level) = max(q.range) THEN count(*) END AS features FROM leafs JOIN range(13) q ON q.range <= leafs.level GROUP BY ALL)"
+        + ", kids AS (SELECT level - 1 AS level, ty >> 1 AS ty, tx >> 1 AS tx, count(*) AS n FROM inner_ WHERE level > 0 GROUP BY ALL)"
+        + ", nodes_ AS (SELECT 0 AS lod, i.*, CASE WHEN level > 0 THEN '0_' || (level - 1) || '_' || (ty >> 1) || '_' || (tx >> 1) END AS parent, CASE WHEN features IS NULL THEN n ELSE 1 END AS children FROM inner_ i LEFT JOIN kids USING (level, ty, tx)"
+        + " UNION ALL SELECT 1, i.*, '0_' || level || '_' || ty || '_' || tx, 0 FROM inner_ i WHERE features IS NOT NULL)"
+        + " SELECT lod || '_' || level || '_' || ty || '_' || tx AS id, parent, children, features, round(west, 9) AS west, round(south, 9) AS south, round(east, 9) AS east, round(north, 9) AS north, low, high, CASE WHEN children > 0 THEN 400.0 / pow(2, lod + level) ELSE 0.0 END AS geometric_error FROM nodes_",
+        "poly_params",
+    ),
+)
+def job_polygon_tileset(spark, d):
+    """The nodes of both levels of detail: the second ones hang below the leaves of the first."""
+    config = {"upper_limit_height": UPPER, "lower_limit_height": 0.5, "max_features_per_tile": 60, "add_lod": "true", "lod_max_simplify_tolerance": 0.001, "max_geometric_error": 400, "geometric_error_factor": 2}
+    nodes = jobs.polygon_tiles(polygons(spark, d), config, max_level=12)["nodes"]
+    sides = [F.round(F.col("region")[i], 9).alias(n) for i, n in enumerate(("west", "south", "east", "north"))]
+    return nodes.select("id", "parent", F.col("children").cast("long").alias("children"), "features", *sides, F.col("region")[4].alias("low"), F.col("region")[5].alias("high"), "geometric_error")
+
+
 @query(
     "job_point_tiles",
     over(

@@ -100,6 +100,50 @@ def test_tileset_documents_hold_every_tile_once(spark, split):
     assert sorted(seen) == sorted(rows) and (len(docs) > 1) == (split < 4)
 
 
+@pytest.mark.parametrize("split", [1, 2, 4])
+def test_adaptive_tilesets_hold_every_leaf_once(spark, split):
+    """Leaves of mixed depth in two levels of detail, the second coarser here and finer there: one tree, boxes within boxes, errors that fall."""
+    leaves = [(0, 1, (0, 0)), (0, 1, (1, 0)), (0, 2, (0, 2)), (0, 2, (1, 3)), (0, 3, (6, 6)), (0, 3, (7, 7)), (1, 2, (0, 0)), (1, 3, (3, 3)), (1, 1, (1, 0)), (1, 2, (0, 2)), (1, 1, (1, 1))]
+    rows = [(lod, level, list(t), [t[0] / 2**level, t[1] / 2**level, (t[0] + 1) / 2**level, (t[1] + 1) / 2**level, float(lod), float(level)], 5) for lod, level, t in leaves]
+    df = spark.createDataFrame(rows, "lod int, level int, tile array<long>, region array<double>, features long")
+    nodes = tiling.adaptive_nodes(df, 100.0, 2.0)
+    found = {r.id: r for r in nodes.collect()}
+    assert {i for i, r in found.items() if r.features} == {f"{lod}_{level}_{t[1]}_{t[0]}" for lod, level, t in leaves}
+    assert {i: r.parent for i, r in found.items() if i[0] == "1"} == {"1_2_0_0": "0_1_0_0", "1_3_3_3": "1_2_1_1", "1_2_1_1": "0_1_0_0", "1_1_0_1": "0_1_0_1", "1_2_2_0": "0_2_2_0", "1_1_1_1": "0_1_1_1"}
+    assert [i for i, r in found.items() if r.parent is None] == ["0_0_0_0"] and all(r.parent in found for r in found.values() if r.parent)
+    docs = {r.path: json.loads(r.tileset) for r in tiling.adaptive_documents(nodes, 100.0, split).collect()}
+    seen = []
+
+    def walk(node, error, outer):
+        box, uri = node["boundingVolume"]["region"], node.get("content", {}).get("uri")
+        assert node["geometricError"] <= error and all(outer[i] <= box[i] + 1e-12 if i in (0, 1, 4) else box[i] <= outer[i] + 1e-12 for i in range(6))
+        if uri and uri.endswith(".json"):
+            assert "children" not in node
+            return walk(docs[uri]["root"], error, outer)
+        if uri:
+            seen.append(uri)
+        for child in node.get("children", []):
+            walk(child, node["geometricError"], box)
+
+    root = docs["tileset.json"]
+    walk(root["root"], root["geometricError"], [-9, -9, 9, 9, -9, 9])
+    assert sorted(seen) == sorted(f"tiles/{i}.glb" for i, r in found.items() if r.features) and (len(docs) > 1) == (split < 4)
+    assert tiling.adaptive_documents(tiling.adaptive_nodes(df.limit(0), 100.0), 100.0).count() == 0
+
+
+def test_polygon_jobs_keep_a_budget_for_each_level_of_detail(spark, small):
+    from geojobs.plans import jobs
+    from geojobs.plans.shapes import polygons
+
+    config = {"upper_limit_height": 9, "max_features_per_tile": 50}
+    one = jobs.polygon_tiles(polygons(spark, small), config)["tiles"].collect()
+    out = jobs.polygon_tiles(polygons(spark, small), config | {"add_lod": "true", "lod_max_simplify_tolerance": 0.001})
+    both = out["tiles"].collect()
+    key = lambda r: (r.level, *r.tile, r.features)
+    assert sorted(map(key, one)) == sorted(key(r) for r in both if r.lod == 0) == sorted(key(r) for r in both if r.lod == 1)
+    assert max(r.features for r in both) <= 50 and json.loads(out["tileset"].where("path = 'tileset.json'").first().tileset)["root"]["children"]
+
+
 def test_taubin_against_numpy(spark):
     rng = np.random.default_rng(5)
     n, xyz = 40, rng.uniform(size=(40, 3))
