@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from geojobs.functions.geometry import GEOMETRY
 from geojobs.operators.cloud import ranked
+from geojobs.operators.rings import nest
 from geojobs.operators.storage import open_store, qualified, settle
 
 XYZ = "x double, y double, z double, nx double, ny double, nz double"
@@ -263,18 +264,21 @@ SHAPES = {1: "Point", 5: "Polygon", 11: "Point", 15: "Polygon", 21: "Point", 25:
 
 
 def shape_of(body: bytes) -> tuple[str | None, list]:
-    """(type, rings) of a record's content. Other types than points and polygons have null geometries."""
+    """(type, parts of rings) of a record's content. Rings are nested by what contains them: a record of several outer rings is a
+    MultiPolygon. Other types than points and polygons have null geometries."""
     kind = struct.unpack_from("<i", body)[0]
     if SHAPES.get(kind) == "Point":
         xyz = struct.unpack_from("<2d", body, 4) + (struct.unpack_from("<d", body, 20) if kind == 11 else (0.0,))
-        return "Point", [[list(xyz)]]
+        return "Point", [[[list(xyz)]]]
     if SHAPES.get(kind) == "Polygon":
         parts, n = struct.unpack_from("<2i", body, 36)
         starts = [*struct.unpack_from(f"<{parts}i", body, 44), n]
         xy = np.frombuffer(body, "<f8", 2 * n, 44 + 4 * parts).reshape(-1, 2)
         z = np.frombuffer(body, "<f8", n, 44 + 4 * parts + 16 * n + 16) if kind == 15 else np.zeros(n)
-        line = np.column_stack((xy, z)).tolist()
-        return "Polygon", [line[a:b] for a, b in zip(starts, starts[1:])]
+        line = np.column_stack((xy, z))
+        rings = [line[a:b] for a, b in zip(starts, starts[1:])]
+        polygons = [[rings[k].tolist() for k in ks] for ks in nest(rings)]
+        return "MultiPolygon" if len(polygons) > 1 else "Polygon", polygons
     return None, []
 
 
@@ -290,43 +294,72 @@ def table_fields(head: bytes) -> list[tuple[str, int, int]]:
 
 
 class LayerRange(InputPartition):
-    def __init__(self, layer: str, shp: str, dbf: str, shx: str | None, first: int, count: int):
-        self.layer, self.shp, self.dbf, self.shx, self.first, self.count = layer, shp, dbf, shx, first, count
+    """``count`` records from ``first`` on; ``at`` is the place of that one in a layer without its own index."""
+
+    def __init__(self, layer: str, shp: str, dbf: str, shx: str | None, first: int, count: int, at: int = 100):
+        self.layer, self.shp, self.dbf, self.shx, self.first, self.count, self.at = layer, shp, dbf, shx, first, count, at
+
+
+def _layers(path: str) -> list[tuple]:
+    """(layer, shp, dbf, shx or None) files of a folder, by name."""
+    from pyarrow import fs
+
+    system, place = open_store(path)
+    found = {f.path.lower(): f for f in system.get_file_info(fs.FileSelector(place, recursive=True)) if f.is_file}
+    named = [(found[n], found.get(n[:-4] + ".dbf"), found.get(n[:-4] + ".shx")) for n in sorted(found) if n.endswith(".shp")]
+    return [(f"{path.rstrip('/')}/{shp.path[len(place.rstrip('/')) + 1 : -4]}", shp, dbf, shx) for shp, dbf, shx in named if dbf is not None]
+
+
+def _scan(records: int, block: int = 8 << 20):
+    """(uri of a .shp) -> (uri, first, at): where every ``records``-th record begins. Headers tell how long records are; their contents
+    are passed over, and headers that stand near each other are read together."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                system, path = open_store(uri)
+                firsts, places = [], []
+                with system.open_input_file(path) as f:
+                    at, n, size, data, begin = 100, 0, f.size(), b"", 0
+                    while at + 8 <= size:
+                        if n % records == 0:
+                            firsts.append(n)
+                            places.append(at)
+                        if not begin <= at <= begin + len(data) - 8:
+                            data, begin = f.read_at(min(block, size - at), at), at
+                        at, n = at + 8 + 2 * struct.unpack_from(">i", data, at - begin + 4)[0], n + 1
+                yield pa.RecordBatch.from_arrays([pa.array([uri] * len(firsts)), pa.array(firsts, pa.int64()), pa.array(places, pa.int64())], names=["uri", "first", "at"])
+
+    return run
 
 
 class LayerReader(DataSourceReader):
-    """One partition per range of records where a layer has its index (.shx); executors seek. A layer without is one partition."""
+    """One partition per range of records, by a layer's index (.shx) or by the places in ``starts``; executors seek."""
 
     def __init__(self, options: dict):
         self.path, self.properties, self.records = options["path"], json.loads(options["properties"]), int(options.get("records", 50_000))
+        self.starts = json.loads(options.get("starts", "{}"))
 
     def partitions(self) -> list[LayerRange]:
-        from pyarrow import fs
-
-        system, place = open_store(self.path)
-        found = {f.path.lower(): f for f in system.get_file_info(fs.FileSelector(place, recursive=True)) if f.is_file}
         out = []
-        for name in sorted(n for n in found if n.endswith(".shp")):
-            dbf, shx = found.get(name[:-4] + ".dbf"), found.get(name[:-4] + ".shx")
-            if dbf is None:
-                continue
-            shp = found[name].path
-            layer = f"{self.path.rstrip('/')}/{shp[len(place.rstrip('/')) + 1 : -4]}"
+        for layer, shp, dbf, shx in _layers(self.path):
             if shx is None:
-                out.append(LayerRange(layer, shp, dbf.path, None, 0, -1))
+                out += [LayerRange(layer, shp.path, dbf.path, None, first, self.records, at) for first, at in self.starts.get(layer, [(0, 100)])]
                 continue
             n = (shx.size - 100) // 8
-            out += [LayerRange(layer, shp, dbf.path, shx.path, at, min(self.records, n - at)) for at in range(0, n, self.records)]
+            out += [LayerRange(layer, shp.path, dbf.path, shx.path, at, min(self.records, n - at)) for at in range(0, n, self.records)]
         return out
 
     def _places(self, shp, part: LayerRange, open_file) -> Iterator[tuple[int, int]]:
         """(place of the content, its bytes) of each record."""
         if part.shx is None:
-            at, size = 100, shp.size()
-            while at + 8 <= size:
+            at, size, left = part.at, shp.size(), part.count
+            while at + 8 <= size and left:
                 length = struct.unpack(">i", shp.read_at(4, at + 4))[0] * 2
                 yield at + 8, length
-                at += 8 + length
+                at, left = at + 8 + length, left - 1
             return
         with open_file(part.shx) as f:
             for at, length in struct.iter_unpack(">2i", f.read_at(8 * part.count, 100 + 8 * part.first)):
@@ -336,7 +369,7 @@ class LayerReader(DataSourceReader):
         import pyarrow as pa
 
         system, _ = open_store(self.path)
-        kinds = {"layer": pa.string(), "gid": pa.int64(), "p": pa.list_(pa.string()), "type": pa.string(), "rings": pa.list_(pa.list_(pa.list_(pa.float64())))}
+        kinds = {"layer": pa.string(), "gid": pa.int64(), "p": pa.list_(pa.string()), "type": pa.string(), "parts": pa.list_(pa.list_(pa.list_(pa.list_(pa.float64()))))}
         with system.open_input_file(part.shp) as shp, system.open_input_file(part.dbf) as dbf:
             head, width = struct.unpack("<2H", dbf.read_at(4, 8))
             fields = {n: (a, b) for n, a, b in table_fields(dbf.read_at(head, 0))}
@@ -348,10 +381,10 @@ class LayerReader(DataSourceReader):
                 table = dbf.read_at(width * len(some), head + width * first)
                 rows: dict[str, list] = {c: [] for c in kinds}
                 for k, (at, n) in enumerate(some):
-                    kind, rings = shape_of(whole[at - low : at - low + n] if whole is not None else shp.read_at(n, at))
+                    kind, parts = shape_of(whole[at - low : at - low + n] if whole is not None else shp.read_at(n, at))
                     row = table[k * width : (k + 1) * width]
                     texts = [row[slice(*fields[p])].decode("utf-8", "replace").strip() if p in fields else None for p in self.properties]
-                    for c, v in zip(rows, (part.layer, first + k + 1, texts, kind, rings)):
+                    for c, v in zip(rows, (part.layer, first + k + 1, texts, kind, parts)):
                         rows[c].append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[c], kind) for c, kind in kinds.items()], names=list(kinds))
                 first += len(some)
@@ -365,17 +398,36 @@ class LayerSource(DataSource):
         return "shapefile_layers"
 
     def schema(self) -> str:
-        return "layer string, gid bigint, p array<string>, type string, rings array<array<array<double>>>"
+        return "layer string, gid bigint, p array<string>, type string, parts array<array<array<array<double>>>>"
 
     def reader(self, schema: T.StructType) -> LayerReader:
         return LayerReader(self.options)
 
 
 def read_shapefiles(spark: SparkSession, path: str, properties: list[str], records: int = 50_000) -> DataFrame:
-    """A folder of .shp and .dbf pairs, best with .shx -> layer, gid, the properties as strings, geom.
+    """A folder of .shp and .dbf pairs -> layer, gid, the properties as strings, geom (type, rings, parts).
 
-    A layer with its index is read by ranges of ``records`` records; one without is read by one task, a thousand records at a time.
+    Layers are read by ranges of ``records`` records, through their index (.shx) or one that a task makes by passing over their record
+    headers. ``geom.parts`` are the polygons of a record, ``geom.rings`` those of its only one: a record of several is a MultiPolygon,
+    without rings, which ``layer_types`` and ``layer_validate`` tell.
     """
     spark.dataSource.register(LayerSource)
-    rows = spark.read.format("shapefile_layers").options(properties=json.dumps(properties), records=records).load(qualified(spark, path))
-    return rows.select("layer", "gid", *[F.col("p")[i].alias(p) for i, p in enumerate(properties)], F.struct("type", "rings").alias("geom"))
+    path = qualified(spark, path)
+    bare = [(layer, layer + shp.path[-4:]) for layer, shp, _, shx in _layers(path) if shx is None]
+    starts: dict[str, list] = {}
+    if bare:  # a row for each range of records reaches the driver
+        names = dict((uri, layer) for layer, uri in bare)
+        for r in spark.createDataFrame([(uri,) for uri in names], "uri string").repartition(len(names)).mapInArrow(_scan(records), "uri string, first long, at long").orderBy("uri", "first").collect():
+            starts.setdefault(names[r["uri"]], []).append((r["first"], r["at"]))
+    rows = spark.read.format("shapefile_layers").options(properties=json.dumps(properties), records=records, starts=json.dumps(starts)).load(path)
+    part = F.transform("parts", lambda r: F.struct(F.col("type").alias("_"), r.alias("rings")))
+    parts = F.transform(part, lambda p: F.struct(F.when(p["_"] == "MultiPolygon", "Polygon").otherwise(p["_"]).alias("type"), p["rings"].alias("rings")))
+    rings = F.when(F.col("type") != "MultiPolygon", F.coalesce(F.get("parts", F.lit(0)), F.expr("cast(array() as array<array<array<double>>>)")))
+    rings = F.when(F.col("type").isNull(), F.expr("cast(array() as array<array<array<double>>>)")).otherwise(rings)
+    return rows.select("layer", "gid", *[F.col("p")[i].alias(p) for i, p in enumerate(properties)], F.struct("type", rings.alias("rings"), parts.alias("parts")).alias("geom"))
+
+
+def layer_types(features: DataFrame) -> DataFrame:
+    """(layer, geometry_type) of the layers of ``read_shapefiles``, as ``layer_validate`` takes it: Multi as soon as one record has several parts."""
+    kinds = features.groupBy("layer").agg(F.max_by("geom.type", F.length("geom.type")).alias("geometry_type"))
+    return kinds.select("layer", "geometry_type")

@@ -387,6 +387,68 @@ def test_las_and_shapefile(spark, tmp_path):
     assert [(r.gid, r.name, r.kind, r.none, r.geom.type, r.geom.rings) for r in back.orderBy("gid").collect()] == [(i + 1, v["name"], "k", None, t, [list(map(list, ring)) for ring in g]) for i, (v, t, g) in enumerate(made)]
 
 
+def shp(records):
+    """A .shp without index of polygon records, each a list of rings."""
+    import struct
+
+    bodies = []
+    for rings in records:
+        flat = [p for r in rings for p in r]
+        starts = [sum(map(len, rings[:i])) for i in range(len(rings))]
+        bodies.append(struct.pack("<i4d2i", 5, 0, 0, 1, 1, len(rings), len(flat)) + struct.pack(f"<{len(starts)}i", *starts) + b"".join(struct.pack("<2d", *p[:2]) for p in flat))
+    return bytes(100) + b"".join(struct.pack(">2i", i + 1, len(b) // 2) + b for i, b in enumerate(bodies))
+
+
+def dbf(n):
+    import struct
+
+    head, field = bytearray(32), bytearray(32)
+    struct.pack_into("<IHH", head, 4, n, 65, 9)
+    field[:4], field[11:12], field[16] = b"name", b"C", 8
+    return bytes(head) + bytes(field) + b"\r" + b"".join(b" " + f"n{i}".encode().ljust(8) for i in range(n))
+
+
+def test_parts_of_shapefile_records(spark, tmp_path):
+    """Outer rings in any order and turn, holes of several, islands in holes, rings that touch; layers without index by ranges."""
+    a, b = square(0.0, 0.0, 10.0), square(20.0, 0.0, 10.0)
+    hole, island, other, corner, back = square(2.0, 2.0, 6.0), square(4.0, 4.0, 2.0), square(22.0, 2.0, 3.0), [[0.0, 0.0], [3.0, 1.0], [1.0, 3.0], [0.0, 0.0]], square(10.0, 10.0, 5.0)
+    cases = [
+        ([a], [[a]]), ([a, hole], [[a, hole]]), ([hole[::-1], a], [[a, hole[::-1]]]), ([a, b], [[a], [b]]), ([hole, b, other, a], [[b, other], [a, hole]]), ([island, hole, a], [[island], [a, hole]]),
+        ([a, corner], [[a, corner]]), ([a, back], [[a], [back]]), ([square(0.0, 0.0, 1.0), square(2.0, 0.0, 1.0)], [[square(0.0, 0.0, 1.0)], [square(2.0, 0.0, 1.0)]]), ([[[0.0, 0.0], [5.0, 5.0], [0.0, 0.0]], a], [[a, [[0.0, 0.0], [5.0, 5.0], [0.0, 0.0]]]]),
+    ]
+    rng = np.random.default_rng(3)
+    for holes in (2, 7, 20):
+        rings = [[[float(x), float(y)] for x, y, _ in r] for r in courts(rng, 30, holes)]
+        order = rng.permutation(len(rings)).tolist()
+        cases.append(([rings[i] for i in order], [[rings[0], *[rings[i] for i in order if i]]]))
+    (tmp_path / "l.shp").write_bytes(shp([c[0] for c in cases] * 10))
+    (tmp_path / "l.dbf").write_bytes(dbf(len(cases) * 10))
+    (tmp_path / "m.shp").write_bytes(shp([[a], [a, hole]]))
+    (tmp_path / "m.dbf").write_bytes(dbf(2))
+    back = files.read_shapefiles(spark, str(tmp_path), ["name"], records=17)
+    assert back.rdd.getNumPartitions() == -(-len(cases) * 10 // 17) + 1
+    rows = back.where("layer like '%/l'").orderBy("gid").collect()
+    assert [(r.gid, r.name) for r in rows] == [(i + 1, f"n{i}") for i in range(len(cases) * 10)]
+    flat = lambda parts: [[[[*p, 0.0] for p in r] for r in rings] for rings in parts]
+    for r, (_, want) in zip(rows, cases * 10):
+        assert r.geom.type == ("MultiPolygon" if len(want) > 1 else "Polygon") and [p.rings for p in r.geom.parts] == flat(want)
+        assert r.geom.rings == (flat(want)[0] if len(want) == 1 else None) and {p.type for p in r.geom.parts} == {"Polygon"}
+    kinds = {r.layer[-1]: r.geometry_type for r in files.layer_types(back).collect()}
+    assert kinds == {"l": "MultiPolygon", "m": "Polygon"}
+    solids = surfaces.extrude(back.where("layer like '%/l' and gid <= 9"), F.lit(None).cast("double"), F.lit(2.0), F.lit(0.0), multi=True)
+    assert abs(sum(area(r.triangles) for r in solids.where("gid = 9").collect()) - 2) < 1e-9 or solids.where("gid = 9").count() == 2
+
+
+def test_many_parts_take_no_square_of_time():
+    import time
+
+    from geojobs.operators.rings import nest
+
+    rings = [np.array(square(3.0 * i, 3.0 * j, w)) + o for i in range(50) for j in range(50) for w, o in ((2.0, 0.0), (1.0, 0.5))]
+    began = time.perf_counter()
+    assert nest(rings) == [[2 * k, 2 * k + 1] for k in range(2500)] and time.perf_counter() - began < 20
+
+
 def test_geojson_collection(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"k":"x"},"geometry":{"type":"Point","coordinates":[1,2]}},\n{"type":"Feature","properties":{"k":null},"geometry":{"type":"Polygon","coordinates":[[[0,0],[1,0,5],[0,0]]]}}]}')
     rows = files.read_geojson(spark, str(tmp_path), "k string").orderBy("gid").collect()
