@@ -38,9 +38,15 @@ def cloud_stats(spark, d):
     return out.select("position", "name", "count", "minimum", "maximum", F.round("average", 6).alias("average"), F.round("stddev", 6).alias("stddev"), F.round("variance", 4).alias("variance"))
 
 
-@query("decimate_step", over("SELECT pid, x, y, z FROM cloud_points WHERE pid % CAST(ceil((SELECT count(*) FROM cloud_points) / 700.0) AS BIGINT) = 0", "cloud_points"))
+_STEP = "CAST(ceil((SELECT count(*) FROM {0}) / 700.0) AS BIGINT)"
+
+
+@query("decimate_step", over(f", gaps AS (SELECT *, row_number() OVER (ORDER BY pid) - 1 AS rank FROM cloud_points WHERE pid % 7 NOT IN (0, 3)) SELECT 'whole' AS cloud, pid, x, y, z FROM cloud_points WHERE pid % {_STEP.format('cloud_points')} = 0 UNION ALL SELECT 'gaps', pid, x, y, z FROM gaps WHERE rank % {_STEP.format('gaps')} = 0", "cloud_points"))
 def decimate_step(spark, d):
-    return cloud.decimate(points(spark, d), 700).select("pid", "x", "y", "z")
+    """A cloud as it is, and one whose record numbers have gaps."""
+    whole = points(spark, d)
+    both = [cloud.decimate(p, 700).select(F.lit(n).alias("cloud"), "pid", "x", "y", "z") for n, p in (("whole", whole), ("gaps", whole.where("pid % 7 not in (0, 3)")))]
+    return both[0].unionByName(both[1])
 
 
 @query("divide_capacity", over("SELECT pid, CAST(floor(rank / each) AS BIGINT) AS part FROM (SELECT pid, row_number() OVER (ORDER BY pid) - 1 AS rank, ceil(n / ceil(n / 1300.0)) AS each FROM cloud_points CROSS JOIN (SELECT count(*) AS n FROM cloud_points) c) q", "cloud_points"))
@@ -130,22 +136,27 @@ def outlier_stat(spark, d):
     return cloud.outlier(points(spark, d), 8, 2.0).select("pid", "classification")
 
 
-@query("poisson_sample", over("SELECT 0 AS too_near, 0 AS uncovered, count(*) > 0 AS some FROM cloud_points", "cloud_points"))
+def greedy_sql(name: str, radius: float, rows: str) -> str:
+    """SQL of the pass by pid over ``rows``(part, pid, x, y, z): ``name``(part, pid, x, y, z) of the points that stay.
+
+    Rounds settle what earlier neighbours allow: a point with a kept one goes, one without undecided ones stays.
+    """
+    cell = ", ".join(f"CAST(floor({c} / {radius}) AS BIGINT) AS c{c}" for c in "xyz")
+    apart = " + ".join(f"(p.{c} - q.{c}) * (p.{c} - q.{c})" for c in "xyz")
+    return f"""
+, {name}_rows AS MATERIALIZED (SELECT part, pid, x, y, z, {cell} FROM ({rows}) r),
+{name}_near AS MATERIALIZED (SELECT p.pid AS p, q.pid AS q FROM (SELECT r.*, i.range - 1 AS di, j.range - 1 AS dj, k.range - 1 AS dk FROM {name}_rows r CROSS JOIN range(3) i CROSS JOIN range(3) j CROSS JOIN range(3) k) p
+  JOIN {name}_rows q ON q.part = p.part AND q.cx = p.cx + di AND q.cy = p.cy + dj AND q.cz = p.cz + dk WHERE q.pid < p.pid AND {apart} < {radius * radius}),
+{name}_state(round, pid, state) AS (SELECT 0, pid, 0 FROM {name}_rows
+  UNION ALL SELECT s.round + 1, s.pid, CASE WHEN any_value(s.state) <> 0 THEN any_value(s.state) WHEN bool_or(t.state = 1) THEN 2 WHEN bool_or(t.state = 0) THEN 0 ELSE 1 END
+  FROM {name}_state s LEFT JOIN {name}_near n ON n.p = s.pid LEFT JOIN {name}_state t ON t.pid = n.q WHERE EXISTS (SELECT 1 FROM {name}_state u WHERE u.state = 0) GROUP BY s.round, s.pid),
+{name} AS MATERIALIZED (SELECT r.part, r.pid, r.x, r.y, r.z FROM {name}_rows r JOIN {name}_state s USING (pid) WHERE s.state = 1 AND s.round = (SELECT max(round) FROM {name}_state))
+"""
+
+
+@query("poisson_sample", over(greedy_sql("kept", 2.0, "SELECT 0 AS part, pid, x, y, z FROM cloud_points") + "SELECT pid, x FROM kept", "cloud_points").replace("WITH ", "WITH RECURSIVE ", 1))
 def poisson_sample(spark, d):
-    """The property: no two kept points are too near, every dropped one is near a kept one."""
-    r = 2.0
-    p = points(spark, d).select("pid", "x", "y", "z")
-    kept = cloud.settle(cloud.poisson_sample(p, r))
-    cells = kept.select("pid", "x", "y", "z", *[F.floor(F.col(c) / r).alias("c" + c) for c in "xyz"])
-    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
-    asked = p.select(F.col("pid").alias("q"), F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("z").alias("qz"), F.explode(around).alias("o"))
-    asked = asked.select("q", "qx", "qy", "qz", *[(F.floor(F.col("q" + c) / r) + F.col("o." + o)).alias("c" + c) for c, o in zip("xyz", "abc")])
-    dist = sum(((F.col(c) - F.col("q" + c)) * (F.col(c) - F.col("q" + c)) for c in "yz"), (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")))
-    near = asked.join(cells, ["cx", "cy", "cz"]).where((dist < r * r) & (F.col("pid") <= F.col("q")))
-    near = cloud.settle(near.select("q", "pid"))
-    too_near = near.where("pid != q").join(kept.select(F.col("pid").alias("q")), "q", "left_semi").agg(F.count(F.lit(1)).cast("int").alias("too_near"))
-    uncovered = p.select(F.col("pid").alias("q")).join(near.select("q").distinct(), "q", "left_anti").agg(F.count(F.lit(1)).cast("int").alias("uncovered"))
-    return too_near.join(uncovered).join(kept.agg((F.count(F.lit(1)) > 0).alias("some")))
+    return cloud.poisson_sample(points(spark, d).select("pid", "x", "y", "z"), 2.0).select("pid", "x")
 
 
 @query("smrf_ground")
@@ -196,6 +207,19 @@ def geom_error_scale(spark, d):
     return tiling.error_scale(tiles, 2.5).select(F.col("level").cast("int").alias("level"), F.col("tile")[0].alias("tx"), F.col("tile")[1].alias("ty"), "geometric_error")
 
 
-@query("job_denoise")
+#: Mean distances to the eight nearest of a part's kept points; their eighth neighbours are nearer than 30.
+_PART_KNN = "SELECT part, pid, avg(d) AS m FROM (SELECT part, pid, d, row_number() OVER (PARTITION BY pid ORDER BY d) AS n FROM (SELECT a.part, a.pid, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d FROM kept_c a JOIN (SELECT c.*, o.range - 1 AS oi, q.range - 1 AS oj FROM kept_c c CROSS JOIN range(3) o CROSS JOIN range(3) q) b ON b.part = a.part AND a.i = b.i + b.oi AND a.j = b.j + b.oj AND a.pid <> b.pid) p WHERE d < 30) q WHERE n <= 8 GROUP BY part, pid"
+
+
+@query(
+    "job_denoise",
+    over(
+        ", sizes AS (SELECT count(*) AS n FROM cloud_points)"
+        + greedy_sql("kept", 1.0, "SELECT CAST(floor(rank / each) AS BIGINT) AS part, pid, x, y, z FROM (SELECT *, row_number() OVER (ORDER BY pid) - 1 AS rank, ceil(n / ceil(n / 4000.0)) AS each FROM cloud_points CROSS JOIN sizes) q")
+        + f", kept_c AS MATERIALIZED (SELECT *, CAST(floor(x / 30) AS BIGINT) AS i, CAST(floor(y / 30) AS BIGINT) AS j FROM kept), k AS MATERIALIZED ({_PART_KNN}), limits AS (SELECT part, avg(m) + 2.2 * stddev_samp(m) AS most FROM k GROUP BY part)"
+        + " SELECT pid, part, 0 AS classification FROM k JOIN limits USING (part) WHERE NOT m > most",
+        "cloud_points",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def job_denoise(spark, d):
     return jobs.denoise(points(spark, d), radius=1.0, k=8, capacity=4000).select("pid", "part", "classification")

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from geojobs.operators import mesh
-from geojobs.operators.storage import settle, shared_dir as folder
+from geojobs.operators.storage import open_store, settle, shared_dir as folder
 from geojobs.plans.fixtures import fixture, over
 from geojobs.plans.registry import query
 from geojobs.plans.shapes import POSITIONS, polygons
@@ -141,15 +141,45 @@ def stream_status(spark, d):
     return streams.current(spark, target)
 
 
-@query("stream_ingest")
+_ARRIVED = """
+SELECT 'o' || (gid // 500) || '.obj' AS name, '.obj' AS extension, 'inspect_mesh' AS job, count(*) + 2 AS lines, count(*) AS points, min(lon0) AS min_x, max(lat0) AS max_y, max(z0) AS max_z FROM poly_params GROUP BY ALL
+UNION ALL SELECT 'l' || (pid // 4000) || '.las', '.las', 'inspect_pointcloud', NULL, count(*), min(x), max(y), max(z) FROM cloud_points GROUP BY ALL
+UNION ALL SELECT 't' || (gid // 500) || '.dat', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM poly_params GROUP BY ALL
+"""
+
+
+def _deliver(folder_: str):
+    """Writes a group's rows as a file of the group's kind: OBJ, LAS, or of a kind that nothing reads."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        name = pdf["name"].iloc[0]
+        if name.endswith(".las"):
+            las.write(f"{folder_}/{name}", pdf.assign(intensity=0, classification=0, red=0, green=0, blue=0))
+        else:
+            lines = ["# vertices", *(f"v {x!r} {y!r}  {z!r}" for x, y, z in zip(*(pdf[c].tolist() for c in "xyz"))), "v 1 2"]
+            system, place = open_store(f"{folder_}/{name}")
+            system.create_dir(place.rpartition("/")[0], recursive=True)
+            with system.open_output_stream(place) as out:
+                out.write("\n".join(lines).encode())
+        return pd.DataFrame({"n": [len(pdf)]})
+
+    return run
+
+
+@query("stream_ingest", over(_ARRIVED, "poly_params", "cloud_points"))
 def stream_ingest(spark, d):
-    """Files as they arrive: the polygons as text files by brand."""
+    """Files of bounded runs of rows, which arrive in two lots: OBJ files, LAS files, and ones of an unknown kind."""
     source, checkpoint, sink = folder(spark), folder(spark), folder(spark)
-    rows = fixture(spark, d, "poly_params").select("p_brand", F.col("p_name").alias("value"))
-    for half in (0, 1):
-        rows.where(F.crc32(F.col("p_brand").cast("binary")) % 2 == half).repartition("p_brand").select("value").write.mode("append").text(source)
+    name = lambda kind, key, each, suffix: F.concat(F.lit(kind), F.floor(F.col(key) / each).cast("string"), F.lit(suffix)).alias("name")
+    place = [F.col(o).alias(c) for o, c in zip(("lon0", "lat0", "z0"), "xyz")]
+    shapes = fixture(spark, d, "poly_params")
+    rows = shapes.select(name("o", "gid", 500, ".obj"), *place).unionByName(shapes.select(name("t", "gid", 500, ".dat"), *place))
+    rows = settle(rows.unionByName(fixture(spark, d, "cloud_points").select(name("l", "pid", 4000, ".las"), "x", "y", "z")))
+    for lot in (0, 1):
+        settle(rows.where(F.crc32(F.col("name").cast("binary")) % 2 == lot).groupBy("name").applyInPandas(_deliver(source), "n long"))
         streams.ingest(spark, source, checkpoint, sink).awaitTermination()
-    return spark.read.parquet(sink).select(F.regexp_extract("path", r"(\.[a-z]+)$", 1).alias("suffix"), "extension", "job", "length")
+    out = spark.read.parquet(sink)
+    return out.select(F.element_at(F.split("path", "/"), -1).alias("name"), "extension", "job", "lines", "points", "min_x", "max_y", "max_z")
 
 
 @query("src_shapefile", over(POSITIONS + "SELECT p.p_name AS name, 'Polygon' AS type, count(DISTINCT q.ring) AS rings, count(*) AS positions, round(sum(q.z), 6) AS z FROM poly_params p JOIN positions q USING (gid) GROUP BY p.gid, p.p_name", "poly_params"))
