@@ -20,29 +20,28 @@ from geojobs.functions.geometry import GEOMETRY
 from geojobs.operators.cloud import ranked
 from geojobs.operators.rings import nest
 from geojobs.operators.storage import open_store, qualified, settle
+from geojobs.sources import collections
 
 XYZ = "x double, y double, z double, nx double, ny double, nz double"
 
 
-def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
+def read_geojson(spark: SparkSession, path: str, properties: str, range_bytes: int = collections.RANGE) -> DataFrame:
     """FeatureCollections or features as JSON lines -> gid, the properties of the given DDL, geom with z (0 where missing).
 
-    ``gid`` is the feature's place from 1; files follow each other by name. A file whose first line is a feature is read line by line
-    and so by many tasks; only a collection, one JSON document, is read as a whole.
+    ``gid`` is the feature's place from 1; files follow each other by name. A file that begins with a feature is read line by line
+    and so by many tasks; a collection, one JSON document, is read by ranges of ``range_bytes``. Empty files have none.
     """
     fields = ",".join(p.strip().replace(" ", ":", 1) for p in properties.split(","))
     feature = f"struct<type:string,properties:struct<{fields}>,geometry:struct<type:string,coordinates:string>>"
-    file, start = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start")
-    heads = spark.read.text(path).where((start == 0) & (F.trim("value") != "")).select(file, "value", F.monotonically_increasing_id().alias("at"))
-    heads = heads.groupBy("file").agg(F.min_by("value", "at").alias("head"))
-    kinds = heads.select("file", (F.from_json("head", "type string")["type"] == "Feature").alias("lines")).collect()  # a row for each file
+    kinds = settle(collections.kinds(spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), "length")))
+    names = {k: [r["file"] for r in kinds.where(F.col("kind") == k).select("file").collect()] for k in ("lines", "collection")}  # a row for each file
     found = []
-    if by_line := [r["file"] for r in kinds if r["lines"]]:
-        rows = numbered(spark, by_line).where(F.trim("value") != "")
+    if names["lines"]:
+        rows = numbered(spark, names["lines"]).where(F.trim("value") != "")
         found.append(rows.select("file", F.col("line_no").alias("at"), F.from_json(F.concat(F.lit('{"f":'), "value", F.lit("}")), f"f {feature}")["f"].alias("f")))
-    if whole := [r["file"] for r in kinds if not r["lines"]]:
-        docs = spark.read.text(whole, wholetext=True).select(file, F.from_json("value", f"features array<{feature}>")["features"].alias("fs"))
-        found.append(docs.select("file", F.posexplode("fs").alias("at", "f")))
+    if names["collection"]:
+        rows = collections.features(kinds.where("kind = 'collection'").select("file", "length"), range_bytes)
+        found.append(rows.select("file", "at", F.from_json(F.concat(F.lit('{"f":'), "value", F.lit("}")), f"f {feature}")["f"].alias("f")))
     none = spark.createDataFrame([], f"file string, at long, f {feature}")
     return _features(reduce(DataFrame.unionByName, found, none))
 

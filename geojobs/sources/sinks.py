@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geojobs.operators.storage import open_store, qualified
+
 
 def geojson_features(df: DataFrame, properties: list[str], geometry: Column) -> DataFrame:
     """One column, ``value``: a GeoJSON feature per row. ``geometry`` is a struct of type and coordinates."""
@@ -35,8 +40,53 @@ def tile_info(stats: DataFrame) -> DataFrame:
     return stats.select("level", "y", "x", F.to_json(F.struct("center", identity.alias("transform"), "size")).alias("info"))
 
 
+#: The file that names the run which readers see, and what begins the folders of a run.
+CURRENT, RUN = "_current", "run-"
+
+
+def _current(spark: SparkSession, path: str) -> str | None:
+    """The name of the run that readers see; None before the first one."""
+    system, place = open_store(qualified(spark, path))
+    try:
+        with system.open_input_stream(f"{place}/{CURRENT}") as f:
+            return f.read().decode().strip()
+    except FileNotFoundError:
+        return None
+
+
 def write_tiles(tiles: DataFrame, tileset: DataFrame | None, path: str, keys: tuple[str, ...] = ("level",), max_records: int = 1_000_000) -> None:
-    """Tile contents by level and, beside them, ``tileset``; both replace what an earlier run left, other folders stay."""
-    tiles.repartition(*keys, "tile").write.mode("overwrite").option("maxRecordsPerFile", max_records).partitionBy(keys[0]).parquet(f"{path}/tiles")
+    """Tile contents by level and, beside them, ``tileset``, as one new run in ``path``, which takes an earlier one's place at once.
+
+    All of a run is written in a folder of its own; then one small file that names it is put in the place of the old one, by a rename,
+    and the runs before are deleted, but for the one that was current, which readers may still have open. A run that fails leaves what
+    readers see as it was. Other folders stay.
+    """
+    spark, run = tiles.sparkSession, RUN + uuid.uuid4().hex
+    before = _current(spark, path)
+    tiles.repartition(*keys, "tile").write.option("maxRecordsPerFile", max_records).partitionBy(keys[0]).parquet(f"{path}/{run}/tiles")
     if tileset is not None:
-        tileset.coalesce(1).write.mode("overwrite").text(f"{path}/tileset")
+        tileset.coalesce(1).write.text(f"{path}/{run}/tileset")
+    system, place = open_store(qualified(spark, path))
+    with system.open_output_stream(f"{place}/{run}/{CURRENT}") as out:
+        out.write(run.encode())
+    system.move(f"{place}/{run}/{CURRENT}", f"{place}/{CURRENT}")
+    for old in system.get_file_info(fs.FileSelector(place)):
+        if old.base_name.startswith(RUN) and old.base_name not in (run, before):
+            system.delete_dir(old.path)
+
+
+def read_tiles(spark: SparkSession, path: str) -> DataFrame:
+    """The tile contents of the current run."""
+    return spark.read.parquet(f"{path}/{_named(spark, path)}/tiles")
+
+
+def read_tileset(spark: SparkSession, path: str) -> DataFrame:
+    """The tileset of the current run, as lines."""
+    return spark.read.text(f"{path}/{_named(spark, path)}/tileset")
+
+
+def _named(spark: SparkSession, path: str) -> str:
+    run = _current(spark, path)
+    if run is None:
+        raise FileNotFoundError(f"no run of tiles has been finished in {path}")
+    return run

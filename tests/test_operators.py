@@ -464,6 +464,27 @@ def test_geojson_collection(spark, tmp_path):
     assert [r.k for r in rows] == ["x", None, *map(str, range(50))]
 
 
+@pytest.mark.parametrize("range_bytes", [37, 64, 1000, 1 << 20])
+def test_collections_by_ranges(spark, tmp_path, range_bytes):
+    """Features across the ends of ranges, brackets, quotes and backslashes in strings, other arrays of the root, keys in any order."""
+    import json
+
+    rng = np.random.default_rng(range_bytes)
+    odd = ["]}", '"features":[{', "\\", '\\"', "{[", "é\u2028", "x" * 90, "", "a\\\\b", '"']
+    want = []
+    for name, order in (("a", ("type", "bbox", "crs", "features", "name")), ("b", ("features", "other", "type")), ("c", ("name", "type", "features")), ("d", ("type", "features", "features2"))):
+        made = [{"type": "Feature", "properties": {"k": str(rng.choice(odd)) + str(i), "n": {"deep": [1, [2]]}}, "geometry": {"type": "Point", "coordinates": [i, 2.5]}} for i in range(int(rng.integers(0, 25)) if name != "c" else 0)]
+        root = {"type": "FeatureCollection", "bbox": [1, 2, [3]], "crs": {"features": [{"a": 1}]}, "name": "]" + odd[1], "other": [{"type": "Feature", "x": 1}], "features2": [{"y": 1}], "features": made}
+        text = json.dumps({k: root[k] for k in order}, indent=int(rng.integers(0, 3)) or None, ensure_ascii=bool(rng.integers(0, 2)))
+        (tmp_path / f"{name}.json").write_text(text, encoding="utf-8")
+        want += [(f["properties"]["k"], f["geometry"]["coordinates"][0]) for f in made]
+    (tmp_path / "e.json").write_text("")
+    (tmp_path / "f.json").write_text('{"properties":{"k":"last","features":[1]},"type":"Feature","geometry":{"type":"Point","coordinates":[1,2]}}\n')
+    rows = files.read_geojson(spark, str(tmp_path), "k string", range_bytes).orderBy("gid").collect()
+    assert [r.gid for r in rows] == list(range(1, len(want) + 2))
+    assert [(r.k, r.geom.rings[0][0][0]) for r in rows] == [*want, ("last", 1.0)]
+
+
 def test_obj_faces(spark):
     lines = spark.createDataFrame([(0, "v 0 0 0"), (1, "f 1/2 2//3 3 4"), (2, "f 1 2"), (3, "v 1 2 x"), (4, "v  5   6 7")], "line_no long, value string")
     assert [tuple(r)[1:] for r in files.obj_faces(lines).orderBy("fid").collect()] == [(1, 2, 3), (1, 3, 4)]
@@ -522,6 +543,25 @@ def test_shared_folder_and_qualified_paths(spark, tmp_path):
     assert store.count() == 3 and all(f.startswith("file:/") for f in store.inputFiles())
 
 
+def test_a_run_of_tiles_replaces_the_last_at_once(spark, tmp_path):
+    """A run that fails between tiles and tileset leaves both as they were; one that is done replaces both."""
+    path = str(tmp_path / "out")
+    made = lambda n: spark.range(n).select(F.col("id").alias("gid"), (F.col("id") % 3).cast("int").alias("level"), F.array("id").alias("tile"))
+    with pytest.raises(FileNotFoundError):
+        sinks.read_tiles(spark, path)
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "textures").mkdir()
+    sinks.write_tiles(made(10), spark.createDataFrame([("one",)], "value string"), path)
+    bad = spark.createDataFrame([("x",)], "value string").select(F.raise_error(F.lit("stopped")).cast("string").alias("value"))
+    with pytest.raises(Exception, match="stopped"):
+        sinks.write_tiles(made(20), bad, path)
+    assert sinks.read_tiles(spark, path).count() == 10 and sinks.read_tileset(spark, path).first().value == "one"
+    for n in (30, 40):
+        sinks.write_tiles(made(n), spark.createDataFrame([(str(n),)], "value string"), path)
+        assert sinks.read_tiles(spark, path).count() == n and sinks.read_tileset(spark, path).first().value == str(n)
+    assert (tmp_path / "out" / "textures").exists() and len([p for p in (tmp_path / "out").iterdir() if p.name.startswith("run-")]) == 2
+
+
 def test_csv_points_order(spark):
     df = spark.createDataFrame([(1.5, 2.5, 3.5, 254.6)], "x double, y double, z double, red double").withColumns({"green": F.lit(1), "blue": F.lit(2)})
     assert sinks.csv_points(df).columns == ["X", "Y", "Z", "Red", "Green", "Blue"]
