@@ -143,7 +143,7 @@ def stream_status(spark, d):
     for part in (2, 0, 1):
         events.where(F.pmod("event_id", F.lit(3)) == part).write.mode("append").parquet(source)
         streams.status(spark, source, checkpoint, target).awaitTermination()
-    return streams.current(spark, target)
+    return streams.current(spark, checkpoint)
 
 
 _ARRIVED = """

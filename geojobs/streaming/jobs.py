@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import struct
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from geojobs.operators import catalog
 from geojobs.operators.storage import open_store, settle
@@ -84,44 +85,54 @@ def ingest(spark: SparkSession, path: str, checkpoint: str, sink: str) -> Stream
     return files.select("path", "length").writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-STATE = "task_id bigint, status string, ts timestamp, event_id bigint, result string, result_ts timestamp, result_id bigint"
-#: A batch of such a number writes down all tasks; the others only those that they touch.
-EVERY = 32
+CHANGE = "task_id bigint, status string, ts bigint, event_id bigint, result string"
+#: What the store keeps for a task: its latest event and its latest success; times in microseconds, NONE where there is none.
+KEPT = "status string, ts bigint, event_id bigint, result string, result_ts bigint, result_id bigint"
+NONE = -(1 << 63)
 
 
-def _merged(rows: DataFrame) -> DataFrame:
-    """One row of STATE per task: the latest event and the latest success."""
-    order, success = F.struct("ts", "event_id"), F.when(F.col("result_ts").isNotNull(), F.struct("result_ts", "result_id"))
-    found = rows.groupBy("task_id").agg(F.max_by("status", order).alias("status"), F.max(order).alias("o"), F.max_by("result", success).alias("result"), F.max(success).alias("s"))
-    return found.select("task_id", "status", "o.ts", "o.event_id", "result", "s.result_ts", "s.result_id")
+def _keep(key, frames, state):
+    """A task's new events -> its current row, if they change it. Rows compare by event time and id, whatever their order."""
+    import pandas as pd
 
+    old = tuple(state.get) if state.exists else (None, NONE, NONE, None, NONE, NONE)
+    status, ts, event, result, result_ts, result_id = old
+    new = False
+    for pdf in frames:
+        for s, at, number, told in zip(*(pdf[c].tolist() for c in ("status", "ts", "event_id", "result"))):
+            if (at, number) > (ts, event) or old[1] == NONE and not new:
+                status, ts, event, new = s, at, number, True
+            if s == "SUCCESS" and (at, number) > (result_ts, result_id):
+                result, result_ts, result_id, new = told, at, number, True
+    if new:
+        state.update((status, ts, event, result, result_ts, result_id))
+        yield pd.DataFrame({"task_id": pd.array([key[0]], "Int64"), "status": [status], "ts": [ts], "event_id": [event], "result": [result]})
 
-def _since(spark: SparkSession, target: str, last: int) -> DataFrame:
-    """State up to batch ``last``: what the last full batch wrote and all after it. Batches without events have written nothing."""
-    first = last - last % EVERY
-    rows = spark.read.schema(STATE).option("basePath", target).parquet(target)
-    return rows.where(F.col("batch").between(first, last)).drop("batch")  # prunes the folders of other batches
+
+def _told(ts: Column) -> Column:
+    return F.when(ts != NONE, F.timestamp_micros(ts))
 
 
 def status(spark: SparkSession, source: str, checkpoint: str, target: str) -> StreamingQuery:
-    """Status events (Parquet files of STATUS) -> the state of the tasks that a batch touches at ``target``/batch=n.
+    """Status events (Parquet files of STATUS) -> the state of each task, kept in the state store under ``checkpoint``, and the rows that a
+    batch changes at ``target``/batch=n.
 
-    Late and repeated events change nothing: rows compare by event time and id, and a result is that of the last success. Every
-    EVERY-th batch writes all tasks, so that ``current`` reads EVERY folders at most; older ones may be deleted at any time.
+    Late and repeated events change nothing: rows compare by event time and id, null ones first, and a result is that of the last
+    success. A batch writes in proportion to its events, and so does the store. ``checkpoint`` must be on a folder that all executors share.
     """
     events = spark.readStream.schema(STATUS).parquet(source)
+    rows = events.select("task_id", "status", F.coalesce(F.unix_micros("ts"), F.lit(NONE)).alias("ts"), F.coalesce("event_id", F.lit(NONE)).alias("event_id"), "result")
+    changes = rows.groupBy("task_id").applyInPandasWithState(_keep, CHANGE, KEPT, "update", GroupStateTimeout.NoTimeout)
+    changes = changes.withColumns({"ts": _told(F.col("ts")), "event_id": F.when(F.col("event_id") != NONE, F.col("event_id"))})
 
     def write(batch: DataFrame, number: int) -> None:
-        success = lambda c: F.when(F.col("status") == "SUCCESS", F.col(c))
-        rows = batch.select("task_id", "status", "ts", "event_id", success("result").alias("result"), success("ts").alias("result_ts"), success("event_id").alias("result_id"))
-        if number and number % EVERY == 0:
-            rows = rows.unionByName(_since(batch.sparkSession, target, number - 1))
-        _merged(rows).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        # A batch that runs again after a failure replaces its own folder.
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return changes.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, target: str) -> DataFrame:
-    """The current row of each task."""
-    last = max(int(name.partition("batch=")[2].partition("/")[0]) for name in spark.read.schema(STATE).parquet(target).inputFiles())
-    return _merged(_since(spark, target, last)).select("task_id", "status", "ts", "result")
+def current(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The current row of each task, from the store of the last finished batch; no earlier batch is read."""
+    kept = spark.read.format("statestore").load(checkpoint).select("key.task_id", "value.groupState.*")
+    return kept.select("task_id", "status", _told(F.col("ts")).alias("ts"), "result")

@@ -503,20 +503,28 @@ def test_obj_by_path_counts_backwards_and_on(spark, tmp_path):
     assert [tuple(r)[1:] for r in rows[:3]] == [(1, 2, 3), (6, 2, 4), (1, 2, 3)] and len({r.fid for r in rows}) == 3 + 1498
 
 
-def test_status_reads_few_folders(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(streams, "EVERY", 3)
+def test_status_writes_what_a_batch_changes(spark, tmp_path):
+    """Late, repeated and null events over eight arrivals: the store has one row a task, a batch's output only the tasks that it changes."""
     source, checkpoint, target = (str(tmp_path / n) for n in ("in", "cp", "out"))
-    want = {}
+    want, changed = {}, []
     for n in range(8):
-        rows = [(t, "SUCCESS" if (n + t) % 3 == 0 else "STARTED", 100 * n + t, n * 10 + t, f"r{n}") for t in range(n % 4, 5)]
-        for t, s, at, _, result in rows:
-            want[t] = (s, result if s == "SUCCESS" else want.get(t, (None, None))[1])
+        at = 3 if n == 5 else n  # the sixth arrival is late, the seventh the same as the fifth
+        rows = [(t if t else None, "SUCCESS" if (at + t) % 3 == 0 else "STARTED", 100 * at + t, at * 10 + t, f"r{at}") for t in range(at % 4, 5)] if n != 6 else rows_before
+        rows_before = rows
+        touched = set()
+        for t, s, when, number, result in rows:
+            old = want.get(t, ((-1, -1), None, (-1, -1), None))
+            new = ((when, number), s, *old[2:]) if (when, number) > old[0] else old
+            new = (*new[:2], (when, number), result) if s == "SUCCESS" and (when, number) > new[2] else new
+            touched |= {t} if new != old else set()
+            want[t] = new
+        changed.append(touched)
         df = spark.createDataFrame(rows, "task_id long, status string, ts long, event_id long, result string").withColumn("ts", F.timestamp_seconds("ts"))
         df.write.mode("append").parquet(source)
         streams.status(spark, source, checkpoint, target).awaitTermination()
-    assert {r.task_id: (r.status, r.result) for r in streams.current(spark, target).collect()} == want
-    assert {r.batch for r in spark.read.parquet(target).select("batch").distinct().collect()} == set(range(8))
-    assert spark.read.parquet(f"{target}/batch=6").count() == 5
+    assert {r.task_id: (r.status, r.result) for r in streams.current(spark, checkpoint).collect()} == {t: (v[1], v[3]) for t, v in want.items()}
+    out = spark.read.parquet(target).select("batch", "task_id").collect()
+    assert [{r.task_id for r in out if r.batch == n} for n in range(8)] == changed and not changed[6]
 
 
 def test_streams_take_each_file_once(spark, tmp_path):
