@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geojobs.operators.components import connected_components
 from geojobs.operators.storage import settle
 
 
@@ -89,16 +90,45 @@ def taubin(vertices: DataFrame, faces: DataFrame, iterations: int = 10, lam: flo
     return vertices
 
 
-def weld(vertices: DataFrame, faces: DataFrame, t: float = 0.0001, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Vertices of one cell of side ``t`` become that of the smallest vid; faces that collapse are dropped.
+def near_pairs(vertices: DataFrame, t: float) -> DataFrame:
+    """(a, b) of vertices no farther than ``t`` apart, enough of them to link all that are.
 
-    Cells decide, not distances: two vertices on both sides of a cell's border stay apart however near they are.
+    Vertices of one place are linked to its first, places of one cell, whose diagonal is ``t``, to the cell's first, however many there
+    are; places of different cells are compared with those of the cells within reach on one side. Null coordinates are near nothing.
     """
-    cell = [F.floor(F.col(c) / t).alias("_" + c) for c in "xyz"]
-    keyed = vertices.select(*vertices.columns, *cell)
-    first = keyed.groupBy(*by, "_x", "_y", "_z").agg(F.min("vid").alias("_to"))
-    moved = keyed.join(first, [*by, "_x", "_y", "_z"]).select(*by, F.col("vid").alias("_from"), "_to")
-    kept = vertices.join(first.select(*by, F.col("_to").alias("vid")), [*by, "vid"], "left_semi")
+    side = t / 3**0.5
+    cell = ["_x", "_y", "_z"]
+    known = vertices.where("x is not null and y is not null and z is not null").select("vid", "x", "y", "z")
+    spots = settle(known.groupBy("x", "y", "z").agg(F.min("vid").alias("a")).withColumns({"_" + c: F.floor(F.col(c) / side).cast("long") for c in "xyz"}))
+    same = known.join(spots.select("x", "y", "z", "a"), ["x", "y", "z"]).where("vid != a").select("a", F.col("vid").alias("b"))
+    first = settle(spots.groupBy(*cell).agg(F.min("a").alias("_first")))
+    inside = spots.join(first, cell).where("a != _first").select(F.col("_first").alias("a"), F.col("a").alias("b"))
+    steps = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3) if (i, j, k) > (0, 0, 0)]
+    step = F.explode(F.array(*[F.struct(*[F.lit(d).alias(n) for d, n in zip(s, cell)]) for s in steps])).alias("_s")
+    asked = first.select(*cell, step).select(*[F.col(c).alias("o" + c) for c in cell], *[(F.col(c) + F.col("_s." + c)).alias(c) for c in cell])
+    met = asked.join(first.select(*cell), cell)  # pairs of cells that both hold something
+    left = met.join(spots.select(*[F.col(c).alias("o" + c) for c in cell], "a", *[F.col(c).alias("_a" + c) for c in "xyz"]), ["o" + c for c in cell])
+    both = left.join(spots.select(*cell, "x", "y", "z", F.col("a").alias("b")), cell)
+    apart = sum(((F.col(c) - F.col("_a" + c)) * (F.col(c) - F.col("_a" + c)) for c in "yz"), (F.col("x") - F.col("_ax")) * (F.col("x") - F.col("_ax")))
+    return same.unionByName(inside).unionByName(both.where(apart <= t * t).select("a", "b"))
+
+
+def weld(vertices: DataFrame, faces: DataFrame, t: float = 0.0001, by: tuple[str, ...] = (), near: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Vertices that belong together become that of the smallest vid; faces that collapse are dropped.
+
+    With ``near`` vertices no farther than ``t`` apart belong together, and so do those that such steps link (``by`` must be empty);
+    else those of one cell of side ``t``: two on both sides of a cell's border then stay apart however near they are.
+    """
+    if near:
+        groups = connected_components(near_pairs(vertices, t)).select(F.col("node").alias("_from"), F.col("component").alias("_to"))
+        moved = settle(vertices.select(F.col("vid").alias("_from")).join(groups, "_from", "left").withColumn("_to", F.coalesce("_to", "_from")))
+        kept = vertices.join(moved.where("_from = _to").select(F.col("_to").alias("vid")), "vid", "left_semi")
+    else:
+        cell = [F.floor(F.col(c) / t).alias("_" + c) for c in "xyz"]
+        keyed = vertices.select(*vertices.columns, *cell)
+        first = keyed.groupBy(*by, "_x", "_y", "_z").agg(F.min("vid").alias("_to"))
+        moved = keyed.join(first, [*by, "_x", "_y", "_z"]).select(*by, F.col("vid").alias("_from"), "_to")
+        kept = vertices.join(first.select(*by, F.col("_to").alias("vid")), [*by, "vid"], "left_semi")
     out = faces
     for n in "abc":
         out = out.join(moved.withColumnRenamed("_from", n), [*by, n]).drop(n).withColumnRenamed("_to", n)

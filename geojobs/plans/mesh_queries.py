@@ -126,6 +126,19 @@ SELECT level, y, x, fid, a, b, c FROM coarse WHERE a <> b AND b <> c AND a <> c
 """
 
 
+_TWINS = "SELECT vid, x, y, z FROM mesh_vertices UNION ALL SELECT vid + 1000000000, x + 0.00004 * (vid % 5), y, z FROM mesh_vertices WHERE vid % 7 = 0"
+_ASKED = "SELECT fid, CASE WHEN a % 7 = 0 AND fid % 2 = 0 THEN a + 1000000000 ELSE a END AS a, b, c FROM mesh_faces"
+
+
+@query("weld_near", over(f", t AS (SELECT fid, CASE WHEN a >= 1000000000 AND (a - 1000000000) % 5 <= 2 THEN a - 1000000000 ELSE a END AS a, b, c FROM ({_ASKED}) f) SELECT * FROM t WHERE a <> b AND b <> c AND a <> c", "mesh_vertices", "mesh_faces"))
+def weld_near(spark, d):
+    """Every seventh vertex has a twin up to 0.00016 beside it, which half of its faces use: those within 0.0001 are merged."""
+    v, f = both(spark, d)
+    twins = v.where("vid % 7 = 0").select((F.col("vid") + 1000000000).alias("vid"), (F.col("x") + 0.00004 * (F.col("vid") % 5)).alias("x"), "y", "z")
+    asked = f.withColumn("a", F.when((F.col("a") % 7 == 0) & (F.col("fid") % 2 == 0), F.col("a") + 1000000000).otherwise(F.col("a")))
+    return mesh.weld(v.select("vid", "x", "y", "z").unionByName(twins), asked, near=True)[1].select("fid", "a", "b", "c")
+
+
 @query("cluster_decimate", over(_CLUSTER, "mesh_vertices", "mesh_faces"))
 def cluster_decimate(spark, d):
     return mesh.cluster_decimate(*both(spark, d), DEPTH, MARGIN, target=TARGET).select("level", "y", "x", "fid", "a", "b", "c")

@@ -144,6 +144,33 @@ def test_polygon_jobs_keep_a_budget_for_each_level_of_detail(spark, small):
     assert max(r.features for r in both) <= 50 and json.loads(out["tileset"].where("path = 'tileset.json'").first().tileset)["root"]["children"]
 
 
+def test_weld_by_distance_against_all_pairs(spark):
+    """Chains of near vertices, twins at one place, neighbours over the borders of cells, null coordinates."""
+    rng = np.random.default_rng(2)
+    t = 0.1
+    xyz = np.concatenate((rng.uniform(-1, 1, (250, 3)), np.repeat(rng.uniform(-1, 1, (5, 3)), 6, axis=0), [[3 + 0.09 * i, 0, 0] for i in range(12)], [[5, 0, 0], [5.1000001, 0, 0], [6, 0, 0], [6.0999999, 0, 0]]))
+    n = len(xyz)
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(n):
+        for j in range(i):
+            if ((xyz[i] - xyz[j]) ** 2).sum() <= t * t:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    faces = [tuple(map(int, rng.choice(n, 3, replace=False))) for _ in range(300)]
+    v = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(xyz)] + [(n, None, 0.0, 0.0)], "vid long, x double, y double, z double")
+    f = spark.createDataFrame([(i, *c) for i, c in enumerate(faces)], "fid long, a long, b long, c long")
+    kept, out = mesh.weld(v, f, t, near=True)
+    assert {r.vid for r in kept.collect()} == {find(i) for i in range(n)} | {n}
+    want = {(i, *map(find, c)) for i, c in enumerate(faces) if len(set(map(find, c))) == 3}
+    assert {tuple(r) for r in out.select("fid", "a", "b", "c").collect()} == want and len({find(i) for i in range(n)}) < n - 40
+
+
 def test_taubin_against_numpy(spark):
     rng = np.random.default_rng(5)
     n, xyz = 40, rng.uniform(size=(40, 3))
