@@ -151,7 +151,7 @@ def test_a_component_around_one_node_is_dealt_over_tasks(spark):
     """A star of 20,000 edges: its centre's rows go to several places, and the components are right."""
     star = spark.range(1, 20_001).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
     least = star.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-    plan = components._with_least(star, least, 1000)
+    plan = components.with_least(star, least, 1000)
     assert plan.count() == 20_000 and plan.where("m != 1").count() == 0
     salts = star.groupBy(F.pmod(F.xxhash64("b"), F.lit(20))).count().agg(F.max("count")).first()[0]
     assert salts < 1300
