@@ -270,7 +270,7 @@ def poisson_sample(points: DataFrame, radius: float, max_rounds: int = 200, bloc
 def _nearest(k: int):
     """A block's chunk -> for each asking place its distances to the k nearest others of the chunk, as often as points stand there."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         asks, rest = pdf[pdf["ask"]], pdf[~pdf["ask"]]
         ask, xyz = asks[["x", "y", "z"]].to_numpy(float), rest[["x", "y", "z"]].to_numpy(float)
         ids, others, weight = asks["spot"].to_numpy(), rest["spot"].to_numpy(), rest["n"].to_numpy()
@@ -290,6 +290,9 @@ def _nearest(k: int):
             d = np.take_along_axis(d, first, axis=1)
             order = np.argsort(d, axis=1)
             d, w = np.sqrt(np.take_along_axis(d, order, axis=1)), weight[np.take_along_axis(first, order, axis=1)]
+            if d.shape[1] >= k and np.isfinite(d[:, :k]).all() and (w[:, :k] == 1).all():
+                near += list(d[:, :k])  # a point at each place
+                continue
             for row, times in zip(d, w):
                 row, times = row[np.isfinite(row)], times[np.isfinite(row)]
                 near.append((row if (times == 1).all() else np.repeat(row, np.minimum(times, k)))[:k])

@@ -164,11 +164,11 @@ def smrf_ground(spark, d):
     return cloud.smrf(cloud.elm(points(spark, d)), block=64).groupBy("classification").agg(F.count(F.lit(1)).alias("n"))
 
 
-def octree_sql(budget: int, level: int = 8) -> str:
-    """SQL of the octree over ``cloud_points``: ``nodes3(pid, level, tx, ty, tz)``, a point in the shallowest node that it stands for."""
+def octree_sql(budget: int, level: int = 8, rows: str = "SELECT pid, x, y, z FROM cloud_points") -> str:
+    """SQL of the octree over ``rows``: ``nodes3(pid, level, tx, ty, tz)``, a point in the shallowest node that it stands for."""
     fine = ", ".join(f"c_{a} >> CAST(greatest(0, {level} - q.range - 3) AS BIGINT) AS f_{a}" for a in "xyz")
     return (
-        budget_sql("SELECT pid, x, y, z FROM cloud_points", "x y z", budget, level)
+        budget_sql(rows, "x y z", budget, level)
         + f", firsts AS (SELECT up_, min(pid) AS pid FROM (SELECT pid, q.range AS up_, {fine} FROM leafs JOIN range({level}) q ON q.range < level) i GROUP BY up_, f_x, f_y, f_z), ups AS (SELECT pid, min(up_) AS up_ FROM firsts GROUP BY pid)"
         + f", nodes3 AS (SELECT pid, n AS level, c_x >> ({level} - n) AS tx, c_y >> ({level} - n) AS ty, c_z >> ({level} - n) AS tz FROM (SELECT l.*, coalesce(u.up_, l.level) AS n FROM leafs l LEFT JOIN ups u USING (pid)) w)"
     )
@@ -201,6 +201,23 @@ def job_cloud_tiles(spark, d):
     return _tile(out["tiles"].join(out["points"].select("pid", "red", "green", "blue"), "pid"), "red", "green", "blue")
 
 
+@query(
+    "job_cloud_tiles_full",
+    over(
+        greedy_sql("kept", 2.0, "SELECT 0 AS part, pid, x, y, z FROM cloud_points")
+        + f", lifted AS MATERIALIZED (SELECT pid, x, y, z + n00 * (1 - f) * (1 - g) + n01 * (1 - f) * g + n10 * f * (1 - g) + n11 * f * g AS z FROM (SELECT *, y / 5.0 - floor(y / 5.0) AS f, x / 5.0 - floor(x / 5.0) AS g, CAST(floor(y / 5.0) AS BIGINT) AS gi, CAST(floor(x / 5.0) AS BIGINT) AS gj FROM kept) p LEFT JOIN {_N(0, 0)} USING (gi, gj) LEFT JOIN {_N(0, 1)} USING (gi, gj) LEFT JOIN {_N(1, 0)} USING (gi, gj) LEFT JOIN {_N(1, 1)} USING (gi, gj))"
+        + octree_sql(100, 8, "SELECT * FROM lifted")
+        + " SELECT pid, CAST(level AS BIGINT) AS level, tx, ty, tz, round(l.z, 6) AS z, coalesce(r, red) AS red FROM nodes3 JOIN lifted l USING (pid) JOIN (SELECT pid, red, CAST(floor(x / 2) AS BIGINT) AS r_col, CAST(floor((y - 200) / -2) AS BIGINT) AS r_row FROM cloud_points) c USING (pid) LEFT JOIN raster USING (r_col, r_row)",
+        "cloud_points", "raster", "geoid",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def job_cloud_tiles_full(spark, d):
+    """Thinned, lifted and coloured, in that order, before the tiles are made."""
+    config = {"sample_radius": 2.0, "to_ellipsoidal_height": "true", "colorization_image": "image.tif"}
+    out = jobs.cloud_tiles(points(spark, d), config, fixture(spark, d, "raster"), GEOTRANSFORM, (fixture(spark, d, "geoid"), (0.0, 0.0), 5.0), budget=100, max_level=8)
+    return _tile(out["tiles"].join(out["points"].select("pid", F.round("z", 6).alias("height"), "red"), "pid"), F.col("height").alias("z"), "red")
+
+
 @query("geom_error_scale", over(budget_sql("SELECT pid, x, y FROM cloud_points", "x y", 300, 8) + "SELECT CAST(level AS INTEGER) AS level, c_x >> (8 - level) AS tx, c_y >> (8 - level) AS ty, 2.5 / pow(2, level) AS geometric_error FROM leafs GROUP BY ALL", "cloud_points"))
 def geom_error_scale(spark, d):
     tiles = tiling.tile_budget(points(spark, d), ["x", "y"], 300, 8).groupBy("level", "tile").agg((1.0 / F.pow(F.lit(2.0), F.first("level"))).alias("geometric_error"))

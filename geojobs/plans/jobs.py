@@ -11,7 +11,6 @@ from geojobs.operators import catalog, cloud, mesh, surfaces, tiling
 from geojobs.operators.storage import settle
 
 
-
 def settings(kind: str, config: dict) -> dict:
     """A configuration over the defaults of its kind."""
     return catalog.DEFAULTS[kind] | config
@@ -90,7 +89,8 @@ def cloud_tiles(points: DataFrame, config: dict, raster: DataFrame | None = None
         points = cloud.ground(points)
     if to_ecef:
         points = points.withColumn("_e", geodesy.ecef_lonlat(F.col("x"), F.col("y"), F.col("z"))).withColumns({c: F.col(f"_e.{c}") for c in "xyz"}).drop("_e")
-    tiles = tiling.octree_tiles(points, budget, max_level)
+    points = settle(points)  # read by each round of the tree and by the result
+    tiles = settle(tiling.octree_tiles(points, budget, max_level))
     errors = tiles.groupBy("level", "tile").agg(F.count(F.lit(1)).alias("points")).withColumn("geometric_error", F.lit(1.0) / F.pow(F.lit(2.0), "level"))
     return {"points": points, "tiles": tiles, "nodes": tiling.error_scale(errors, float(conf["geometric_error_scale_factor"]))}
 
