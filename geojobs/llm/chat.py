@@ -207,7 +207,12 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_back(nodes: DataFrame, members: DataFrame) -> DataFrame:
-    """Each conversation read from the trees: the nodes at its places in their order; parsed and digested."""
+    """Each conversation read from the trees: the nodes at its places in their order; parsed and digested.
+
+    -> conv_id and DIGEST, one row for each of ``members``: a null conv_id stays null, a row of it is a conversation of its own; members
+    that share a leaf are read once and digest alike; null and empty texts are empty. Empty tables give no row, other columns of
+    ``nodes`` and ``members`` are left out. Very long conversations are one row.
+    """
     wanted = members.groupBy("leaf").agg(F.first(F.struct("tree", "begins")).alias("m")).select("leaf", "m.tree", F.posexplode("m.begins").alias("at", "begin"))
     place = F.concat_ws(":", "tree", "begin").alias("place")
     wanted = stash(wanted.select("leaf", "at", place))

@@ -217,8 +217,12 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read(index: DataFrame) -> DataFrame:
-    """All records of the bundles that ``index`` names, parsed and, for responses, held against their digests."""
-    bundles = index.select("bundle").distinct()
+    """All records of the bundles that ``index`` names, parsed and, for responses, held against their digests.
+
+    An empty index gives no row; repeated and null rows of it name no bundle more; a bundle that is missing or cut short fails the
+    job: an archive is read whole or not at all. Other columns of ``index`` are left out.
+    """
+    bundles = index.select("bundle").where("bundle is not null").distinct()
     n = max(1, bundles.count())
     return bundles.repartition(n).mapInArrow(_reader, RECORDS)
 

@@ -106,6 +106,24 @@ def test_cascade_is_exact(spark, n):
     assert {r.key for r in universe.where(cascade.holds(F.col("key"))).collect()} == want
 
 
+def test_cascade_of_an_empty_universe_or_list(spark):
+    """Keys beyond the universe aren't promised, the listed ones always are; without listed keys nothing is held."""
+    none = spark.createDataFrame([], "key string")
+    some = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "key string")
+    keys = spark.createDataFrame([("a",), ("b",)], "key string")
+    assert keys.where(urlfilter.build(some, none).holds(F.col("key"))).count() == 2
+    assert keys.where(urlfilter.build(none, some).holds(F.col("key"))).count() == 0
+    assert keys.where(urlfilter.build(none, none).holds(F.col("key"))).count() == 0
+
+
+def test_warc_of_nothing_and_of_missing_bundles(spark):
+    index = warc.write(pages(spark, [(1, "http://h.com/a", "x")]), shared_dir(spark))
+    assert warc.read(index.limit(0)).count() == 0 and warc.read(index.unionByName(index)).count() == warc.read(index).count() == 1
+    gone = index.withColumn("bundle", F.concat("bundle", F.lit(".gone")))
+    with pytest.raises(Exception, match="gone"):
+        warc.read(gone).count()
+
+
 PAGE = "<html><head><title>t</title><script>var a='<p>no</p>'</script></head><body><!-- <p>no</p> --><nav><ul><li>menu</ul></nav><div class='x ad-box'>buy<div>now</div></div>{}<footer>foot</footer></body></html>"
 
 
