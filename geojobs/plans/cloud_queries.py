@@ -205,7 +205,7 @@ def job_cloud_tiles(spark, d):
     "job_cloud_tiles_full",
     over(
         greedy_sql("kept", 2.0, "SELECT 0 AS part, pid, x, y, z FROM cloud_points")
-        + f", lifted AS MATERIALIZED (SELECT pid, x, y, z + n00 * (1 - f) * (1 - g) + n01 * (1 - f) * g + n10 * f * (1 - g) + n11 * f * g AS z FROM (SELECT *, y / 5.0 - floor(y / 5.0) AS f, x / 5.0 - floor(x / 5.0) AS g, CAST(floor(y / 5.0) AS BIGINT) AS gi, CAST(floor(x / 5.0) AS BIGINT) AS gj FROM kept) p LEFT JOIN {_N(0, 0)} USING (gi, gj) LEFT JOIN {_N(0, 1)} USING (gi, gj) LEFT JOIN {_N(1, 0)} USING (gi, gj) LEFT JOIN {_N(1, 1)} USING (gi, gj))"
+        + f", lifted AS MATERIALIZED (SELECT pid, x, y, z + n00 * (1 - f) * (1 - g) + n01 * (1 - f) * g + n10 * f * (1 - g) + n11 * f * g AS z FROM (SELECT *, y / 10.0 - floor(y / 10.0) AS f, x / 10.0 - floor(x / 10.0) AS g, CAST(floor(y / 10.0) AS BIGINT) AS gi, CAST(floor(x / 10.0) AS BIGINT) AS gj FROM kept) p LEFT JOIN {_N(0, 0)} USING (gi, gj) LEFT JOIN {_N(0, 1)} USING (gi, gj) LEFT JOIN {_N(1, 0)} USING (gi, gj) LEFT JOIN {_N(1, 1)} USING (gi, gj))"
         + octree_sql(100, 8, "SELECT * FROM lifted")
         + " SELECT pid, CAST(level AS BIGINT) AS level, tx, ty, tz, round(l.z, 6) AS z, coalesce(r, red) AS red FROM nodes3 JOIN lifted l USING (pid) JOIN (SELECT pid, red, CAST(floor(x / 2) AS BIGINT) AS r_col, CAST(floor((y - 200) / -2) AS BIGINT) AS r_row FROM cloud_points) c USING (pid) LEFT JOIN raster USING (r_col, r_row)",
         "cloud_points", "raster", "geoid",
@@ -214,7 +214,7 @@ def job_cloud_tiles(spark, d):
 def job_cloud_tiles_full(spark, d):
     """Thinned, lifted and coloured, in that order, before the tiles are made."""
     config = {"sample_radius": 2.0, "to_ellipsoidal_height": "true", "colorization_image": "image.tif"}
-    out = jobs.cloud_tiles(points(spark, d), config, fixture(spark, d, "raster"), GEOTRANSFORM, (fixture(spark, d, "geoid"), (0.0, 0.0), 5.0), budget=100, max_level=8)
+    out = jobs.cloud_tiles(points(spark, d), config, fixture(spark, d, "raster"), GEOTRANSFORM, (fixture(spark, d, "geoid"), (0.0, 0.0), 10.0), budget=100, max_level=8)
     return _tile(out["tiles"].join(out["points"].select("pid", F.round("z", 6).alias("height"), "red"), "pid"), F.col("height").alias("z"), "red")
 
 
