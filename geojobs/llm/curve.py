@@ -26,11 +26,11 @@ END_ID = 1
 #: Dimensions of the curve, bits of a cell's side, buckets of the hashed vector, seed of the projection.
 DIMS, BITS, BUCKETS, SEED = 4, 8, 1 << 14, 20
 #: Ids of a row: longer documents travel as several rows. Ids of a task where the stream is cut, and how many tasks at most do so.
-ROW_IDS, TASK_IDS, MAX_TASKS = 1 << 15, 8 << 20, 20_000
+ROW_IDS, TASK_IDS, MAX_TASKS = 1 << 12, 2 << 20, 20_000
 #: Tasks whose rests meet in one task of the next round.
 FAN_IN = 64
 #: Signs that are tokenized at a time.
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 DOC = "doc_id long, start long, ids binary, doc_tokens long, crc long, " + ", ".join(f"x{i} double" for i in range(DIMS))
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part int, place long, ids binary"
@@ -203,7 +203,7 @@ def _cutter(kind: str, capacity: int, round_: int, last: bool, keep_ids: bool) -
                 if not size:
                     return
 
-        for batch in batches:
+        for batch in small_batches(batches, "ids", 2 << 20):
             for doc, start, data, total in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "start", "ids", "doc_tokens"))):
                 ids = np.frombuffer(data, kind)
                 while ids.size:
