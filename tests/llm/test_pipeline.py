@@ -8,7 +8,7 @@ from geojobs.llm import decontam, queries, simhash, toxicity
 
 def test_stages_and_queries():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "simhash", "decontamination", "packing"]
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14)) and set(queries.ORACLES) <= set(queries.QUERIES)
 
 
 def test_each_stage_on_the_one_before(spark, small):
