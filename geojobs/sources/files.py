@@ -122,9 +122,21 @@ def obj_faces(lines: DataFrame) -> DataFrame:
     return made.where("a is not null and b is not null and c is not null")
 
 
+def _head(spark: SparkSession, path: str, n: int) -> list[str]:
+    """The first ``n`` lines of the files by name; Spark itself reads large files first. The driver holds a row for each file."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), "length").where("length > 0")
+    out: list[str] = []
+    for name in sorted(r["file"] for r in files.select("file").collect()):
+        begin = spark.read.text(name).where(F.col("_metadata.file_block_start") == 0)  # one task's lines, in their order
+        out += [r["value"] for r in begin.select("value").limit(n - len(out)).collect()]
+        if len(out) >= n or any(line.split()[:1] == ["end_header"] for line in out):
+            break
+    return out
+
+
 def read_ply(spark: SparkSession, path: str) -> DataFrame:
     """ASCII PLY, a file or the parts of one in a folder -> pid and the vertices' properties as doubles. The driver reads the header."""
-    head, kinds, count, inside = [r["value"] for r in spark.read.text(path).limit(200).collect()], [], 0, False
+    head, kinds, count, inside = _head(spark, path, 200), [], 0, False
     if not head or head[0].strip() != "ply" or "format ascii 1.0" not in [h.strip() for h in head]:
         raise ValueError(f"{path} is no ASCII PLY file")
     for i, line in enumerate(head):
