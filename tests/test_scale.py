@@ -14,3 +14,13 @@ def test_ply_header_is_that_of_the_first_part(spark, tmp_path):
     (tmp_path / "part-00002.txt").write_text("".join(f"{k}\n" for k in range(400)))
     rows = files.read_ply(spark, str(tmp_path)).orderBy("pid").collect()
     assert [(r["pid"], r["x"]) for r in rows] == [(0, 0.5)] + [(k + 1, float(k)) for k in range(400)]
+
+
+def test_polygons_are_dealt_by_their_number(spark, small):
+    """The parts' file is one small split: without dealing, one task makes all shapes."""
+    n = polygons(spark, small).count()
+    tasks = storage.spread(spark.range(12_001, numPartitions=1), 1_000).select(F.spark_partition_id().alias("t")).groupBy("t").count().collect()
+    assert len(tasks) == 13 and max(r["count"] for r in tasks) < 1_500
+    assert n == spark.read.parquet(f"{small}/part.parquet").count()
+    assert polygons(spark, small).rdd.getNumPartitions() == -(-n // 5_000)
+    assert polygons(spark, "/root/testdata/sf0.1").rdd.getNumPartitions() == 4
