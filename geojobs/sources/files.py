@@ -346,14 +346,30 @@ def _scan(records: int, block: int = 8 << 20):
     return run
 
 
+class LayerRanges(InputPartition):
+    """Ranges that one task reads one after another."""
+
+    def __init__(self, ranges: list[LayerRange]):
+        self.ranges = ranges
+
+
+#: Records that a task reads at least, where there are as many: starting one costs more than reading a few ranges.
+TASK_RECORDS = 10_000
+
+
 class LayerReader(DataSourceReader):
-    """One partition per range of records, by a layer's index (.shx) or by the places in ``starts``; executors seek."""
+    """Ranges of records, by a layer's index (.shx) or by the places in ``starts``; executors seek. Small ranges share a partition."""
 
     def __init__(self, options: dict):
         self.path, self.properties, self.records = options["path"], json.loads(options["properties"]), int(options.get("records", 50_000))
         self.starts = json.loads(options.get("starts", "{}"))
 
-    def partitions(self) -> list[LayerRange]:
+    def partitions(self) -> list[LayerRanges]:
+        ranges = self._ranges()
+        each = max(1, TASK_RECORDS // self.records)
+        return [LayerRanges(ranges[at : at + each]) for at in range(0, len(ranges), each)]
+
+    def _ranges(self) -> list[LayerRange]:
         out = []
         for layer, shp, dbf, shx in _layers(self.path):
             if shx is None:
@@ -376,7 +392,11 @@ class LayerReader(DataSourceReader):
             for at, length in struct.iter_unpack(">2i", f.read_at(8 * part.count, 100 + 8 * part.first)):
                 yield 2 * at + 8, 2 * length
 
-    def read(self, part: LayerRange) -> Iterator:
+    def read(self, some: LayerRanges) -> Iterator:
+        for part in some.ranges:
+            yield from self._read(part)
+
+    def _read(self, part: LayerRange) -> Iterator:
         import pyarrow as pa
 
         system, _ = open_store(self.path)
