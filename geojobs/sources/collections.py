@@ -19,6 +19,8 @@ from pyspark.sql.window import Window
 from geojobs.operators.storage import open_store, settle
 
 RANGE = 8 << 20
+#: Bytes that a task reads, range by range.
+TASK = 8 << 20
 QUOTE, BACKSLASH = 0x22, 0x5C
 #: The key before the array of features; how far before the bracket it may begin.
 KEY, NEAR = re.compile(rb'"features"\s*:\s*\Z'), 256
@@ -156,7 +158,9 @@ def features(files: DataFrame, range_bytes: int = RANGE) -> DataFrame:
     """``files(file, length)`` of FeatureCollections -> (file, at, value): the features' JSON texts and their places from 0 in each file."""
     cuts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(range_bytes).cast("long")))
     ranges = files.select("file", "length", cuts.alias("start")).select("file", "start", F.least(F.col("start") + range_bytes, F.col("length")).alias("end"))
-    tasks = max(1, min(ranges.count(), 100_000))
+    # Small ranges share a task: starting one costs more than reading a few of them.
+    size = ranges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("bytes")).first()
+    tasks = max(1, min(size["n"], max(files.sparkSession.sparkContext.defaultParallelism, -(-(size["bytes"] or 0) // TASK))))
     dealt = ranges.repartition(tasks, "file", "start")
     counted = "file string, start long, end long, quotes long, plain long, other long"
     told = settle(dealt.mapInArrow(_each(["file", "start", "end"], counted, _count), counted))

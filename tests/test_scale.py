@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from geojobs.operators import mesh, storage
 from geojobs.plans.shapes import polygons
-from geojobs.sources import files
+from geojobs.sources import collections, files, shapefile
 
 
 def test_ply_header_is_that_of_the_first_part(spark, tmp_path):
@@ -116,3 +116,23 @@ def test_faces_meet_corners_in_tasks_by_their_number(spark, monkeypatch):
     v, f = mesh_rows(spark, [(k, 0, 0) for k in range(101)], [(k, k, k + 1, k + 2) for k in range(99)])
     wide = mesh.wide_faces(v, f)
     assert wide.rdd.getNumPartitions() == 11 and wide.count() == 99
+
+
+def test_small_ranges_of_a_collection_share_a_task(spark, tmp_path, monkeypatch):
+    """A task for each range of some bytes costs more in starts than in reading."""
+    place = tmp_path / "a.json"
+    place.write_text('{"type":"FeatureCollection","features":[' + ",".join(f'{{"type":"Feature","properties":{{"k":{k}}},"geometry":null}}' for k in range(300)) + "]}")
+    tasks, plain = [], collections.settle
+    monkeypatch.setattr(collections, "settle", lambda df: tasks.append(df.rdd.getNumPartitions()) or plain(df))
+    listed = spark.createDataFrame([(f"file:{place}", place.stat().st_size)], "file string, length long")
+    assert collections.features(listed, 64).count() == 300 and tasks[0] <= spark.sparkContext.defaultParallelism
+
+
+def test_small_ranges_of_a_layer_share_a_task(spark, tmp_path):
+    square = [[[0.0, 0.0, 0.0], [0.0, 1.0, 0.0], [1.0, 1.0, 0.0], [0.0, 0.0, 0.0]]]
+    for name in "ab":
+        shapefile.write(f"file:{tmp_path}/{name}", [({"name": f"{name}{k}"}, "Polygon", square) for k in range(250)], ["name"])
+    rows = files.read_shapefiles(spark, str(tmp_path), ["name"], records=10)
+    assert rows.rdd.getNumPartitions() == 1
+    assert sorted((r["name"], r["gid"]) for r in rows.collect()) == sorted((f"{n}{k}", k + 1) for n in "ab" for k in range(250))
+    assert files.read_shapefiles(spark, str(tmp_path), ["name"], records=10_000).rdd.getNumPartitions() == 2
