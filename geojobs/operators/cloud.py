@@ -267,35 +267,76 @@ def poisson_sample(points: DataFrame, radius: float, max_rounds: int = 200, bloc
     raise RuntimeError(f"sampling did not settle in {max_rounds} rounds")
 
 
+#: Places in a cell of a chunk, whose asking places are compared with those of the nine cells about them.
+CELL = 48
+
+
 def _nearest(k: int):
-    """A block's chunk -> for each asking place its distances to the k nearest others of the chunk, as often as points stand there."""
+    """A block's chunk -> for each asking place its distances to the k nearest others of the chunk, as often as points stand there.
+
+    Nine cells of a grid answer where the k-th place is nearer than their border; the whole chunk answers the rest.
+    """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         asks, rest = pdf[pdf["ask"]], pdf[~pdf["ask"]]
         ask, xyz = asks[["x", "y", "z"]].to_numpy(float), rest[["x", "y", "z"]].to_numpy(float)
         ids, others, weight = asks["spot"].to_numpy(), rest["spot"].to_numpy(), rest["n"].to_numpy()
-        near: list[np.ndarray] = []
-        step = max(1, 4_000_000 // max(1, len(xyz)))
-        n = min(k + 1, len(xyz))
-        for at in range(0, len(ask), step):
-            part = ask[at : at + step]
-            d = np.zeros((len(part), len(xyz)))
-            for c in range(3):
-                d += (part[:, c][:, None] - xyz[None, :, c]) ** 2
-            d[ids[at : at + step, None] == others[None, :]] = np.inf
+        near: list[np.ndarray] = [np.empty(0)] * len(ask)
+
+        def compare(rows: np.ndarray, cols: np.ndarray, safe: np.ndarray) -> np.ndarray:
+            """Settles the ``rows`` whose k-th place among ``cols`` is nearer than ``safe``; the others are returned."""
+            n = min(k + 1, len(cols))
             if not n:
-                near += [np.empty(0)] * len(part)
-                continue
+                return rows[safe < np.inf]
+            d, (ox, oy, oz) = np.zeros((len(rows), len(cols))), xyz[cols].T
+            for c, o in enumerate((ox, oy, oz)):
+                d += (ask[rows, c][:, None] - o[None, :]) ** 2
+            d[ids[rows, None] == others[None, cols]] = np.inf
             first = np.argpartition(d, n - 1, axis=1)[:, :n]
             d = np.take_along_axis(d, first, axis=1)
             order = np.argsort(d, axis=1)
-            d, w = np.sqrt(np.take_along_axis(d, order, axis=1)), weight[np.take_along_axis(first, order, axis=1)]
-            if d.shape[1] >= k and np.isfinite(d[:, :k]).all() and (w[:, :k] == 1).all():
-                near += list(d[:, :k])  # a point at each place
-                continue
-            for row, times in zip(d, w):
-                row, times = row[np.isfinite(row)], times[np.isfinite(row)]
-                near.append((row if (times == 1).all() else np.repeat(row, np.minimum(times, k)))[:k])
+            d, w = np.sqrt(np.take_along_axis(d, order, axis=1)), weight[cols[np.take_along_axis(first, order, axis=1)]]
+            ok = safe == np.inf
+            if n >= k:
+                ok |= d[:, k - 1] < safe
+            plain = n >= k and (w[:, :k] == 1).all()
+            for at in np.flatnonzero(ok).tolist():
+                if plain and d[at, k - 1] < np.inf:  # a point at each place
+                    near[rows[at]] = d[at, :k]
+                    continue
+                some = np.isfinite(d[at])
+                row, times = d[at][some], w[at][some]
+                near[rows[at]] = (row if (times == 1).all() else np.repeat(row, np.minimum(times, k)))[:k]
+            return rows[~ok]
+
+        left = np.arange(len(ask))
+        m = int((len(xyz) / CELL) ** 0.5)
+        low, width = (xyz[:, :2].min(axis=0), (np.ptp(xyz[:, :2], axis=0) / max(m, 1))) if len(xyz) else (None, np.zeros(2))
+        if m > 3 and (width > 0).all():
+            cell = lambda p: np.clip(np.floor((p[:, :2] - low) / width), 0, m - 1).astype(np.int64)
+            held = cell(xyz) @ [m, 1]
+            order = np.argsort(held, kind="stable")
+            held, asked = held[order], cell(ask)
+            sides, late = np.argsort(asked @ [m, 1], kind="stable"), []
+            cuts = np.flatnonzero(np.diff((asked @ [m, 1])[sides])) + 1
+            for rows in np.split(sides, cuts):
+                if not len(rows):
+                    continue
+                i, j = asked[rows[0]].tolist()
+                spans = [np.searchsorted(held, (r * m + max(j - 1, 0), r * m + min(j + 1, m - 1) + 1)) for r in range(max(i - 1, 0), min(i + 1, m - 1) + 1)]
+                cols = np.concatenate([order[p:q] for p, q in spans])
+                safe = np.full(len(rows), 1e300)  # nothing stands beyond the grid
+                for c, at in enumerate((i, j)):
+                    if at > 1:
+                        safe = np.minimum(safe, ask[rows, c] - (low[c] + (at - 1) * width[c]))
+                    if at + 2 < m:
+                        safe = np.minimum(safe, low[c] + (at + 2) * width[c] - ask[rows, c])
+                step = max(1, 4_000_000 // max(1, len(cols)))
+                late += [compare(rows[at : at + step], cols, safe[at : at + step] * (1 - 1e-9)) for at in range(0, len(rows), step)]
+            left = np.concatenate([np.empty(0, np.int64), *late])
+        every, step = np.arange(len(xyz)), max(1, 4_000_000 // max(1, len(xyz)))
+        for at in range(0, len(left), step):
+            compare(left[at : at + step], every, np.full(len(left[at : at + step]), np.inf))
         return pd.DataFrame({"spot": ids, "near": near})
 
     return run

@@ -1,9 +1,10 @@
 """What larger tables brought up: how work is dealt, and the order of parts."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from geojobs.operators import mesh, storage
+from geojobs.operators import cloud, mesh, storage
 from geojobs.plans.shapes import polygons
 from geojobs.sources import collections, files, shapefile
 
@@ -153,3 +154,23 @@ def test_only_faces_across_tile_lines_go_to_python(spark, monkeypatch):
     small, one = mesh_rows(spark, [(0, 0, 0), (0.5, 0, 0), (0, 0.5, 0), (8, 8, 0)], [(0, 0, 1, 2)])
     monkeypatch.setattr(mesh, "_cut", None)  # nothing to cut: Python isn't asked
     assert mesh.cut_tiles(small, one, 3, 0.0).where("home").count() == 4
+
+
+def test_nearest_asks_the_cells_about_a_place(monkeypatch):
+    """Distances are those of all pairs, for crowds, lonely places and places of several points; few pairs are compared."""
+    rng, k = np.random.default_rng(2), 8
+    xyz = np.concatenate([rng.uniform(0, 100, (3_000, 3)), rng.normal(50, 0.5, (900, 3)), rng.uniform(300, 400, (5, 3))])
+    times = rng.choice([1, 1, 1, 2, 12], len(xyz))
+    rows = pd.DataFrame({"spot": np.arange(len(xyz)), **dict(zip("xyz", xyz.T)), "n": times, "ask": False})
+    pairs, plain = [], np.argpartition
+    monkeypatch.setattr(np, "argpartition", lambda d, *a, **b: pairs.append(d.size) or plain(d, *a, **b))
+    got = cloud._nearest(k)((0,), pd.concat([rows[::3].assign(ask=True), rows]))
+    for spot, near in zip(got["spot"], got["near"]):
+        d = np.sqrt(((xyz - xyz[spot]) ** 2).sum(axis=1))
+        d[spot] = np.inf
+        assert np.allclose(near, np.sort(np.repeat(d, times))[:k])
+    assert got["spot"].tolist() == rows["spot"][::3].tolist()
+    pairs.clear()
+    flat = rows.assign(z=rows["z"] / 100, n=1)[:3_000]
+    cloud._nearest(k)((0,), pd.concat([flat.assign(ask=True), flat]))
+    assert sum(pairs) < 0.3 * len(flat) ** 2
