@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from geojobs.operators import cloud, mesh, storage
+from geojobs.operators import cloud, mesh, simplify, storage, surfaces, triangulate
 from geojobs.plans.shapes import polygons
 from geojobs.sources import collections, files, shapefile
 
@@ -174,3 +174,52 @@ def test_nearest_asks_the_cells_about_a_place(monkeypatch):
     flat = rows.assign(z=rows["z"] / 100, n=1)[:3_000]
     cloud._nearest(k)((0,), pd.concat([flat.assign(ask=True), flat]))
     assert sum(pairs) < 0.3 * len(flat) ** 2
+
+
+def star(rng, n, middle=(0.0, 0.0), size=1.0):
+    turn, far = np.sort(rng.uniform(0, 2 * np.pi, n)), rng.uniform(0.3, 1, n) * size
+    xyz = np.stack([middle[0] + far * np.cos(turn), middle[1] + far * np.sin(turn), rng.uniform(0, 1, n)], axis=1).round(2)
+    return np.concatenate((xyz, xyz[:1]))
+
+
+def test_rings_of_one_size_are_clipped_together(monkeypatch):
+    """The ears of many rings are those of each, and a polygon like the one before is bridged once."""
+    rng = np.random.default_rng(5)
+    shapes = [[star(rng, n)] + ([star(rng, 4, size=0.15)] if k % 2 else []) for n in (5, 9, 14) for k in range(60)]
+    together = triangulate._meshes(shapes)
+    one_by_one = [triangulate._meshes([s])[0] for s in shapes]
+    monkeypatch.setattr(triangulate, "FEW", 0)  # each ring by itself, in a grid
+    alone = triangulate._meshes(shapes)
+    for a, b, c in zip(together, one_by_one, alone):
+        assert (a is None) == (b is None) == (c is None)
+        assert a is None or all(np.array_equal(x, y) and np.array_equal(x, z) for x, y, z in zip(a, b, c))
+    assert sum(a is not None and len(a[1]) > 2 for a in together) > 120
+    bridged, plain = [], triangulate._bridged
+    monkeypatch.setattr(triangulate, "_bridged", lambda *a: bridged.append(1) or plain(*a))
+    hole = [np.array([[x, y, 0.0] for x, y in r]) for r in ([(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)], [(1, 1), (1, 2), (2, 2), (2, 1), (1, 1)])]
+    made = triangulate._meshes([hole, [r.copy() for r in hole], None, hole])
+    assert len(bridged) == 2 and made[1] is made[0] and len(made[3][1]) == 8 and not len(made[2][1])
+    assert triangulate._meshes([[np.array([[0, 0, 0], [1, np.nan, 0], [1, 1, 0], [0.2, 0.1, 0], [0, 0, 0]], float)]]) == [None]
+
+
+def test_rings_that_keep_their_corners_need_no_grid(monkeypatch):
+    rng = np.random.default_rng(6)
+    shapes = [[star(rng, int(n))] for n in rng.integers(4, 9, 300)]
+    want = [simplify.simplify_rings(s, 0.2) for s in shapes]
+    kept = simplify._keeps(shapes, [0.2] * len(shapes))
+    assert 5 < sum(kept) < 200 and all(len(w[0]) == len(s[0]) for s, w, k in zip(shapes, want, kept) if k)
+    assert simplify._keeps([None, shapes[0], [star(rng, 30)]], [0.2, None, 1e-9]) == [True, True, False]
+    monkeypatch.setattr(simplify, "Grid", None)
+    round_ = [[np.cos(k % 30 / 30 * 2 * np.pi), np.sin(k % 30 / 30 * 2 * np.pi), 0.0] for k in range(31)]
+    assert len(simplify.simplify_rings([np.array(round_)], 1e-9)[0]) == 31
+
+
+def test_solids_tell_the_ends_of_their_triangles(spark):
+    """Tiles ask for numbers beside the triangles; heights that are null are none."""
+    square = [[0.0, 0.0, None], [3.0, 0.0, 1.0], [3.0, 2.0, 1.0], [0.0, 2.0, 1.0], [0.0, 0.0, None]]
+    rows = spark.createDataFrame([(0, "Polygon", [square], 2.0), (1, "Polygon", None, 2.0), (2, "Point", [[[1.0, 2.0, 3.0]]], 2.0), (3, "Polygon", [square], None)], "gid int, t string, r array<array<array<double>>>, u double")
+    rows = rows.select("gid", F.struct(F.col("t").alias("type"), F.col("r").alias("rings")).alias("geom"), "u").repartition(1)
+    for removed, n in ((True, 10), (False, 12)):
+        made = surfaces.solids(rows, F.lit(None), F.col("u"), F.lit(1), removed).orderBy("gid").collect()
+        assert [(r["_count"], r["_center"], r["_box"]) for r in made] == [(n, [1.5, 1.0], [0.0, 0.0, 1.0, 3.0, 2.0, 3.0]), (0, None, None), (0, None, None), (2, [1.5, 1.0], [0.0, 0.0, 1.0, 3.0, 2.0, 2.0])]
+        assert [len(r["triangles"]) for r in made] == [n, 0, 0, 2] and [r[surfaces.BECAUSE] for r in made] == [None, "no area", "no polygon", None]
