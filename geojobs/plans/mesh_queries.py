@@ -41,7 +41,7 @@ def face_tiles(spark, d):
 @query("tile_stats", over(f"SELECT s.level, s.y, s.x, s.faces, u.vertices, (x0 + x1) / 2 AS center_x, (y0 + y1) / 2 AS center_y, x1 - x0 AS size_x, z1 - z0 AS size_z FROM ({_STATS}) s JOIN (SELECT level, y, x, count(DISTINCT vid) AS vertices FROM (SELECT level, y, x, unnest([a, b, c]) AS vid FROM ({_PLACED}) p) q GROUP BY ALL) u USING (level, y, x)", "mesh_vertices", "mesh_faces"))
 def tile_stats(spark, d):
     v, f = both(spark, d)
-    out = mesh.tile_stats(mesh.face_tiles(v, f, DEPTH, MARGIN))
+    out = mesh.tile_stats(mesh.face_tiles(v, f, DEPTH, MARGIN), mesh.tasks_for(v))
     return out.select("level", "y", "x", "faces", "vertices", F.col("center")[0].alias("center_x"), F.col("center")[1].alias("center_y"), F.col("size")[0].alias("size_x"), F.col("size")[2].alias("size_z"))
 
 
@@ -51,13 +51,13 @@ _CHILDREN = f"SELECT s.level, s.y, s.x, count(c.level) AS children FROM ({_STATS
 @query("tile_children", over(_CHILDREN, "mesh_vertices", "mesh_faces"))
 def tile_children(spark, d):
     v, f = both(spark, d)
-    return tiling.tile_children(mesh.settle(mesh.tile_stats(mesh.face_tiles(v, f, DEPTH, MARGIN))), DEPTH).select("level", "y", "x", F.col("children").cast("long").alias("children"))
+    return tiling.tile_children(mesh.settle(mesh.tile_boxes(mesh.face_tiles(v, f, DEPTH, MARGIN))), DEPTH).select("level", "y", "x", F.col("children").cast("long").alias("children"))
 
 
 @query("tileset_flat", over(f"SELECT s.level, s.y, s.x, CASE WHEN s.level > 0 THEN s.y >> 1 END AS parent_y, CASE WHEN s.level > 0 THEN s.x >> 1 END AS parent_x, CASE WHEN s.level < {DEPTH} THEN 256.0 / pow(2, s.level + 2) ELSE 0.0 END AS geometric_error, 'tiles/' || s.level || '_' || s.y || '_' || s.x || '.glb' AS uri, (x0 + x1) / 2 AS cx, (x1 - x0) / 2 AS hx FROM ({_STATS}) s", "mesh_vertices", "mesh_faces"))
 def tileset_flat(spark, d):
     v, f = both(spark, d)
-    stats = mesh.settle(mesh.tile_stats(mesh.face_tiles(v, f, DEPTH, MARGIN)))
+    stats = mesh.settle(mesh.tile_boxes(mesh.face_tiles(v, f, DEPTH, MARGIN)))
     out = tiling.tileset_flat(stats, [1.0, 1.0, 1.0], DEPTH, 256.0)
     return out.select("level", "y", "x", "parent_y", "parent_x", "geometric_error", "uri", F.col("box")[0].alias("cx"), F.col("box")[3].alias("hx"))
 
@@ -65,7 +65,7 @@ def tileset_flat(spark, d):
 @query("tileset_json")
 def tileset_json(spark, d):
     v, f = both(spark, d)
-    stats = mesh.settle(mesh.tile_stats(mesh.face_tiles(v, f, DEPTH, MARGIN)))
+    stats = mesh.settle(mesh.tile_boxes(mesh.face_tiles(v, f, DEPTH, MARGIN)))
     return tiling.tileset_json(tiling.tileset_flat(stats, [1.0, 1.0, 1.0], DEPTH, 256.0), DEPTH, 256.0)
 
 
@@ -74,7 +74,7 @@ def snk_tile_info(spark, d):
     from geojobs.sources import sinks
 
     v, f = both(spark, d)
-    info = sinks.tile_info(mesh.tile_stats(mesh.face_tiles(v, f, DEPTH, MARGIN)))
+    info = sinks.tile_info(mesh.tile_boxes(mesh.face_tiles(v, f, DEPTH, MARGIN)))
     back = F.from_json("info", "center array<double>, size array<double>")
     return info.select("level", "y", "x", back["center"][0].alias("cx"), back["size"][0].alias("sx"))
 
@@ -83,7 +83,7 @@ def snk_tile_info(spark, d):
 def geom_error_ladder(spark, d):
     v, f = both(spark, d)
     box = mesh.mesh_info(v).select(F.array("size_x", "size_y", F.lit(0.0)).alias("s"))
-    rows = mesh.tile_stats(mesh.face_tiles(v, f, DEPTH, MARGIN)).crossJoin(F.broadcast(box))  # one row
+    rows = mesh.tile_boxes(mesh.face_tiles(v, f, DEPTH, MARGIN)).crossJoin(F.broadcast(box))  # one row
     return rows.select("level", "y", "x", F.round(tiling.geometric_error(F.col("level"), DEPTH, tiling.default_max_error(F.col("s"))), 9).alias("geometric_error"))
 
 

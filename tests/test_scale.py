@@ -5,6 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from geojobs.operators import cloud, mesh, simplify, storage, surfaces, triangulate
+from geojobs.plans import fixtures, mesh_queries
 from geojobs.plans.shapes import polygons
 from geojobs.sources import collections, files, shapefile
 
@@ -223,3 +224,23 @@ def test_solids_tell_the_ends_of_their_triangles(spark):
         made = surfaces.solids(rows, F.lit(None), F.col("u"), F.lit(1), removed).orderBy("gid").collect()
         assert [(r["_count"], r["_center"], r["_box"]) for r in made] == [(n, [1.5, 1.0], [0.0, 0.0, 1.0, 3.0, 2.0, 3.0]), (0, None, None), (0, None, None), (2, [1.5, 1.0], [0.0, 0.0, 1.0, 3.0, 2.0, 2.0])]
         assert [len(r["triangles"]) for r in made] == [n, 0, 0, 2] and [r[surfaces.BECAUSE] for r in made] == [None, "no area", "no polygon", None]
+
+
+def test_tiles_without_vertex_counts_join_faces_once(spark, small):
+    """A tile's centre and size don't ask for its vertices: the faces are joined with their corners once, not once more for counting."""
+    plan = mesh_queries.snk_tile_info(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 3
+
+
+def test_lookups_of_a_fixture_are_dealt_by_rows(spark, small, monkeypatch):
+    """The mesh's faces look their orders up in tasks by the number of orders, vertices are told apart in tasks by theirs."""
+    rows = fixtures.fixture(spark, small, "mesh_faces").count()
+    monkeypatch.setattr(fixtures, "SHARE", 100)
+    faces = fixtures.fixture(spark, small, "mesh_faces")
+    plan = faces._jdf.queryExecution().executedPlan().toString()
+    assert ", 15), REPARTITION_BY_NUM" in plan and faces.count() == rows
+    v, f = mesh_rows(spark, [(k, 0, 0) for k in range(101)], [(k, k, k + 1, k + 2) for k in range(99)])
+    placed = mesh.face_tiles(v, f, 1, 0.0)
+    few, many = mesh.tile_stats(placed), mesh.tile_stats(placed, 11)
+    assert sorted(few.collect()) == sorted(many.collect()) and {r["vertices"] for r in few.where("level = 0").collect()} == {101}
+    assert ", 11), REPARTITION_BY_NUM" in many._jdf.queryExecution().executedPlan().toString()
