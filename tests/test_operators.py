@@ -11,6 +11,8 @@ from geojobs.operators import cloud, storage, surfaces, survey, tiling
 from geojobs.operators.sides import within
 from geojobs.operators.simplify import crosses, simplify_ring, simplify_rings
 from geojobs.operators.triangulate import both_sides, triangles
+from geojobs.plans import vector_queries
+from geojobs.plans.shapes import polygons
 from geojobs.sources import files, las, shapefile, sinks
 from geojobs.streaming import jobs as streams
 
@@ -199,6 +201,19 @@ def test_simplify_keeps_a_ring():
     assert len(simplify_ring(ring, 0)) == 7
 
 
+def test_the_first_level_of_detail_is_simplified(spark, small):
+    """The query takes the reference's five metres: corners of ells and courtyards go in level 0 and stay in level 1."""
+    rows = {(r["gid"], r["lod"]): r.asDict() for r in vector_queries.lod_explode(spark, small).collect()}
+    shapes = polygons(spark, small).select("gid", "kind", "geom.rings").collect()
+    assert len(rows) == 2 * len(shapes)
+    assert {s["kind"] for s in shapes if rows[s["gid"], 0]["positions"] < rows[s["gid"], 1]["positions"]} == {1}
+    assert {s["kind"] for s in shapes if rows[s["gid"], 0]["others"] < rows[s["gid"], 1]["others"]} == {4}
+    for s in shapes:
+        for lod, metres in enumerate((5, 0)):
+            n = [len(r) for r in simplify_rings([np.array(r) for r in s["rings"]], metres / 111194.87428468118)]
+            assert [rows[s["gid"], lod][c] for c in ("positions", "others")] == [n[0], sum(n[1:])]
+
+
 def points(spark, n=700, seed=1, span=30.0):
     rng = np.random.default_rng(seed)
     xyz = rng.uniform(0, [span, span, 3], (n, 3))
